@@ -118,17 +118,21 @@ def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols
     is kept.
     """
     spark = files.sparkSession
+    files = spread(files, [k for k in keep if k in files.columns])
     c = F.col(content_col)
     per_rule = [
         F.struct(F.lit(r["rule_idx"]).alias("k"),
                  F.regexp_extract_all(c, F.lit(r["java"]), F.lit(0)).alias("ms"))
         for r in rules
     ]
+    # explode_outer + a null filter on the generated column: an inner
+    # explode (or a size filter) lets Catalyst infer a filter on the array
+    # and push it below the projection -- evaluating every regex twice.
     hits = (
         files.select(*keep, c.alias("_content"),
                      F.filter(F.array(*per_rule), lambda h: F.size(h["ms"]) > 0).alias("_hits"))
-        .where(F.size("_hits") > 0)
-        .select(*keep, "_content", F.explode("_hits").alias("_h"))
+        .select(*keep, "_content", F.explode_outer("_hits").alias("_h"))
+        .where(F.col("_h").isNotNull())
         .select(*keep, "_content", F.col("_h.k").alias("rule_idx"), F.col("_h.ms").alias("_ms"))
     )
     cat = rules_frame(spark, rules, ["rule_idx", "java"] + [x for x in rule_cols if x != "rule_idx"])
@@ -138,7 +142,8 @@ def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols
     if dedup:
         pos = pos.withColumn("_pos", F.filter(
             "_pos", lambda x, i: (i == 0) | (x["line"] != F.element_at(F.col("_pos"), i)["line"])))
-    exploded = pos.select(*keep, *rule_cols, "_content", F.explode("_pos").alias("_p"))
+    exploded = (pos.select(*keep, *rule_cols, "_content", F.explode_outer("_pos").alias("_p"))
+                .where(F.col("_p").isNotNull()))
     line_start = F.col("_p.off") - F.col("_p.col") + 2
     line_end = F.expr("locate(chr(10), _content, _p.off + 1)")
     line_end = F.when(line_end == 0, F.length("_content") + 1).otherwise(line_end)
@@ -151,6 +156,21 @@ def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols
     )
 
 
+def spread(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Give a CPU-heavy scan at least one partition per core.
+
+    Input splits follow storage (a single-row-group parquet file is one
+    task).  When there are fewer splits than cores the rows are hashed by
+    their keys (near-unique file identity, so no hot partition) over the
+    cores; a large input already has more splits and is left as it is, so
+    no shuffle is added at scale.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() >= cores or not keys:
+        return files
+    return files.repartition(cores * 4, *keys)
+
+
 SOURCE_FINDING_COLS = ["rule_idx", "rule_id", "owasp", "owasp_name", "cwe", "severity", "confidence", "message"]
 BEHAVIOR_FINDING_COLS = ["rule_idx", "rule", "severity", "category", "message", "weight"]
 

@@ -221,11 +221,20 @@ def q_project_scan(ws):
 
 def project_scan(ws, rules):
     """P10 flagship: files -> scan -> dedup -> per project and severity,
-    with the project's risk score."""
+    with the project's risk score.
+
+    The findings are reduced once to (project, severity, file) counts; both
+    the per-severity rows and the project totals read that one exchange,
+    so the regex stage runs once.
+    """
     files = collected(ws)
     f = scan.scan_source(files, rules, keep=("project_id", "path"))
-    summ = report.scan_summary(f, files).select("project_id", "total_files", "risk_score")
-    per = f.groupBy("project_id", "severity").agg(F.count("*").cast("bigint").alias("findings"),
-                                                  F.countDistinct("file").cast("bigint").alias("files"))
-    return per.join(summ, "project_id").select("project_id", "severity", "findings", "files", "total_files",
-                                               "risk_score")
+    per_file = f.groupBy("project_id", "severity", "file").agg(F.count("*").alias("n"))
+    per = per_file.groupBy("project_id", "severity").agg(F.sum("n").cast("bigint").alias("findings"),
+                                                         F.count("*").cast("bigint").alias("files"))
+    sev = {s: F.sum(F.when(F.col("severity") == s, F.col("findings")).otherwise(0)) for s in report.SEVERITIES}
+    risk = per.groupBy("project_id").agg(
+        report.source_risk(sev["critical"], sev["high"], sev["medium"], sev["low"]).alias("risk_score"))
+    nfiles = files.groupBy("project_id").agg(F.count("*").cast("bigint").alias("total_files"))
+    return (per.join(risk, "project_id").join(nfiles, "project_id")
+            .select("project_id", "severity", "findings", "files", "total_files", "risk_score"))

@@ -56,6 +56,14 @@ def values(cols: list[str], rows: list[tuple], alias: str) -> str:
 PATH_DIRS = ["src", "lib", "src/routes", "node_modules/a", "dist", "__tests__", "a/.git", "mydist", "app/api"]
 PATH_EXTS = [".js", ".ts", ".tsx", ".json", ".html", ".min.js", ".spec.ts", ".map", ".md", ".mjs", ".vue"]
 
+# Package names of the corpus (37: coprime with the snippet count): known
+# safe names, popular names, look-alikes and plain names.
+PACKAGE_NAMES = ["typescript", "eslint", "react", "express", "axios", "lodash", "jest", "sharp", "d3", "pm2",
+                 "nodemon", "bcrypt", "jsonwebtoken", "next", "webpack", "vite", "tsx", "prisma", "openai",
+                 "left-pad", "acme-utils", "data-tools", "net-helper", "colorz", "expresss", "lodahs", "reqeust",
+                 "chalk-cli", "ui-kit", "log-lite", "mini-http", "crypto-wrap", "env-loader", "build-tools",
+                 "deep-merge", "tiny-fetch", "shell-run"]
+
 FIXTURES: dict[str, tuple[list[str], str]] = {}
 
 
@@ -65,7 +73,7 @@ def fixture(name: str, deps: list[str], sql: str) -> None:
 
 fixture("src_files", ["documents"], f"""
 SELECT d.source AS project_id,
-       'pkg-' || CAST(d.doc_id % 40 AS STRING) AS package,
+       pk.name AS package,
        '1.' || CAST(d.doc_id % 3 AS STRING) || '.0' AS version,
        dr.dir || '/' || CAST(d.doc_id AS STRING) || ex.ext AS path,
        d.text || chr(10) || sn.snippet AS content
@@ -73,6 +81,7 @@ FROM {{{{documents}}}} d
 JOIN {values(["k", "dir"], list(enumerate(PATH_DIRS)), "dr")} ON dr.k = d.doc_id % {len(PATH_DIRS)}
 JOIN {values(["k", "ext"], list(enumerate(PATH_EXTS)), "ex")} ON ex.k = d.doc_id % {len(PATH_EXTS)}
 JOIN {values(["k", "snippet"], list(enumerate(SNIPPETS)), "sn")} ON sn.k = d.doc_id % {len(SNIPPETS)}
+JOIN {values(["k", "name"], list(enumerate(PACKAGE_NAMES)), "pk")} ON pk.k = d.doc_id % {len(PACKAGE_NAMES)}
 """)
 
 
