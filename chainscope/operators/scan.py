@@ -141,7 +141,7 @@ def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols
     pos = with_segs.withColumn("_pos", _offsets(F.col("_segs"), F.col("_ms")))
     if dedup:
         pos = pos.withColumn("_pos", F.filter(
-            "_pos", lambda x, i: (i == 0) | (x["line"] != F.element_at(F.col("_pos"), i)["line"])))
+            "_pos", lambda x, i: (i == 0) | (x["line"] != F.try_element_at(F.col("_pos"), F.greatest(i, F.lit(1)))["line"])))
     exploded = (pos.select(*keep, *rule_cols, "_content", F.explode_outer("_pos").alias("_p"))
                 .where(F.col("_p").isNotNull()))
     line_start = F.col("_p.off") - F.col("_p.col") + 2

@@ -39,4 +39,4 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from chainscope.plans import risk_queries, scan_queries  # noqa: F401
+    from chainscope.plans import inventory_queries, risk_queries, scan_queries  # noqa: F401

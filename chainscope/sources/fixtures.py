@@ -144,3 +144,70 @@ class Workspace:
     def sql(self, sql: str) -> DataFrame:
         names = set(re.findall(r"\{\{(\w+)\}\}", sql))
         return self.spark.sql(render(sql, {n: self.view(n) for n in names}))
+
+
+# ---------------------------------------------------------------- inventories
+
+from chainscope.catalog.reference import POPULAR_PACKAGES  # noqa: E402
+from chainscope.operators.lockdiff import NATIVE_PACKAGES, NETWORK_PACKAGES  # noqa: E402
+
+# pkg_names: a popular name (by p_partkey / 8) altered by p_partkey % 8.
+fixture("pkg_names", ["part"], f"""
+SELECT p.p_partkey AS id,
+       CASE p.p_partkey % 8
+         WHEN 0 THEN b.base
+         WHEN 1 THEN substr(b.base, 1, 1) || substr(b.base, 3, 1) || substr(b.base, 2, 1) || substr(b.base, 4)
+         WHEN 2 THEN b.base || substr(b.base, length(b.base), 1)
+         WHEN 3 THEN substr(b.base, 1, length(b.base) - 1)
+         WHEN 4 THEN substr(b.base, 1, 2) || '-' || substr(b.base, 3)
+         WHEN 5 THEN '@tyeps/' || b.base || '-js'
+         WHEN 6 THEN 'x' || substr(b.base, 2)
+         ELSE replace(p.p_name, ' ', '-')
+       END AS name
+FROM {{{{part}}}} p
+JOIN {values(["k", "base"], list(enumerate(POPULAR_PACKAGES[:25])), "b")}
+  ON b.k = CAST(floor(p.p_partkey / 8) AS BIGINT) % 25
+""")
+
+# Lock entries: one package per (priority as project, custkey % 400) per
+# snapshot (orders before 1998 = old).  The first ids get real names from
+# the network / native lists so their delta flags fire.
+LOCK_NAMES = NETWORK_PACKAGES + NATIVE_PACKAGES + ["express", "lodash", "react", "left-pad", "@acme/core"]
+LICENSE_POOL = ["MIT", "mit", "Apache 2.0", "GPLv3", "AGPL-3.0", "(MIT OR GPL-3.0-only)", "(MIT AND ISC)",
+                "MPL 2.0", "Public Domain", "SSPL-1.0", "Custom", "", "BSD-3-Clause", "ISC"]
+
+fixture("lock_groups", ["orders"], """
+SELECT o.o_orderpriority AS project_id,
+       CASE WHEN CAST(o.o_orderdate AS DATE) < DATE '1998-01-01' THEN 'old' ELSE 'new' END AS snapshot,
+       o.o_custkey % 400 AS pkg_k, max(o.o_orderkey) AS k
+FROM {{orders}} o
+GROUP BY o.o_orderpriority, CASE WHEN CAST(o.o_orderdate AS DATE) < DATE '1998-01-01' THEN 'old' ELSE 'new' END,
+         o.o_custkey % 400
+""")
+
+fixture("lock_packages", ["lock_groups"], f"""
+SELECT g.project_id, g.snapshot, coalesce(sp.name, 'pkg-' || CAST(g.pkg_k AS STRING)) AS name,
+       CAST(g.k % 4 AS STRING) || '.' || CAST(g.k % 10 AS STRING) || '.' || CAST(g.k % 7 AS STRING) AS version,
+       'https://registry.example.org/' || coalesce(sp.name, 'pkg-' || CAST(g.pkg_k AS STRING)) || '/-/'
+         || CAST(g.k AS STRING) || '.tgz' AS resolved,
+       CASE WHEN g.k % 5 = 1 THEN NULL ELSE 'sha512-' || md5(CAST(g.k AS STRING)) END AS integrity,
+       g.k % 5 = 0 AS dev, g.k % 23 = 0 AS optional, lic.license AS license,
+       g.k % 11 = 0 AS has_install_script, g.k % 13 = 0 AS has_bin, g.k AS lock_key
+FROM {{{{lock_groups}}}} g
+LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "sp")} ON sp.k = g.pkg_k
+LEFT JOIN {values(["k", "license"], list(enumerate(LICENSE_POOL)), "lic")} ON lic.k = g.k % {len(LICENSE_POOL)}
+WHERE NOT (g.snapshot = 'old' AND g.k % 17 = 0) AND NOT (g.snapshot = 'new' AND g.k % 19 = 0)
+""")
+
+# Dependency keys of each lock entry, from lineitem (order -> part), per
+# snapshot by ship date.
+fixture("lock_edges", ["lineitem"], f"""
+SELECT DISTINCT e.snapshot, coalesce(a.name, 'pkg-' || CAST(e.pkg_k AS STRING)) AS name,
+       coalesce(b.name, 'pkg-' || CAST(e.dep_k AS STRING)) AS dep
+FROM (SELECT CASE WHEN CAST(l.l_shipdate AS DATE) < DATE '1998-01-01' THEN 'old' ELSE 'new' END AS snapshot,
+             l.l_orderkey % 400 AS pkg_k, l.l_partkey % 400 AS dep_k
+      FROM {{{{lineitem}}}} l) e
+LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "a")} ON a.k = e.pkg_k
+LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "b")} ON b.k = e.dep_k
+WHERE e.pkg_k <> e.dep_k
+""")
