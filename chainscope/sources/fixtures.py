@@ -211,3 +211,26 @@ LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "a")} ON a.k = e.p
 LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "b")} ON b.k = e.dep_k
 WHERE e.pkg_k <> e.dep_k
 """)
+
+
+# ---------------------------------------------------------------- history
+
+# observations: per (event type as project, user as package, day) the last
+# event by (ts, event_id) gives the version and risk score seen that day.
+fixture("observations", ["events"], """
+SELECT project_id, name, ts, day, version, score FROM (
+  SELECT e.event_type AS project_id, 'pkg-' || CAST(e.user_id AS STRING) AS name, e.ts,
+         CAST(e.ts AS DATE) AS day,
+         CAST(e.event_id % 3 AS STRING) || '.' || CAST(e.event_id % 5 AS STRING) || '.0' AS version,
+         CAST(least(10.0, CAST(floor(e.value / 2 + 0.5) AS DOUBLE) / 10.0) AS DOUBLE) AS score,
+         row_number() OVER (PARTITION BY e.event_type, e.user_id, CAST(e.ts AS DATE)
+                            ORDER BY e.ts DESC, e.event_id DESC) AS rn
+  FROM {{events}} e) x
+WHERE rn = 1
+""")
+
+# manifest: packages with a permission entry (every third user per project)
+fixture("manifest", ["events"], """
+SELECT DISTINCT e.event_type AS project_id, 'pkg-' || CAST(e.user_id AS STRING) AS name
+FROM {{events}} e WHERE e.user_id % 3 = 0
+""")
