@@ -188,8 +188,8 @@ GROUP BY o.o_orderpriority, CASE WHEN CAST(o.o_orderdate AS DATE) < DATE '1998-0
 fixture("lock_packages", ["lock_groups"], f"""
 SELECT g.project_id, g.snapshot, coalesce(sp.name, 'pkg-' || CAST(g.pkg_k AS STRING)) AS name,
        CAST(g.k % 4 AS STRING) || '.' || CAST(g.k % 10 AS STRING) || '.' || CAST(g.k % 7 AS STRING) AS version,
-       'https://registry.example.org/' || coalesce(sp.name, 'pkg-' || CAST(g.pkg_k AS STRING)) || '/-/'
-         || CAST(g.k AS STRING) || '.tgz' AS resolved,
+       CASE WHEN g.k % 3 = 0 THEN 'https://registry.example.org/' ELSE 'https://registry.npmjs.org/' END
+         || coalesce(sp.name, 'pkg-' || CAST(g.pkg_k AS STRING)) || '/-/' || CAST(g.k AS STRING) || '.tgz' AS resolved,
        CASE WHEN g.k % 5 = 1 THEN NULL ELSE 'sha512-' || md5(CAST(g.k AS STRING)) END AS integrity,
        g.k % 5 = 0 AS dev, g.k % 23 = 0 AS optional, lic.license AS license,
        g.k % 11 = 0 AS has_install_script, g.k % 13 = 0 AS has_bin, g.k AS lock_key
@@ -234,3 +234,40 @@ fixture("manifest", ["events"], """
 SELECT DISTINCT e.event_type AS project_id, 'pkg-' || CAST(e.user_id AS STRING) AS name
 FROM {{events}} e WHERE e.user_id % 3 = 0
 """)
+
+
+# package_meta: the package.json of every package of the new lock, as JSON
+# text whose polymorphic fields take every shape by lock_key.
+_DOM = "CASE p.lock_key % 4 WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'example.org' WHEN 2 THEN 'outlook.com' ELSE 'corp.example' END"
+fixture("package_meta", ["lock_packages"], f"""
+SELECT p.project_id, p.name, p.version, p.lock_key, p.integrity,
+  '{{"name":"' || p.name || '","version":"' || p.version || '"'
+  || CASE p.lock_key % 4 WHEN 0 THEN ',"license":"' || p.license || '"'
+                         WHEN 1 THEN ',"license":{{"type":"' || p.license || '"}}'
+                         WHEN 2 THEN ',"licenses":[{{"type":"' || p.license || '"}},{{"type":"ISC"}}]'
+                         ELSE '' END
+  || CASE p.lock_key % 3 WHEN 0 THEN ',"author":"Dev ' || CAST(p.lock_key % 50 AS STRING) || ' <dev@' || {_DOM} || '>"'
+                         WHEN 1 THEN ',"author":{{"name":"Dev ' || CAST(p.lock_key % 50 AS STRING) || '","email":"dev@' || {_DOM} || '"}}'
+                         ELSE '' END
+  || CASE p.lock_key % 5 WHEN 0 THEN ',"maintainers":[]'
+                         WHEN 1 THEN ',"maintainers":[{{"name":"Dev ' || CAST(p.lock_key % 50 AS STRING) || '","email":"m1@gmail.com"}}]'
+                         WHEN 2 THEN ',"maintainers":[{{"name":"m1","email":"m1@example.org"}},"m2"]'
+                         ELSE '' END
+  || CASE p.lock_key % 6 WHEN 0 THEN ',"repository":"https://github.com/acme/' || p.name || '"'
+                         WHEN 1 THEN ',"repository":{{"type":"git","url":"git+https://github.com/acme/' || p.name || '.git"}}'
+                         WHEN 2 THEN ',"repository":{{"type":"git","url":"git+https://github.com/other/unrelated.git"}}'
+                         WHEN 3 THEN ',"repository":""'
+                         ELSE '' END
+  || CASE WHEN p.lock_key % 7 <> 0 THEN ',"description":"A package"' ELSE '' END
+  || CASE WHEN p.lock_key % 9 = 0 THEN ',"homepage":"https://example.org"' ELSE '' END
+  || CASE WHEN p.lock_key % 2 = 0 THEN ',"keywords":["a","b"]' WHEN p.lock_key % 8 = 1 THEN ',"keywords":[]' ELSE '' END
+  || CASE WHEN p.lock_key % 29 = 0 THEN ',"deprecated":"use something else"' ELSE '' END
+  || ',"_resolved":"' || p.resolved || '"}}' AS meta
+FROM {{{{lock_packages}}}} p WHERE p.snapshot = 'new'
+""")
+
+# license_docs: the LICENSE text of a package is a document (first 200 ids)
+fixture("license_docs", ["package_meta", "documents"], """
+SELECT m.project_id, m.name, d.text
+FROM {{package_meta}} m JOIN {{documents}} d ON d.doc_id = m.lock_key % 200
+""")
