@@ -39,5 +39,6 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from chainscope.plans import (history_queries, inventory_queries, risk_queries, scan_queries,  # noqa: F401
+    from chainscope.plans import (catalog_queries, history_queries, inventory_queries, risk_queries,  # noqa: F401
+                                  scan_queries,
                                   trust_queries)
