@@ -29,7 +29,7 @@ DEFAULT_MAX_FILES = 5000
 PACKAGE_EXTENSIONS = [".js", ".mjs", ".cjs", ".ts", ".mts", ".cts", ".json"]
 PACKAGE_SKIP_DIRS = ["node_modules", ".git", "dist", "build", "coverage", ".chainscope"]
 PROFILE_EXTENSIONS = [".js", ".mjs", ".cjs", ".ts", ".mts", ".cts"]
-PROFILE_SKIP_DIRS = ["node_modules", ".git", "test", "tests", "__tests__", "docs", "example"]
+PROFILE_SKIP_DIRS = ["node_modules", ".git", "dist", "build", "test", "tests", "__tests__"]
 
 
 def read_tree(spark, root: str, project_depth: int = 1) -> DataFrame:

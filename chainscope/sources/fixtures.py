@@ -76,7 +76,8 @@ SELECT d.source AS project_id,
        pk.name AS package,
        '1.' || CAST(d.doc_id % 3 AS STRING) || '.0' AS version,
        dr.dir || '/' || CAST(d.doc_id AS STRING) || ex.ext AS path,
-       d.text || chr(10) || sn.snippet AS content
+       d.text || chr(10) || sn.snippet AS content,
+       d.doc_id
 FROM {{{{documents}}}} d
 JOIN {values(["k", "dir"], list(enumerate(PATH_DIRS)), "dr")} ON dr.k = d.doc_id % {len(PATH_DIRS)}
 JOIN {values(["k", "ext"], list(enumerate(PATH_EXTS)), "ex")} ON ex.k = d.doc_id % {len(PATH_EXTS)}
@@ -271,3 +272,18 @@ fixture("license_docs", ["package_meta", "documents"], """
 SELECT m.project_id, m.name, d.text
 FROM {{package_meta}} m JOIN {{documents}} d ON d.doc_id = m.lock_key % 200
 """)
+
+
+# profile_files: two snapshots of every package's files; in the new one
+# files with doc_id % 11 = 0 are gone and files with doc_id % 7 = 0 carry
+# the next snippet instead of their own.
+fixture("profile_files", ["src_files", "documents"], f"""
+SELECT f.project_id, f.package, 'old' AS snapshot, f.path, f.content FROM {{{{src_files}}}} f
+UNION ALL
+SELECT f.project_id, f.package, 'new' AS snapshot, f.path,
+       CASE WHEN f.doc_id % 7 = 0 THEN d.text || chr(10) || sn.snippet ELSE f.content END AS content
+FROM {{{{src_files}}}} f
+JOIN {{{{documents}}}} d ON d.doc_id = f.doc_id
+JOIN {values(["k", "snippet"], list(enumerate(SNIPPETS)), "sn")} ON sn.k = (f.doc_id + 1) % {len(SNIPPETS)}
+WHERE f.doc_id % 11 <> 0
+""")

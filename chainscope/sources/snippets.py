@@ -156,4 +156,5 @@ SNIPPETS = [
     "const h1 = require('https');\nconst t1 = require('tls');\nimport dg from 'dgram';",
     "const remote = require(`https://cdn.example.com/${v}.js`);\nlet v: any = load();",
     "const enc = '\\x68\\x65\\x6c\\x6c\\x6f';\nconst u = '\\u0068\\u0065\\u006c\\u006c\\u006f\\u0021';",
+    "const addon = require('./build/Release/addon.node');\n// built with node-gyp rebuild",
 ]
