@@ -287,3 +287,82 @@ JOIN {{{{documents}}}} d ON d.doc_id = f.doc_id
 JOIN {values(["k", "snippet"], list(enumerate(SNIPPETS)), "sn")} ON sn.k = (f.doc_id + 1) % {len(SNIPPETS)}
 WHERE f.doc_id % 11 <> 0
 """)
+
+
+# ---------------------------------------------------------------- governance
+
+# pkg_context: the policy context of every package of the new lock; risk,
+# downloads and finding counts are derived from its lock key.
+fixture("pkg_context", ["lock_packages", "lock_edges"], """
+SELECT n.project_id, n.name AS package_name, n.version, n.license AS license_raw,
+       CAST(n.lock_key % 101 AS DOUBLE) / 10.0 AS risk_score,
+       n.has_install_script AS has_install_scripts, n.has_bin AS has_native_modules,
+       CAST(coalesce(e.deps, 0) AS INT) AS dependency_count,
+       CAST((n.lock_key * 37) % 100000 AS BIGINT) AS weekly_downloads,
+       '' AS last_published, CAST(n.lock_key % 4 AS INT) AS maintainer_count,
+       o.name IS NULL AS is_new,
+       CAST(n.lock_key % 30 AS INT) AS finding_count, CAST(n.lock_key % 3 AS INT) AS critical_findings,
+       CAST(n.lock_key % 5 AS INT) AS high_findings
+FROM {{lock_packages}} n
+LEFT JOIN {{lock_packages}} o ON o.project_id = n.project_id AND o.name = n.name AND o.snapshot = 'old'
+LEFT JOIN (SELECT name, count(*) AS deps FROM {{lock_edges}} WHERE snapshot = 'new' GROUP BY name) e
+  ON e.name = n.name
+WHERE n.snapshot = 'new'
+""")
+
+# list_entries: every tenth name of pkg_names goes on a list (every
+# twentieth on the allow list); some pin a version, some expire.
+fixture("list_entries", ["pkg_names"], """
+SELECT CASE WHEN n.id % 20 = 0 THEN 'allow' ELSE 'deny' END AS list, n.name,
+       CASE WHEN n.id % 3 = 0 THEN '1.' || CAST(n.id % 5 AS STRING) || '.0' END AS version,
+       'reason ' || CAST(n.id AS STRING) AS reason, 'cli' AS added_by, n.id AS seq,
+       CASE n.id % 8 WHEN 0 THEN '2023-06-30' WHEN 4 THEN '2025-12-31' END AS expires_at
+FROM {{pkg_names}} n WHERE n.id % 10 = 0
+""")
+
+# list_checks: (name, optional version) pairs to check against the lists
+fixture("list_checks", ["pkg_names"], """
+SELECT DISTINCT name, CASE WHEN id % 2 = 0 THEN '1.' || CAST(id % 5 AS STRING) || '.0' END AS version
+FROM {{pkg_names}}
+""")
+
+# list_changes: purchase -> allow, error -> deny, signup -> remove, applied
+# in (ts, event_id) order to the name of pkg_names row user_id * 10.
+fixture("list_changes", ["events", "pkg_names"], """
+SELECT CASE e.event_type WHEN 'purchase' THEN 'allow' WHEN 'error' THEN 'deny' ELSE 'remove' END AS op,
+       n.name, e.ts, e.event_id, 'change ' || CAST(e.event_id AS STRING) AS reason,
+       CASE WHEN e.event_id % 3 = 0 THEN '2.' || CAST(e.event_id % 4 AS STRING) || '.0' END AS version
+FROM {{events}} e JOIN {{pkg_names}} n ON n.id = e.user_id * 10
+WHERE e.event_type IN ('purchase', 'error', 'signup')
+""")
+
+# permissions: one manifest entry per manifest package; lists as
+# comma-separated text ('' = empty list), blocked flags separate.
+fixture("permissions", ["manifest"], """
+SELECT m.project_id, m.name,
+       CAST(substr(m.name, 5) AS INT) % 4 = 0 AS net_blocked,
+       CASE CAST(substr(m.name, 5) AS INT) % 4 WHEN 2 THEN '*' WHEN 3 THEN 'api.example.com,*.npmjs.org' ELSE '' END AS net,
+       CAST(substr(m.name, 5) AS INT) % 3 = 0 AS fs_blocked,
+       CASE CAST(substr(m.name, 5) AS INT) % 3 WHEN 1 THEN '/srv/app,/tmp' ELSE '' END AS fs,
+       CAST(substr(m.name, 5) AS INT) % 2 = 0 AS native,
+       CAST(substr(m.name, 5) AS INT) % 5 = 0 AS exec,
+       CASE CAST(substr(m.name, 5) AS INT) % 4 WHEN 0 THEN 'blocked' WHEN 1 THEN 'all' ELSE 'list' END AS env_mode,
+       CASE CAST(substr(m.name, 5) AS INT) % 4 WHEN 2 THEN 'HOME,PATH' ELSE '' END AS env
+FROM {{manifest}} m
+""")
+
+# access_requests: resource by event type, target by event id
+fixture("access_requests", ["events"], """
+SELECT e.event_type AS project_id, 'pkg-' || CAST(e.user_id AS STRING) AS package_name, e.event_id,
+       CASE WHEN e.event_id % 97 = 0 THEN 'gpu'
+            ELSE CASE e.event_type WHEN 'view' THEN 'net' WHEN 'click' THEN 'fs' WHEN 'error' THEN 'env'
+                                   WHEN 'purchase' THEN 'exec' ELSE 'native' END END AS resource,
+       CASE WHEN e.event_id % 4 = 0 THEN NULL
+            WHEN e.event_type = 'view' THEN CASE e.event_id % 3 WHEN 0 THEN 'api.example.com'
+                 WHEN 1 THEN 'CDN.npmjs.org' ELSE 'evil.example.net' END
+            WHEN e.event_type = 'click' THEN CASE e.event_id % 3 WHEN 0 THEN '/srv/app/data'
+                 WHEN 1 THEN '/etc/passwd' ELSE '/tmp/x' END
+            WHEN e.event_type = 'error' THEN CASE e.event_id % 3 WHEN 0 THEN 'HOME'
+                 WHEN 1 THEN 'AWS_SECRET' ELSE 'PATH' END END AS target
+FROM {{events}} e
+""")
