@@ -170,3 +170,82 @@ FROM adj GROUP BY project_id""".replace("min((-adjusted_score, package)).package
                                         "(min({'s': -adjusted_score, 'p': package})).p")))
 def q_audit_summary(ws):
     return risk.audit_summary(adjusted(ws))
+
+
+# ------------------------------------------------------------------ remediation
+
+from chainscope.operators import remediation as RM  # noqa: E402
+
+
+def suggestions(ws):
+    return RM.suggestions(package_risk(ws), behavior_findings(ws), ws.spark)
+
+
+def o_sugg():
+    keys = ", ".join(PKG)
+    alts = [(p, i, n, r, c) for p, al in RM.ALTERNATIVES.items() for i, (n, r, c) in enumerate(al)]
+    acts = [(k, *v) for k, v in RM.CATEGORY_ACTIONS.items()]
+    return o_risk() + [
+        ("alts", Q.values_cte(["package", "alt_idx", "alt", "reason", "complexity"], alts)),
+        ("acts", Q.values_cte(["category", "title", "description", "action", "type"], acts)),
+        ("rep", "SELECT p.*, a.alt, a.reason, a.complexity FROM pr p LEFT JOIN alts a ON a.package = p.package AND a.alt_idx = 0"),
+        ("catg", f"""
+SELECT {keys}, category, CAST(count(*) AS BIGINT) AS n,
+       min({{'s': {Q.sev_rank('severity')}, 'f': file, 'l': line, 'r': rule_idx, 'c': col}}) AS first,
+       max(CASE severity WHEN 'critical' THEN 2 WHEN 'high' THEN 1 ELSE 0 END) AS sev
+FROM bf GROUP BY {keys}, category"""),
+        ("sugg", f"""
+SELECT {keys}, CAST(0 AS BIGINT) AS seq, 'replace' AS type, CASE WHEN score >= 7 THEN 'critical' ELSE 'high' END AS priority,
+       'Replace ' || package || ' with ' || alt AS title, reason AS description,
+       'npm uninstall ' || package || ' && npm install ' || alt AS action,
+       CASE complexity WHEN 'drop-in' THEN 'trivial' WHEN 'minor-changes' THEN 'low' ELSE 'medium' END AS effort
+FROM rep WHERE alt IS NOT NULL
+UNION ALL
+SELECT {', '.join('c.' + k for k in PKG)}, CAST(dense_rank() OVER (PARTITION BY {', '.join('c.' + k for k in PKG)} ORDER BY c.first) AS BIGINT),
+       a.type, CASE c.sev WHEN 2 THEN 'critical' WHEN 1 THEN 'high' ELSE 'medium' END, a.title,
+       a.description || ' (' || CAST(c.n AS VARCHAR) || ' finding' || CASE WHEN c.n <> 1 THEN 's' ELSE '' END || ')',
+       a.action, 'low'
+FROM catg c JOIN acts a ON a.category = c.category
+UNION ALL
+SELECT {keys}, CAST(1000 AS BIGINT), 'remove', 'critical', 'Consider removing ' || package,
+       'Risk score ' || {Q.js_num('score')} || '/10 is dangerously high with no known safe alternatives',
+       'npm uninstall ' || package || '. Find a replacement or implement the functionality directly.', 'high'
+FROM rep WHERE score >= 8 AND alt IS NULL
+UNION ALL
+SELECT {keys}, CAST(1001 AS BIGINT), 'monitor', 'low', 'Pin and monitor ' || package,
+       'Pin exact version and monitor for behavioral changes',
+       'Use exact version in package.json: "' || package || '": "' || version || '"', 'trivial'
+FROM rep WHERE score >= 2"""),
+    ]
+
+
+@query("suggestions", lambda: with_fixtures(["src_files"], o_sugg(), f"SELECT {', '.join(RM.OUT)} FROM sugg"))
+def q_suggestions(ws):
+    return suggestions(ws).select(*RM.OUT)
+
+
+@query("top_suggestions", lambda: with_fixtures(["src_files"], o_sugg(), f"""
+SELECT * FROM (
+  SELECT {', '.join(RM.OUT)}, CAST(row_number() OVER (PARTITION BY {', '.join(PKG)} ORDER BY
+         CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, seq) AS BIGINT) AS rank
+  FROM sugg) WHERE rank <= 3"""))
+def q_top_suggestions(ws):
+    return RM.top_suggestions(suggestions(ws)).select(*RM.OUT, "rank")
+
+
+@query("remediation_summary", lambda: with_fixtures(["src_files"], o_sugg() + [
+    ("rs", """
+SELECT s.project_id, CAST(count(*) AS BIGINT) AS total,
+       CAST(count_if(priority = 'critical') AS BIGINT) AS critical, CAST(count_if(priority = 'high') AS BIGINT) AS high,
+       CAST(count_if(priority = 'medium') AS BIGINT) AS medium, CAST(count_if(priority = 'low') AS BIGINT) AS low,
+       sum(CASE effort WHEN 'trivial' THEN 0.25 WHEN 'low' THEN 1.0 WHEN 'medium' THEN 4.0 ELSE 8.0 END) AS effort_hours,
+       CAST(count(DISTINCT (s.project_id, s.package, s.version)) AS BIGINT) AS packages
+FROM sugg s JOIN (SELECT {keys} FROM pr WHERE score >= 1) k
+  ON k.project_id = s.project_id AND k.package = s.package AND k.version = s.version
+GROUP BY s.project_id""".replace("{keys}", ", ".join(PKG)))], f"""
+SELECT *, CASE WHEN effort_hours < 1 THEN '<1 hour'
+               WHEN effort_hours < 8 THEN '~' || CAST({Q.js_round('effort_hours')} AS VARCHAR) || ' hours'
+               ELSE '~' || CAST({Q.js_round('effort_hours / 8')} AS VARCHAR) || ' days' END AS estimated_effort
+FROM rs"""))
+def q_remediation_summary(ws):
+    return RM.remediation_summary(package_risk(ws), suggestions(ws))

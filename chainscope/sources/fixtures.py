@@ -61,8 +61,8 @@ PATH_EXTS = [".js", ".ts", ".tsx", ".json", ".html", ".min.js", ".spec.ts", ".ma
 PACKAGE_NAMES = ["typescript", "eslint", "react", "express", "axios", "lodash", "jest", "sharp", "d3", "pm2",
                  "nodemon", "bcrypt", "jsonwebtoken", "next", "webpack", "vite", "tsx", "prisma", "openai",
                  "left-pad", "acme-utils", "data-tools", "net-helper", "colorz", "expresss", "lodahs", "reqeust",
-                 "chalk-cli", "ui-kit", "log-lite", "mini-http", "crypto-wrap", "env-loader", "build-tools",
-                 "deep-merge", "tiny-fetch", "shell-run"]
+                 "chalk-cli", "request", "moment", "colors", "crypto-wrap", "env-loader", "build-tools",
+                 "glob", "tiny-fetch", "shell-run"]
 
 FIXTURES: dict[str, tuple[list[str], str]] = {}
 
