@@ -27,6 +27,14 @@ ALIASES = {
     "bsl-1.0": "BSL-1.0", "wtfpl": "WTFPL", "agpl-3.0": "AGPL-3.0-only",
 }
 
+# FIXED VALUES — lower-case spelling -> SPDX id used in bills of materials
+SBOM_ALIASES = {
+    "mit": "MIT", "isc": "ISC", "bsd-2-clause": "BSD-2-Clause", "bsd-3-clause": "BSD-3-Clause",
+    "apache-2.0": "Apache-2.0", "apache 2.0": "Apache-2.0", "gpl-2.0": "GPL-2.0-only", "gpl-3.0": "GPL-3.0-only",
+    "lgpl-2.1": "LGPL-2.1-only", "lgpl-3.0": "LGPL-3.0-only", "mpl-2.0": "MPL-2.0", "unlicense": "Unlicense",
+    "cc0-1.0": "CC0-1.0", "0bsd": "0BSD", "artistic-2.0": "Artistic-2.0", "bsl-1.0": "BSL-1.0", "wtfpl": "WTFPL",
+}
+
 # FIXED VALUES — license-file phrases, first match wins: (id, all of [any of phrases])
 TEXT_RULES = [
     ("MIT", [["MIT LICENSE", "PERMISSION IS HEREBY GRANTED"]]),
@@ -54,6 +62,12 @@ def normalize(raw: Column) -> Column:
     return F.coalesce(F.try_element_at(_alias_map(), F.lower(js.js_trim(raw))), raw)
 
 
+def normalize_sbom(raw: Column) -> Column:
+    """R1 (bill-of-materials variant, smaller alias table)."""
+    m = F.create_map(*[x for k, v in SBOM_ALIASES.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(m, F.lower(js.js_trim(raw))), raw)
+
+
 def _simple_class(n: Column) -> Column:
     return (F.when(n.isin(PUBLIC_DOMAIN), "public-domain").when(n.isin(PERMISSIVE), "permissive")
             .when(n.isin(COPYLEFT), "copyleft").when(n.isin(WEAK_COPYLEFT), "weak-copyleft"))

@@ -40,5 +40,5 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_all() -> None:
     """Import every module that registers queries."""
     from chainscope.plans import (catalog_queries, history_queries, inventory_queries, risk_queries,  # noqa: F401
-                                  fingerprint_queries, govern_queries, scan_queries,
+                                  fingerprint_queries, govern_queries, sbom_queries, scan_queries,
                                   trust_queries)

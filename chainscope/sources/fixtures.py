@@ -366,3 +366,58 @@ SELECT e.event_type AS project_id, 'pkg-' || CAST(e.user_id AS STRING) AS packag
                  WHEN 1 THEN 'AWS_SECRET' ELSE 'PATH' END END AS target
 FROM {{events}} e
 """)
+
+
+# ---------------------------------------------------------------- lockfile documents
+
+# lockfile_json: package-lock documents, one per (project, snapshot, chunk of
+# eight by lock key); chunk 3 and 7 use the v1 "dependencies" layout, the
+# others the v2/v3 "packages" layout with a root entry and nested entries.
+fixture("lockfile_json", ["lock_packages"], """
+SELECT project_id, snapshot, chunk,
+  CASE WHEN chunk % 4 = 3 THEN
+    '{"lockfileVersion":1,"dependencies":{' || string_agg('"' || name || '":{"version":"' || version
+      || '","resolved":"' || resolved || '"'
+      || CASE WHEN integrity IS NOT NULL THEN ',"integrity":"' || integrity || '"' ELSE '' END
+      || CASE WHEN dev THEN ',"dev":true' ELSE '' END || '}', ',') || '}}'
+  ELSE
+    '{"lockfileVersion":3,"packages":{"":{"name":"' || project_id || '","version":"1.0.0"},'
+      || string_agg('"node_modules/' || name || '":{"version":"' || version || '","resolved":"' || resolved || '"'
+      || CASE WHEN integrity IS NOT NULL THEN ',"integrity":"' || integrity || '"' ELSE '' END
+      || CASE WHEN dev THEN ',"dev":true' ELSE '' END
+      || CASE WHEN optional THEN ',"optional":true' ELSE '' END
+      || CASE WHEN has_install_script THEN ',"hasInstallScript":true' ELSE '' END
+      || ',"license":"' || license || '"}'
+      || CASE WHEN lock_key % 9 = 0 THEN ',"node_modules/' || name || '/node_modules/inner-dep":{"version":"0.0.1"}'
+         ELSE '' END, ',') || '}}'
+  END AS content
+FROM (SELECT *, lock_key % 8 AS chunk FROM {{lock_packages}}) p
+GROUP BY project_id, snapshot, chunk
+""")
+
+# attestations: provenance bundles for every fourth package of the new lock,
+# with missing parts on some
+fixture("attestations", ["lock_packages"], """
+SELECT project_id, name,
+  '{' || CASE WHEN lock_key % 3 = 0 THEN '' ELSE '"predicateType":"https://slsa.dev/provenance/v0.2",' END
+  || '"predicate":{"buildType":"https://github.com/actions/workflow@v' || CAST(lock_key % 3 AS STRING) || '"'
+  || CASE WHEN lock_key % 5 = 0 THEN '' ELSE ',"builder":{"id":"https://github.com/actions/runner"}' END
+  || CASE WHEN lock_key % 7 = 0 THEN ''
+          WHEN lock_key % 2 = 0 THEN ',"materials":[{"uri":"git+https://github.com/acme/' || name || '","digest":{"sha1":"'
+                                      || substr(md5(name), 1, 20) || '"}}]'
+          ELSE ',"materials":[{"uri":"git+https://github.com/acme/' || name || '","digest":{"sha256":"' || md5(name) || '"}}]'
+     END
+  || CASE WHEN lock_key % 11 = 0 THEN '' ELSE ',"invocation":{"configSource":{"entryPoint":".github/workflows/release.yml"}}' END
+  || '}}' AS bundle
+FROM {{lock_packages}} WHERE snapshot = 'new' AND lock_key % 4 = 0
+""")
+
+# project_manifest: the project's direct dependencies (every third lock
+# package); dev entries go to devDependencies, every ninth is in both.
+fixture("project_manifest", ["lock_packages"], """
+SELECT project_id, name, 'dependencies' AS section, '^' || version AS spec
+FROM {{lock_packages}} WHERE snapshot = 'new' AND lock_key % 3 = 0 AND (NOT dev OR lock_key % 9 = 0)
+UNION ALL
+SELECT project_id, name, 'devDependencies' AS section, '~' || version AS spec
+FROM {{lock_packages}} WHERE snapshot = 'new' AND lock_key % 3 = 0 AND (dev OR lock_key % 9 = 0)
+""")
