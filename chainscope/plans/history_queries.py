@@ -215,3 +215,11 @@ SELECT project_id, date_trunc('day', ts) AS window_start, CAST(count(*) AS BIGIN
 FROM observations GROUP BY project_id, date_trunc('day', ts)"""))
 def q_posture_windows(ws):
     return H.posture_windows(obs(ws))
+
+
+@query("monitor_stream", lambda: with_fixtures(HIST, o_history(), f"SELECT {EV} FROM ev"))
+def q_monitor_stream(ws):
+    """M2: the monitor as a Structured Streaming job over landed
+    observation files; its events must equal the batch monitor's."""
+    from chainscope.streaming.monitor import monitor_stream
+    return monitor_stream(ws.spark, obs(ws), ws.table("manifest"))
