@@ -3,7 +3,7 @@ CWE matrix, coverage score, gaps -- each joinable to scan findings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainscope.catalog.scan_rules import CRITICAL_CWES, CWE_NAMES, OWASP_NAMES, SCAN_RULES
@@ -64,6 +64,14 @@ def coverage_score(cov: DataFrame) -> DataFrame:
                         .when(F.col("overall_score") >= 40, "Basic").otherwise("Weak"))
 
 
+def with_score(cov: DataFrame) -> DataFrame:
+    """Coverage rows with the catalogue score as a column (window over the
+    fixed 11-row category table)."""
+    pts = F.create_map(*[x for k, v in LEVEL_POINTS.items() for x in (F.lit(k), F.lit(v))])
+    avg = F.avg(F.when(F.col("owasp") != "EXTRA", pts[F.col("coverage_level")])).over(Window.partitionBy())
+    return cov.withColumn("overall_score", F.floor(avg + 0.5).cast("bigint"))
+
+
 def gaps(spark: SparkSession, cov: DataFrame) -> DataFrame:
     """gap sentences per category, then uncovered critical CWEs."""
     c = cov.where(F.col("owasp") != "EXTRA")

@@ -89,12 +89,14 @@ SELECT overall_score, CASE WHEN overall_score >= 80 THEN 'Strong' WHEN overall_s
        CAST((SELECT count(*) FROM findings) AS BIGINT) AS total_findings
 FROM sc"""))
 def q_coverage_score(ws):
-    one = F.lit(1).alias("_k")
-    f = findings(ws).agg(F.count("*").cast("bigint").alias("total_findings")).select("*", one)
+    # three one-row results combined by union + aggregate (no join)
+    s = C.coverage_score(C.coverage(ws.spark))
     r = C.rules_table(ws.spark).agg(F.count("*").cast("bigint").alias("total_rules"),
-                                    F.countDistinct("cwe").cast("bigint").alias("total_cwes")).select("*", one)
-    s = C.coverage_score(C.coverage(ws.spark)).select("*", one)
-    return s.join(r, "_k").join(f, "_k").drop("_k")
+                                    F.countDistinct("cwe").cast("bigint").alias("total_cwes"))
+    f = findings(ws).agg(F.count("*").cast("bigint").alias("total_findings"))
+    u = s.unionByName(r, allowMissingColumns=True).unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.max(c).alias(c) for c in ["overall_score", "overall_level", "total_rules", "total_cwes",
+                                               "total_findings"]])
 
 
 def _o_gaps():
@@ -137,14 +139,15 @@ def q_owasp_report(ws):
     f = findings(ws)
     summ = report.scan_summary(f, collected(ws)).select("project_id", "risk_score")
     cov = C.coverage(ws.spark)
-    score = C.coverage_score(cov).select("overall_score")
     pc = f.groupBy("project_id", "owasp").agg(F.count("*").cast("bigint").alias("findings"))
     # every project gets the 11 category codes from a literal array (a
     # generator, not a join); catalogue columns come by equi-join
     cats = F.array(*[F.lit(c) for c in OWASP_NAMES])
-    grid = (summ.select("project_id", "risk_score", F.explode(cats).alias("owasp"), F.lit(1).alias("_k"))
-            .join(F.broadcast(cov.select("owasp", "name", "coverage_level", "rule_count")), "owasp")
-            .join(F.broadcast(score.select("overall_score", F.lit(1).alias("_k"))), "_k"))
+    # the catalogue score is a column of the 11-row coverage table, so the
+    # grid needs only key joins
+    cov_s = C.with_score(cov)
+    grid = (summ.select("project_id", "risk_score", F.explode(cats).alias("owasp"))
+            .join(F.broadcast(cov_s.select("owasp", "name", "coverage_level", "rule_count", "overall_score")), "owasp"))
     return (grid.join(pc, ["project_id", "owasp"], "left").fillna(0, ["findings"])
             .select("project_id", "owasp", "name", "coverage_level", "rule_count", "findings", "risk_score",
                     "overall_score"))
