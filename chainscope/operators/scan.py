@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainscope.catalog import prefilters
 from chainscope.catalog.behavior_rules import BEHAVIOR_RULES, SEVERITY_WEIGHT
 from chainscope.catalog.scan_rules import CONFIDENCE_ORDER, OWASP_NAMES, SCAN_RULES, SEVERITY_ORDER
 from chainscope.functions import js
@@ -50,7 +51,7 @@ def source_rules(severity_threshold: str = "low", confidence_threshold: str = "l
             continue
         out.append(dict(rule_idx=idx, rule_id=rid, owasp=owasp, owasp_name=OWASP_NAMES[owasp], cwe=cwe,
                         severity=sev, confidence=conf, message=msg, flags=flags, pattern=pat,
-                        java=to_java(pat, flags), re2=to_re2(pat, flags)))
+                        java=to_java(pat, flags), re2=to_re2(pat, flags), prefilter=prefilters.SOURCE.get(rid)))
     return out
 
 
@@ -61,7 +62,7 @@ def behavior_rules(re2_only: bool = False) -> list[dict]:
             continue
         out.append(dict(rule_idx=idx, rule=rule, severity=sev, category=cat, message=msg,
                         weight=SEVERITY_WEIGHT[sev], flags="g", pattern=pat,
-                        java=to_java(pat, "g"), re2=to_re2(pat, "g")))
+                        java=to_java(pat, "g"), re2=to_re2(pat, "g"), prefilter=prefilters.BEHAVIOR.get(rule)))
     return out
 
 
@@ -120,17 +121,20 @@ def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols
     spark = files.sparkSession
     files = spread(files, [k for k in keep if k in files.columns])
     c = F.col(content_col)
+    files = files.select(*keep, c.alias("_content"), F.lower(c).alias("_lc"))
+    c, lc = F.col("_content"), F.col("_lc")
     per_rule = [
         F.struct(F.lit(r["rule_idx"]).alias("k"),
-                 F.regexp_extract_all(c, F.lit(r["java"]), F.lit(0)).alias("ms"))
+                 F.when(prefilter(lc, r.get("prefilter")),
+                        F.regexp_extract_all(c, F.lit(r["java"]), F.lit(0))).alias("ms"))
         for r in rules
     ]
     # explode_outer + a null filter on the generated column: an inner
     # explode (or a size filter) lets Catalyst infer a filter on the array
     # and push it below the projection -- evaluating every regex twice.
     hits = (
-        files.select(*keep, c.alias("_content"),
-                     F.filter(F.array(*per_rule), lambda h: F.size(h["ms"]) > 0).alias("_hits"))
+        files.select(*keep, "_content",
+                     F.filter(F.array(*per_rule), lambda h: F.coalesce(F.size(h["ms"]) > 0, F.lit(False))).alias("_hits"))
         .select(*keep, "_content", F.explode_outer("_hits").alias("_h"))
         .where(F.col("_h").isNotNull())
         .select(*keep, "_content", F.col("_h.k").alias("rule_idx"), F.col("_h.ms").alias("_ms"))
@@ -156,6 +160,21 @@ def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols
     )
 
 
+def prefilter(lc: Column, groups) -> Column:
+    """Cheap necessary condition of a rule on the lower-cased text: every
+    group has a literal that occurs (``catalog.prefilters``)."""
+    if not groups:
+        return F.lit(True)
+    cond = None
+    for alts in groups:
+        g = None
+        for a in alts:
+            x = lc.contains(a)
+            g = x if g is None else (g | x)
+        cond = g if cond is None else (cond & g)
+    return cond
+
+
 def spread(files: DataFrame, keys: list[str]) -> DataFrame:
     """Give a CPU-heavy scan at least one partition per core.
 

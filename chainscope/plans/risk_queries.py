@@ -19,7 +19,8 @@ BF_OUT = ["project_id", "package", "version", "rule", "severity", "category", "f
 # ------------------------------------------------------------------ Spark side
 
 def package_files(ws):
-    return S.collect_package_files(ws.table("src_files"))
+    return ws.memo("package_files", lambda: scan.spread(S.collect_package_files(ws.table("src_files")),
+                                                        PKG + ["path"]))
 
 
 def behavior_findings(ws, dedup=True):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chainscope.functions.regex import sql_str
@@ -21,7 +22,9 @@ def src_files(ws):
 
 
 def collected(ws):
-    return S.collect_files(src_files(ws))
+    """Listed files, spread over the cores once: the scan and the file
+    counts read the same exchange."""
+    return ws.memo("collected", lambda: scan.spread(S.collect_files(src_files(ws)), ["project_id", "path"]))
 
 
 def findings(ws, rules=None, dedup=True):
@@ -223,18 +226,19 @@ def project_scan(ws, rules):
     """P10 flagship: files -> scan -> dedup -> per project and severity,
     with the project's risk score.
 
-    The findings are reduced once to (project, severity, file) counts; both
-    the per-severity rows and the project totals read that one exchange,
-    so the regex stage runs once.
+    One aggregate of the findings per (project, severity); the project
+    score is a window over those few rows, so the regex stage runs once.
     """
     files = collected(ws)
     f = scan.scan_source(files, rules, keep=("project_id", "path"))
-    per_file = f.groupBy("project_id", "severity", "file").agg(F.count("*").alias("n"))
-    per = per_file.groupBy("project_id", "severity").agg(F.sum("n").cast("bigint").alias("findings"),
-                                                         F.count("*").cast("bigint").alias("files"))
-    sev = {s: F.sum(F.when(F.col("severity") == s, F.col("findings")).otherwise(0)) for s in report.SEVERITIES}
-    risk = per.groupBy("project_id").agg(
-        report.source_risk(sev["critical"], sev["high"], sev["medium"], sev["low"]).alias("risk_score"))
+    per = f.groupBy("project_id", "severity").agg(F.count("*").cast("bigint").alias("findings"),
+                                                  F.countDistinct("file").cast("bigint").alias("files"))
+    # the project's severity counts come from its (at most five) rows by a
+    # window: the findings have a single consumer, so the scan runs once
+    w = Window.partitionBy("project_id")
+    sev = {s: F.sum(F.when(F.col("severity") == s, F.col("findings")).otherwise(0)).over(w)
+           for s in report.SEVERITIES}
+    per = per.withColumn("risk_score", report.source_risk(sev["critical"], sev["high"], sev["medium"], sev["low"]))
     nfiles = files.groupBy("project_id").agg(F.count("*").cast("bigint").alias("total_files"))
-    return (per.join(risk, "project_id").join(nfiles, "project_id")
+    return (per.join(nfiles, "project_id")
             .select("project_id", "severity", "findings", "files", "total_files", "risk_score"))

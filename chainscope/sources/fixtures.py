@@ -142,6 +142,13 @@ class Workspace:
             self._frames[name] = df
         return self._frames[name]
 
+    def memo(self, key: str, build) -> DataFrame:
+        """A derived frame built once per workspace, so plans that use it
+        twice share one subtree (and Spark can reuse its exchange)."""
+        if key not in self._frames:
+            self._frames[key] = build()
+        return self._frames[key]
+
     def sql(self, sql: str) -> DataFrame:
         names = set(re.findall(r"\{\{(\w+)\}\}", sql))
         return self.spark.sql(render(sql, {n: self.view(n) for n in names}))

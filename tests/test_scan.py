@@ -76,3 +76,16 @@ def test_unicode_word_boundary(spark):
     df = spark.createDataFrame([("p", "a.js", "éeval(x)")], "project_id string, path string, content string")
     got = scan.scan_behavior(df.withColumn("package", F.lit("x")).withColumn("version", F.lit("1")))
     assert [r.rule for r in got.collect()] == ["no-eval"]
+
+
+def test_prefilters_are_necessary(texts):
+    """Every match found in the snippet pool contains a literal of every
+    prefilter group of its rule (lower-cased)."""
+    from chainscope.operators import scan as S
+    for r in S.source_rules() + S.behavior_rules():
+        flags = re.I if "i" in r.get("flags", "") else 0
+        for _, t in texts:
+            for m in re.finditer(r["pattern"], t, flags):
+                low = m.group(0).lower()
+                for group in r["prefilter"] or []:
+                    assert any(a in low for a in group), (r.get("rule_id") or r.get("rule"), m.group(0), group)
