@@ -273,6 +273,23 @@ def access_check(requests: DataFrame, perms: DataFrame) -> DataFrame:
             .withColumn("details", details))
 
 
+def manifest_coverage(installed: DataFrame, perms: DataFrame) -> DataFrame:
+    """Each installed package covered by the manifest or not, with the
+    restrictions of its entry (net/fs blocked or counts, native, exec)."""
+    p = perms.select("project_id", "name", F.lit(True).alias("covered"), "net_blocked",
+                     F.size(_list(F.col("net"))).alias("_n"), "fs_blocked", F.size(_list(F.col("fs"))).alias("_f"),
+                     "native", "exec")
+    j = installed.select("project_id", "name").distinct().join(p, ["project_id", "name"], "left")
+    r = F.concat_ws(", ",
+                    F.when(F.col("net_blocked"), F.lit("net:blocked")).otherwise(
+                        F.concat(F.lit("net:"), F.col("_n").cast("string"), F.lit(" rules"))),
+                    F.when(F.col("fs_blocked"), F.lit("fs:blocked")).otherwise(
+                        F.concat(F.lit("fs:"), F.col("_f").cast("string"), F.lit(" paths"))),
+                    F.when(F.col("native"), F.lit("native:yes")), F.when(F.col("exec"), F.lit("exec:yes")))
+    return j.select("project_id", "name", F.coalesce(F.col("covered"), F.lit(False)).alias("covered"),
+                    F.when(F.col("covered"), r).alias("restrictions"))
+
+
 def manifest_generate(cat_counts: DataFrame, keys=("project_id", "package")) -> DataFrame:
     """A default-deny permission entry per package from the behaviour
     categories it uses (net/fs: [] when used else false; exec: false when

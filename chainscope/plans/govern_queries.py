@@ -382,3 +382,17 @@ SELECT project_id, framework, CAST(count(*) AS BIGINT) AS total, CAST(count_if(s
 FROM ctrl GROUP BY project_id, framework"""))
 def q_compliance_summary(ws):
     return G.compliance_summary(G.compliance_controls(facts(ws)))
+
+
+@query("manifest_coverage", lambda: with_fixtures(["observations", "permissions"], [], """
+SELECT i.project_id, i.name, p.name IS NOT NULL AS covered,
+       CASE WHEN p.name IS NOT NULL THEN concat_ws(', ',
+         CASE WHEN p.net_blocked THEN 'net:blocked'
+              ELSE 'net:' || CAST(CASE WHEN p.net = '' THEN 0 ELSE len(string_split(p.net, ',')) END AS VARCHAR) || ' rules' END,
+         CASE WHEN p.fs_blocked THEN 'fs:blocked'
+              ELSE 'fs:' || CAST(CASE WHEN p.fs = '' THEN 0 ELSE len(string_split(p.fs, ',')) END AS VARCHAR) || ' paths' END,
+         CASE WHEN p.native THEN 'native:yes' END, CASE WHEN p.exec THEN 'exec:yes' END) END AS restrictions
+FROM (SELECT DISTINCT project_id, name FROM observations) i
+LEFT JOIN permissions p ON p.project_id = i.project_id AND p.name = i.name"""))
+def q_manifest_coverage(ws):
+    return G.manifest_coverage(ws.table("observations"), ws.table("permissions"))

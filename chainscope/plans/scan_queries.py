@@ -242,3 +242,26 @@ def project_scan(ws, rules):
     nfiles = files.groupBy("project_id").agg(F.count("*").cast("bigint").alias("total_files"))
     return (per.join(nfiles, "project_id")
             .select("project_id", "severity", "findings", "files", "total_files", "risk_score"))
+
+
+def _o_ignore_files():
+    pats = (f"list_filter(list_transform(list(line), lambda l: {Q.js_trim('l')}), "
+            f"lambda p: p <> '' AND NOT starts_with(p, '#'))")
+    match = ("(NOT contains(p, '*') AND NOT contains(p, '.') AND list_contains(string_split(f.path, '/'), p)) "
+             "OR (starts_with(p, '*.') AND instr(f.path || '/', substr(p, 2) || '/') > 0) "
+             "OR instr(f.path || '/', p || '/') > 0")
+    ctes = o_collect_files_cte()
+    ctes = [(n, s.replace("FROM files_all", "FROM files_ig")) if n == "files" else (n, s) for n, s in ctes]
+    return ctes[:1] + [
+        ("ign", f"SELECT project_id, {pats} AS pats FROM ignore_files GROUP BY project_id"),
+        ("files_ig", f"""
+SELECT f.* FROM files_all f LEFT JOIN ign USING (project_id)
+WHERE NOT coalesce(list_bool_or(list_transform(ign.pats, lambda p: {match})), FALSE)"""),
+    ] + ctes[1:]
+
+
+@query("ignore_file_filter", lambda: with_fixtures(["src_files", "ignore_files"], _o_ignore_files(),
+                                                   "SELECT project_id, path FROM files"))
+def q_ignore_file_filter(ws):
+    """Listing with each project's ignore file on top of the defaults."""
+    return S.collect_files(src_files(ws), ignore_files=ws.table("ignore_files")).select("project_id", "path")

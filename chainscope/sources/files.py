@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainscope.functions import js
 from chainscope.functions.sizing import join_small
 
 # FIXED VALUES — listing defaults of the source scan
@@ -75,6 +76,25 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def ignored_by(path: Column, patterns: Column) -> Column:
+    """``ignored`` for a per-row array of patterns (a project's ignore file)."""
+    slashed = F.concat(path, F.lit("/"))
+    segs = F.split(path, "/")
+    return F.coalesce(F.exists(patterns, lambda p: (
+        (~p.contains("*") & ~p.contains(".") & F.array_contains(segs, p))
+        | (p.startswith("*.") & (F.instr(slashed, F.concat(F.substring(p, 2, 1 << 20), F.lit("/"))) > 0))
+        | (F.instr(slashed, F.concat(p, F.lit("/"))) > 0))), F.lit(False))
+
+
+def ignore_patterns(lines: DataFrame, project_col: str = "project_id", line_col: str = "line") -> DataFrame:
+    """S2 loader: ignore-file lines per project -> (project, patterns);
+    lines are trimmed, blanks and '#' comments dropped.  An ignore file is
+    a small config file, so its patterns are one short array per project."""
+    t = js.js_trim(F.col(line_col))
+    return (lines.select(project_col, t.alias("_p")).where((F.col("_p") != "") & ~F.col("_p").startswith("#"))
+            .groupBy(project_col).agg(F.array_sort(F.collect_set("_p")).alias("_patterns")))
+
+
 def in_dirs(path: Column, dirs: list[str]) -> Column:
     """Some folder (not the file name) of the path is one of ``dirs``."""
     segs = F.split(path, "/")
@@ -93,9 +113,14 @@ def cap_per_project(files: DataFrame, max_files: int | None, project_col: str =
     """
     if max_files is None:
         return files
+    # phase 1: first max_files paths per (project, input partition) -- a hot
+    # project is spread over all partitions; phase 2 ranks at most
+    # max_files rows per partition per project
+    ids = files.select(project_col, path_col).withColumn("_pid", F.spark_partition_id())
+    local = (ids.withColumn("_r", F.row_number().over(Window.partitionBy(project_col, "_pid").orderBy(path_col)))
+             .where(F.col("_r") <= max_files))
     w = Window.partitionBy(project_col).orderBy(path_col)
-    cut = (files.select(project_col, path_col)
-           .withColumn("_rn", F.row_number().over(w))
+    cut = (local.withColumn("_rn", F.row_number().over(w))
            .where(F.col("_rn") == max_files)
            .select(project_col, F.col(path_col).alias("_cutoff")))
     joined = join_small(files, cut, [project_col], "left")
@@ -103,16 +128,28 @@ def cap_per_project(files: DataFrame, max_files: int | None, project_col: str =
 
 
 def collect_files(files: DataFrame, extensions=None, ignore=None, include_tests: bool = False,
-                  max_files: int | None = DEFAULT_MAX_FILES, path_col: str = "path") -> DataFrame:
-    """Files of each project the source scan reads."""
+                  max_files: int | None = DEFAULT_MAX_FILES, path_col: str = "path",
+                  ignore_files: DataFrame | None = None) -> DataFrame:
+    """Files of each project the source scan reads.
+
+    ``ignore`` adds patterns for every project; ``ignore_files`` is a table
+    (project_id, line) of per-project ignore files, joined by a
+    size-checked broadcast of one pattern array per project.
+    """
     extensions = DEFAULT_EXTENSIONS if extensions is None else extensions
     patterns = DEFAULT_IGNORE + list(ignore or [])
     p = F.col(path_col)
     keep = extname(p).isin(extensions) & ~ignored(p, patterns)
+    if ignore_files is not None:
+        files = join_small(files, ignore_patterns(ignore_files), ["project_id"], "left")
+        keep = keep & ~ignored_by(p, F.coalesce(F.col("_patterns"), F.array().cast("array<string>")))
     if not include_tests:
         base = F.element_at(F.split(p, "/"), -1)
         keep = keep & ~in_dirs(p, TEST_DIRS) & ~base.rlike(TEST_FILE_RE)
-    return cap_per_project(files.where(keep), max_files, path_col=path_col)
+    kept = files.where(keep)
+    if ignore_files is not None:
+        kept = kept.drop("_patterns")
+    return cap_per_project(kept, max_files, path_col=path_col)
 
 
 def collect_package_files(files: DataFrame, path_col: str = "path") -> DataFrame:

@@ -428,3 +428,14 @@ UNION ALL
 SELECT project_id, name, 'devDependencies' AS section, '~' || version AS spec
 FROM {{lock_packages}} WHERE snapshot = 'new' AND lock_key % 3 = 0 AND (dev OR lock_key % 9 = 0)
 """)
+
+
+# ignore_files: the ignore-file lines of every project (with a comment
+# and a blank line on some), chosen by the project's number
+fixture("ignore_files", ["documents"], f"""
+SELECT DISTINCT d.source AS project_id, p.line
+FROM {{{{documents}}}} d
+JOIN {values(["k", "line"], [(0, "routes"), (0, "*.mjs"), (1, "lib"), (1, "# generated code"), (2, "app/api"),
+                              (2, "  "), (2, " src/1 ")], "p")}
+  ON p.k = CAST(substr(d.source, 4) AS INT) % 3
+""")

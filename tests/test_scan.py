@@ -89,3 +89,21 @@ def test_prefilters_are_necessary(texts):
                 low = m.group(0).lower()
                 for group in r["prefilter"] or []:
                     assert any(a in low for a in group), (r.get("rule_id") or r.get("rule"), m.group(0), group)
+
+
+def test_file_cap_keeps_first_paths_per_project(spark):
+    from chainscope.sources import files as S
+    from chainscope.sources.fixtures import Workspace
+    from tests.conftest import SF_SMALL
+    src = Workspace.of(spark, SF_SMALL).table("src_files").repartition(7)
+    allowed = S.collect_files(src, max_files=None).select("project_id", "path").collect()
+    capped = S.collect_files(src, max_files=3).select("project_id", "path").collect()
+    want = {}
+    for p, path in sorted((r.project_id, r.path) for r in allowed):
+        want.setdefault(p, [])
+        if len(want[p]) < 3:
+            want[p].append(path)
+    got = {}
+    for r in capped:
+        got.setdefault(r.project_id, []).append(r.path)
+    assert {k: sorted(v) for k, v in got.items()} == want
