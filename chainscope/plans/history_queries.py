@@ -223,3 +223,13 @@ def q_monitor_stream(ws):
     observation files; its events must equal the batch monitor's."""
     from chainscope.streaming.monitor import monitor_stream
     return monitor_stream(ws.spark, obs(ws), ws.table("manifest"))
+
+
+@query("posture_windows_stream", lambda: with_fixtures(["observations"], [], f"""
+SELECT project_id, date_trunc('day', ts) AS window_start, CAST(count(*) AS BIGINT) AS observations,
+       max(score) AS max_risk, CAST(count_if(score >= {H.RISK_THRESHOLD}) AS BIGINT) AS high_risk
+FROM observations GROUP BY project_id, date_trunc('day', ts)"""))
+def q_posture_windows_stream(ws):
+    """M3 on Structured Streaming: the same windows, emitted per complete day."""
+    from chainscope.streaming.monitor import posture_stream
+    return posture_stream(ws.spark, obs(ws))

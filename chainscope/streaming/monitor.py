@@ -20,6 +20,7 @@ from chainscope.operators import history as H
 from chainscope.session import shared_dir
 
 OBS_SCHEMA = "project_id string, name string, ts timestamp_ntz, day date, version string, score double"
+COLS = [c.split()[0] for c in OBS_SCHEMA.split(", ")]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -34,46 +35,33 @@ def last_checks(obs: DataFrame) -> DataFrame:
     return obs.withColumn("_last", F.max("day").over(w)).where(F.col("day") == F.col("_last")).drop("_last")
 
 
-COLS = [c.split()[0] for c in OBS_SCHEMA.split(", ")]
-
-
-def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame, work_dir: str,
-                       files_per_trigger: int = 1, watermark: str = "1 day") -> str:
-    """Run the monitor stream over ``source_dir`` until it is drained
-    (``availableNow``); returns the folder holding the emitted events.
+def run_complete_checks(spark: SparkSession, source_dir: str, work_dir: str, on_complete,
+                        files_per_trigger: int = 1, watermark: str = "1 day") -> None:
+    """Stream observations and call ``on_complete(rows, batch_id)`` with the
+    rows of every check that is complete.
 
     A check (project, day) is complete once a later day has been seen;
-    rows of incomplete days wait in a pending table, so micro-batches may
-    cut a day anywhere.  Draining the source ends the input, and the
-    pending days are flushed then.
+    rows of incomplete days wait in a pending table in ``work_dir``, so
+    micro-batches may cut a day anywhere.  Draining the source
+    (``availableNow``) ends the input, and the pending days are flushed.
     """
-    events_dir, state_dir, ckpt = f"{work_dir}/events", f"{work_dir}/state", f"{work_dir}/checkpoint"
+    state_dir, ckpt = f"{work_dir}/state", f"{work_dir}/checkpoint"
 
-    def latest(kind: str, before: int) -> DataFrame | None:
-        for b in range(before - 1, -1, -1):
-            if _exists(spark, f"{state_dir}/{kind}/{b}/_SUCCESS"):
-                return spark.read.schema(OBS_SCHEMA).parquet(f"{state_dir}/{kind}/{b}")
+    def pending_before(batch_id: int) -> DataFrame | None:
+        for b in range(batch_id - 1, -1, -1):
+            if _exists(spark, f"{state_dir}/pending/{b}/_SUCCESS"):
+                return spark.read.schema(OBS_SCHEMA).parquet(f"{state_dir}/pending/{b}")
         return None
 
-    def emit(complete: DataFrame, batch_id: int) -> None:
-        """Events of the complete checks in ``complete`` given the stored
-        last checks; store the new last checks."""
-        prev = latest("last", batch_id)
-        combined = complete if prev is None else prev.unionByName(complete)
-        new_checks = complete.select("project_id", F.col("day").alias("check_day")).distinct()
-        ev = H.monitor_check(combined, manifest).join(F.broadcast(new_checks), ["project_id", "check_day"])
-        ev.write.mode("overwrite").parquet(f"{events_dir}/batch={batch_id}")
-        last_checks(combined).write.mode("overwrite").parquet(f"{state_dir}/last/{batch_id}")
-
     def process(batch: DataFrame, batch_id: int) -> None:
-        pending = latest("pending", batch_id)
+        pending = pending_before(batch_id)
         rows = batch.select(*COLS) if pending is None else pending.unionByName(batch.select(*COLS))
         newest = rows.agg(F.max("day")).first()[0]
         if newest is None:
             return
         complete = rows.where(F.col("day") < F.lit(newest))
         if not complete.isEmpty():
-            emit(complete, batch_id)
+            on_complete(complete, batch_id)
         rows.where(F.col("day") >= F.lit(newest)).write.mode("overwrite").parquet(f"{state_dir}/pending/{batch_id}")
 
     # watermarks need a zoned timestamp; the observation time is local
@@ -87,12 +75,47 @@ def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame
          .trigger(availableNow=True).start())
     q.awaitTermination()
     last_id = q.lastProgress["batchId"] + 1 if q.lastProgress else 0
-    pending = latest("pending", last_id)
+    pending = pending_before(last_id)
     if pending is not None and not pending.isEmpty():
-        emit(pending, last_id)  # end of input: every pending day is complete
+        on_complete(pending, last_id)  # end of input: every pending day is complete
+
+
+def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame, work_dir: str,
+                       files_per_trigger: int = 1, watermark: str = "1 day") -> str:
+    """The monitor over complete checks; returns the events folder.  The
+    last check of every project is kept as a table per batch id."""
+    events_dir, last_dir = f"{work_dir}/events", f"{work_dir}/state/last"
+
+    def last_before(batch_id: int) -> DataFrame | None:
+        for b in range(batch_id - 1, -1, -1):
+            if _exists(spark, f"{last_dir}/{b}/_SUCCESS"):
+                return spark.read.schema(OBS_SCHEMA).parquet(f"{last_dir}/{b}")
+        return None
+
+    def emit(complete: DataFrame, batch_id: int) -> None:
+        prev = last_before(batch_id)
+        combined = complete if prev is None else prev.unionByName(complete)
+        new_checks = complete.select("project_id", F.col("day").alias("check_day")).distinct()
+        ev = H.monitor_check(combined, manifest).join(F.broadcast(new_checks), ["project_id", "check_day"])
+        ev.write.mode("overwrite").parquet(f"{events_dir}/batch={batch_id}")
+        last_checks(combined).write.mode("overwrite").parquet(f"{last_dir}/{batch_id}")
+
+    run_complete_checks(spark, source_dir, work_dir, emit, files_per_trigger, watermark)
     return events_dir
 
 
+def run_posture_stream(spark: SparkSession, source_dir: str, work_dir: str, files_per_trigger: int = 1) -> str:
+    """M3 on a stream: daily posture windows, emitted once their day is
+    complete (append-only output, no state beyond the pending rows)."""
+    out = f"{work_dir}/windows"
+
+    def emit(complete: DataFrame, batch_id: int) -> None:
+        H.posture_windows(complete).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_complete_checks(spark, source_dir, work_dir, emit, files_per_trigger)
+    return out
+
+
 def replay_source(obs: DataFrame, target: str, periods: int = 6) -> None:
     """Land observations as an ordered sequence of appends (one per period
     of days), the way a producer exports them; each append is written by
@@ -107,6 +130,15 @@ def replay_source(obs: DataFrame, target: str, periods: int = 6) -> None:
     tagged.where(F.col("_period") >= periods).drop("_period").write.mode("append").parquet(target)
 
 
+def posture_stream(spark: SparkSession, obs: DataFrame) -> DataFrame:
+    """M3 end to end: land the observations, stream them, read the windows."""
+    work = shared_dir(spark, "posture-stream")
+    src = f"{work}/source"
+    replay_source(obs.select(*COLS), src)
+    out = run_posture_stream(spark, src, work)
+    return spark.read.parquet(out).select("project_id", "window_start", "observations", "max_risk", "high_risk")
+
+
 def monitor_stream(spark: SparkSession, obs: DataFrame, manifest: DataFrame) -> DataFrame:
     """M2 end to end: land the observations, stream them, read the events."""
     work = shared_dir(spark, "monitor-stream")
