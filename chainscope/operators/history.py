@@ -99,8 +99,21 @@ def drift_events(obs: DataFrame, manifest: DataFrame) -> DataFrame:
                F.concat(F.lit('Package "'), F.col("name"), F.lit('" is installed but has no manifest entry')))
 
 
-def monitor_check(obs: DataFrame, manifest: DataFrame | None = None, threshold: float = RISK_THRESHOLD) -> DataFrame:
-    """M1: every event of every check, batch form of the monitor."""
+def monitor_check(obs: DataFrame, manifest: DataFrame | None = None, threshold: float = RISK_THRESHOLD,
+                  initial: DataFrame | None = None) -> DataFrame:
+    """M1: every event of every check, batch form of the monitor.
+
+    ``initial`` is the state an init step recorded (rows of one earlier
+    check per project): its packages are known, so they are not reported
+    as added at the first check, and no events are emitted for it.
+    """
+    if initial is not None:
+        first = obs.groupBy("project_id").agg(F.min("day").alias("_first"))
+        init = (initial.join(first, "project_id").where(F.col("day") < F.col("_first")).drop("_first")
+                .select(*obs.columns))
+        ev = monitor_check(init.unionByName(obs), manifest, threshold)
+        checks_ = obs.select("project_id", F.col("day").alias("check_day")).distinct()
+        return ev.join(checks_, ["project_id", "check_day"], "left_semi")
     h = with_history(obs)
     ev = file_events(obs).unionByName(package_events(h)).unionByName(risk_events(h, threshold))
     if manifest is not None:
@@ -108,6 +121,13 @@ def monitor_check(obs: DataFrame, manifest: DataFrame | None = None, threshold:
     return ev
 
 
+def init_state(obs: DataFrame) -> DataFrame:
+    """S13 init: rows of the first check of every project (per-project
+    minimum by aggregation, joined back; no window over a whole project)."""
+    first = obs.groupBy("project_id").agg(F.min("day").alias("_first"))
+    return obs.join(first, "project_id").where(F.col("day") == F.col("_first")).drop("_first")
+
+
 def event_rank(ev: DataFrame) -> Column:
     order = js.rank_of(F.col("type"), EVENT_ORDER)
     return [F.col("check_day").desc(), order, F.col("package")]

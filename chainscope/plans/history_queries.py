@@ -233,3 +233,16 @@ def q_posture_windows_stream(ws):
     """M3 on Structured Streaming: the same windows, emitted per complete day."""
     from chainscope.streaming.monitor import posture_stream
     return posture_stream(ws.spark, obs(ws))
+
+
+@query("monitor_init_check", lambda: with_fixtures(HIST, o_history(), f"""
+SELECT {EV} FROM ev
+WHERE check_day > (SELECT min(o.day) FROM observations o WHERE o.project_id = ev.project_id)"""))
+def q_monitor_init_check(ws):
+    """Monitor initialised with each project's first check, then run
+    over the later checks."""
+    o = obs(ws)
+    init = H.init_state(o)
+    rest = o.join(init.select("project_id", F.col("day").alias("_d")).distinct(), "project_id") \
+        .where(F.col("day") > F.col("_d")).drop("_d")
+    return H.monitor_check(rest, ws.table("manifest"), initial=init).select(*H.EVENT_COLS)

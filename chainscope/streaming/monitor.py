@@ -81,19 +81,28 @@ def run_complete_checks(spark: SparkSession, source_dir: str, work_dir: str, on_
 
 
 def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame, work_dir: str,
-                       files_per_trigger: int = 1, watermark: str = "1 day") -> str:
+                       files_per_trigger: int = 1, watermark: str = "1 day",
+                       initial: DataFrame | None = None) -> str:
     """The monitor over complete checks; returns the events folder.  The
-    last check of every project is kept as a table per batch id."""
+    last check of every project is kept as a table per batch id; an init
+    step's state (``initial``) seeds it."""
     events_dir, last_dir = f"{work_dir}/events", f"{work_dir}/state/last"
+    if initial is not None:
+        initial.select(*COLS).write.mode("overwrite").parquet(f"{last_dir}/init")
 
     def last_before(batch_id: int) -> DataFrame | None:
         for b in range(batch_id - 1, -1, -1):
             if _exists(spark, f"{last_dir}/{b}/_SUCCESS"):
                 return spark.read.schema(OBS_SCHEMA).parquet(f"{last_dir}/{b}")
+        if _exists(spark, f"{last_dir}/init/_SUCCESS"):
+            return spark.read.schema(OBS_SCHEMA).parquet(f"{last_dir}/init")
         return None
 
     def emit(complete: DataFrame, batch_id: int) -> None:
         prev = last_before(batch_id)
+        if prev is not None:  # state of projects whose checks are all older
+            prev = prev.join(complete.groupBy("project_id").agg(F.min("day").alias("_f")), "project_id", "left") \
+                .where(F.col("_f").isNull() | (F.col("day") < F.col("_f"))).drop("_f")
         combined = complete if prev is None else prev.unionByName(complete)
         new_checks = complete.select("project_id", F.col("day").alias("check_day")).distinct()
         ev = H.monitor_check(combined, manifest).join(F.broadcast(new_checks), ["project_id", "check_day"])
@@ -139,10 +148,11 @@ def posture_stream(spark: SparkSession, obs: DataFrame) -> DataFrame:
     return spark.read.parquet(out).select("project_id", "window_start", "observations", "max_risk", "high_risk")
 
 
-def monitor_stream(spark: SparkSession, obs: DataFrame, manifest: DataFrame) -> DataFrame:
+def monitor_stream(spark: SparkSession, obs: DataFrame, manifest: DataFrame,
+                   initial: DataFrame | None = None) -> DataFrame:
     """M2 end to end: land the observations, stream them, read the events."""
     work = shared_dir(spark, "monitor-stream")
     src = f"{work}/source"
     replay_source(obs.select(*COLS), src)
-    events = run_monitor_stream(spark, src, manifest, work)
+    events = run_monitor_stream(spark, src, manifest, work, initial=initial)
     return spark.read.parquet(events).select(*H.EVENT_COLS)

@@ -19,3 +19,15 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["project_id", "severity", "findings", "files", "total_files", "risk_score"]
+
+
+def test_stream_with_init_equals_batch(spark):
+    from pyspark.sql import functions as F
+    ws = Workspace.of(spark, SF_SMALL)
+    obs, man = ws.table("observations"), ws.table("manifest")
+    init = H.init_state(obs)
+    rest = obs.join(init.select("project_id", F.col("day").alias("_d")).distinct(), "project_id") \
+        .where(F.col("day") > F.col("_d")).drop("_d")
+    batch = sorted(tuple(r) for r in H.monitor_check(rest, man, initial=init).select(*H.EVENT_COLS).collect())
+    stream = sorted(tuple(r) for r in monitor_stream(spark, rest, man, initial=init).collect())
+    assert stream == batch and len(batch) > 0
