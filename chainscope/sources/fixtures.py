@@ -274,10 +274,12 @@ SELECT p.project_id, p.name, p.version, p.lock_key, p.integrity,
 FROM {{{{lock_packages}}}} p WHERE p.snapshot = 'new'
 """)
 
-# license_docs: the LICENSE text of a package is a document (first 200 ids)
+# license_docs: the LICENSE text of a package is a document, spread over
+# the whole documents table by the package's lock key
 fixture("license_docs", ["package_meta", "documents"], """
 SELECT m.project_id, m.name, d.text
-FROM {{package_meta}} m JOIN {{documents}} d ON d.doc_id = m.lock_key % 200
+FROM {{package_meta}} m
+JOIN {{documents}} d ON d.doc_id = m.lock_key % (SELECT count(*) FROM {{documents}})
 """)
 
 
