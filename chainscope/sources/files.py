@@ -106,17 +106,22 @@ def cap_per_project(files: DataFrame, max_files: int | None, project_col: str =
                     path_col: str = "path") -> DataFrame:
     """First ``max_files`` files (path order) of each project.
 
-    Only (project, path) is ranked -- content stays where it is -- and the
-    window keeps a per-partition top-k before its shuffle, so a huge
-    project does not land whole in one task.  The result is one cutoff
-    path per over-cap project, joined back by a size-checked broadcast.
+    Files are counted per project first (a partial aggregation); only the
+    projects over the cap are ranked, and only on (project, path), so
+    content stays where it is.  The ranking is two-phase -- first
+    ``max_files`` per (project, input partition), then per project -- so a
+    huge project is spread over all partitions instead of one task.  The
+    result is one cutoff path per over-cap project, joined back by a
+    size-checked broadcast.
     """
     if max_files is None:
         return files
-    # phase 1: first max_files paths per (project, input partition) -- a hot
-    # project is spread over all partitions; phase 2 ranks at most
-    # max_files rows per partition per project
-    ids = files.select(project_col, path_col).withColumn("_pid", F.spark_partition_id())
+    over = (files.groupBy(project_col).agg(F.count("*").alias("_n"))
+            .where(F.col("_n") > max_files).select(project_col))
+    if over.isEmpty():
+        return files
+    ids = join_small(files.select(project_col, path_col), over, [project_col], "left_semi")
+    ids = ids.withColumn("_pid", F.spark_partition_id())
     local = (ids.withColumn("_r", F.row_number().over(Window.partitionBy(project_col, "_pid").orderBy(path_col)))
              .where(F.col("_r") <= max_files))
     w = Window.partitionBy(project_col).orderBy(path_col)
