@@ -168,7 +168,7 @@ SELECT p.p_partkey AS id,
          WHEN 2 THEN b.base || substr(b.base, length(b.base), 1)
          WHEN 3 THEN substr(b.base, 1, length(b.base) - 1)
          WHEN 4 THEN substr(b.base, 1, 2) || '-' || substr(b.base, 3)
-         WHEN 5 THEN '@tyeps/' || b.base || '-js'
+         WHEN 5 THEN '@tyeps/' || b.base || '-' || CAST(p.p_partkey AS STRING)
          WHEN 6 THEN 'x' || substr(b.base, 2)
          ELSE replace(p.p_name, ' ', '-')
        END AS name
@@ -177,20 +177,23 @@ JOIN {values(["k", "base"], list(enumerate(POPULAR_PACKAGES[:25])), "b")}
   ON b.k = CAST(floor(p.p_partkey / 8) AS BIGINT) % 25
 """)
 
-# Lock entries: one package per (priority as project, custkey % 400) per
-# snapshot (orders before 1998 = old).  The first ids get real names from
+# Lock entries: one package per (priority as project, customer key within
+# the package universe) per snapshot (orders before 1998 = old).  The first ids get real names from
 # the network / native lists so their delta flags fire.
 LOCK_NAMES = NETWORK_PACKAGES + NATIVE_PACKAGES + ["express", "lodash", "react", "left-pad", "@acme/core"]
 LICENSE_POOL = ["MIT", "mit", "Apache 2.0", "GPLv3", "AGPL-3.0", "(MIT OR GPL-3.0-only)", "(MIT AND ISC)",
                 "MPL 2.0", "Public Domain", "SSPL-1.0", "Custom", "", "BSD-3-Clause", "ISC"]
 
-fixture("lock_groups", ["orders"], """
+# the package universe grows with the customer table: a quarter of its size
+PKG_SPACE = "(SELECT CAST(floor(count(*) / 4) AS BIGINT) FROM {{customer}})"
+
+fixture("lock_groups", ["orders", "customer"], f"""
 SELECT o.o_orderpriority AS project_id,
        CASE WHEN CAST(o.o_orderdate AS DATE) < DATE '1998-01-01' THEN 'old' ELSE 'new' END AS snapshot,
-       o.o_custkey % 400 AS pkg_k, max(o.o_orderkey) AS k
-FROM {{orders}} o
+       o.o_custkey % {PKG_SPACE} AS pkg_k, max(o.o_orderkey) AS k
+FROM {{{{orders}}}} o
 GROUP BY o.o_orderpriority, CASE WHEN CAST(o.o_orderdate AS DATE) < DATE '1998-01-01' THEN 'old' ELSE 'new' END,
-         o.o_custkey % 400
+         o.o_custkey % {PKG_SPACE}
 """)
 
 fixture("lock_packages", ["lock_groups"], f"""
@@ -209,11 +212,11 @@ WHERE NOT (g.snapshot = 'old' AND g.k % 17 = 0) AND NOT (g.snapshot = 'new' AND
 
 # Dependency keys of each lock entry, from lineitem (order -> part), per
 # snapshot by ship date.
-fixture("lock_edges", ["lineitem"], f"""
+fixture("lock_edges", ["lineitem", "customer"], f"""
 SELECT DISTINCT e.snapshot, coalesce(a.name, 'pkg-' || CAST(e.pkg_k AS STRING)) AS name,
        coalesce(b.name, 'pkg-' || CAST(e.dep_k AS STRING)) AS dep
 FROM (SELECT CASE WHEN CAST(l.l_shipdate AS DATE) < DATE '1998-01-01' THEN 'old' ELSE 'new' END AS snapshot,
-             l.l_orderkey % 400 AS pkg_k, l.l_partkey % 400 AS dep_k
+             l.l_orderkey % {PKG_SPACE} AS pkg_k, l.l_partkey % {PKG_SPACE} AS dep_k
       FROM {{{{lineitem}}}} l) e
 LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "a")} ON a.k = e.pkg_k
 LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "b")} ON b.k = e.dep_k
