@@ -22,3 +22,19 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on, how)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    Input splits follow storage (a single-row-group parquet file is one
+    task), and a broadcast join keeps the partitioning of its streamed
+    side.  When there are fewer partitions than cores the rows are hashed
+    by their keys (near-unique row identity, so no hot partition) over the
+    cores; a large input already has more partitions and is left as it
+    is, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not keys or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * 4, *keys)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainscope.functions import js
+from chainscope.functions.sizing import spread
 
 # FIXED VALUES — license classes
 PERMISSIVE = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "0BSD", "Unlicense", "CC0-1.0",
@@ -88,8 +89,16 @@ def classify(license: Column) -> Column:
 
 
 def from_text(text: Column) -> Column:
-    """License id from license-file text, first phrase rule wins."""
-    up = F.upper(text)
+    """License id from license-file text, first phrase rule wins.
+
+    Callers with large texts should project ``upper(text)`` once and use
+    ``from_upper``: inside a CASE every evaluated branch would upper-case
+    the text again."""
+    return from_upper(F.upper(text))
+
+
+def from_upper(up: Column) -> Column:
+    """P16 on already upper-cased text."""
     out = None
     for spdx, groups in TEXT_RULES:
         cond = None
@@ -122,7 +131,8 @@ def detect(meta: DataFrame, texts: DataFrame | None, keys: list[str]) -> DataFra
     """License, SPDX id, class and source of each package."""
     d = meta.withColumn("_decl", F.coalesce(declared(F.col("meta")), F.lit("")))
     if texts is not None:
-        t = texts.select(*keys, from_text(F.col("text")).alias("_file"))
+        t = (spread(texts, keys).select(*keys, F.upper(F.col("text")).alias("_up"))
+             .select(*keys, from_upper(F.col("_up")).alias("_file")))
         d = d.join(t, keys, "left")
     else:
         d = d.withColumn("_file", F.lit(None).cast("string"))

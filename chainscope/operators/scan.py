@@ -25,6 +25,7 @@ from chainscope.catalog.behavior_rules import BEHAVIOR_RULES, SEVERITY_WEIGHT
 from chainscope.catalog.scan_rules import CONFIDENCE_ORDER, OWASP_NAMES, SCAN_RULES, SEVERITY_ORDER
 from chainscope.functions import js
 from chainscope.functions.regex import re2_compatible, to_java, to_re2
+from chainscope.functions.sizing import spread
 
 _POS = T.StructType([
     T.StructField("off", T.IntegerType()),
@@ -175,21 +176,6 @@ def prefilter(lc: Column, groups) -> Column:
     return cond
 
 
-def spread(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Give a CPU-heavy scan at least one partition per core.
-
-    Input splits follow storage (a single-row-group parquet file is one
-    task).  When there are fewer splits than cores the rows are hashed by
-    their keys (near-unique file identity, so no hot partition) over the
-    cores; a large input already has more splits and is left as it is, so
-    no shuffle is added at scale.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= cores or not keys:
-        return files
-    return files.repartition(cores * 4, *keys)
-
-
 SOURCE_FINDING_COLS = ["rule_idx", "rule_id", "owasp", "owasp_name", "cwe", "severity", "confidence", "message"]
 BEHAVIOR_FINDING_COLS = ["rule_idx", "rule", "severity", "category", "message", "weight"]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chainscope.functions.regex import sql_str
+from chainscope.functions.sizing import spread
 from chainscope.operators import fingerprint as P
 from chainscope.plans.registry import query, with_fixtures
 from chainscope.plans.scan_queries import o_ext, o_in_dirs
@@ -14,12 +15,14 @@ KEYS = ["project_id", "package"]
 
 
 def prof_files(ws):
-    return S.collect_profile_files(ws.table("src_files"))
+    return ws.memo("profile_files_src", lambda: spread(S.collect_profile_files(ws.table("src_files")),
+                                                       KEYS + ["path"]))
 
 
 def snap_files(ws, snap):
     pf = ws.table("profile_files")
-    return S.collect_profile_files(pf.where(F.col("snapshot") == snap))
+    return ws.memo(f"profile_files_{snap}", lambda: spread(
+        S.collect_profile_files(pf.where(F.col("snapshot") == snap)), KEYS + ["path"]))
 
 
 def o_filter(src):

@@ -92,8 +92,8 @@ def licenses(ws):
 @query("license_from_text", lambda: with_fixtures([], [], f"""
 SELECT doc_id, {o_from_text('text')} AS license FROM documents WHERE {o_from_text('text')} IS NOT NULL"""))
 def q_license_from_text(ws):
-    d = ws.table("documents")
-    return d.select("doc_id", L.from_text(F.col("text")).alias("license")).where(F.col("license").isNotNull())
+    d = ws.table("documents").select("doc_id", F.upper("text").alias("_up"))
+    return d.select("doc_id", L.from_upper(F.col("_up")).alias("license")).where(F.col("license").isNotNull())
 
 
 @query("license_normalize", lambda: with_fixtures(["lock_packages"], [], f"""
