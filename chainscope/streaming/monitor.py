@@ -36,7 +36,7 @@ def last_checks(obs: DataFrame) -> DataFrame:
 
 
 def run_complete_checks(spark: SparkSession, source_dir: str, work_dir: str, on_complete,
-                        files_per_trigger: int = 1, watermark: str = "1 day") -> None:
+                        files_per_trigger: int = 16, watermark: str = "1 day") -> None:
     """Stream observations and call ``on_complete(rows, batch_id)`` with the
     rows of every check that is complete.
 
@@ -56,6 +56,11 @@ def run_complete_checks(spark: SparkSession, source_dir: str, work_dir: str, on_
     def process(batch: DataFrame, batch_id: int) -> None:
         pending = pending_before(batch_id)
         rows = batch.select(*COLS) if pending is None else pending.unionByName(batch.select(*COLS))
+        # stage the micro-batch once: the stream plan (with its dedup state)
+        # runs a single time, and later steps read a plain table
+        staged = f"{state_dir}/staged/{batch_id}"
+        rows.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(OBS_SCHEMA).parquet(staged)
         newest = rows.agg(F.max("day")).first()[0]
         if newest is None:
             return
@@ -81,12 +86,15 @@ def run_complete_checks(spark: SparkSession, source_dir: str, work_dir: str, on_
 
 
 def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame, work_dir: str,
-                       files_per_trigger: int = 1, watermark: str = "1 day",
+                       files_per_trigger: int = 16, watermark: str = "1 day",
                        initial: DataFrame | None = None) -> str:
     """The monitor over complete checks; returns the events folder.  The
     last check of every project is kept as a table per batch id; an init
     step's state (``initial``) seeds it."""
     events_dir, last_dir = f"{work_dir}/events", f"{work_dir}/state/last"
+    # the static side is read by every micro-batch: materialise it once
+    manifest.select("project_id", "name").distinct().write.mode("overwrite").parquet(f"{work_dir}/manifest")
+    manifest = spark.read.parquet(f"{work_dir}/manifest")
     if initial is not None:
         initial.select(*COLS).write.mode("overwrite").parquet(f"{last_dir}/init")
 
@@ -113,7 +121,7 @@ def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame
     return events_dir
 
 
-def run_posture_stream(spark: SparkSession, source_dir: str, work_dir: str, files_per_trigger: int = 1) -> str:
+def run_posture_stream(spark: SparkSession, source_dir: str, work_dir: str, files_per_trigger: int = 16) -> str:
     """M3 on a stream: daily posture windows, emitted once their day is
     complete (append-only output, no state beyond the pending rows)."""
     out = f"{work_dir}/windows"
