@@ -239,7 +239,8 @@ def q_top_suggestions(ws):
 SELECT s.project_id, CAST(count(*) AS BIGINT) AS total,
        CAST(count_if(priority = 'critical') AS BIGINT) AS critical, CAST(count_if(priority = 'high') AS BIGINT) AS high,
        CAST(count_if(priority = 'medium') AS BIGINT) AS medium, CAST(count_if(priority = 'low') AS BIGINT) AS low,
-       sum(CASE effort WHEN 'trivial' THEN 0.25 WHEN 'low' THEN 1.0 WHEN 'medium' THEN 4.0 ELSE 8.0 END) AS effort_hours,
+       CAST(sum(CASE effort WHEN 'trivial' THEN 0.25 WHEN 'low' THEN 1.0 WHEN 'medium' THEN 4.0 ELSE 8.0 END) AS DOUBLE)
+         AS effort_hours,
        CAST(count(DISTINCT (s.project_id, s.package, s.version)) AS BIGINT) AS packages
 FROM sugg s JOIN (SELECT {keys} FROM pr WHERE score >= 1) k
   ON k.project_id = s.project_id AND k.package = s.package AND k.version = s.version

@@ -186,7 +186,7 @@ SELECT project_id, name, version, meta,
 FROM mm0"""),
         ("mf", f"SELECT *, {fcols} FROM (SELECT *, CAST(len(ms) AS INTEGER) AS n FROM mm)"),
         ("mr", f"""
-SELECT *, least(10.0, {total}) AS risk_score, concat_ws(',', {factors}) AS factors FROM mf"""),
+SELECT *, CAST(least(10.0, {total}) AS DOUBLE) AS risk_score, concat_ws(',', {factors}) AS factors FROM mf"""),
         ("mrisk", """
 SELECT project_id, name, version, n AS maintainer_count, risk_score,
        CASE WHEN risk_score >= 7 THEN 'critical' WHEN risk_score >= 4 THEN 'high' WHEN risk_score >= 2 THEN 'medium'
