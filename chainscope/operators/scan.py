@@ -3,7 +3,9 @@
 Plan shape (all narrow, no shuffle until the summaries):
 
 1. one projection evaluates every rule as a literal-pattern
-   ``regexp_extract_all`` over the file content; only rules that matched
+   ``regexp_extract_all`` over the file content, guarded by the rule's
+   necessary literals on the lower-cased content (``catalog.prefilters``),
+   so most (file, rule) pairs never run a regex; only rules that matched
    survive (``filter(array(...))``) and are exploded -> (file, rule, matches);
 2. the few (file, rule) rows with matches are joined to the broadcast rule
    table (a fixed-size catalogue), ``split`` by the same pattern gives the
