@@ -34,10 +34,16 @@ PROFILE_SKIP_DIRS = ["node_modules", ".git", "dist", "build", "test", "tests", "
 
 
 def read_tree(spark, root: str, project_depth: int = 1) -> DataFrame:
-    """Whole-file rows of a folder of projects: ``root/<project>/<path>``."""
-    df = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    """Whole-file rows of a folder of projects: ``root/<project>/<path>``.
+
+    Spark's whole-text reader lists the tree in parallel; the file path
+    comes from the ``_metadata`` column and is made relative to ``root``.
+    """
+    import re as _re
+    df = (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
           .select(F.col("_metadata.file_path").alias("_abs"), F.col("value").alias("content")))
-    rel = F.regexp_replace(F.col("_abs"), r"^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
+    anchor = _re.escape(root.rstrip("/").lstrip("/"))
+    rel = F.regexp_extract(F.col("_abs"), rf"^(?:[a-z]+:)?/*{anchor}/(.*)$", 1)
     parts = F.split(rel, "/")
     return df.select(
         F.array_join(F.slice(parts, 1, project_depth), "/").alias("project_id"),
