@@ -31,3 +31,35 @@ def test_read_tree_and_scan(spark):
     assert ("alpha", "src/app.js", "A03-eval-injection", 2, 13) in got
     assert ("beta", "lib/util.ts", "SEC-aws-access-key", 2, 14) in got
     assert ("beta", "lib/util.ts", "TS-any-abuse", 1, 6) in got
+
+
+def test_api_scan_folder(spark):
+    from chainscope import api
+    root = tempfile.mkdtemp(prefix="chainscope-api-")
+    for rel, text in {"p1/src/a.js": "const h = crypto.createHash('md5');\neval(req.query.x)\n",
+                      "p2/b.ts": "// @ts-ignore\nlet y = 1;\n"}.items():
+        path = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as fh:
+            fh.write(text)
+    out = api.scan_folder(spark, root)
+    ranked = [(r.project_id, r.rule_id, r.rank) for r in out["findings"].orderBy("project_id", "rank").collect()]
+    assert ranked[0] == ("p1", "A03-eval-injection", 1)
+    summ = {r.project_id: (r.total_files, r.total_findings) for r in out["summary"].collect()}
+    assert summ["p2"] == (1, 1) and summ["p1"][0] == 1
+
+
+def test_api_audit_packages(spark):
+    from chainscope import api
+    root = tempfile.mkdtemp(prefix="chainscope-pkgs-")
+    for rel, text in {"proj/expresss/index.js": "const cp = require('child_process');\neval(x)\n",
+                      "proj/lodash/index.js": "module.exports = {}\n"}.items():
+        path = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as fh:
+            fh.write(text)
+    out = api.audit_packages(spark, root)
+    scores = {r.package: r.score for r in out["risk"].collect()}
+    assert scores["lodash"] == 0.0 and scores["expresss"] > 3
+    typos = {r.name: (r.similar_to, r.method) for r in out["typosquat"].collect()}
+    assert typos == {"expresss": ("express", "repeated-character")}
