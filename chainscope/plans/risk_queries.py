@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chainscope.catalog.reference import KNOWN_SAFE
 from chainscope.functions.regex import sql_str
+from chainscope.functions.sizing import spread
 from chainscope.operators import risk, scan
 from chainscope.plans import sql as Q
 from chainscope.plans.registry import query, with_fixtures
@@ -19,7 +20,7 @@ BF_OUT = ["project_id", "package", "version", "rule", "severity", "category", "f
 # ------------------------------------------------------------------ Spark side
 
 def package_files(ws):
-    return ws.memo("package_files", lambda: scan.spread(S.collect_package_files(ws.table("src_files")),
+    return ws.memo("package_files", lambda: spread(S.collect_package_files(ws.table("src_files")),
                                                         PKG + ["path"]))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chainscope.functions.regex import sql_str
+from chainscope.functions.sizing import spread
 from chainscope.operators import report, scan
 from chainscope.plans import sql as Q
 from chainscope.plans.registry import query, with_fixtures
@@ -24,7 +25,7 @@ def src_files(ws):
 def collected(ws):
     """Listed files, spread over the cores once: the scan and the file
     counts read the same exchange."""
-    return ws.memo("collected", lambda: scan.spread(S.collect_files(src_files(ws)), ["project_id", "path"]))
+    return ws.memo("collected", lambda: spread(S.collect_files(src_files(ws)), ["project_id", "path"]))
 
 
 def findings(ws, rules=None, dedup=True):
