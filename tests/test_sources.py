@@ -63,3 +63,31 @@ def test_api_audit_packages(spark):
     assert scores["lodash"] == 0.0 and scores["expresss"] > 3
     typos = {r.name: (r.similar_to, r.method) for r in out["typosquat"].collect()}
     assert typos == {"expresss": ("express", "repeated-character")}
+
+
+def test_api_diff_lockfiles_equals_table_diff(spark):
+    """Diffing the lockfile JSON documents gives the diff of the lock rows
+    they were written from."""
+    from chainscope import api
+    from chainscope.operators import lockdiff
+    from chainscope.sources.fixtures import Workspace
+    from tests.conftest import SF_SMALL
+    ws = Workspace.of(spark, SF_SMALL)
+    from_docs = api.diff_lockfiles(ws.table("lockfile_json"))["diff"]
+    from_rows = lockdiff.lock_diff(ws.table("lock_packages"))
+    cols = ["project_id", "name", "type", "old_version", "new_version"]
+    assert sorted(map(tuple, from_docs.select(*cols).collect())) == sorted(map(tuple, from_rows.select(*cols).collect()))
+
+
+def test_api_license_report(spark):
+    from chainscope import api
+    from chainscope.operators import license as L
+    from chainscope.sources.fixtures import Workspace
+    from tests.conftest import SF_SMALL
+    ws = Workspace.of(spark, SF_SMALL)
+    rep = api.license_report(ws.table("package_meta"), ws.table("license_docs"))
+    direct = L.violations(L.detect(ws.table("package_meta"), ws.table("license_docs"), ["project_id", "name"]))
+    cols = ["project_id", "name", "license", "violation_type"]
+    assert sorted(map(tuple, rep["violations"].select(*cols).collect())) == \
+        sorted(map(tuple, direct.select(*cols).collect()))
+    assert rep["summary"].count() > 0
