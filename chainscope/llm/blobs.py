@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries that a task gathers before it sends them on.
 FLUSH = 1 << 20
@@ -23,8 +24,8 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binar
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """Buckets grow with the session's shuffle partitions, a few to a partition."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """A bucket for each shuffle partition: they grow with the session's setting."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def split(buckets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +57,8 @@ class Rows:
 
 
 def by_bucket(df: DataFrame, *order: str) -> DataFrame:
-    """Rows of a bucket side by side in one task."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket", *order)
+    """Each bucket's rows side by side in a task of their own."""
+    return df.repartitionById(bucket_count(df.sparkSession), F.col("bucket")).sortWithinPartitions("bucket", *order)
 
 
 def folded(batches: Iterator[pa.RecordBatch], fold: Callable[[int, list[tuple], Rows], None]) -> Iterator[pa.RecordBatch]:
