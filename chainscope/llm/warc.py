@@ -66,7 +66,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str, url_col: str, payload
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     winners = checkpointed(rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n"))
                            .where("n > 1").drop("n"), "winners")
-    met = rows.join(winners, "digest", "left")
+    met = rows.join(winners.hint("merge"), "digest", "left")
     revisit = F.col("winner").isNotNull() & (F.col("size") >= least) & ~F.col("id").eqNullSafe(F.col("winner"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(_END))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
@@ -108,16 +108,16 @@ def reachable(links: DataFrame) -> DataFrame:
     2^k records, and links lead 2^k records on."""
     reached = checkpointed(links.where("at = 0").select("path", "at"), "reached")
     starts = links.select("path", F.col("at").alias("next"))
-    jump = checkpointed(links.join(starts, ["path", "next"], "left_semi").select("path", "at", "next"), "links")
+    jump = checkpointed(links.join(starts.hint("merge"), ["path", "next"], "left_semi").select("path", "at", "next"), "links")
     while True:
         seen = Observation(uuid.uuid4().hex)
-        new = reached.join(jump, ["path", "at"]).select("path", F.col("next").alias("at"))
+        new = reached.join(jump.hint("merge"), ["path", "at"]).select("path", F.col("next").alias("at"))
         new = checkpointed(new.observe(seen, F.count(F.lit(1)).alias("n")), "reached")
         if not seen.get["n"]:
             return reached
         reached = reached.union(new)
         far = jump.select("path", F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = checkpointed(jump.join(far, ["path", "next"]).select("path", "at", F.col("far").alias("next")), "links")
+        jump = checkpointed(jump.join(far.hint("merge"), ["path", "next"]).select("path", "at", F.col("far").alias("next")), "links")
 
 
 _RECORDS = pa.schema([("path", pa.string()), ("at", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()),
@@ -168,7 +168,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                                                            (F.when(first, 5).otherwise(F.col("at")) + F.col("length") + 4).alias("next"))
     links = checkpointed(candidates, "candidates")
     kept = reachable(links).select("path", F.when(F.col("at") == 0, 0).otherwise(F.col("at") + 5).alias("at"), F.lit(True).alias("starts"))
-    marked = placed.join(kept, ["path", "at"], "left")
+    marked = placed.join(kept.hint("merge"), ["path", "at"], "left")
     short = F.when(first, F.col("size") - 5).otherwise(F.col("size"))
     raw = F.when(first, F.expr("substring(raw, 6)")).otherwise(F.col("raw"))
     whole = marked.where(F.col("starts") & (short >= F.col("length"))).select("path", "at", "length", raw.alias("raw"))
