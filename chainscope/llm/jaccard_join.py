@@ -16,6 +16,13 @@ second plan gives all segments weight 2; sets that even this leaves
 uncovered (a few, tiny or odd) meet under their band alone.  Each step is
 exact, no candidate is dropped.
 
+Shingles of many documents (a common line's) would make small segments
+agree everywhere.  They are left out at first: two sets differ no more
+without them than with them, so the pigeonhole still holds for the rest,
+and sets that the rest does not cover go through the plans with all their
+shingles.  Which shingles are left out changes the cost alone, never the
+result, so a bounded list of the commonest will do (``POPULAR``).
+
 Sets that share a signature are joined into families over the signatures'
 least members, without pairs.  Each set's text goes once to its family,
 which is cut into blocks of bounded size; blocks verify exactly, by counts
@@ -45,6 +52,8 @@ _SIG, _EDGE, _SETS = 0, 1, 2
 BLOCK_SETS, BLOCK_SHINGLES = 400, 200_000
 #: Cost of an uncovered set, as a multiple of its signatures in the second plan.
 UNCOVERED = 20
+#: Shingles of at least this share of the documents are popular; at most so many are.
+POPULAR_SHARE, POPULAR = 1 / 500, 1 << 18
 _SET = np.dtype([("doc", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("n", "<i8")])
 
 
@@ -136,21 +145,25 @@ def _signed(band: int, which: int, p: Plan, shingles: np.ndarray) -> tuple[np.nd
     return words.mix(np.concatenate(out)), weight >= p.need
 
 
-def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """All signatures of a set of distinct shingle hashes."""
+def signatures(shingles: np.ndarray, bands: Bands, popular: np.ndarray) -> np.ndarray:
+    """All signatures of a set of distinct shingle hashes; ``popular`` is sorted."""
     n, out = len(shingles), []
     own = bands.of(n)
+    rest = shingles
+    if len(popular):
+        rest = shingles[popular[np.minimum(np.searchsorted(popular, shingles), len(popular) - 1)] != shingles]
     for band in (own, own + 1):
         lo, hi = bands.range(band)
         if band > own and bands.den * n < bands.num * lo:
             continue
-        signed, covered = _signed(band, 0, plan(lo, hi, bands.num, bands.den), shingles)
-        out.append(signed)
-        if not covered:
-            signed, covered = _signed(band, 1, second(hi, bands.num, bands.den), shingles)
+        first = plan(lo, hi, bands.num, bands.den)
+        for which, (p, part) in enumerate(((first, rest), (first, shingles), (second(hi, bands.num, bands.den), shingles))):
+            signed, covered = _signed(band, which, p, part)
             out.append(signed)
-            if not covered:
-                out.append(words.mix(np.array([band], U64) * words.STEP + U64(7)))
+            if covered:
+                break
+        else:
+            out.append(words.mix(np.array([band], U64) * words.STEP + U64(7)))
     return np.concatenate(out)
 
 
@@ -212,14 +225,50 @@ def _stars(signed: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return signed[new], nodes[new], edges
 
 
-def _send(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, lower: bool, n: int) -> Iterator[pa.RecordBatch]:
+_COUNTED = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], size: int, lower: bool) -> Iterator[pa.RecordBatch]:
+    """Shingles that a flush has in many documents, and (under null) its documents."""
+    held, docs, many = [], 0, 0
+
+    def flush() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
+        often = counts >= max(4, docs // 250)
+        return pa.RecordBatch.from_arrays([pa.array([*values[often].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[often].tolist(), docs], pa.int64())], schema=_COUNTED)
+
+    for batch in batches:
+        for part in words.slices(batch):
+            sets = list(shingle_sets(words.words(part.column("text"), lower), size))
+            held += sets
+            docs += len(sets)
+            many += sum(map(len, sets))
+            if many >= blobs.FLUSH:
+                yield flush()
+                held, docs, many = [], 0, 0
+    if docs:
+        yield flush()
+
+
+def popular_shingles(rows: DataFrame, size: int, lower: bool) -> np.ndarray:
+    """The hashes of the commonest shingles, sorted, POPULAR at most."""
+    counts = rows.mapInArrow(partial(_counted, size=size, lower=lower), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = checkpointed(counts, "popular")
+    docs = counts.where("h is null").first()
+    if docs is None:
+        return np.zeros(0, U64)
+    most = counts.where((F.col("h").isNotNull()) & (F.col("c") >= docs["c"] * POPULAR_SHARE)).orderBy(F.desc("c"), "h").limit(POPULAR).select("h").toPandas()
+    return np.sort(most.h.to_numpy(np.int64).view(U64))
+
+
+def _send(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, lower: bool, n: int, popular) -> Iterator[pa.RecordBatch]:
     out, bands = _Sent(n), Bands(num, den)
     for batch in batches:
         for part in words.slices(batch):
             ids = part.column("doc_id").to_pylist()
             for doc, shingles in zip(ids, shingle_sets(words.words(part.column("text"), lower), size)):
                 if len(shingles):
-                    out.add(signatures(shingles, bands), doc, *_digest(shingles), len(shingles))
+                    out.add(signatures(shingles, bands, popular.value), doc, *_digest(shingles), len(shingles))
                 else:
                     out.add(shingles, doc, 0, 0, 0)
                 if out.size >= blobs.FLUSH:
@@ -328,7 +377,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: in
     """
     spark, n = docs.sparkSession, blobs.bucket_count(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sent = rows.mapInArrow(partial(_send, size=shingle, num=num, den=den, lower=lower, n=n), blobs.SCHEMA)
+    popular = spark.sparkContext.broadcast(popular_shingles(rows, shingle, lower))  # POPULAR numbers at most
+    sent = rows.mapInArrow(partial(_send, size=shingle, num=num, den=den, lower=lower, n=n, popular=popular), blobs.SCHEMA)
     gathered = checkpointed(blobs.by_bucket(sent).mapInArrow(_gather, "kind int, x long, y long, z long, n long"), "gathered")
 
     sets = gathered.where(F.col("kind") == _SETS).select(
