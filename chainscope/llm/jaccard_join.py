@@ -49,9 +49,13 @@ from chainscope.llm.store import checkpointed
 U64 = np.uint64
 _SIG, _EDGE, _SETS = 0, 1, 2
 #: Sets and shingles in a block; two blocks meet in a task.
-BLOCK_SETS, BLOCK_SHINGLES = 400, 200_000
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 600_000
+#: Shingles of more sets of a block are counted by a matrix product, others pair by pair.
+DENSE = 32
 #: Cost of an uncovered set, as a multiple of its signatures in the second plan.
 UNCOVERED = 20
+#: How much more a plan may cost that compares larger parts.
+DEARER = 1.15
 #: Shingles of at least this share of the documents are popular; at most so many are.
 POPULAR_SHARE, POPULAR = 1 / 500, 1 << 18
 _SET = np.dtype([("doc", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("n", "<i8")])
@@ -59,11 +63,14 @@ _SET = np.dtype([("doc", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("n", "<i8")])
 
 @dataclass(frozen=True)
 class Plan:
-    """Segments of a band; the first ``double`` of them have weight 2."""
+    """Segments of a band; the first ``double`` of them have weight 2.  A segment
+    counts only if the set has ``least`` shingles there (one more for weight 2):
+    smaller parts agree too easily."""
 
     segments: int
     double: int
     need: int  # H + 1
+    least: int = 1
 
 
 def distance(hi: int, num: int, den: int) -> int:
@@ -71,37 +78,40 @@ def distance(hi: int, num: int, den: int) -> int:
     return 2 * hi * (den - num) // (den + num)
 
 
-def _poisson_above(mean: float, k: int) -> float:
+def _poisson(mean: float, k: int) -> float:
+    """The chance of at most k."""
     term = total = math.exp(-mean)
     for i in range(1, k + 1):
         term *= mean / i
         total += term
-    return max(0.0, 1.0 - total)
+    return min(1.0, total)
 
 
 @lru_cache(maxsize=None)
 def plan(lo: int, hi: int, num: int, den: int) -> Plan:
-    """The cheapest first plan of a band of sizes lo..hi."""
+    """The first plan of a band of sizes lo..hi: of the plans that cost at most
+    ``DEARER`` times the cheapest, the cheapest of those with the largest parts."""
     need = distance(hi, num, den) + 1
     if need == 1:
         return Plan(1, 0, 1)
-    spread = 8 + 2 * math.isqrt(need)
+    spread = 8 + 2 * math.isqrt(need) + need
     tries = sorted({*range((need + 1) // 2, need + spread), need})
-    if len(tries) > 64:
-        tries = sorted({*tries[:: len(tries) // 32], *range(need, need + spread)})
-    best = None
-    for m in tries:
-        size = lo / m
-        empty = math.exp(-size)
-        for double in sorted({max(0, need - m), max(0, need - m) + 1, max(0, need - m) + 2}):
-            if double > m:
-                continue
-            slack = m + double - need
-            idle = (m - double) * empty + 2 * double * empty * (1 + size)
-            cost = m - double + double * (size + 1) + UNCOVERED * _poisson_above(idle, slack) * (lo + need)
-            if best is None or cost < best[0]:
-                best = (cost, Plan(m, double, need))
-    return best[1]
+    tries = sorted({*tries[:: max(1, len(tries) // 64)], *tries[-1:], need})
+    best: dict[int, tuple[float, Plan]] = {}
+    for least in (1, 2, 3, 4):
+        for m in tries:
+            size = lo / m
+            idle, half = _poisson(size, least - 1), _poisson(size, least)
+            for double in range(max(0, need - m), max(0, need - m) + 3):
+                if double > m:
+                    continue
+                slack = m + double - need
+                bare = 1 - _poisson((m - double) * idle + 2 * double * half, slack)
+                cost = (m - double) * (1 - idle) + double * (size + 1) + UNCOVERED * max(0.0, bare) * (lo + need)
+                if least not in best or cost < best[least][0]:
+                    best[least] = cost, Plan(m, double, need, least)
+    limit = DEARER * min(c for c, _ in best.values())
+    return next(best[least][1] for least in (4, 3, 2, 1) if best[least][0] <= limit)
 
 
 def second(hi: int, num: int, den: int) -> Plan:
@@ -135,11 +145,11 @@ def _signed(band: int, which: int, p: Plan, shingles: np.ndarray) -> tuple[np.nd
     sums, counts = np.zeros(p.segments, U64), np.bincount(segment, minlength=p.segments)
     np.add.at(sums, segment, value)
     tag = np.arange(p.segments, dtype=U64) * words.STEP + salt
-    has = counts > 0
-    weight = int(has[p.double:].sum()) + 2 * int((counts[:p.double] > 1).sum())
+    has = counts >= p.least
+    weight = int(has[p.double:].sum()) + 2 * int((counts[:p.double] > p.least).sum())
     out = [(sums + counts.astype(U64) + words.mix(tag))[has]]
     if p.double:
-        left = (segment < p.double) & (counts[segment] > 1)
+        left = (segment < p.double) & (counts[segment] > p.least)
         s = segment[left]
         out.append(sums[s] - value[left] + (counts[s] - 1).astype(U64) + words.mix(tag)[s])
     return words.mix(np.concatenate(out)), weight >= p.need
@@ -206,12 +216,26 @@ class _Sent:
             self.rows.put(_SETS, np.mod(sets["h1"], self.n), self.n, sets)
         if self.signatures:
             signed, nodes, edges = _stars(np.concatenate(self.signatures), np.concatenate(self.nodes))
-            self.rows.put(_SIG, (signed % U64(self.n)).astype(np.int64), self.n, signed, nodes)
+            order, at = blobs.split((signed % U64(self.n)).astype(np.int64), self.n)
+            for k in np.flatnonzero(np.diff(at)):
+                own = order[at[k]:at[k + 1]]
+                table, number = np.unique(nodes[own], return_inverse=True)
+                self.rows.cells.append((int(k), _SIG, signed[own].tobytes(), table.tobytes(), number.astype(_number(len(table))).tobytes()))
             self.rows.put(_EDGE, np.mod(edges[:, 1], self.n), self.n, edges)
         self.signatures, self.nodes, self.sets, self.size = [], [], [], 0
         yield from self.rows.take()
 
 
+def _number(n: int) -> type:
+    """The type that numbers n nodes."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _nodes(table: bytes, number: bytes) -> np.ndarray:
+    table = np.frombuffer(table, np.int64)
+    return table[np.frombuffer(number, _number(len(table)))]
+
+
 def _stars(signed: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One (signature, least node) for each signature, and edges from that node
     to the signature's others."""
@@ -287,7 +311,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = [r for r in rows if r[0] == _SIG]
         edges = [blobs.joined([r[1] for r in rows if r[0] == _EDGE], np.int64).reshape(-1, 2)]
         if signed:
-            edges.append(_stars(blobs.joined([r[1] for r in signed], U64), blobs.joined([r[2] for r in signed], np.int64))[2])
+            edges.append(_stars(blobs.joined([r[1] for r in signed], U64), np.concatenate([_nodes(r[2], r[3]) for r in signed]))[2])
         pairs = np.unique(np.concatenate(edges), axis=0)
         sets = blobs.joined([r[1] for r in rows if r[0] == _SETS], _SET)
         none = np.zeros(len(pairs), np.int64)
@@ -305,19 +329,21 @@ def _links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.n
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts[place] > 1
-    column = (np.cumsum(counts > 1) - 1)[place[shared]]
-    owner = owner[shared]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    width = max(64, (1 << 20) // max(1, len(sets)))
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, (first, first + width))
-        part = np.zeros((len(sets), width), np.float32)
-        part[owner[a:b], column[a:b] - first] = 1
-        common += part @ part.T
-    common = common.astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    owner, first = owner[order], np.concatenate([[0], np.cumsum(counts)[:-1]])
+    common = np.zeros((len(sets), len(sets)), np.int32)
+    for k in range(2, min(DENSE, int(counts.max())) + 1):
+        own = owner[first[counts == k][:, None] + np.arange(k)]
+        for i in range(k):
+            for j in range(i + 1, k):
+                np.add.at(common, (own[:, i], own[:, j]), 1)
+    common += common.T
+    many = np.flatnonzero(counts > DENSE)
+    for a in range(0, len(many), 4096):
+        part = np.zeros((len(sets), 4096), np.float32)
+        for c, k in enumerate(many[a:a + 4096].tolist()):
+            part[owner[first[k]:first[k] + counts[k]], c] = 1
+        common += (part @ part.T).astype(np.int32)
     linked = den * common >= num * (sizes[:, None] + sizes[None, :] - common)
     if side.any():
         linked &= side[:, None] != side[None, :]
