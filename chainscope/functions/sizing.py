@@ -1,27 +1,20 @@
-"""Size-checked broadcast joins.
+"""Join sides and parallelism.
 
-A side is broadcast only after its row count is known to be under a
-bound; otherwise the join stays a shuffle join (sort-merge, with AQE's
-skew handling).  Constant catalogues (rules, license classes, popular
-names) are fixed-size by construction and are broadcast directly by the
-operators that own them.
+Whether a side is small enough to broadcast is left to Spark, which knows
+its size in bytes at run time (adaptive execution); joins stay declarative
+and no job counts rows while a plan is built.  Constant catalogues (rules,
+license classes, popular names) are fixed-size by construction and are
+broadcast directly by the operators that own them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
 
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with ``small``; broadcast ``small`` only if it is
-    proven small (one count job over the small side)."""
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a side that is expected, but not known, to be small."""
+    return big.join(small, on, how)
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -115,7 +115,7 @@ def from_upper(up: Column) -> Column:
 def declared(meta: Column) -> Column:
     """R3 (metadata part): license string, ``{type}``, or ``licenses[].type``
     joined by ' OR '; '' when none.  Type dispatch on the VARIANT value."""
-    v = F.parse_json(meta)
+    v = F.try_parse_json(meta)
     t = F.schema_of_variant(F.variant_get(v, "$.license", "variant"))
     as_str = F.try_variant_get(v, "$.license", "string")
     obj_type = F.try_variant_get(v, "$.license.type", "string")

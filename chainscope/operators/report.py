@@ -60,4 +60,5 @@ def top_issues(top: DataFrame, rules: DataFrame) -> DataFrame:
 def ranked_findings(findings: DataFrame, project_col: str = "project_id") -> DataFrame:
     """Report order as a rank column (severity, file, line)."""
     return group_rank(findings, [project_col],
-                      [severity_rank(), F.col("file"), F.col("line"), F.col("rule_idx"), F.col("col")])
+                      [severity_rank(), F.col("file"), F.col("line"), F.col("rule_idx"), F.col("col")],
+                      lead=[(severity_rank(), False), (F.col("file"), False)])

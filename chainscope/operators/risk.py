@@ -61,7 +61,8 @@ def risk_bands(risk: DataFrame) -> DataFrame:
 
 def risk_ranking(risk: DataFrame, project_col: str = "project_id") -> DataFrame:
     """T4: packages by descending score per project (name, version break ties)."""
-    return group_rank(risk, [project_col], [F.col("score").desc(), F.col("package"), F.col("version")])
+    return group_rank(risk, [project_col], [F.col("score").desc(), F.col("package"), F.col("version")],
+                      lead=[(F.col("score"), True), (F.substring("package", 1, 12), False)])
 
 
 def known_safe_frame(spark: SparkSession) -> DataFrame:

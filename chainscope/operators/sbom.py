@@ -49,7 +49,7 @@ def purl(name: Column, version: Column) -> Column:
 
 def meta_fields(meta: DataFrame) -> DataFrame:
     """Typed view of the polymorphic package.json fields."""
-    v = F.parse_json(F.col("meta"))
+    v = F.try_parse_json(F.col("meta"))
 
     def t(path):
         return F.schema_of_variant(F.variant_get(v, path, "variant"))
@@ -105,7 +105,8 @@ def spdx_relationships(comps: DataFrame, edges: DataFrame, keys=("project_id",))
     """SPDXRef-Package-<n> DEPENDS_ON <dependency purl>; packages
     numbered by name within the project (one numbering for both lists)."""
     keys = list(keys)
-    numbered = group_rank(comps.select(*keys, "name", "version"), keys, [F.col("name")], name="n")
+    numbered = group_rank(comps.select(*keys, "name", "version"), keys, [F.col("name")], name="n",
+                          lead=[(F.substring("name", 1, 8), False)])
     versions = comps.select(*keys, F.col("name").alias("dep"), F.col("version").alias("dep_version"))
     rel = numbered.join(edges.select("name", "dep"), "name").join(versions, keys + ["dep"], "left")
     return rel.select(*keys, F.concat(F.lit("SPDXRef-Package-"), F.col("n").cast("string")).alias("spdx_element_id"),
@@ -136,7 +137,7 @@ def attestation(bundles: DataFrame, keys=("project_id", "name")) -> DataFrame:
     """Predicate fields of provenance bundles with 'unknown' defaults
     (sha1 digest preferred over sha256); no predicate -> no attestation."""
     keys = list(keys)
-    v = F.parse_json(F.col("bundle"))
+    v = F.try_parse_json(F.col("bundle"))
 
     def s(path):
         return F.try_variant_get(v, path, "string")

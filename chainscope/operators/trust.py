@@ -1,7 +1,7 @@
 """Maintainer and provenance risk from package metadata.
 
 Metadata is the package.json text; fields are read through VARIANT
-(``parse_json``), dispatching on the JSON type where the field is
+(``try_parse_json``), dispatching on the JSON type where the field is
 polymorphic (author string or object, repository string or object,
 maintainers of strings or objects).
 """
@@ -19,7 +19,7 @@ GITHUB_REPO = r"github\.com[/:]([^/]+)/([^/]+)"
 
 
 def _v(meta: Column) -> Column:
-    return F.parse_json(meta)
+    return F.try_parse_json(meta)
 
 
 def jtype(v: Column, path: str) -> Column:

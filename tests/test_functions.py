@@ -5,19 +5,19 @@ from pyspark.sql import functions as F
 
 from chainscope.functions import js
 from chainscope.functions.ranking import group_rank, top_k_per_group
-from chainscope.functions.sizing import join_small
 
 
-def test_group_rank_matches_row_number_with_a_hot_group(spark):
-    # one group holds most of the rows, ties broken by a unique column
-    df = spark.range(0, 20000).select(
-        F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 13).cast("string")))
-        .alias("g"), (F.col("id") % 97).alias("score"), F.col("id"))
+def test_group_rank_matches_row_number_at_size(spark, tmp_path):
+    # a hot group, a null group, a payload column, written out
+    df = spark.range(0, 300_000).select(
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 == 8, F.concat(F.lit("g"), (F.col("id") % 13).cast("string"))).alias("g"),
+        (F.col("id") % 97).alias("score"), "id", F.repeat(F.lit("x"), 20).alias("payload"))
     order = [F.col("score").desc(), F.col("id")]
-    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("bigint"))
-    got = group_rank(df.repartition(9), ["g"], order)
-    assert sorted(map(tuple, got.select("g", "id", "rank").collect())) == \
-        sorted(map(tuple, want.select("g", "id", "rank").collect()))
+    group_rank(df.repartition(9), ["g"], order, lead=[(F.col("score"), True), (F.floor(F.col("id") / 1000), False)]).write.parquet(str(tmp_path / "ranked"))
+    got = spark.read.parquet(str(tmp_path / "ranked"))
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("bigint"))
+    assert got.count() == 300_000
+    assert got.join(want.select("id", "want"), "id").where("rank <> want").count() == 0
 
 
 def test_top_k(spark):
@@ -26,14 +26,6 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == [(0, 996, 2), (0, 999, 1), (1, 994, 2), (1, 997, 1), (2, 995, 2), (2, 998, 1)]
 
 
-def test_join_small_falls_back_to_shuffle_join(spark):
-    big = spark.range(0, 5000).select((F.col("id") % 50).alias("k"), "id")
-    small = spark.range(0, 50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    a = join_small(big, small, ["k"], max_rows=10)  # over the bound: no broadcast hint
-    b = join_small(big, small, ["k"])
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-
-
 def test_js_rounding_and_numbers(spark):
     row = spark.range(1).select(
         js.js_round(F.lit(-2.5)).alias("a"), js.js_round(F.lit(2.5)).alias("b"),
