@@ -15,7 +15,7 @@ from chainscope.sources import files as S
 
 
 def scan_folder(spark: SparkSession, root: str, severity_threshold: str = "low",
-                confidence_threshold: str = "low", max_files: int | None = S.DEFAULT_MAX_FILES,
+                confidence_threshold: str = "low", max_files: int | None = None,
                 include_tests: bool = False, ignore: list[str] | None = None,
                 ignore_files: DataFrame | None = None) -> dict[str, DataFrame]:
     """Source scan of every project under ``root`` (``root/<project>/...``):

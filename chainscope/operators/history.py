@@ -18,7 +18,6 @@ from chainscope.functions.ranking import top_k_per_group
 from chainscope.functions.sizing import join_small
 
 RISK_THRESHOLD = 7.0
-MAX_EVENTS = 100
 EVENT_ORDER = {"lockfile-changed": 0, "package-added": 1, "package-removed": 2, "package-updated": 3,
                "risk-increased": 4, "manifest-drift": 5}
 EVENT_COLS = ["project_id", "check_day", "type", "severity", "package", "message"]
@@ -133,7 +132,7 @@ def event_rank(ev: DataFrame) -> Column:
     return [F.col("check_day").desc(), order, F.col("package")]
 
 
-def recent_events(ev: DataFrame, k: int = MAX_EVENTS) -> DataFrame:
+def recent_events(ev: DataFrame, k: int) -> DataFrame:
     """Newest k events per project (newest check first, then event
     order).  row_number <= k gets a per-partition limit before the
     shuffle, so a busy project does not move all its events."""
@@ -173,14 +172,16 @@ def posture_snapshots(obs: DataFrame, threshold: float = RISK_THRESHOLD) -> Data
             .drop("_sum"))
 
 
-def latest_snapshots(snaps: DataFrame, limit: int = 30) -> DataFrame:
-    """Newest ``limit`` snapshots per project, numbered oldest first."""
+def latest_snapshots(snaps: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest ``limit`` snapshots per project (all unless given), numbered oldest first."""
+    if limit is None:
+        return snaps.withColumn("position", F.row_number().over(Window.partitionBy("project_id").orderBy("day")).cast("bigint"))
     top = top_k_per_group(snaps, ["project_id"], [F.col("day").desc()], limit, name="_r")
     n = F.count("*").over(Window.partitionBy("project_id"))
     return top.withColumn("position", (n - F.col("_r") + 1).cast("bigint")).drop("_r")
 
 
-def posture_trend(snaps: DataFrame, limit: int = 30) -> DataFrame:
+def posture_trend(snaps: DataFrame, limit: int | None = None) -> DataFrame:
     """First vs last of the loaded snapshots per project."""
     last = latest_snapshots(snaps, limit)
     m = F.struct("day", "overall_score", "average_risk", "high_risk")

@@ -60,7 +60,7 @@ def candidate_pairs(names: DataFrame, known: DataFrame, name_col: str = "name")
     n = n.withColumn("_len", F.explode(F.sequence(F.length("base") - 2, F.length("base") + 2)))
     k = known.select("known_idx", "known", split_name(F.col("known"))[1].alias("kbase"))
     k = k.withColumn("_len", F.length("kbase"))
-    return n.join(F.broadcast(k), "_len").drop("_len")
+    return n.join(k, "_len").drop("_len")
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
@@ -91,8 +91,7 @@ def scope_confusion(names: DataFrame, name_col: str = "name", scopes: list[str]
                     F.lit("scope-confusion").alias("method")))
 
 
-def typosquat(names: DataFrame, known: DataFrame, known_list: list[str] | None = None,
-              name_col: str = "name") -> DataFrame:
+def typosquat(names: DataFrame, known: DataFrame, name_col: str = "name") -> DataFrame:
     """One verdict per suspicious name.
 
     Exact known names (full or scope-stripped) are not suspicious; scope
@@ -100,10 +99,11 @@ def typosquat(names: DataFrame, known: DataFrame, known_list: list[str] | None =
     separator / swap / extra / missing hit; otherwise the nearest name
     within 2 edits (earliest on ties).
     """
-    known_list = known_list if known_list is not None else POPULAR_PACKAGES
     d = names.select(F.col(name_col).alias("name")).distinct()
     _, base = split_name(F.col("name"))
-    d = d.where(~(F.col("name").isin(known_list) | base.isin(known_list)))
+    exact = known.select(F.col("known").alias("_known")).distinct()
+    d = d.withColumn("_base", base).join(exact, F.col("name") == F.col("_known"), "left_anti")
+    d = d.join(exact, F.col("_base") == F.col("_known"), "left_anti").drop("_base")
     scope, _ = split_name(F.col("name"))
     d = d.withColumn("_hit", F.when(scope != "", scope_hit(scope)))
     sc = scope_confusion(d.where(F.col("_hit").isNotNull()).drop("_hit"))

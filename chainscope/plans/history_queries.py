@@ -85,7 +85,7 @@ FROM ps0"""),
         ("latest", """
 SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY day DESC) AS r,
-         count(*) OVER (PARTITION BY project_id) AS n FROM ps) WHERE r <= 30"""),
+         count(*) OVER (PARTITION BY project_id) AS n FROM ps)"""),
     ]
 
 
@@ -120,9 +120,9 @@ def q_manifest_drift(ws):
 
 
 @query("monitor_recent_events", lambda: with_fixtures(HIST, o_history(),
-                                                      f"SELECT {EV}, rank FROM ev_ranked WHERE rank <= {H.MAX_EVENTS}"))
+                                                      f"SELECT {EV}, rank FROM ev_ranked WHERE rank <= 100"))
 def q_monitor_recent_events(ws):
-    return H.recent_events(H.monitor_check(obs(ws), ws.table("manifest"))).select(*H.EVENT_COLS, "rank")
+    return H.recent_events(H.monitor_check(obs(ws), ws.table("manifest")), 100).select(*H.EVENT_COLS, "rank")
 
 
 @query("monitor_status", lambda: with_fixtures(HIST, o_history() + [

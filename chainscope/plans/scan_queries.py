@@ -63,10 +63,7 @@ WHERE {o_ext('path')} IN ({exts})
   AND NOT {o_ignored('path', S.DEFAULT_IGNORE)}
   AND NOT {o_in_dirs('path', S.TEST_DIRS)}
   AND NOT regexp_matches(regexp_extract(path, '[^/]*$'), {sql_str(S.TEST_FILE_RE)})"""),
-            ("files", f"""
-SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path) AS rn FROM files_all
-) WHERE rn <= {S.DEFAULT_MAX_FILES}""")]
+            ("files", "SELECT * FROM files_all")]
 
 
 def o_rules_cte(rules) -> tuple[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,11 +36,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     The cluster names that folder in ``spark.checkpoint.dir``; only when it
-    is unset (local tests) do we pick one ourselves.
+    is unset and the executors are the driver itself (local tests) do we
+    pick one ourselves; on a cluster an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = os.path.join("/tmp", f"chainscope-ckpt-{uuid.uuid4().hex[:8]}")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir() or root
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chainscope-ckpt-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"

@@ -24,7 +24,6 @@ DEFAULT_IGNORE = ["node_modules", ".git", "dist", "build", ".next", ".nuxt", ".s
                   "*.min.js", "*.bundle.js", "*.map"]
 TEST_DIRS = ["test", "tests", "__tests__", "__mocks__", "__snapshots__", "spec", "specs"]
 TEST_FILE_RE = r"\.(test|spec|e2e)\.[jt]sx?$"
-DEFAULT_MAX_FILES = 5000
 
 # FIXED VALUES — listing of package files (behaviour scan) and fingerprints
 PACKAGE_EXTENSIONS = [".js", ".mjs", ".cjs", ".ts", ".mts", ".cts", ".json"]
@@ -124,8 +123,6 @@ def cap_per_project(files: DataFrame, max_files: int | None, project_col: str =
         return files
     over = (files.groupBy(project_col).agg(F.count("*").alias("_n"))
             .where(F.col("_n") > max_files).select(project_col))
-    if over.isEmpty():
-        return files
     ids = join_small(files.select(project_col, path_col), over, [project_col], "left_semi")
     ids = ids.withColumn("_pid", F.spark_partition_id())
     local = (ids.withColumn("_r", F.row_number().over(Window.partitionBy(project_col, "_pid").orderBy(path_col)))
@@ -139,7 +136,7 @@ def cap_per_project(files: DataFrame, max_files: int | None, project_col: str =
 
 
 def collect_files(files: DataFrame, extensions=None, ignore=None, include_tests: bool = False,
-                  max_files: int | None = DEFAULT_MAX_FILES, path_col: str = "path",
+                  max_files: int | None = None, path_col: str = "path",
                   ignore_files: DataFrame | None = None) -> DataFrame:
     """Files of each project the source scan reads.
 

@@ -30,7 +30,7 @@ def save_snapshots(snaps: DataFrame, path: str) -> None:
     snaps.write.mode("append").partitionBy("day").parquet(path)
 
 
-def load_snapshots(spark: SparkSession, path: str, limit: int = 30) -> DataFrame:
+def load_snapshots(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Newest ``limit`` snapshots per project, oldest first."""
     from chainscope.operators.history import latest_snapshots
     return latest_snapshots(spark.read.parquet(path), limit)
