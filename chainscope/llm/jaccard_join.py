@@ -53,7 +53,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 1000, 600_000
 #: Shingles of more sets of a block are counted by a matrix product, others pair by pair.
 DENSE = 32
 #: Cost of an uncovered set, as a multiple of its signatures in the second plan.
-UNCOVERED = 20
+UNCOVERED = 4
 #: How much more a plan may cost that compares larger parts.
 DEARER = 1.15
 #: Shingles of at least this share of the documents are popular; at most so many are.
@@ -94,8 +94,7 @@ def plan(lo: int, hi: int, num: int, den: int) -> Plan:
     need = distance(hi, num, den) + 1
     if need == 1:
         return Plan(1, 0, 1)
-    spread = 8 + 2 * math.isqrt(need) + need
-    tries = sorted({*range((need + 1) // 2, need + spread), need})
+    tries = sorted({*range((need + 1) // 2, 2 * need + 8 + 2 * math.isqrt(need)), need})
     tries = sorted({*tries[:: max(1, len(tries) // 64)], *tries[-1:], need})
     best: dict[int, tuple[float, Plan]] = {}
     for least in (1, 2, 3, 4):
@@ -106,7 +105,9 @@ def plan(lo: int, hi: int, num: int, den: int) -> Plan:
                 if double > m:
                     continue
                 slack = m + double - need
-                bare = 1 - _poisson((m - double) * idle + 2 * double * half, slack)
+                mean = (m - double) * idle + 2 * double * half
+                spread = math.sqrt((m - double) * idle * (1 - idle) + 4 * double * half * (1 - half)) + 1e-9
+                bare = 1 - _poisson(mean, slack) if mean < 5 else 0.5 * math.erfc((slack + 0.5 - mean) / spread / math.sqrt(2))
                 cost = (m - double) * (1 - idle) + double * (size + 1) + UNCOVERED * max(0.0, bare) * (lo + need)
                 if least not in best or cost < best[least][0]:
                     best[least] = cost, Plan(m, double, need, least)

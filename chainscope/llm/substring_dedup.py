@@ -52,9 +52,7 @@ def _slide(values: np.ndarray, n: int, least: bool, fill: np.uint64) -> np.ndarr
     out, done = values.copy(), 1
     while done < n:
         step = min(done, n - done)
-        ahead = np.full_like(out, fill)
-        ahead[:len(out) - step] = out[step:] if step < len(out) else out[:0]
-        out, done = pick(out, ahead), done + step
+        out, done = pick(out, words.ahead(out, step, fill)), done + step
     return out
 
 

@@ -130,6 +130,14 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, starts, ends, _hash(data, starts, ends), first)
 
 
+def ahead(values: np.ndarray, n: int, fill: int = 0) -> np.ndarray:
+    """At each index the value ``n`` further on, ``fill`` beyond the end."""
+    out = np.full_like(values, fill)
+    if n < len(values):
+        out[:len(values) - n] = values[n:]
+    return out
+
+
 def windows(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hash of the window of ``length`` words from each word on, by doubling
     (the last ``length - 1`` entries lack words and mean nothing)."""
@@ -141,15 +149,11 @@ def windows(hashes: np.ndarray, length: int) -> np.ndarray:
             if out is None:
                 out, done = power.copy(), size
             else:  # prepend this power's window to what is gathered so far
-                shifted = np.zeros_like(out)
-                shifted[:len(out) - size] = out[size:]
-                out = power * _step(done) + shifted
+                out = power * _step(done) + ahead(out, size)
                 done += size
         left >>= 1
         if left:
-            shifted = np.zeros_like(power)
-            shifted[:len(power) - size] = power[size:] if len(power) > size else 0
-            power = power * factor + shifted
+            power = power * factor + ahead(power, size)
             size *= 2
             factor = _step(size)
     return out
