@@ -24,10 +24,17 @@ shingles.  Which shingles are left out changes the cost alone, never the
 result, so a bounded list of the commonest will do (``POPULAR``).
 
 Sets that share a signature are joined into families over the signatures'
-least members, without pairs.  Each set's text goes once to its family,
-which is cut into blocks of bounded size; blocks verify exactly, by counts
-of common shingles, and give out a spanning forest of the links.  Copies of
-a set are one class throughout.
+least members, without pairs.  Families chain: a set may share a passage
+with one set and another passage with the next.  So a family is first cut by
+sketches, a set's shingles hashed to about as many bits, each the parity of
+its shingles.  Two sets' sketches differ in no more bits than the sets in
+shingles, so pairs whose sketches differ in more cannot be similar, and the
+remaining pairs' components are the families whose texts are compared.
+Sketches meet in their size bands, in blocks of bounded size.
+
+Each set's text then goes to its family, which is cut into blocks of bounded
+size; blocks verify exactly, by counts of common shingles, and give out a
+spanning forest of the links.  Copies of a set are one class throughout.
 """
 
 from __future__ import annotations
@@ -50,6 +57,8 @@ U64 = np.uint64
 _SIG, _EDGE, _SETS = 0, 1, 2
 #: Sets and shingles in a block; two blocks meet in a task.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 600_000
+#: Sets and 64-bit words in a block of sketches; sketches compared at once.
+BLOCK_SKETCHES, BLOCK_WORDS, TILE = 2000, 1 << 21, 64
 #: Shingles of more sets of a block are counted by a matrix product, others pair by pair.
 DENSE = 32
 #: Cost of an uncovered set, as a multiple of its signatures in the second plan.
@@ -367,6 +376,93 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles hashed to the power of two of bits from their number on."""
+    bits = 1 << max(6, (len(shingles) - 1).bit_length())
+    place = (words.mix(shingles + words.STEP) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(bool), bitorder="little").view(U64)
+
+
+def _narrowed(bits: np.ndarray, width: int) -> np.ndarray:
+    """The sketch of the same set in ``width`` words."""
+    while len(bits) > width:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
+def _near(sketches: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of sets are similar as far as their sketches tell."""
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    width = np.array([len(sketches[k]) for k in order])
+    near = np.zeros((len(n), len(n)), bool)
+    for w in np.unique(width).tolist():
+        a, b = np.searchsorted(width, [w, w + 1]).tolist()
+        end = int(np.searchsorted(n, n[b - 1] * den // num, "right"))
+        table = np.stack([_narrowed(sketches[k], w) for k in order[a:end]], axis=1)
+        for i in range(a, b, TILE):
+            j = min(b, i + TILE)
+            stop = int(np.searchsorted(n, n[j - 1] * den // num, "right"))
+            differ = np.zeros((j - i, stop - i), np.int64)
+            for word in table:
+                differ += np.bitwise_count(word[i - a:j - a, None] ^ word[None, i - a:stop - a])
+            near[i:j, i:stop] = differ * (den + num) <= (n[i:j, None] + n[None, i:stop]) * (den - num)
+    near |= near.T
+    back = np.argsort(order)
+    return near[np.ix_(back, back)]
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, lower: bool) -> Iterator[pa.RecordBatch]:
+    """Each set's sketch, its band, and whether a similar set may lie in the next one."""
+    bands = Bands(num, den)
+    for batch in batches:
+        for part in words.slices(batch):
+            rows = []
+            for doc, shingles in zip(part.column("doc_id").to_pylist(), shingle_sets(words.words(part.column("text"), lower), size)):
+                if doc is not None and len(shingles):
+                    own = bands.of(len(shingles))
+                    rows.append((doc, *_digest(shingles), own, den * len(shingles) >= num * bands.range(own + 1)[0], sketch(shingles).tobytes()))
+            if rows:
+                kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["class_id", "h1", "h2", "band", "up", "bits"])
+
+
+def _sift(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that join what all pairs of near sketches join, for each (family, band,
+    block, block) of a task's sorted rows.  Guests from the band below meet hosts alone."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        ids, sizes, sides, guests = (np.array([r[k] for r in held]) for k in range(4))
+        near = _near([np.frombuffer(r[4], U64) for r in held], sizes.astype(np.int64), num, den)
+        if now[2] != now[3]:
+            near &= sides[:, None] != sides[None, :]
+        near &= ~(guests[:, None] & guests[None, :])
+        np.fill_diagonal(near, False)
+        pairs = _forest(near)
+        return pa.RecordBatch.from_pydict({"a": pa.array([int(ids[a]) for a, _ in pairs], pa.int64()), "b": pa.array([int(ids[b]) for _, b in pairs], pa.int64())})
+
+    for batch in batches:
+        cells = [batch.column(c).to_pylist() for c in ("fam", "g", "bi", "bj", "class_id", "n_shingles", "own", "guest", "bits")]
+        for fam, g, bi, bj, *row in zip(*cells):
+            if (fam, g, bi, bj) != now:
+                if len(held) > 1:
+                    yield done()
+                now, held = (fam, g, bi, bj), []
+            held.append(row)
+    if len(held) > 1:
+        yield done()
+
+
+def _met(placed: DataFrame, keys: list[str], per: int, weight: str, most: int, *more) -> DataFrame:
+    """Members of each group in blocks of bounded size, once for each pair of blocks."""
+    room = F.greatest(F.ceil(F.count("*") / per), F.ceil(F.sum(weight) / most)).cast("int")
+    blocks = checkpointed(placed.groupBy(*keys).agg(room.alias("nb"), F.count("*").alias("c"), *more).where("c > 1"), "blocks")
+    placed = placed.join(blocks, keys).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("nb")).cast("int"))
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    return met.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
+
+
 def _verify(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, lower: bool) -> Iterator[pa.RecordBatch]:
     """Links inside each (family, block, block) of a task's sorted rows."""
     now, ids, sides, sets = None, [], [], []
@@ -413,13 +509,21 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: in
     classes = checkpointed(sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id")), "classes")
 
     families = components(gathered.where(F.col("kind") == _EDGE).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    members = checkpointed(classes.where("class_id is not null").join(families.select(F.col("node").alias("h1"), F.col("root").alias("fam")), "h1"), "members")
-    blocks = checkpointed(members.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("nb"), F.count("*").alias("c")).where("c > 1"), "blocks")
-    placed = members.join(blocks, "fam").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("nb")).cast("int"))
-    met = placed.select("fam", F.col("class_id").alias("doc_id"), "h1", "h2", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    met = met.select("fam", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "doc_id", "own", "h1", "h2")
-    texts = met.join(rows.where("doc_id is not null"), "doc_id")
+    members = classes.where("class_id is not null").join(families.select(F.col("node").alias("h1"), F.col("root").alias("fam")), "h1")
     p = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sketches = rows.mapInArrow(partial(_sketched, size=shingle, num=num, den=den, lower=lower), "class_id long, h1 long, h2 long, band int, up boolean, bits binary")
+    placed = checkpointed(members.join(sketches, ["class_id", "h1", "h2"]), "sketches")
+    placed = placed.withColumn("g", F.explode(F.when(F.col("up"), F.array("band", F.col("band") + 1)).otherwise(F.array("band"))))
+    placed = placed.withColumn("guest", F.col("g") != F.col("band")).withColumn("words", F.octet_length("bits") / 8)
+    met = _met(placed, ["fam", "g"], BLOCK_SKETCHES, "words", BLOCK_WORDS, F.bool_and("guest").alias("idle")).where("not idle")
+    met = met.select("fam", "g", "bi", "bj", "class_id", "n_shingles", "own", "guest", "bits")
+    near = met.repartition(p, "fam", "g", "bi", "bj").sortWithinPartitions("fam", "g", "bi", "bj").mapInArrow(partial(_sift, num=num, den=den), "a long, b long")
+    sifted = components(near)
+
+    members = checkpointed(classes.join(sifted.select(F.col("node").alias("class_id"), F.col("root").alias("fam")), "class_id"), "members")
+    met = _met(members, ["fam"], BLOCK_SETS, "n_shingles", BLOCK_SHINGLES)
+    met = met.select("fam", "bi", "bj", F.col("class_id").alias("doc_id"), "own", "h1", "h2")
+    texts = met.join(rows.where("doc_id is not null"), "doc_id")
     linked = texts.repartition(p, "fam", "bi", "bj").sortWithinPartitions("fam", "bi", "bj").mapInArrow(
         partial(_verify, size=shingle, num=num, den=den, lower=lower), "a long, b long")
     roots = checkpointed(components(linked), "roots")

@@ -60,8 +60,10 @@ def brute_components(rows, size, num, lower=True):
     return sorted((str(i), len(s), str(least.get(find(k), i) if s else i)) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("size,num", [(3, 90), (5, 80)])
-def test_jaccard_join(spark, odd, size, num):
+@pytest.mark.parametrize("size,num,block", [(3, 90, 1000), (5, 80, 1000), (5, 80, 4)])
+def test_jaccard_join(spark, odd, monkeypatch, size, num, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SKETCHES", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     extra = [(100 + k, " ".join(f"v{j if (j * 7 + k) % 45 else k}" for j in range(60))) for k in range(30)]
     df = odd.select("doc_id", "text", "kind").unionByName(spark.createDataFrame([(*r, "z") for r in extra], "doc_id long, text string, kind string"))
@@ -84,6 +86,21 @@ def test_plans_cover_what_they_promise():
                         assert len(np.intersect1d(jaccard_join.signatures(a, bands, p), jaccard_join.signatures(b, bands, p)))
 
 
+def test_sketches_keep_similar_pairs():
+    rng = np.random.default_rng(2)
+    for num in (80, 90):
+        sets = []
+        for n in (1, 3, 10, 60, 70, 130, 300, 1100):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            for drop in (0, n // 20, n // 9, n // 5, n // 2):
+                sets += [np.unique(a[drop:]), np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop).astype(np.uint64)]))]
+        near = jaccard_join._near([jaccard_join.sketch(s) for s in sets], np.array([len(s) for s in sets]), num, 100)
+        pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j]
+        similar = [100 * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j])) for i, j in pairs]
+        assert all(near[i, j] for (i, j), s in zip(pairs, similar) if s)
+        assert sum(near[i, j] for i, j in pairs) < 1.5 * sum(similar)
+
+
 def brute_repeats(rows, window):
     texts = [WORD.findall(t or "") for _, t in rows]
     seen = collections.Counter(tuple(w[k:k + window]) for w in texts for k in range(len(w) - window + 1))
