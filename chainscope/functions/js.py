@@ -41,6 +41,15 @@ def snippet(line_text: Column, width: int = 120) -> Column:
     return F.when(F.length(t) > width, F.concat(F.substring(t, 1, width - 3), F.lit("..."))).otherwise(t)
 
 
+def resolve_path(c: Column) -> Column:
+    """An absolute POSIX path without empty, ``.`` and ``..`` parts or a final
+    slash; a relative path counts from the root folder."""
+    parts = F.filter(F.split(c, "/"), lambda x: (x != "") & (x != "."))
+    path = F.aggregate(parts, F.lit(""), lambda acc, x: F.when(x == "..", F.regexp_replace(acc, "/[^/]+$", ""))
+                       .otherwise(F.concat(acc, F.lit("/"), x)))
+    return F.when(path == "", "/").otherwise(path)
+
+
 def rank_of(c: Column, order: dict) -> Column:
     """Enum -> order rank via a literal map (no join)."""
     m = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])

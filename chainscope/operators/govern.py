@@ -227,7 +227,7 @@ def access_check(requests: DataFrame, perms: DataFrame) -> DataFrame:
     qt = F.concat(F.lit('"'), tgt, F.lit('"'))
     net_ok = F.exists("_net", lambda g: (g == "*") | F.rlike(tgt, F.concat(
         F.lit("(?i)^"), F.replace(F.replace(g, F.lit("."), F.lit("\\.")), F.lit("*"), F.lit(".*")), F.lit("$"))))
-    fs_ok = F.exists("_fs", lambda pre: F.startswith(tgt, pre))
+    fs_ok = F.exists("_fs", lambda pre: F.startswith(js.resolve_path(tgt), js.resolve_path(pre)))
     env_ok = F.array_contains("_env", tgt)
     allowed = (
         F.when(F.col("_has").isNull(), False)
@@ -290,15 +290,17 @@ def manifest_coverage(installed: DataFrame, perms: DataFrame) -> DataFrame:
                     F.when(F.col("covered"), r).alias("restrictions"))
 
 
-def manifest_generate(cat_counts: DataFrame, keys=("project_id", "package")) -> DataFrame:
-    """A default-deny permission entry per package from the behaviour
-    categories it uses (net/fs: [] when used else false; exec: false when
-    process use; env: [] when environment use)."""
+def manifest_generate(cat_counts: DataFrame, packages: DataFrame, keys=("project_id", "package")) -> DataFrame:
+    """A default-deny permission entry per package of ``packages`` from the
+    behaviour categories it uses (net/fs: [] when used else false; exec: false
+    when process use; env: [] when environment use).  A package without
+    findings gets net and fs false and nothing else."""
     keys = list(keys)
     used = cat_counts.groupBy(*keys).agg(*[
         F.max(F.when(F.col("category") == c, True).otherwise(False)).alias(c)
         for c in ["network", "filesystem", "process", "environment"]])
-    return used.select(*keys,
+    every = packages.select(*keys).distinct()
+    return every.join(used, keys, "left").select(*keys,
                        F.when(F.col("network"), "[]").otherwise("false").alias("net"),
                        F.when(F.col("filesystem"), "[]").otherwise("false").alias("fs"),
                        F.when(F.col("process"), F.lit("false")).alias("exec"),

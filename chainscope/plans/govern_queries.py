@@ -205,7 +205,15 @@ def _o_access():
         return f"CASE WHEN {c} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split({c}, ',') END"
     net_ok = ("list_bool_or(list_transform(net_l, lambda g: g = '*' OR regexp_matches(target, "
               "'^' || replace(replace(g, '.', '\\.'), '*', '.*') || '$', 'i')))")
-    fs_ok = "list_bool_or(list_transform(fs_l, lambda p: starts_with(target, p)))"
+
+    def real(c):
+        # '/' + the parts that neither '..' nor '.' removes, one part after the other
+        parts = f"list_prepend('', list_filter(string_split({c}, '/'), lambda x: x NOT IN ('', '.')))"
+        path = (f"list_reduce({parts}, lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]+$', '') "
+                "ELSE a || '/' || x END)")
+        return f"coalesce(nullif({path}, ''), '/')"
+
+    fs_ok = f"list_bool_or(list_transform(fs_l, lambda p: starts_with({real('target')}, {real('p')})))"
     return [
         ("pm", f"SELECT *, {lst('net')} AS net_l, {lst('fs')} AS fs_l, {lst('env')} AS env_l FROM permissions"),
         ("aj", f"""
@@ -265,14 +273,17 @@ def q_access_check(ws):
 
 
 @query("manifest_generate", lambda: with_fixtures(["src_files"], o_bf(), """
-SELECT project_id, package,
+SELECT p.project_id, p.package,
        CASE WHEN bool_or(category = 'network') THEN '[]' ELSE 'false' END AS net,
        CASE WHEN bool_or(category = 'filesystem') THEN '[]' ELSE 'false' END AS fs,
        CASE WHEN bool_or(category = 'process') THEN 'false' END AS exec,
        CASE WHEN bool_or(category = 'environment') THEN '[]' END AS env
-FROM bf GROUP BY project_id, package"""))
+FROM (SELECT DISTINCT project_id, package FROM src_files WHERE package IS NOT NULL) p
+LEFT JOIN bf ON bf.project_id = p.project_id AND bf.package = p.package
+GROUP BY p.project_id, p.package"""))
 def q_manifest_generate(ws):
-    return G.manifest_generate(risk.category_counts(behavior_findings(ws), ["project_id", "package"]))
+    return G.manifest_generate(risk.category_counts(behavior_findings(ws), ["project_id", "package"]),
+                               ws.table("src_files").where("package IS NOT NULL"))
 
 
 # ------------------------------------------------------------------ gate, PR, compliance

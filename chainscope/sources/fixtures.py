@@ -373,7 +373,8 @@ SELECT e.event_type AS project_id, 'pkg-' || CAST(e.user_id AS STRING) AS packag
             WHEN e.event_type = 'view' THEN CASE e.event_id % 3 WHEN 0 THEN 'api.example.com'
                  WHEN 1 THEN 'CDN.npmjs.org' ELSE 'evil.example.net' END
             WHEN e.event_type = 'click' THEN CASE e.event_id % 3 WHEN 0 THEN '/srv/app/data'
-                 WHEN 1 THEN '/etc/passwd' ELSE '/tmp/x' END
+                 WHEN 1 THEN CASE WHEN e.event_id % 2 = 0 THEN '/etc/passwd' ELSE '/srv/app/../../etc' END
+                 ELSE '/tmp/./x/' END
             WHEN e.event_type = 'error' THEN CASE e.event_id % 3 WHEN 0 THEN 'HOME'
                  WHEN 1 THEN 'AWS_SECRET' ELSE 'PATH' END END AS target
 FROM {{events}} e

@@ -32,3 +32,11 @@ def test_js_rounding_and_numbers(spark):
         js.round1(F.lit(3.05)).alias("c"), js.js_num(F.lit(10.0)).alias("d"), js.js_num(F.lit(3.5)).alias("e"),
         js.js_trim(F.lit("  x \t\r")).alias("f")).first()
     assert (row.a, row.b, row.d, row.e, row.f) == (-2, 3, "10", "3.5", "x")
+
+
+def test_resolve_path(spark):
+    cases = {"/srv/app/../../etc": "/etc", "/tmp/./x/": "/tmp/x", "/": "/", "/..": "/", "": "/", "a//b": "/a/b",
+             "/a/b/..": "/a", "/a/...": "/a/..."}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "p string")
+    got = {r.p: r.q for r in df.select("p", js.resolve_path(F.col("p")).alias("q")).collect()}
+    assert {k: v for k, v in got.items() if k is not None} == cases

@@ -11,7 +11,7 @@ CHECKED = ["project_scan", "dedup_findings", "ranked_findings", "scan_summary",
            "behavior_findings", "package_risk", "apply_known_safe", "audit_summary", "typosquat", "name_similarity",
            "lock_diff", "lock_flags", "lock_diff_summary", "semver_changes", "detect_license", "license_violations",
            "maintainer_risk", "provenance", "fingerprint_profile", "profile_diff", "policy_results", "list_check",
-           "list_mutations", "access_check", "gate_checks", "compliance_summary", "suggestions", "top_suggestions",
+           "list_mutations", "access_check", "manifest_generate", "gate_checks", "compliance_summary", "suggestions", "top_suggestions",
            "monitor_check", "monitor_status", "posture_trend", "posture_compare", "parse_lockfile",
            "sbom_components", "spdx_relationships", "owasp_report", "coverage_score"]
 
