@@ -66,7 +66,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str, url_col: str, payload
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     winners = checkpointed(rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n"))
                            .where("n > 1").drop("n"), "winners")
-    met = rows.join(winners.hint("merge"), "digest", "left")
+    met = rows.join(winners, "digest", "left")  # by Spark's own size check: a merge would shuffle all payloads
     revisit = F.col("winner").isNotNull() & (F.col("size") >= least) & ~F.col("id").eqNullSafe(F.col("winner"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(_END))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
@@ -162,16 +162,21 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     sums = pieces.groupBy("path", "block").agg(F.max(F.col("at") + F.col("size") + len(_SEPARATOR)).alias("total"))
     sums = checkpointed(sums.withColumn("before", F.sum("total").over(Window.partitionBy("path").orderBy("block")) - F.col("total")).select("path", "block", "before"), "sums")
     # a piece's offset is that of its "WARC/": 5 bytes before the piece, but for the file's first
-    placed = pieces.join(sums, ["path", "block"]).withColumn("at", F.col("before") + F.col("at")).drop("before", "block")
+    pieces = pieces.withColumnRenamed("at", "rel")
+    placed = pieces.drop("raw").join(sums, ["path", "block"]).withColumn("at", F.col("before") + F.col("rel")).drop("before")
     first = F.col("at") == 0
     candidates = placed.where("length is not null").select("path", F.when(first, 0).otherwise(F.col("at") - 5).alias("at"),
                                                            (F.when(first, 5).otherwise(F.col("at")) + F.col("length") + 4).alias("next"))
     links = checkpointed(candidates, "candidates")
     kept = reachable(links).select("path", F.when(F.col("at") == 0, 0).otherwise(F.col("at") + 5).alias("at"), F.lit(True).alias("starts"))
-    marked = placed.join(kept.hint("merge"), ["path", "at"], "left")
     short = F.when(first, F.col("size") - 5).otherwise(F.col("size"))
     raw = F.when(first, F.expr("substring(raw, 6)")).otherwise(F.col("raw"))
-    whole = marked.where(F.col("starts") & (short >= F.col("length"))).select("path", "at", "length", raw.alias("raw"))
+    # most pieces are a whole record: only the others are looked up, so that payloads stay where they are
+    marked = placed.join(kept.hint("merge"), ["path", "at"], "left")
+    odd = checkpointed(marked.where(F.col("starts").isNull() | (short < F.col("length"))).select("path", "block", "rel", "at", "starts"), "odd")
+    whole = pieces.join(odd.select("path", "block", "rel"), ["path", "block", "rel"], "left_anti").join(sums, ["path", "block"])
+    whole = whole.withColumn("at", F.col("before") + F.col("rel")).select("path", "at", "length", raw.alias("raw"))
+    marked = pieces.join(odd, ["path", "block", "rel"])
     return whole.unionByName(_glued(marked, short, raw)).mapInArrow(_records, "path string, at long, record_id string, record_type string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary, digest_ok boolean, complete boolean")
 
 
