@@ -8,8 +8,8 @@ matter for the catalogues:
   RE2, but Unicode-aware in Java.  For Spark it is rewritten as an explicit
   ASCII boundary built from look-arounds.
 * the ``i`` flag becomes an inline ``(?i)`` (ASCII folding in Java).
-* RE2 has no look-around and no back-references; patterns that use them
-  are flagged so oracle queries can leave them out (Spark runs them all).
+* RE2 has no look-around and no back-references; the oracle states the
+  rules that use them in parts (``plans.sql.SPLIT_RULES``).
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Plan shape (all narrow, no shuffle until the summaries):
 2. the few (file, rule) rows with matches are joined to the broadcast rule
    table (a fixed-size catalogue), ``split`` by the same pattern gives the
    text between matches, and one ``aggregate`` over the match array turns
-   segment lengths into offset, line and column of every match in O(n);
+   segment lengths into offset, line and column of every match (its output
+   array is copied per match, so the work grows with matches squared);
 3. first match per (rule, file, line) is kept inside the array (matches of
    one rule in one file are adjacent and in offset order), then exploded;
 4. the snippet is the trimmed source line around the match.
@@ -26,7 +27,7 @@ from chainscope.catalog import prefilters
 from chainscope.catalog.behavior_rules import BEHAVIOR_RULES, SEVERITY_WEIGHT
 from chainscope.catalog.scan_rules import CONFIDENCE_ORDER, OWASP_NAMES, SCAN_RULES, SEVERITY_ORDER
 from chainscope.functions import js
-from chainscope.functions.regex import re2_compatible, to_java, to_re2
+from chainscope.functions.regex import to_java, to_re2
 from chainscope.functions.sizing import spread
 
 _POS = T.StructType([
@@ -38,8 +39,7 @@ _POS = T.StructType([
 
 # ---------------------------------------------------------------- catalogues
 
-def source_rules(severity_threshold: str = "low", confidence_threshold: str = "low",
-                 re2_only: bool = False) -> list[dict]:
+def source_rules(severity_threshold: str = "low", confidence_threshold: str = "low") -> list[dict]:
     """The source-scan catalogue, threshold-filtered on the driver.
 
     Filtering here is predicate pushdown on the build side: rules below the
@@ -50,19 +50,15 @@ def source_rules(severity_threshold: str = "low", confidence_threshold: str = "l
     for idx, (rid, owasp, cwe, sev, conf, flags, pat, msg) in enumerate(SCAN_RULES):
         if SEVERITY_ORDER[sev] > sev_max or CONFIDENCE_ORDER[conf] > conf_max:
             continue
-        if re2_only and not re2_compatible(pat):
-            continue
         out.append(dict(rule_idx=idx, rule_id=rid, owasp=owasp, owasp_name=OWASP_NAMES[owasp], cwe=cwe,
                         severity=sev, confidence=conf, message=msg, flags=flags, pattern=pat,
                         java=to_java(pat, flags), re2=to_re2(pat, flags), prefilter=prefilters.SOURCE.get(rid)))
     return out
 
 
-def behavior_rules(re2_only: bool = False) -> list[dict]:
+def behavior_rules() -> list[dict]:
     out = []
     for idx, (rule, pat, sev, cat, msg) in enumerate(BEHAVIOR_RULES):
-        if re2_only and not re2_compatible(pat):
-            continue
         out.append(dict(rule_idx=idx, rule=rule, severity=sev, category=cat, message=msg,
                         weight=SEVERITY_WEIGHT[sev], flags="g", pattern=pat,
                         java=to_java(pat, "g"), re2=to_re2(pat, "g"), prefilter=prefilters.BEHAVIOR.get(rule)))

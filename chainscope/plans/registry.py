@@ -3,8 +3,7 @@
 Every registered query reads the driver's tables (directly or through the
 fixture views derived from them) in full.  The oracle is an independent
 SQL statement over the same parquet tables; ``None`` marks queries that
-SQL cannot state (look-around regexes, streaming state) and that are
-checked in our tests instead.
+SQL cannot state and that are checked in our tests instead.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ def collected(ws):
 
 
 def findings(ws, rules=None, dedup=True):
-    rules = rules if rules is not None else scan.source_rules(re2_only=True)
+    rules = rules if rules is not None else scan.source_rules()
     return scan.scan_source(collected(ws), rules, keep=("project_id", "path"), dedup=dedup)
 
 
@@ -69,7 +69,7 @@ WHERE {o_ext('path')} IN ({exts})
 def o_rules_cte(rules) -> tuple[str, str]:
     cols = ["rule_idx", "rule_id", "owasp", "owasp_name", "cwe", "severity", "confidence", "message", "pat"]
     rows = [(r["rule_idx"], r["rule_id"], r["owasp"], r["owasp_name"], r["cwe"], r["severity"], r["confidence"],
-             r["message"], r["re2"]) for r in rules]
+             r["message"], Q.split_rule_pattern(r["rule_id"], r["re2"])) for r in rules]
     return ("rules", Q.values_cte(cols, rows))
 
 
@@ -77,9 +77,9 @@ RULE_COLS = ["rule_idx", "rule_id", "owasp", "owasp_name", "cwe", "severity", "c
 
 
 def o_findings_ctes(dedup=True, rules=None) -> list[tuple[str, str]]:
-    rules = rules if rules is not None else scan.source_rules(re2_only=True)
+    rules = rules if rules is not None else scan.source_rules()
     return (o_collect_files_cte() + [o_rules_cte(rules)]
-            + Q.match_ctes("files", "rules", RULE_COLS, ["project_id", "path"], dedup)
+            + Q.match_ctes("files", "rules", RULE_COLS, ["project_id", "path"], dedup, split_rules=True)
             + [("findings", "SELECT * EXCLUDE (path), path AS file FROM m_out")])
 
 
@@ -124,14 +124,14 @@ def q_dedup_findings(ws):
 
 
 @query("scan_threshold", lambda: with_fixtures(
-    ["src_files"], o_findings_ctes(rules=scan.source_rules("high", "medium", re2_only=True)), o_select_findings()))
+    ["src_files"], o_findings_ctes(rules=scan.source_rules("high", "medium")), o_select_findings()))
 def q_scan_threshold(ws):
-    return findings(ws, rules=scan.source_rules("high", "medium", re2_only=True)).select(*FINDING_OUT)
+    return findings(ws, rules=scan.source_rules("high", "medium")).select(*FINDING_OUT)
 
 
-@query("scan_full")
+@query("scan_full", lambda: with_fixtures(["src_files"], o_findings_ctes(), o_select_findings()))
 def q_scan_full(ws):
-    """All 99 rules incl. look-around ones RE2 cannot run (golden-row tested)."""
+    """De-duplicated findings with the catalogue's rules named outright."""
     return findings(ws, rules=scan.source_rules()).select(*FINDING_OUT)
 
 
@@ -217,7 +217,7 @@ SELECT s.project_id, f.severity, CAST(count(*) AS BIGINT) AS findings,
 FROM findings f JOIN summ s USING (project_id)
 GROUP BY s.project_id, f.severity, s.total_files, s.risk_score"""))
 def q_project_scan(ws):
-    return project_scan(ws, scan.source_rules(re2_only=True))
+    return project_scan(ws, scan.source_rules())
 
 
 def project_scan(ws, rules):
