@@ -48,11 +48,13 @@ def audit_packages(spark: SparkSession, root: str, project_depth: int = 1) -> di
 
 
 def diff_lockfiles(docs: DataFrame, old: str = "old", new: str = "new") -> dict[str, DataFrame]:
-    """Diff of lockfile documents ``(project_id, snapshot, content)``."""
+    """Diff of lockfile documents ``(project_id, snapshot, content)``:
+    entries, changes, version changes, flags and the summary per project."""
     entries = sbom.parse_lockfile(docs)
-    entries = entries.withColumn("has_bin", F.lit(False))
     diff = lockdiff.lock_diff(entries, old, new)
-    return {"entries": entries, "diff": diff, "semver": lockdiff.semver_changes(diff)}
+    flags = lockdiff.lock_flags(diff, sbom.lock_edges(entries), old, new)
+    return {"entries": entries, "diff": diff, "semver": lockdiff.semver_changes(diff), "flags": flags,
+            "summary": lockdiff.diff_summary(entries, diff, flags, old, new)}
 
 
 def license_report(meta: DataFrame, texts: DataFrame | None = None, policy: dict | None = None,

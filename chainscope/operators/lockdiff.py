@@ -54,6 +54,7 @@ def lock_flags(diff: DataFrame, edges: DataFrame, old: str = "old", new: str = "
     Flags of added packages: install script, native, network, bin.
     Flags of changed packages: major bump, downgrade, install script added,
     and one ``new-dependency`` per dependency key new in the new snapshot.
+    ``edges`` are (*keys, snapshot, name, dep), distinct.
     """
     keys = list(keys)
     name = F.col("name")
@@ -87,9 +88,10 @@ def lock_flags(diff: DataFrame, edges: DataFrame, old: str = "old", new: str = "
                 .select(*keys, "name", F.col("_f.flag").alias("flag"), F.col("_f.message").alias("message")))
 
     changed = sv
-    new_deps = (edges.where(F.col("snapshot") == new).select("name", "dep")
-                .join(edges.where(F.col("snapshot") == old).select("name", "dep"), ["name", "dep"], "left_anti"))
-    dep_flags = (changed.select(*keys, "name").join(new_deps, "name")
+    dep_key = keys + ["name", "dep"]
+    new_deps = (edges.where(F.col("snapshot") == new).select(*dep_key)
+                .join(edges.where(F.col("snapshot") == old).select(*dep_key), dep_key, "left_anti"))
+    dep_flags = (changed.select(*keys, "name").join(new_deps, keys + ["name"])
                  .select(*keys, "name", F.lit("new-dependency").alias("flag"),
                          F.concat(q(name), F.lit(" added new dependency "), q(F.col("dep"))).alias("message")))
     return explode_flags(added, added_flags).unionByName(explode_flags(changed, changed_flags)).unionByName(dep_flags)
@@ -116,8 +118,8 @@ def dep_edges(lock: DataFrame, edges: DataFrame, snapshot: str = "new", keys: li
     """(package@version) -> (dependency@version); unknown versions '0.0.0'."""
     keys = list(keys)
     pk = lock.where(F.col("snapshot") == snapshot).select(*keys, "name", "version")
-    e = edges.where(F.col("snapshot") == snapshot).select("name", "dep")
+    e = edges.where(F.col("snapshot") == snapshot).select(*keys, "name", "dep")
     dv = pk.select(*keys, F.col("name").alias("dep"), F.col("version").alias("dep_version"))
-    return (pk.join(e, "name").join(dv, keys + ["dep"], "left")
+    return (pk.join(e, keys + ["name"]).join(dv, keys + ["dep"], "left")
             .select(*keys, "name", "version", F.col("dep").alias("depends_on"),
                     F.coalesce("dep_version", F.lit("0.0.0")).alias("depends_on_version")))

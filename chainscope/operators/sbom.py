@@ -16,7 +16,7 @@ from chainscope.functions.ranking import group_rank
 from chainscope.operators import license as L
 
 ENTRY = ("struct<version:string,resolved:string,integrity:string,dev:boolean,optional:boolean,"
-         "hasInstallScript:boolean,license:string>")
+         "hasInstallScript:boolean,hasBin:boolean,license:string,dependencies:map<string,string>>")
 LOCK_SCHEMA = f"struct<lockfileVersion:int,packages:map<string,{ENTRY}>,dependencies:map<string,{ENTRY}>>"
 
 
@@ -37,7 +37,14 @@ def parse_lockfile(docs: DataFrame, keys=("project_id", "snapshot"), content_col
                     F.coalesce(F.col("e.dev"), F.lit(False)).alias("dev"),
                     F.coalesce(F.col("e.optional"), F.lit(False)).alias("optional"),
                     F.coalesce(F.col("e.hasInstallScript"), F.lit(False)).alias("has_install_script"),
-                    F.col("e.license").alias("license"))
+                    F.coalesce(F.col("e.hasBin"), F.lit(False)).alias("has_bin"),
+                    F.col("e.license").alias("license"),
+                    F.map_keys(F.col("e.dependencies")).alias("dependencies"))
+
+
+def lock_edges(entries: DataFrame, keys=("project_id", "snapshot")) -> DataFrame:
+    """Dependency names of parsed lock entries, one distinct (*keys, name, dep) per row."""
+    return entries.select(*keys, "name", F.explode("dependencies").alias("dep")).distinct()
 
 
 def purl(name: Column, version: Column) -> Column:
@@ -108,7 +115,7 @@ def spdx_relationships(comps: DataFrame, edges: DataFrame, keys=("project_id",))
     numbered = group_rank(comps.select(*keys, "name", "version"), keys, [F.col("name")], name="n",
                           lead=[(F.substring("name", 1, 8), False)])
     versions = comps.select(*keys, F.col("name").alias("dep"), F.col("version").alias("dep_version"))
-    rel = numbered.join(edges.select("name", "dep"), "name").join(versions, keys + ["dep"], "left")
+    rel = numbered.join(edges.select(*keys, "name", "dep"), keys + ["name"]).join(versions, keys + ["dep"], "left")
     return rel.select(*keys, F.concat(F.lit("SPDXRef-Package-"), F.col("n").cast("string")).alias("spdx_element_id"),
                       F.lit("DEPENDS_ON").alias("relationship_type"),
                       purl(F.col("dep"), F.coalesce(F.col("dep_version"), F.lit("0.0.0"))).alias("related_spdx_element"))

@@ -171,8 +171,9 @@ FROM svc WHERE downgrade
 UNION ALL SELECT project_id, name, 'new-install-script', '"' || name || '" added install scripts in ' || new_version
 FROM svc WHERE NOT coalesce(old_has_install_script, FALSE) AND new_has_install_script
 UNION ALL SELECT c.project_id, c.name, 'new-dependency', '"' || c.name || '" added new dependency "' || e.dep || '"'
-FROM svc c JOIN (SELECT name, dep FROM lock_edges WHERE snapshot = 'new'
-                 EXCEPT SELECT name, dep FROM lock_edges WHERE snapshot = 'old') e ON c.name = e.name""")]
+FROM svc c JOIN (SELECT project_id, name, dep FROM lock_edges WHERE snapshot = 'new'
+                 EXCEPT SELECT project_id, name, dep FROM lock_edges WHERE snapshot = 'old') e
+  ON c.project_id = e.project_id AND c.name = e.name""")]
 
 
 @query("lock_diff", lambda: with_fixtures(["lock_packages"], o_diff(),
@@ -219,7 +220,7 @@ def q_lock_diff_summary(ws):
 @query("dep_edges", lambda: with_fixtures(["lock_packages", "lock_edges"], [], """
 SELECT p.project_id, p.name, p.version, e.dep AS depends_on, coalesce(q.version, '0.0.0') AS depends_on_version
 FROM (SELECT * FROM lock_packages WHERE snapshot = 'new') p
-JOIN (SELECT * FROM lock_edges WHERE snapshot = 'new') e ON e.name = p.name
+JOIN (SELECT * FROM lock_edges WHERE snapshot = 'new') e ON e.project_id = p.project_id AND e.name = p.name
 LEFT JOIN (SELECT * FROM lock_packages WHERE snapshot = 'new') q ON q.project_id = p.project_id AND q.name = e.dep"""))
 def q_dep_edges(ws):
     return lockdiff.dep_edges(lock(ws), ws.table("lock_edges"))

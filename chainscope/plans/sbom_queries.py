@@ -11,7 +11,7 @@ from chainscope.plans import sql as Q
 from chainscope.plans.registry import query, with_fixtures
 
 LOCK_OUT = ["project_id", "snapshot", "name", "version", "resolved", "integrity", "dev", "optional",
-            "has_install_script", "license"]
+            "has_install_script", "has_bin", "license"]
 
 
 def entries(ws):
@@ -35,7 +35,7 @@ def o_norm_sbom(x):
 
 def o_entries():
     st = ("STRUCT(version VARCHAR, resolved VARCHAR, integrity VARCHAR, dev BOOLEAN, optional BOOLEAN, "
-          "hasInstallScript BOOLEAN, license VARCHAR)")
+          "hasInstallScript BOOLEAN, hasBin BOOLEAN, license VARCHAR)")
     spec = '{"packages": "MAP(VARCHAR, ' + st + ')", "dependencies": "MAP(VARCHAR, ' + st + ')"}'
     return [
         ("lj", f"SELECT project_id, snapshot, json_transform(content, {sql_str(spec)}) AS j FROM lockfile_json"),
@@ -45,7 +45,8 @@ SELECT project_id, snapshot, j.packages IS NOT NULL AS pk,
         ("ents", """
 SELECT project_id, snapshot, name, e.value.version AS version, e.value.resolved AS resolved,
        e.value.integrity AS integrity, coalesce(e.value.dev, FALSE) AS dev, coalesce(e.value.optional, FALSE) AS optional,
-       coalesce(e.value.hasInstallScript, FALSE) AS has_install_script, e.value.license AS license
+       coalesce(e.value.hasInstallScript, FALSE) AS has_install_script,
+       coalesce(e.value.hasBin, FALSE) AS has_bin, e.value.license AS license
 FROM (SELECT *, CASE WHEN pk THEN regexp_replace(e.key, '^node_modules/', '') ELSE e.key END AS name FROM le)
 WHERE NOT pk OR (e.key <> '' AND NOT contains(name, 'node_modules/'))"""),
     ]
@@ -121,7 +122,8 @@ def q_purl(ws):
     f"""
 SELECT n.project_id, 'SPDXRef-Package-' || CAST(n.n AS VARCHAR) AS spdx_element_id, 'DEPENDS_ON' AS relationship_type,
        {o_purl('e.dep', "coalesce(d.version, '0.0.0')")} AS related_spdx_element
-FROM num n JOIN (SELECT DISTINCT name, dep FROM lock_edges WHERE snapshot = 'new') e ON e.name = n.name
+FROM num n JOIN (SELECT DISTINCT project_id, name, dep FROM lock_edges WHERE snapshot = 'new') e
+  ON e.project_id = n.project_id AND e.name = n.name
 LEFT JOIN comp d ON d.project_id = n.project_id AND d.name = e.dep"""))
 def q_spdx_relationships(ws):
     edges = ws.table("lock_edges").where(F.col("snapshot") == "new")

@@ -211,13 +211,14 @@ WHERE NOT (g.snapshot = 'old' AND g.k % 17 = 0) AND NOT (g.snapshot = 'new' AND
 """)
 
 # Dependency keys of each lock entry, from lineitem (order -> part), per
-# snapshot by ship date.
-fixture("lock_edges", ["lineitem", "customer"], f"""
-SELECT DISTINCT e.snapshot, coalesce(a.name, 'pkg-' || CAST(e.pkg_k AS STRING)) AS name,
+# project of the order and snapshot by ship date.
+fixture("lock_edges", ["lineitem", "orders", "customer"], f"""
+SELECT DISTINCT e.project_id, e.snapshot, coalesce(a.name, 'pkg-' || CAST(e.pkg_k AS STRING)) AS name,
        coalesce(b.name, 'pkg-' || CAST(e.dep_k AS STRING)) AS dep
-FROM (SELECT CASE WHEN CAST(l.l_shipdate AS DATE) < DATE '1998-01-01' THEN 'old' ELSE 'new' END AS snapshot,
-             l.l_orderkey % {PKG_SPACE} AS pkg_k, l.l_partkey % {PKG_SPACE} AS dep_k
-      FROM {{{{lineitem}}}} l) e
+FROM (SELECT o.o_orderpriority AS project_id,
+             CASE WHEN CAST(l.l_shipdate AS DATE) < DATE '1998-01-01' THEN 'old' ELSE 'new' END AS snapshot,
+             o.o_custkey % {PKG_SPACE} AS pkg_k, l.l_partkey % {PKG_SPACE} AS dep_k
+      FROM {{{{lineitem}}}} l JOIN {{{{orders}}}} o ON o.o_orderkey = l.l_orderkey) e
 LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "a")} ON a.k = e.pkg_k
 LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "b")} ON b.k = e.dep_k
 WHERE e.pkg_k <> e.dep_k
@@ -317,8 +318,9 @@ SELECT n.project_id, n.name AS package_name, n.version, n.license AS license_raw
        CAST(n.lock_key % 5 AS INT) AS high_findings
 FROM {{lock_packages}} n
 LEFT JOIN {{lock_packages}} o ON o.project_id = n.project_id AND o.name = n.name AND o.snapshot = 'old'
-LEFT JOIN (SELECT name, count(*) AS deps FROM {{lock_edges}} WHERE snapshot = 'new' GROUP BY name) e
-  ON e.name = n.name
+LEFT JOIN (SELECT project_id, name, count(*) AS deps FROM {{lock_edges}} WHERE snapshot = 'new'
+           GROUP BY project_id, name) e
+  ON e.project_id = n.project_id AND e.name = n.name
 WHERE n.snapshot = 'new'
 """)
 
@@ -386,13 +388,16 @@ FROM {{events}} e
 # lockfile_json: package-lock documents, one per (project, snapshot, chunk of
 # eight by lock key); chunk 3 and 7 use the v1 "dependencies" layout, the
 # others the v2/v3 "packages" layout with a root entry and nested entries.
-fixture("lockfile_json", ["lock_packages"], """
+fixture("lockfile_json", ["lock_packages", "lock_edges"], """
 SELECT project_id, snapshot, chunk,
   CASE WHEN chunk % 4 = 3 THEN
     '{"lockfileVersion":1,"dependencies":{' || string_agg('"' || name || '":{"version":"' || version
       || '","resolved":"' || resolved || '"'
       || CASE WHEN integrity IS NOT NULL THEN ',"integrity":"' || integrity || '"' ELSE '' END
-      || CASE WHEN dev THEN ',"dev":true' ELSE '' END || '}', ',') || '}}'
+      || CASE WHEN dev THEN ',"dev":true' ELSE '' END
+      || CASE WHEN has_install_script THEN ',"hasInstallScript":true' ELSE '' END
+      || CASE WHEN has_bin THEN ',"hasBin":true' ELSE '' END
+      || coalesce(',"dependencies":{' || deps || '}', '') || '}', ',') || '}}'
   ELSE
     '{"lockfileVersion":3,"packages":{"":{"name":"' || project_id || '","version":"1.0.0"},'
       || string_agg('"node_modules/' || name || '":{"version":"' || version || '","resolved":"' || resolved || '"'
@@ -400,11 +405,16 @@ SELECT project_id, snapshot, chunk,
       || CASE WHEN dev THEN ',"dev":true' ELSE '' END
       || CASE WHEN optional THEN ',"optional":true' ELSE '' END
       || CASE WHEN has_install_script THEN ',"hasInstallScript":true' ELSE '' END
+      || CASE WHEN has_bin THEN ',"hasBin":true' ELSE '' END
+      || coalesce(',"dependencies":{' || deps || '}', '')
       || ',"license":"' || license || '"}'
       || CASE WHEN lock_key % 9 = 0 THEN ',"node_modules/' || name || '/node_modules/inner-dep":{"version":"0.0.1"}'
          ELSE '' END, ',') || '}}'
   END AS content
-FROM (SELECT *, lock_key % 8 AS chunk FROM {{lock_packages}}) p
+FROM (SELECT l.*, l.lock_key % 8 AS chunk, e.deps FROM {{lock_packages}} l
+      LEFT JOIN (SELECT project_id, snapshot, name, string_agg('"' || dep || '":"*"', ',') AS deps
+                 FROM {{lock_edges}} GROUP BY project_id, snapshot, name) e
+        ON e.project_id = l.project_id AND e.snapshot = l.snapshot AND e.name = l.name) p
 GROUP BY project_id, snapshot, chunk
 """)
 

@@ -66,17 +66,21 @@ def test_api_audit_packages(spark):
 
 
 def test_api_diff_lockfiles_equals_table_diff(spark):
-    """Diffing the lockfile JSON documents gives the diff of the lock rows
-    they were written from."""
+    """Diffing the lockfile JSON documents gives the diff and the flags of
+    the lock rows they were written from, new dependencies included."""
     from chainscope import api
     from chainscope.operators import lockdiff
     from chainscope.sources.fixtures import Workspace
     from tests.conftest import SF_SMALL
     ws = Workspace.of(spark, SF_SMALL)
-    from_docs = api.diff_lockfiles(ws.table("lockfile_json"))["diff"]
+    out = api.diff_lockfiles(ws.table("lockfile_json"))
+    from_docs = out["diff"]
     from_rows = lockdiff.lock_diff(ws.table("lock_packages"))
     cols = ["project_id", "name", "type", "old_version", "new_version"]
     assert sorted(map(tuple, from_docs.select(*cols).collect())) == sorted(map(tuple, from_rows.select(*cols).collect()))
+    flags = sorted(map(tuple, out["flags"].collect()))
+    assert flags == sorted(map(tuple, lockdiff.lock_flags(from_rows, ws.table("lock_edges")).collect()))
+    assert {"new-dependency", "new-bin"} <= {f[2] for f in flags}
 
 
 def test_api_license_report(spark):
