@@ -76,11 +76,13 @@ def test_api_diff_lockfiles_equals_table_diff(spark):
     out = api.diff_lockfiles(ws.table("lockfile_json"))
     from_docs = out["diff"]
     from_rows = lockdiff.lock_diff(ws.table("lock_packages"))
-    cols = ["project_id", "name", "type", "old_version", "new_version"]
-    assert sorted(map(tuple, from_docs.select(*cols).collect())) == sorted(map(tuple, from_rows.select(*cols).collect()))
+    cols = ["project_id", "name", "type", "old_version", "new_version", "old_has_bin", "new_has_bin"]
+    assert from_docs.where("new_has_bin").count() > 0
+    assert sorted(map(tuple, from_docs.select(*cols).collect()), key=repr) == \
+        sorted(map(tuple, from_rows.select(*cols).collect()), key=repr)
     flags = sorted(map(tuple, out["flags"].collect()))
     assert flags == sorted(map(tuple, lockdiff.lock_flags(from_rows, ws.table("lock_edges")).collect()))
-    assert {"new-dependency", "new-bin"} <= {f[2] for f in flags}
+    assert "new-dependency" in {f[2] for f in flags}
 
 
 def test_api_license_report(spark):
