@@ -385,8 +385,8 @@ FROM {{events}} e
 
 # ---------------------------------------------------------------- lockfile documents
 
-# lockfile_json: package-lock documents, one per (project, snapshot, chunk of
-# eight by lock key); chunk 3 and 7 use the v1 "dependencies" layout, the
+# lockfile_json: package-lock documents, one per (project, snapshot, range of
+# 256 lock keys, so their number grows and none does); every fourth uses the v1 "dependencies" layout, the
 # others the v2/v3 "packages" layout with a root entry and nested entries.
 fixture("lockfile_json", ["lock_packages", "lock_edges"], """
 SELECT project_id, snapshot, chunk,
@@ -411,7 +411,7 @@ SELECT project_id, snapshot, chunk,
       || CASE WHEN lock_key % 9 = 0 THEN ',"node_modules/' || name || '/node_modules/inner-dep":{"version":"0.0.1"}'
          ELSE '' END, ',') || '}}'
   END AS content
-FROM (SELECT l.*, l.lock_key % 8 AS chunk, e.deps FROM {{lock_packages}} l
+FROM (SELECT l.*, CAST(floor(l.lock_key / 256) AS BIGINT) AS chunk, e.deps FROM {{lock_packages}} l
       LEFT JOIN (SELECT project_id, snapshot, name, string_agg('"' || dep || '":"*"', ',') AS deps
                  FROM {{lock_edges}} GROUP BY project_id, snapshot, name) e
         ON e.project_id = l.project_id AND e.snapshot = l.snapshot AND e.name = l.name) p
