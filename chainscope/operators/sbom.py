@@ -92,14 +92,18 @@ def direct_dependencies(manifest: DataFrame, keys=("project_id",)) -> DataFrame:
                     (F.col("sections") > 1).alias("in_both")))
 
 
-def components(lock_entries: DataFrame, meta: DataFrame, keys=("project_id",)) -> DataFrame:
+def components(lock_entries: DataFrame, meta: DataFrame, manifest: DataFrame, keys=("project_id",)) -> DataFrame:
     """Lock entries with metadata: license (metadata, else lock),
-    scope (dev > optional > required), description, author, purl."""
+    scope (dev flag > optional > listed in the project's devDependencies >
+    required), description, author, purl."""
     keys = list(keys)
     m = meta_fields(meta).select(*keys, "name", F.col("license").alias("_ml"), "description", "author")
-    j = lock_entries.join(m, keys + ["name"], "left")
+    dev = (manifest.where(F.col("section") == "devDependencies").select(*keys, "name").distinct()
+           .withColumn("_in_dev", F.lit(True)))
+    j = lock_entries.join(m, keys + ["name"], "left").join(dev, keys + ["name"], "left")
     lic = F.coalesce(F.col("_ml"), F.col("license"))
-    scope = F.when(F.col("dev"), "dev").when(F.col("optional"), "optional").otherwise("required")
+    scope = (F.when(F.col("dev"), "dev").when(F.col("optional"), "optional").when(F.col("_in_dev"), "dev")
+             .otherwise("required"))
     return j.select(*keys, "name", "version", purl(F.col("name"), F.col("version")).alias("purl"),
                     lic.alias("license"), L.normalize_sbom(lic).alias("license_id"), scope.alias("scope"),
                     F.coalesce(F.col("description"), F.lit("")).alias("description"),

@@ -20,7 +20,7 @@ def entries(ws):
 
 def comps(ws):
     new = entries(ws).where(F.col("snapshot") == "new").drop("snapshot")
-    return B.components(new, ws.table("package_meta"))
+    return B.components(new, ws.table("package_meta"), ws.table("project_manifest"))
 
 
 def o_purl(name, version):
@@ -75,7 +75,9 @@ def o_comps():
     return o_entries() + o_meta() + [("comp", f"""
 SELECT e.project_id, e.name, e.version, {o_purl('e.name', 'e.version')} AS purl,
        coalesce(m.license, e.license) AS license, {o_norm_sbom('coalesce(m.license, e.license)')} AS license_id,
-       CASE WHEN e.dev THEN 'dev' WHEN e.optional THEN 'optional' ELSE 'required' END AS scope,
+       CASE WHEN e.dev THEN 'dev' WHEN e.optional THEN 'optional'
+            WHEN EXISTS (SELECT 1 FROM project_manifest pm WHERE pm.project_id = e.project_id AND pm.name = e.name
+                         AND pm.section = 'devDependencies') THEN 'dev' ELSE 'required' END AS scope,
        coalesce(m.description, '') AS description, coalesce(m.author, '') AS author,
        coalesce(e.integrity, '') AS integrity, coalesce(e.resolved, '') AS resolved
 FROM (SELECT * FROM ents WHERE snapshot = 'new') e
@@ -104,7 +106,7 @@ COMP_OUT = ["project_id", "name", "version", "purl", "license", "license_id", "s
             "integrity", "resolved"]
 
 
-@query("sbom_components", lambda: with_fixtures(["lockfile_json", "package_meta"], o_comps(),
+@query("sbom_components", lambda: with_fixtures(["lockfile_json", "package_meta", "project_manifest"], o_comps(),
                                                 f"SELECT {', '.join(COMP_OUT)} FROM comp"))
 def q_sbom_components(ws):
     return comps(ws).select(*COMP_OUT)
@@ -117,7 +119,7 @@ def q_purl(ws):
     return lp.select("project_id", "snapshot", "name", "version", B.purl(F.col("name"), F.col("version")).alias("purl"))
 
 
-@query("spdx_relationships", lambda: with_fixtures(["lockfile_json", "package_meta", "lock_edges"], o_comps() + [
+@query("spdx_relationships", lambda: with_fixtures(["lockfile_json", "package_meta", "project_manifest", "lock_edges"], o_comps() + [
     ("num", "SELECT project_id, name, version, CAST(row_number() OVER (PARTITION BY project_id ORDER BY name) AS BIGINT) AS n FROM comp")],
     f"""
 SELECT n.project_id, 'SPDXRef-Package-' || CAST(n.n AS VARCHAR) AS spdx_element_id, 'DEPENDS_ON' AS relationship_type,
