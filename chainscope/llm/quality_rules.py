@@ -9,10 +9,16 @@ sentencepiece model with byte fallback, which gives
 * byte_share: tokens that stand for single bytes / tokens,
 * entropy: Shannon entropy of the text's tokens, in bits.
 
-A text is rejected if a figure lies outside the band of its language, or of
-its script when the language has none; texts of fewer than ``least`` tokens
-say too little and are judged by the base rules alone.  Words repeat, so a
-Python worker remembers the ids of those it has met.
+Bands come from the rows themselves, without labels: a text is compared with
+those of its language (its script when it has none) and of its length, since
+entropy grows and the other figures settle with the number of tokens.  One
+aggregation gives the quartiles of each language and power of two of tokens,
+and a figure is outside if it lies more than 1.5 times the distance of the
+quartiles beyond them (Tukey's fences).  Groups of few rows take the fences
+of all texts of their script and length.  Besides, the wide fixed bands of
+scripts hold for every text.  Entropy is judged from ``least`` tokens on, the
+other figures always.  Words repeat, so a Python worker remembers the ids of
+those it has met.
 """
 
 from __future__ import annotations
@@ -23,11 +29,12 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainscope.llm import words
 from chainscope.llm.features import lines, repeated_in_windows, symbols, totals, word_chars
+from chainscope.llm.store import checkpointed
 
 
 @dataclass(frozen=True)
@@ -40,11 +47,16 @@ class Band:
     entropy: float
 
 
-#: Bands of scripts; a caller may give bands of languages as well.
+#: Outer bands of scripts; a caller may give bands of languages, which then hold alone.
 SCRIPTS = {"latin": Band(1.3, 8.0, 0.10, 3.0), "greek": Band(0.7, 4.0, 0.20, 3.0), "cyrillic": Band(1.0, 6.0, 0.15, 3.0),
            "arabic": Band(0.6, 4.0, 0.25, 3.0), "east_asian": Band(0.25, 3.0, 0.75, 3.0), "other": Band(0.2, 8.0, 0.95, 3.0)}
-#: Texts of fewer tokens are not judged by bands.
+#: The entropy of texts of fewer tokens is not judged.
 LEAST = 32
+#: Rows that a group needs for fences of its own.
+LEAST_ROWS = 50
+#: Quartile distances that a fence stands off, and the least it does: characters a token
+#: as a share of the median, byte share, bits.
+FENCE, LEAST_CHARS, LEAST_BYTES, LEAST_BITS = 1.5, 0.02, 0.02, 0.1
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 1 << 20
 
@@ -126,6 +138,8 @@ def scripts(w: words.Words, rows: np.ndarray) -> np.ndarray:
 
 
 _OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script"]
+#: Whether a figure is outside, in the result after _OUT.
+_OUTSIDE = ["chars_outside", "bytes_outside", "entropy_outside"]
 
 
 def _judge(batches: Iterator[pa.RecordBatch], path: str, bands: dict[str, Band], least: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -149,22 +163,57 @@ def _judge(batches: Iterator[pa.RecordBatch], path: str, bands: dict[str, Band],
             own["script"] = script
             limits = np.array([(b.low_chars, b.high_chars, b.byte_share, b.entropy) for b in
                                (bands.get(lang) or SCRIPTS[s] for lang, s in zip(part.column("lang").to_pylist(), script))]).reshape(-1, 4)
-            inside = (own["chars_per_token"] >= limits[:, 0]) & (own["chars_per_token"] <= limits[:, 1]) & (own["byte_share"] <= limits[:, 2]) & (own["token_entropy"] >= limits[:, 3])
-            own["kept"] = ~own["base_failed"] & (inside | (tokens < least))
+            own["chars_outside"] = (own["chars_per_token"] < limits[:, 0]) | (own["chars_per_token"] > limits[:, 1])
+            own["bytes_outside"] = own["byte_share"] > limits[:, 2]
+            own["entropy_outside"] = (own["token_entropy"] < limits[:, 3]) & (tokens >= least)
+            own["_lang"] = [None if lang in bands else f"lang {lang}" if lang else f"script {s}" for lang, s in zip(part.column("lang").to_pylist(), script)]
+            own["_size"] = np.frexp(np.maximum(tokens, 1))[1]
             yield pa.RecordBatch.from_arrays([part.column("doc_id") if f.name == "doc_id" else pa.array(own[f.name], f.type) for f in schema], schema=schema)
 
 
+def _fences(figures: DataFrame) -> DataFrame:
+    """Quartiles of each language and length, and (``_lang`` null) of each script and length."""
+    quartiles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"_{c}") for c in ("chars_per_token", "byte_share", "token_entropy")]
+    sized = figures.where("n_tokens > 0 and _lang is not null")
+    both = sized.groupingSets([["_lang", "_size"], ["script", "_size"]], "_lang", "script", "_size").agg(F.count("*").alias("_rows"), *quartiles)
+    return both.where(F.col("_rows") >= LEAST_ROWS).drop("_rows")
+
+
+def _outside(of: str) -> dict[str, Column]:
+    """Whether the figures are beyond the fences of one group (null: it has none)."""
+    def room(c: str, least: Column) -> Column:
+        return F.greatest(FENCE * (F.col(f"{of}.{c}")[2] - F.col(f"{of}.{c}")[0]), least) + 1e-9
+
+    chars, share, bits = F.col(f"{of}._chars_per_token"), F.col(f"{of}._byte_share"), F.col(f"{of}._token_entropy")
+    wide = room("_chars_per_token", LEAST_CHARS * chars[1])
+    return {"chars_outside": (F.col("chars_per_token") < chars[0] - wide) | (F.col("chars_per_token") > chars[2] + wide),
+            "bytes_outside": F.col("byte_share") > share[2] + room("_byte_share", F.lit(LEAST_BYTES)),
+            "entropy_outside": F.col("token_entropy") < bits[0] - room("_token_entropy", F.lit(LEAST_BITS))}
+
+
 def judge(docs: DataFrame, model: str, bands: dict[str, Band] | None = None, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """One row for each text: doc_id, the base counts, base_failed, kept, and the
-    tokeniser's figures.
+    """One row for each text: doc_id, the base counts, base_failed, kept, the
+    tokeniser's figures, and whether each is outside.
 
     ``model`` is the path of a sentencepiece model that all executors have;
-    ``bands`` maps languages (values of ``lang_col``) to bands.  Null and empty
+    ``bands`` maps languages (values of ``lang_col``) to bands, which hold
+    instead of fences.  Figures are written to the shared folder once, for the
+    quartiles and the verdict.  Null and empty
     texts have counts of 0 and fail the base rules.  Repeated rows are judged
     each, a null id stays null, other columns are not read.
     """
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang"))
-    kinds = {"doc_id": pa.int64(), **{c: pa.bool_() if c in ("base_failed", "kept") else pa.string() if c == "script" else pa.float64() if c in ("chars_per_token", "byte_share", "token_entropy") else pa.int64() for c in _OUT}}
+    arrow = {"base_failed": pa.bool_(), "kept": pa.bool_(), "script": pa.string(), "_lang": pa.string(), **dict.fromkeys(("chars_per_token", "byte_share", "token_entropy"), pa.float64()), **dict.fromkeys(_OUTSIDE, pa.bool_())}
+    kinds = {"doc_id": pa.int64(), **{c: arrow.get(c, pa.int64()) for c in (*_OUT, *_OUTSIDE, "_lang", "_size") if c != "kept"}}
     names = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string", pa.float64(): "double"}
-    return rows.mapInArrow(partial(_judge, path=model, bands=bands or {}, least=least, schema=pa.schema(list(kinds.items()))), ", ".join(f"{c} {names[t]}" for c, t in kinds.items()))
+    figures = rows.mapInArrow(partial(_judge, path=model, bands=bands or {}, least=least, schema=pa.schema(list(kinds.items()))), ", ".join(f"{c} {names[t]}" for c, t in kinds.items()))
+    figures = checkpointed(figures, "figures")
+    # read from a table, so that Spark knows the size of the few groups before it plans the joins
+    fences = checkpointed(_fences(figures), "fences")
+    out = figures.alias("d").join(fences.where("_lang is not null").alias("own"), F.expr("d._lang = own._lang and d._size = own._size"), "left")
+    out = out.join(fences.where("_lang is null").alias("all"), F.expr("d.script = all.script and d._size = all._size and d._lang is not null"), "left")
+    own, every = _outside("own"), _outside("all")
+    beyond = {c: F.coalesce(own[c], every[c], F.lit(False)) & (F.col("n_tokens") >= (least if c == "entropy_outside" else 1)) for c in _OUTSIDE}
+    out = out.select("doc_id", *[f"d.{c}" for c in _OUT if c != "kept"], *[(F.col(f"d.{c}") | beyond[c]).alias(c) for c in _OUTSIDE])
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.greatest(*_OUTSIDE)).select("doc_id", *_OUT, *_OUTSIDE)

@@ -167,6 +167,19 @@ def test_quality_rules(spark, odd):
     assert got[3].byte_share > 0.5 and not got[3].kept
 
 
+def test_quality_fences(spark):
+    """The method rejects junk that the base rules pass, short texts too, and little else."""
+    out = queries.op5_quality_rules(spark, "/root/testdata/sf0.01").where("not base_failed").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    shares = {r.quality: r.rejected for r in out.groupBy("quality").agg(F.avg((~F.col("kept")).cast("double")).alias("rejected")).collect()}
+    assert shares[0] > 0.5 and shares[1] < 0.05
+    plain = "the people of this town have been here for a long time and they {} it"
+    rows = [(k, plain.format(v), "en" if k % 2 else None) for k, v in enumerate(("like", "love", "know", "want", "need") * 30)]
+    junk = [(900, "qxzj vkwq zzxk jqvx wkzq xjqk vzwx qkjz xwvq zkxj", "en"), (901, "the people of this town \U0001F98A have \U0001F98B been here for a long time", "en")]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert len(got) == len(rows) + 2 and all(got[k].kept for k, _, _ in rows)
+    assert got[900].chars_outside and got[901].bytes_outside and got[901].n_tokens < 32 and not got[900].kept and not got[901].kept and not got[901].base_failed
+
+
 def test_classifier_held_out(spark, odd):
     out = queries.op6_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out")
     right = out.select(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
