@@ -11,6 +11,7 @@ column's width, and preformatted text keeps its blanks.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 from html import unescape
@@ -47,6 +48,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _BLANKS = re.compile(r"[ \t\r\n\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Lists, quotes and tables within one another that are laid out; deeper ones are plain blocks.
 _DEEP = 200
 
 
@@ -146,62 +148,72 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+class _Open:
+    """The elements that are open, outermost first, and where those of a tag are."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.at = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        """Ends the elements from the k-th on."""
+        while len(self.stack) > k:
+            self.at[self.stack.pop().tag].pop()
+
+    def last(self, names: frozenset) -> int:
+        """The innermost element of these names (0: none)."""
+        return max([self.at[x][-1] for x in names if self.at.get(x)], default=0)
+
+    def close(self, names: frozenset, barrier: frozenset) -> None:
+        """Ends the elements of these names that are within the barrier."""
+        while (k := self.last(names)) > self.last(barrier):
+            self.cut(k)
+
+
 def build(html: str) -> Node:
     """The page's tree, with implied end tags, bodies, table rows and the like."""
     root = Node("html", {})
-    stack = [root]
-
-    def close(names: frozenset, barrier: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return close(names, barrier)
-            if stack[k].tag in barrier:
-                return None
-        return None
-
+    opened = _Open(root)
+    stack = opened.stack
     for kind, tag, text in tokens(html):
         if kind == "text":
             node = stack[-1]
             if node.tag == "head" and text.strip():
-                del stack[-1]
+                opened.cut(len(stack) - 1)
                 node = stack[-1]
             node.children.append(text if node.tag in RAW and node.tag not in ("title", "textarea") or "&" not in text else unescape(text))
             if node.tag in RAW:
-                del stack[-1]
+                opened.cut(len(stack) - 1)
         elif kind == "start":
             if tag == "html":
                 root.attributes = attributes(text) | root.attributes
                 continue
             if stack[-1].tag == "head" and tag not in _HEAD:
-                del stack[-1]
+                opened.cut(len(stack) - 1)
             if tag in _ENDS_P:
-                close(frozenset(["p"]), _SCOPE)
+                opened.close(frozenset(["p"]), _SCOPE)
             if tag in _IMPLIED:
-                close(*_IMPLIED[tag])
-            if tag == "body" and any(x.tag == "body" for x in stack):
+                opened.close(*_IMPLIED[tag])
+            if tag == "body" and opened.at["body"]:
                 continue
             if tag in _CELLS and stack[-1].tag in ("table", *_ROWS):
                 row = Node("tr", {})
                 stack[-1].children.append(row)
-                stack.append(row)
+                opened.push(row)
             node = Node(tag, attributes(text) if text.strip(" \t\r\n\f/") else {})
             stack[-1].children.append(node)
-            if tag not in VOID and len(stack) < _DEEP:
-                stack.append(node)
+            if tag not in VOID:
+                opened.push(node)
         else:
             barrier = frozenset() if tag in ("table", "body", "html") else frozenset(["table"]) if tag in (*_ROWS, "tr") else frozenset(["td", "th", "table"]) - {tag}
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in barrier:
-                    break
-            else:
-                if tag == "br":
-                    stack[-1].children.append(Node("br", {}))
-                elif tag == "p":
-                    stack[-1].children.append(Node("p", {}))
+            k, least = opened.last(frozenset([tag])), opened.last(barrier)
+            if k > least:
+                opened.cut(k)
+            elif not least and tag in ("br", "p"):
+                stack[-1].children.append(Node(tag, {}))
     return root
 
 
@@ -307,15 +319,30 @@ def _lines(node: Node, depth: int) -> list[str]:
     return page.lines
 
 
+def _number(node: Node) -> int:
+    text = node.attributes.get("start", "1").strip()
+    return int(text) if text.removeprefix("-").isdecimal() else 1
+
+
 def _children(node: Node, page: _Page, depth: int, exact: bool) -> None:
-    number = node.attributes.get("start", "1").strip()
-    number = int(number) if number.removeprefix("-").isdecimal() else 1
-    for child in node.children:
+    """Lays out an element's children; a list of open elements, not recursion, follows
+    those that need no lines of their own, however deep they are."""
+    opened = [(node, iter(node.children), exact, -1)]  # blank lines to ask for at the end, -1: no line ends
+    numbers = [_number(node)]
+    while opened:
+        node, rest, exact, blank = opened[-1]
+        child = next(rest, None)
+        if child is None:
+            opened.pop()
+            numbers.pop()
+            if blank >= 0:
+                page.cut(blank)
+            continue
         if isinstance(child, str):
             if exact:
-                first, *rest = child.replace("\r\n", "\n").split("\n")
+                first, *more = child.replace("\r\n", "\n").split("\n")
                 page.exact(first) if first else None
-                for line in rest:
+                for line in more:
                     page.broken()
                     page.exact(line) if line else None
             else:
@@ -334,14 +361,14 @@ def _children(node: Node, page: _Page, depth: int, exact: bool) -> None:
             page.text(child.attributes.get("alt", ""))
         elif tag == "input":
             page.text(" " + child.attributes.get("value", "") + " ") if child.attributes.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number") else None
-        elif tag == "table":
+        elif tag == "table" and depth < _DEEP:
             page.cut(1)
             _block(page, _table(child, depth), "", "")
             page.cut(1)
-        elif tag == "li":
+        elif tag == "li" and depth < _DEEP:
             page.cut()
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
+            mark = f"{numbers[-1]}. " if node.tag == "ol" else "- "
+            numbers[-1] += 1
             _block(page, _lines(child, depth + 1), mark, " " * len(mark))
         elif tag in ("dd", "blockquote") and depth < _DEEP:
             page.cut(tag == "blockquote")
@@ -351,10 +378,11 @@ def _children(node: Node, page: _Page, depth: int, exact: bool) -> None:
         elif tag in BLOCKS:
             blank = int(tag in SPACED and not (tag in _LISTS and node.tag == "li"))
             page.cut(blank)
-            _children(child, page, depth, exact or tag == "pre")
-            page.cut(blank)
+            opened.append((child, iter(child.children), exact or tag == "pre", blank))
+            numbers.append(_number(child))
         else:
-            _children(child, page, depth, exact)
+            opened.append((child, iter(child.children), exact, -1))
+            numbers.append(_number(child))
 
 
 def _block(page: _Page, lines: list[str], first: str, rest: str) -> None:
@@ -384,7 +412,7 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     A null page has a null text, one without visible text an empty one, both 0
     characters and lines.  Broken markup is mended as described; nothing is cut
-    off, and elements nested deeper than 200 become children of the 200th.
+    off; lists, quotes and tables nested deeper than 200 are plain blocks there.
     Repeated rows have equal texts.  Columns that already have one of the new
     names give way.
     """

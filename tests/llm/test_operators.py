@@ -300,6 +300,23 @@ def test_html(spark):
     assert got[2].text is None and got[3].text == "" and got[4].text == "deep" and got[1].n_chars == len(render(html))
 
 
+@pytest.mark.parametrize("tag", ["font", "span", "div", "b", "ul><li", "blockquote", "table><tr><td"])
+def test_html_deep(tag):
+    """Nothing hidden shows and nothing visible is lost below many unclosed tags."""
+    many = f"<{tag}>" * 1500
+    seen = render(f"{many}a<script>var x;</script><style>y</style><div hidden>no<i>no</i></div>b")
+    assert "".join(seen.split()).replace("-", "").replace(">", "") == "ab"
+    inner = "<div>" * 300 + "</div>" * 299
+    assert render(f"x<div hidden>{inner}<div>no</div>{'</div>' * 2}y") == "xy"
+    words = render("".join(f"<{tag}>w{k} " for k in range(1500)))
+    assert {f"w{k}" for k in range(1500)} <= set(words.split())
+
+
+def test_html_very_deep_is_linear():
+    for tag in ("div", "span", "p><b", "li"):
+        assert render(f"<{tag}>" * 100_000 + "deep").split()[-1] == "deep"
+
+
 def test_words_are_the_pattern():
     import pyarrow as pa
 
