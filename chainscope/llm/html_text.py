@@ -34,6 +34,7 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure men
 #: Blocks that end an open paragraph.
 _ENDS_P = BLOCKS - frozenset("body dd dt caption html li legend optgroup option summary table tbody td tfoot th thead tr".split()) | frozenset(["table", "dd", "dt", "li"])
 _LISTS, _CELLS, _ROWS = frozenset(("ul", "ol", "menu", "dir")), frozenset(("td", "th")), frozenset(("tbody", "thead", "tfoot"))
+_UNSHOWN = frozenset(("template", "noscript", "svg", "math"))
 #: What a start tag closes, and the elements that this does not reach beyond.
 _IMPLIED = {
     "li": (frozenset(["li"]), _LISTS), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -42,10 +43,19 @@ _IMPLIED = {
     "tbody": (_ROWS | frozenset(["tr", "td", "th", "caption"]), frozenset(["table"])), "thead": (_ROWS | frozenset(["tr", "td", "th", "caption"]), frozenset(["table"])),
     "tfoot": (_ROWS | frozenset(["tr", "td", "th", "caption"]), frozenset(["table"])), "body": (frozenset(["head"]), frozenset()),
 }
+_IMPLIED = {tag: (closed, barrier | _UNSHOWN) for tag, (closed, barrier) in _IMPLIED.items()}
 _HEAD = frozenset("html head title meta link style script base noscript template".split())
 _SCOPE = frozenset(("table", "td", "th", "caption", "html"))
+#: Table parts, those that other content must not be a child of, and what each may be in.
+_PARTS = _ROWS | _CELLS | frozenset(("caption", "colgroup", "col", "tr"))
+_BARE = _ROWS | frozenset(("table", "tr", "colgroup"))
+_WITHIN = {"td": _ROWS | frozenset(("table", "tr")), "th": _ROWS | frozenset(("table", "tr")), "tr": _ROWS | frozenset(["table"]), "col": frozenset(("table", "colgroup"))}
+_TABLE, _CAPTION = frozenset(["table"]), frozenset(["caption"])
+#: Elements inside which an outer table's parts do not go on: cells and what is not shown.
+_WALLS = _CELLS | _UNSHOWN
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_SPACE = " \t\r\n\f"
 _BLANKS = re.compile(r"[ \t\r\n\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 #: Lists, quotes and tables within one another that are laid out; deeper ones are plain blocks.
@@ -172,9 +182,28 @@ class _Open:
         while (k := self.last(names)) > self.last(barrier):
             self.cut(k)
 
+    def add(self, child: Node | str) -> None:
+        """Adds to the innermost element, or before its table if it may not hold the child."""
+        node = self.stack[-1]
+        if node.tag in _BARE and (table := self.table()) and not (isinstance(child, str) and not child.strip(_SPACE)):
+            self.stack[table - 1].children.insert(-1, child)  # the open table is its parent's last child
+        else:
+            node.children.append(child)
+
+    def table(self) -> int:
+        """The table that has no cell open (0: none)."""
+        k = self.last(_TABLE)
+        return k if k > self.last(_WALLS) else 0
+
+    def part(self, tag: str) -> None:
+        """Ends what is open between a table's part and the part or table to hold it."""
+        if (k := self.last(_WITHIN.get(tag, _TABLE))) > self.last(_WALLS):
+            self.cut(k + 1)
+
 
 def build(html: str) -> Node:
-    """The page's tree, with implied end tags, bodies, table rows and the like."""
+    """The page's tree, with implied end tags, bodies, table rows and the like.  As in
+    HTML, text and elements that are no table parts come to stand before their table."""
     root = Node("html", {})
     opened = _Open(root)
     stack = opened.stack
@@ -184,7 +213,7 @@ def build(html: str) -> Node:
             if node.tag == "head" and text.strip():
                 opened.cut(len(stack) - 1)
                 node = stack[-1]
-            node.children.append(text if node.tag in RAW and node.tag not in ("title", "textarea") or "&" not in text else unescape(text))
+            opened.add(text if node.tag in RAW and node.tag not in ("title", "textarea") or "&" not in text else unescape(text))
             if node.tag in RAW:
                 opened.cut(len(stack) - 1)
         elif kind == "start":
@@ -199,21 +228,30 @@ def build(html: str) -> Node:
                 opened.close(*_IMPLIED[tag])
             if tag == "body" and opened.at["body"]:
                 continue
+            if tag in _PARTS:
+                opened.part(tag)
+            elif tag == "table" and (k := opened.table()) > opened.last(_CAPTION):
+                opened.cut(k)  # a table that is in no cell ends the open one
+            elif tag == "form" and stack[-1].tag in _BARE and opened.table():
+                continue  # holds nothing there
             if tag in _CELLS and stack[-1].tag in ("table", *_ROWS):
                 row = Node("tr", {})
                 stack[-1].children.append(row)
                 opened.push(row)
-            node = Node(tag, attributes(text) if text.strip(" \t\r\n\f/") else {})
-            stack[-1].children.append(node)
+            node = Node(tag, attributes(text) if text.strip(_SPACE + "/") else {})
+            if tag in _PARTS:
+                stack[-1].children.append(node)
+            else:
+                opened.add(node)
             if tag not in VOID:
                 opened.push(node)
         else:
-            barrier = frozenset() if tag in ("table", "body", "html") else frozenset(["table"]) if tag in (*_ROWS, "tr") else frozenset(["td", "th", "table"]) - {tag}
+            barrier = frozenset() if tag in ("table", "body", "html") or tag in _UNSHOWN else frozenset(["table"]) if tag in (*_ROWS, "tr") else frozenset(["td", "th", "table"]) - {tag}
             k, least = opened.last(frozenset([tag])), opened.last(barrier)
             if k > least:
                 opened.cut(k)
             elif not least and tag in ("br", "p"):
-                stack[-1].children.append(Node(tag, {}))
+                opened.add(Node(tag, {}))
     return root
 
 

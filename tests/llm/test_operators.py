@@ -317,6 +317,24 @@ def test_html_very_deep_is_linear():
         assert render(f"<{tag}>" * 100_000 + "deep").split()[-1] == "deep"
 
 
+def test_html_malformed_tables():
+    import random
+
+    assert render("<table><tr><form><td>a</td><td>b</td></form></tr></table>") == "a | b"
+    assert render("<table><tr><p>x</p></tr></table>") == "x"
+    assert render("<table><tr><a>x</a><td>c<tr>text<td>d</table>") == "xtext\n\nc\nd"
+    assert render("<table>text<tbody>more<tr><td>c</table>") == "textmore\n\nc"
+    assert render("<table><colgroup><col>u<tr><td>c<td>d</table>") == "u\n\nc | d"
+    assert render("<table hidden><tr>x<td>no</table>") == "x"
+    assert render("<table><tr><td>a<template><tr>no<td>no</template>b</table>") == "ab"
+    rng = random.Random(8)
+    tags = "table tbody thead tr td th caption colgroup col form p a b div li center table tr td".split()
+    for _ in range(3000):
+        parts = [rng.choice((f"<{t}>", f"<{t}>", f"</{t}>", f" w{k}w ")) for k, t in enumerate(rng.choices(tags, k=rng.randint(1, 40)))]
+        seen = sorted(re.findall(r"w[0-9]+w", render("".join(parts))))
+        assert seen == sorted(x.strip() for x in parts if x[0] == " "), "".join(parts)
+
+
 def test_words_are_the_pattern():
     import pyarrow as pa
 
