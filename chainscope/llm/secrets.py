@@ -7,9 +7,10 @@ by incremental counts: a step changes the counts of one character that
 leaves and one that enters, and with them the sum of c log2 c.  A window is
 random if its entropy reaches the threshold of its character class (hex,
 letters with digits, letters alone); overlapping random windows are one
-span.  Spans inside fixed ones add nothing, and spans that the allow list
-knows (documentation keys, alphabets, repeated placeholders) are suppressed.
-Fixed spans always stay.
+span.  Texts of the allow list (documentation keys, alphabets, repeated
+placeholders) are cut out of a span, and what remains on either side is
+judged by its own windows.  Spans inside fixed ones add nothing.  Fixed spans
+always stay.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ THRESHOLDS = {"hex": 3.2, "mixed": 3.7, "letters": 4.15}
 #: Texts that no secret holds: fixed values of public documentation and fillers.
 ALLOWED = ("EXAMPLE", "example", "changeme", "placeholder", "abcdefghij", "ABCDEFGHIJ", "0123456789", "1234567890", "qwertyuiop")
 
+_ALLOWED = re.compile("|".join(map(re.escape, sorted(ALLOWED, key=len, reverse=True))))
 _DIGITS, _HEXED = frozenset("0123456789"), frozenset("0123456789abcdefABCDEF")
 _TOKEN, _HEXBYTE = np.zeros(256, bool), np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "+/_-"]] = True
@@ -83,8 +85,24 @@ def random_spans(text: str, window: int = WINDOW, thresholds: dict[str, float] =
     return out
 
 
-def allowed(text: str) -> bool:
-    return any(x in text for x in ALLOWED)
+def not_allowed(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of a text before, between and after those of the allow list."""
+    at = 0
+    for m in _ALLOWED.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
+def _not_allowed_spans(text: str) -> Iterator[tuple[int, int]]:
+    for start, end in random_spans(text):
+        parts = list(not_allowed(text[start:end]))
+        if len(parts) == 1:
+            yield start, end
+            continue
+        for low, high in parts:
+            for a, b in random_spans(text[start + low:start + high]):
+                yield start + low + a, start + low + b
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -101,9 +119,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def entropy_spans(text: str, fixed: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out = []
     for m in _CANDIDATE.finditer(text):
-        for a, b in random_spans(m[0]):
+        for a, b in _not_allowed_spans(m[0]):
             a, b = a + m.start(), b + m.start()
-            if not allowed(text[a:b]) and not any(s <= a and b <= e for _, s, e in fixed):
+            if not any(s <= a and b <= e for _, s, e in fixed):
                 out.append(("entropy", a, b))
     return out
 

@@ -277,6 +277,16 @@ def test_secrets(spark, odd):
     assert got[5].redacted == LONG and got[2].redacted is None and got[3].spans == []
 
 
+@pytest.mark.parametrize("word", secrets.ALLOWED)
+def test_secrets_next_to_allowed_words(word):
+    key = "q7Zt2LxV9bKe4RmW8sYd1HcN"
+    for text in (f"docs/{word}/{key}", f"{key}-{word}", f"{word}{key}{word}", f"{key}{word}{key}"):
+        spans = secrets.scan_text(text)[1]
+        assert key not in secrets.redacted(text, spans, "[secret]") and all(k == "entropy" for k, _, _ in spans)
+        assert len(spans) == text.count(key) and all(word not in text[a:b] for _, a, b in spans)
+    assert secrets.scan_text(f"{word}/{word}-{word}")[1] == []
+
+
 def test_sliding_entropy_is_the_entropy():
     import math
 
