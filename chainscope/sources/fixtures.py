@@ -173,8 +173,8 @@ SELECT p.p_partkey AS id,
          ELSE replace(p.p_name, ' ', '-')
        END AS name
 FROM {{{{part}}}} p
-JOIN {values(["k", "base"], list(enumerate(POPULAR_PACKAGES[:25])), "b")}
-  ON b.k = CAST(floor(p.p_partkey / 8) AS BIGINT) % 25
+JOIN {values(["k", "base"], list(enumerate(POPULAR_PACKAGES)), "b")}
+  ON b.k = CAST(floor(p.p_partkey / 8) AS BIGINT) % {len(POPULAR_PACKAGES)}
 """)
 
 # Lock entries: one package per (priority as project, customer key within
@@ -324,14 +324,14 @@ LEFT JOIN (SELECT project_id, name, count(*) AS deps FROM {{lock_edges}} WHERE s
 WHERE n.snapshot = 'new'
 """)
 
-# list_entries: every tenth name of pkg_names goes on a list (every
-# twentieth on the allow list); some pin a version, some expire.
+# list_entries: every row of pkg_names goes on a list, half of each of its
+# kinds of names on the allow list; some pin a version, some expire.
 fixture("list_entries", ["pkg_names"], """
-SELECT CASE WHEN n.id % 20 = 0 THEN 'allow' ELSE 'deny' END AS list, n.name,
+SELECT CASE WHEN (n.id + CAST(floor(n.id / 8) AS BIGINT)) % 2 = 0 THEN 'allow' ELSE 'deny' END AS list, n.name,
        CASE WHEN n.id % 3 = 0 THEN '1.' || CAST(n.id % 5 AS STRING) || '.0' END AS version,
        'reason ' || CAST(n.id AS STRING) AS reason, 'cli' AS added_by, n.id AS seq,
-       CASE n.id % 8 WHEN 0 THEN '2023-06-30' WHEN 4 THEN '2025-12-31' END AS expires_at
-FROM {{pkg_names}} n WHERE n.id % 10 = 0
+       CASE CAST(floor(n.id / 16) AS BIGINT) % 4 WHEN 0 THEN '2023-06-30' WHEN 2 THEN '2025-12-31' END AS expires_at
+FROM {{pkg_names}} n
 """)
 
 # list_checks: (name, optional version) pairs to check against the lists
@@ -340,14 +340,15 @@ SELECT DISTINCT name, CASE WHEN id % 2 = 0 THEN '1.' || CAST(id % 5 AS STRING) |
 FROM {{pkg_names}}
 """)
 
-# list_changes: purchase -> allow, error -> deny, signup -> remove, applied
-# in (ts, event_id) order to the name of pkg_names row user_id * 10.
+# list_changes: purchase, view -> allow, error, click -> deny, signup ->
+# remove, applied in (ts, event_id) order to a name of pkg_names by user and
+# event; every event is a change.
 fixture("list_changes", ["events", "pkg_names"], """
-SELECT CASE e.event_type WHEN 'purchase' THEN 'allow' WHEN 'error' THEN 'deny' ELSE 'remove' END AS op,
+SELECT CASE WHEN e.event_type IN ('purchase', 'view') THEN 'allow' WHEN e.event_type IN ('error', 'click') THEN 'deny' ELSE 'remove' END AS op,
        n.name, e.ts, e.event_id, 'change ' || CAST(e.event_id AS STRING) AS reason,
        CASE WHEN e.event_id % 3 = 0 THEN '2.' || CAST(e.event_id % 4 AS STRING) || '.0' END AS version
-FROM {{events}} e JOIN {{pkg_names}} n ON n.id = e.user_id * 10
-WHERE e.event_type IN ('purchase', 'error', 'signup')
+FROM (SELECT *, (user_id * 10 + event_id % 10) % nullif((SELECT count(*) FROM {{pkg_names}}), 0) AS name_id FROM {{events}}) e
+JOIN {{pkg_names}} n ON n.id = e.name_id
 """)
 
 # permissions: one manifest entry per manifest package; lists as
@@ -418,8 +419,8 @@ FROM (SELECT l.*, CAST(floor(l.lock_key / 256) AS BIGINT) AS chunk, e.deps FROM
 GROUP BY project_id, snapshot, chunk
 """)
 
-# attestations: provenance bundles for every fourth package of the new lock,
-# with missing parts on some
+# attestations: provenance bundles for every package of the new lock, with
+# missing parts on some
 fixture("attestations", ["lock_packages"], """
 SELECT project_id, name,
   '{' || CASE WHEN lock_key % 3 = 0 THEN '' ELSE '"predicateType":"https://slsa.dev/provenance/v0.2",' END
@@ -432,17 +433,17 @@ SELECT project_id, name,
      END
   || CASE WHEN lock_key % 11 = 0 THEN '' ELSE ',"invocation":{"configSource":{"entryPoint":".github/workflows/release.yml"}}' END
   || '}}' AS bundle
-FROM {{lock_packages}} WHERE snapshot = 'new' AND lock_key % 4 = 0
+FROM {{lock_packages}} WHERE snapshot = 'new'
 """)
 
-# project_manifest: the project's direct dependencies (every third lock
-# package); dev entries go to devDependencies, every ninth is in both.
+# project_manifest: the project's direct dependencies (every lock package);
+# dev entries go to devDependencies, every ninth is in both.
 fixture("project_manifest", ["lock_packages"], """
 SELECT project_id, name, 'dependencies' AS section, '^' || version AS spec
-FROM {{lock_packages}} WHERE snapshot = 'new' AND lock_key % 3 = 0 AND (NOT dev OR lock_key % 9 = 0)
+FROM {{lock_packages}} WHERE snapshot = 'new' AND (NOT dev OR lock_key % 9 = 0)
 UNION ALL
 SELECT project_id, name, 'devDependencies' AS section, '~' || version AS spec
-FROM {{lock_packages}} WHERE snapshot = 'new' AND lock_key % 3 = 0 AND (dev OR lock_key % 9 = 0)
+FROM {{lock_packages}} WHERE snapshot = 'new' AND (dev OR lock_key % 9 = 0)
 """)
 
 

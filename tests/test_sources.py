@@ -97,3 +97,18 @@ def test_api_license_report(spark):
     assert sorted(map(tuple, rep["violations"].select(*cols).collect())) == \
         sorted(map(tuple, direct.select(*cols).collect()))
     assert rep["summary"].count() > 0
+
+
+def test_fixtures_use_every_row(spark):
+    from chainscope.catalog.reference import POPULAR_PACKAGES
+    from chainscope.sources.fixtures import Workspace
+
+    ws = Workspace.of(spark, "/root/testdata/sf0.01")
+    names = ws.table("pkg_names")
+    assert {n for n in POPULAR_PACKAGES} <= {r.name for r in names.where("id % 8 = 0").collect()}
+    assert ws.table("list_entries").select("seq").distinct().count() == names.count()
+    assert {r.list for r in ws.table("list_entries").select("list").distinct().collect()} == {"allow", "deny"}
+    assert ws.table("list_changes").count() == ws.table("events").count()
+    new = ws.table("lock_packages").where("snapshot = 'new'").select("project_id", "name").distinct()
+    for table in ("attestations", "project_manifest"):
+        assert ws.table(table).select("project_id", "name").distinct().count() == new.count()
