@@ -12,13 +12,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainscope.llm import source_divergence
 from chainscope.llm.decontaminate import contamination
 from chainscope.llm.html_text import extract_text
 from chainscope.llm.jaccard_join import jaccard_components
+from chainscope.llm.lexicon_bpe import decode, encode
 from chainscope.llm.packing import pack
 from chainscope.llm.quality_classifier import score, train
 from chainscope.llm.quality_rules import judge
 from chainscope.llm.secrets import scan_secrets
+from chainscope.llm.spelling import variants
 from chainscope.llm.store import shared_folder
 from chainscope.llm.substring_dedup import remove_repeats
 from chainscope.llm.token_files import token_files
@@ -82,8 +85,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = decode(encode(_table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_jaccard_join, op2_warc, op3_decontamination, op4_substring_dedup, op5_quality_rules, op6_quality_classifier, op7_packing,
-    op8_html_text, op9_token_files, op10_secrets)}
+    op8_html_text, op9_token_files, op10_secrets, op11_source_divergence, op12_bpe_lexicon, op13_spelling_variants)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_source_divergence": source_divergence.SQL}
