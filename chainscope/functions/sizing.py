@@ -1,8 +1,7 @@
-"""Join sides and parallelism.
+"""Parallelism of CPU-heavy work.
 
-Whether a side is small enough to broadcast is left to Spark, which knows
-its size in bytes at run time (adaptive execution); joins stay declarative
-and no job counts rows while a plan is built.  Constant catalogues (rules,
+Whether a join side is small enough to broadcast is left to Spark, which knows
+its size in bytes at run time (adaptive execution); constant catalogues (rules,
 license classes, popular names) are fixed-size by construction and are
 broadcast directly by the operators that own them.
 """
@@ -12,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join with a side that is expected, but not known, to be small."""
-    return big.join(small, on, how)
+def _splits(df: DataFrame) -> int:
+    """About how many tasks the scans below ``df`` start, from the files' number
+    and the plan's statistics; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(len(df.inputFiles()), size // split)
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,12 +25,12 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
 
     Input splits follow storage (a single-row-group parquet file is one
     task), and a broadcast join keeps the partitioning of its streamed
-    side.  When there are fewer partitions than cores the rows are hashed
-    by their keys (near-unique row identity, so no hot partition) over the
-    cores; a large input already has more partitions and is left as it
-    is, so no shuffle is added at scale.
+    side.  When few files and bytes are read the rows are hashed by their
+    keys (near-unique row identity, so no hot partition) over the cores; a
+    large input already has more splits and is left as it is, so no shuffle is
+    added at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if not keys or df.rdd.getNumPartitions() >= cores:
+    if not keys or _splits(df) >= cores:
         return df
     return df.repartition(cores * 4, *keys)

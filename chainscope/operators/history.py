@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from chainscope.functions import js
 from chainscope.functions.ranking import top_k_per_group
-from chainscope.functions.sizing import join_small
 
 RISK_THRESHOLD = 7.0
 EVENT_ORDER = {"lockfile-changed": 0, "package-added": 1, "package-removed": 2, "package-updated": 3,
@@ -37,7 +36,7 @@ def with_history(obs: DataFrame) -> DataFrame:
     project's previous/next check (W2)."""
     w = Window.partitionBy("project_id", "name").orderBy("day")
     c = checks(obs).drop("check_no")
-    return (join_small(obs, c, ["project_id", "day"])
+    return (obs.join(c, ["project_id", "day"])
             .withColumn("prev_day", F.lag("day").over(w))
             .withColumn("prev_version", F.lag("version").over(w))
             .withColumn("prev_score", F.lag("score").over(w))

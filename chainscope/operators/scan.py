@@ -2,39 +2,38 @@
 
 Plan shape (all narrow, no shuffle until the summaries):
 
-1. one projection evaluates every rule as a literal-pattern
-   ``regexp_extract_all`` over the file content, guarded by the rule's
-   necessary literals on the lower-cased content (``catalog.prefilters``),
-   so most (file, rule) pairs never run a regex; only rules that matched
-   survive (``filter(array(...))``) and are exploded -> (file, rule, matches);
-2. the few (file, rule) rows with matches are joined to the broadcast rule
-   table (a fixed-size catalogue), ``split`` by the same pattern gives the
-   text between matches, and one ``aggregate`` over the match array turns
-   segment lengths into offset, line and column of every match (its output
-   array is copied per match, so the work grows with matches squared);
-3. first match per (rule, file, line) is kept inside the array (matches of
-   one rule in one file are adjacent and in offset order), then exploded;
-4. the snippet is the trimmed source line around the match.
+1. one projection tests every rule as a literal pattern over the file
+   content, guarded by the rule's necessary literals on the lower-cased
+   content (``catalog.prefilters``), so most (file, rule) pairs never run a
+   regex; only rules that match are exploded -> (file, rule);
+2. the rule's matches are marked in the text: its pattern, a literal of the
+   same plan, is replaced by a marker and itself, one file and rule at a time;
+3. the marked text is split into lines and exploded with their numbers, and
+   lines without a marker are filtered in the same generated code.  A line's
+   number is its place, the column that of its first marker: no offsets are
+   counted and the work is linear in text and matches;
+4. with de-duplication a line gives one finding (its first match); without,
+   one for each marker, its column the running sum of the parts before it;
+5. the snippet is the trimmed line without markers, so findings carry no file
+   content.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chainscope.catalog import prefilters
 from chainscope.catalog.behavior_rules import BEHAVIOR_RULES, SEVERITY_WEIGHT
 from chainscope.catalog.scan_rules import CONFIDENCE_ORDER, OWASP_NAMES, SCAN_RULES, SEVERITY_ORDER
 from chainscope.functions import js
+from chainscope.functions.arrays import running_sum
 from chainscope.functions.regex import to_java, to_re2
 from chainscope.functions.sizing import spread
 
-_POS = T.StructType([
-    T.StructField("off", T.IntegerType()),
-    T.StructField("line", T.IntegerType()),
-    T.StructField("col", T.IntegerType()),
-])
+#: Stands before each match in a marked text: a noncharacter, which no text
+#: interchange uses.  Where content holds it all the same, it is read as the next one.
+MARK, UNMARK = "\ufdd0", "\ufdd1"
 
 
 # ---------------------------------------------------------------- catalogues
@@ -74,41 +73,6 @@ def rules_frame(spark: SparkSession, rules: list[dict], columns: list[str]) -> D
 
 # ---------------------------------------------------------------- matching
 
-def _offsets(segs: Column, ms: Column) -> Column:
-    """Start offset (0-based), line and column of every match.
-
-    ``segs`` is the text between matches (split by the same pattern),
-    ``ms`` the matched texts; both come from the same left-to-right,
-    non-overlapping search, so seg[i] precedes match[i].
-    """
-    nl = F.lit("\n")
-
-    def count_nl(s: Column) -> Column:
-        return F.length(s) - F.length(F.replace(s, nl, F.lit("")))
-
-    def step(acc, m):
-        seg = F.element_at(segs, acc["i"] + 1)
-        seg_len, seg_nl = F.length(seg), count_nl(seg)
-        start = acc["pos"] + seg_len
-        line_at = acc["line"] + seg_nl
-        last_nl = F.when(seg_nl > 0, start - F.instr(F.reverse(seg), "\n")).otherwise(acc["last_nl"])
-        m_len, m_nl = F.length(m), count_nl(m)
-        return F.struct(
-            F.concat(acc["out"], F.array(F.struct(start.alias("off"), line_at.alias("line"),
-                                                  (start - last_nl).alias("col")))).alias("out"),
-            (start + m_len).alias("pos"),
-            (line_at + m_nl).alias("line"),
-            F.when(m_nl > 0, start + m_len - F.instr(F.reverse(m), "\n")).otherwise(last_nl).alias("last_nl"),
-            (acc["i"] + 1).alias("i"),
-        )
-
-    zero = F.struct(
-        F.array().cast(T.ArrayType(_POS)).alias("out"),
-        F.lit(0).alias("pos"), F.lit(1).alias("line"), F.lit(-1).alias("last_nl"), F.lit(0).alias("i"),
-    )
-    return F.aggregate(ms, zero, step, lambda acc: acc["out"])
-
-
 def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols: list[str],
                  content_col: str = "content", dedup: bool = True) -> DataFrame:
     """Every non-overlapping match of every rule in every row of ``files``.
@@ -119,44 +83,31 @@ def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols
     """
     spark = files.sparkSession
     files = spread(files, [k for k in keep if k in files.columns])
-    c = F.col(content_col)
-    files = files.select(*keep, c.alias("_content"), F.lower(c).alias("_lc"))
+    files = files.select(*keep, F.translate(content_col, MARK, UNMARK).alias("_content")).withColumn("_lc", F.lower("_content"))
     c, lc = F.col("_content"), F.col("_lc")
-    per_rule = [
-        F.struct(F.lit(r["rule_idx"]).alias("k"),
-                 F.when(prefilter(lc, r.get("prefilter")),
-                        F.regexp_extract_all(c, F.lit(r["java"]), F.lit(0))).alias("ms"))
-        for r in rules
-    ]
+    hit = [F.when(prefilter(lc, r.get("prefilter")) & c.rlike(r["java"]), F.lit(r["rule_idx"])) for r in rules]
+    marked = F.lit(None).cast("string")
+    for r in rules:  # the literal of the row's rule, so that no pattern is compiled per row
+        one = F.regexp_replace(c, F.lit(r["java"]), F.lit(MARK + "$0"))
+        marked = F.when(F.col("rule_idx") == r["rule_idx"], one) if r is rules[0] else marked.when(F.col("rule_idx") == r["rule_idx"], one)
     # explode_outer + a null filter on the generated column: an inner
     # explode (or a size filter) lets Catalyst infer a filter on the array
     # and push it below the projection -- evaluating every regex twice.
-    hits = (
-        files.select(*keep, "_content",
-                     F.filter(F.array(*per_rule), lambda h: F.coalesce(F.size(h["ms"]) > 0, F.lit(False))).alias("_hits"))
-        .select(*keep, "_content", F.explode_outer("_hits").alias("_h"))
-        .where(F.col("_h").isNotNull())
-        .select(*keep, "_content", F.col("_h.k").alias("rule_idx"), F.col("_h.ms").alias("_ms"))
-    )
-    cat = rules_frame(spark, rules, ["rule_idx", "java"] + [x for x in rule_cols if x != "rule_idx"])
-    joined = hits.join(F.broadcast(cat), "rule_idx")
-    with_segs = joined.withColumn("_segs", F.split(F.col("_content"), F.col("java"), -1))
-    pos = with_segs.withColumn("_pos", _offsets(F.col("_segs"), F.col("_ms")))
+    hits = (files.select(*keep, "_content", F.array_compact(F.array(*hit)).alias("_hits"))
+            .select(*keep, "_content", F.explode_outer("_hits").alias("rule_idx"))
+            .where(F.col("rule_idx").isNotNull())
+            .select(*keep, "rule_idx", F.split(marked, "\n", -1).alias("_lines")))
+    lines = (hits.select(*keep, "rule_idx", F.posexplode_outer("_lines").alias("_n", "_line"))
+             .where(F.contains("_line", F.lit(MARK))))
+    cat = rules_frame(spark, rules, ["rule_idx"] + [x for x in rule_cols if x != "rule_idx"])
+    found = lines.join(F.broadcast(cat), "rule_idx")
+    line, text = (F.col("_n") + 1).alias("line"), js.snippet(F.replace("_line", F.lit(MARK), F.lit(""))).alias("snippet")
     if dedup:
-        pos = pos.withColumn("_pos", F.filter(
-            "_pos", lambda x, i: (i == 0) | (x["line"] != F.try_element_at(F.col("_pos"), F.greatest(i, F.lit(1)))["line"])))
-    exploded = (pos.select(*keep, *rule_cols, "_content", F.explode_outer("_pos").alias("_p"))
-                .where(F.col("_p").isNotNull()))
-    line_start = F.col("_p.off") - F.col("_p.col") + 2
-    line_end = F.expr("locate(chr(10), _content, _p.off + 1)")
-    line_end = F.when(line_end == 0, F.length("_content") + 1).otherwise(line_end)
-    line_text = F.expr("substring(_content, _ls, _le - _ls)")
-    return (
-        exploded.withColumn("_ls", line_start).withColumn("_le", line_end)
-        .select(*keep, *rule_cols,
-                F.col("_p.line").alias("line"), F.col("_p.col").alias("col"),
-                js.snippet(line_text).alias("snippet"))
-    )
+        return found.select(*keep, *rule_cols, line, F.instr("_line", MARK).alias("col"), text)
+    before = F.split("_line", MARK, -1)  # the parts before each match, and the rest of the line
+    cols = running_sum(F.transform(F.slice(before, F.lit(1), F.size(before) - 1), F.length))
+    return (found.select(*keep, *rule_cols, line, F.explode_outer(cols).alias("_before"), text)
+            .select(*keep, *rule_cols, "line", (F.col("_before") + 1).alias("col"), "snippet"))
 
 
 def prefilter(lc: Column, groups) -> Column:

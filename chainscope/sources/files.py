@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainscope.functions import js
-from chainscope.functions.sizing import join_small
 
 # FIXED VALUES — listing defaults of the source scan
 DEFAULT_EXTENSIONS = [".js", ".mjs", ".cjs", ".ts", ".mts", ".cts", ".tsx", ".jsx", ".json", ".html", ".vue", ".svelte"]
@@ -116,14 +115,13 @@ def cap_per_project(files: DataFrame, max_files: int | None, project_col: str =
     content stays where it is.  The ranking is two-phase -- first
     ``max_files`` per (project, input partition), then per project -- so a
     huge project is spread over all partitions instead of one task.  The
-    result is one cutoff path per over-cap project, joined back by a
-    size-checked broadcast.
+    result is one cutoff path per over-cap project, joined back.
     """
     if max_files is None:
         return files
     over = (files.groupBy(project_col).agg(F.count("*").alias("_n"))
             .where(F.col("_n") > max_files).select(project_col))
-    ids = join_small(files.select(project_col, path_col), over, [project_col], "left_semi")
+    ids = files.select(project_col, path_col).join(over, [project_col], "left_semi")
     ids = ids.withColumn("_pid", F.spark_partition_id())
     local = (ids.withColumn("_r", F.row_number().over(Window.partitionBy(project_col, "_pid").orderBy(path_col)))
              .where(F.col("_r") <= max_files))
@@ -131,7 +129,7 @@ def cap_per_project(files: DataFrame, max_files: int | None, project_col: str =
     cut = (local.withColumn("_rn", F.row_number().over(w))
            .where(F.col("_rn") == max_files)
            .select(project_col, F.col(path_col).alias("_cutoff")))
-    joined = join_small(files, cut, [project_col], "left")
+    joined = files.join(cut, [project_col], "left")
     return joined.where(F.col("_cutoff").isNull() | (F.col(path_col) <= F.col("_cutoff"))).drop("_cutoff")
 
 
@@ -141,15 +139,15 @@ def collect_files(files: DataFrame, extensions=None, ignore=None, include_tests:
     """Files of each project the source scan reads.
 
     ``ignore`` adds patterns for every project; ``ignore_files`` is a table
-    (project_id, line) of per-project ignore files, joined by a
-    size-checked broadcast of one pattern array per project.
+    (project_id, line) of per-project ignore files, joined as one pattern
+    array per project.
     """
     extensions = DEFAULT_EXTENSIONS if extensions is None else extensions
     patterns = DEFAULT_IGNORE + list(ignore or [])
     p = F.col(path_col)
     keep = extname(p).isin(extensions) & ~ignored(p, patterns)
     if ignore_files is not None:
-        files = join_small(files, ignore_patterns(ignore_files), ["project_id"], "left")
+        files = files.join(ignore_patterns(ignore_files), ["project_id"], "left")
         keep = keep & ~ignored_by(p, F.coalesce(F.col("_patterns"), F.array().cast("array<string>")))
     if not include_tests:
         base = F.element_at(F.split(p, "/"), -1)
