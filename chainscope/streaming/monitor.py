@@ -1,138 +1,220 @@
-"""Live monitor over a stream of package observations (M2).
-
-``readStream`` (file source) -> watermark on the observation time ->
-``dropDuplicatesWithinWatermark`` (at-least-once producers may resend an
-observation) -> ``foreachBatch``.  Each micro-batch runs the batch monitor
-(``operators.history.monitor_check``) over the new observations plus the
-stored last check of every project, keeps the events of the new checks,
-and stores the new last checks.  The state is a table in the cluster's
-shared checkpoint folder, one folder per batch id: a retried batch
-rewrites the same folders (idempotent), the plan never grows across
-batches, and a lost executor only recomputes one micro-batch.
+"""Live monitor over a stream of package observations.
+
+The monitor is a keyed state machine in Spark's state store
+(``transformWithState``).  Observations are keyed by project and a part of its
+packages (a hash of the name), so a project that sends a third of all rows is
+spread over ``PARTS`` keys.  A key's state holds the packages of the last check,
+the rows of checks that are not complete and their days; nothing else is kept,
+and a package that is gone leaves the state.
+
+A check is a project's day.  It is complete when the watermark has passed the
+end of the day, which an event-time timer of the key tells; until then rows may
+come late, out of order or twice.  That a project was checked on a day concerns
+all its keys, also those without a row of that day (their packages were
+removed): the first row of each (project, day) is sent on to all of them.
+
+Micro-batches write their events to a folder of their own, which a retry
+overwrites, and the state store has a version for each batch, so a lost
+executor or driver costs one micro-batch.  Rows later than the watermark allows
+are dropped, as in every Spark aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.query import StreamingQuery
 
 from chainscope.operators import history as H
 from chainscope.session import shared_dir
 
 OBS_SCHEMA = "project_id string, name string, ts timestamp_ntz, day date, version string, score double"
 COLS = [c.split()[0] for c in OBS_SCHEMA.split(", ")]
+#: Keys that a project's packages are dealt to.
+PARTS = 16
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EVENTS = "project_id string, check_day string, type string, severity string, package string, message string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def last_checks(obs: DataFrame) -> DataFrame:
-    """Rows of the newest check of every project."""
-    w = Window.partitionBy("project_id")
-    return obs.withColumn("_last", F.max("day").over(w)).where(F.col("day") == F.col("_last")).drop("_last")
+def _put(state, rows: list[tuple]) -> None:
+    """Replaces a list state; an empty list is no state."""
+    state.put(rows) if rows else state.clear()
 
 
-def run_complete_checks(spark: SparkSession, source_dir: str, work_dir: str, on_complete,
-                        files_per_trigger: int = 16, watermark: str = "1 day") -> None:
-    """Stream observations and call ``on_complete(rows, batch_id)`` with the
-    rows of every check that is complete.
+class Monitor(StatefulProcessor):
+    """Events of one key (project, part of its packages) as its checks complete.
 
-    A check (project, day) is complete once a later day has been seen;
-    rows of incomplete days wait in a pending table in ``work_dir``, so
-    micro-batches may cut a day anywhere.  Draining the source
-    (``availableNow``) ends the input, and the pending days are flushed.
+    Input rows: day (ISO text), day_end (ms), name (null: the project was checked
+    that day), version, score, listed (has a manifest entry).
     """
-    state_dir, ckpt = f"{work_dir}/state", f"{work_dir}/checkpoint"
-
-    def pending_before(batch_id: int) -> DataFrame | None:
-        for b in range(batch_id - 1, -1, -1):
-            if _exists(spark, f"{state_dir}/pending/{b}/_SUCCESS"):
-                return spark.read.schema(OBS_SCHEMA).parquet(f"{state_dir}/pending/{b}")
-        return None
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        pending = pending_before(batch_id)
-        rows = batch.select(*COLS) if pending is None else pending.unionByName(batch.select(*COLS))
-        # stage the micro-batch once: the stream plan (with its dedup state)
-        # runs a single time, and later steps read a plain table
-        staged = f"{state_dir}/staged/{batch_id}"
-        rows.write.mode("overwrite").parquet(staged)
-        rows = spark.read.schema(OBS_SCHEMA).parquet(staged)
-        newest = rows.agg(F.max("day")).first()[0]
-        if newest is None:
-            return
-        complete = rows.where(F.col("day") < F.lit(newest))
-        if not complete.isEmpty():
-            on_complete(complete, batch_id)
-        rows.where(F.col("day") >= F.lit(newest)).write.mode("overwrite").parquet(f"{state_dir}/pending/{batch_id}")
 
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.packages = handle.getListState("packages", "name string, version string, score double")
+        self.waiting = handle.getListState("waiting", "day string, name string, version string, score double, listed boolean")
+        self.days = handle.getListState("days", "day string, day_end long")
+        self.last = handle.getValueState("last", "day string")
+
+    def _last(self) -> str:
+        return self.last.get()[0] if self.last.exists() else ""
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """The rows of an init step: known packages, for which there are no events."""
+        rows = [(r.name, r.version, r.score) for r in initialState.itertuples(index=False, name="R") if isinstance(r.name, str)]
+        _put(self.packages, rows)
+        self.last.update((max(initialState["day"]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done, known = self._last(), {d: e for d, e in self.days.get()}
+        for part in rows:
+            part = part[part["day"] > done]
+            for day, end in set(zip(part["day"], part["day_end"].astype(int))) - set(known.items()):
+                known[day] = end
+                self.days.appendValue((day, end))
+                self.handle.registerTimer(end)
+            own = part[part["name"].notna()]
+            if len(own):
+                self.waiting.appendList(list(zip(own["day"], own["name"], own["version"], own["score"].astype(float), own["listed"].astype(bool))))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        days = sorted(self.days.get())
+        due = [d for d, end in days if end <= now]
+        waiting = list(self.waiting.get())
+        before = {n: (v, s) for n, v, s in self.packages.get()}
+        done, out = self._last(), []
+        for day in due:
+            rows = {n: (v, s, known) for d, n, v, s, known in waiting if d == day}  # a repeated row is the same row
+            out += [(key[0], day, *event) for event in self._check(before, rows, bool(done))]
+            before, done = {n: (v, s) for n, (v, s, _) in rows.items()}, day
+        if due:
+            _put(self.packages, [(n, v, s) for n, (v, s) in before.items()])
+            _put(self.waiting, [w for w in waiting if w[0] > done])
+            _put(self.days, [d for d in days if d[0] > done])
+            self.last.update((done,))
+        yield pd.DataFrame(out, columns=["project_id", "check_day", "type", "severity", "package", "message"], dtype=object)
+
+    def _check(self, before: dict, rows: dict, checked: bool) -> Iterator[tuple]:
+        changed = False
+        for name, (version, score, listed) in rows.items():
+            old_version, old_score = before.get(name, (None, 0.0))
+            if name not in before:
+                changed = True
+                yield "package-added", "warning", name, f"New dependency added: {name}@{version}"
+            elif old_version != version:
+                changed = True
+                yield "package-updated", "info", name, f"Dependency updated: {name} {old_version} -> {version}"
+            if score > old_score and score >= self.threshold:
+                yield "risk-increased", "critical", name, f"Risk score increased for {name}: {old_score:.1f} -> {score:.1f}"
+            if not listed:
+                yield "manifest-drift", "warning", name, f'Package "{name}" is installed but has no manifest entry'
+        for name in before.keys() - rows.keys():
+            changed = True
+            yield "package-removed", "info", name, f"Dependency removed: {name}"
+        if changed and checked:  # each part that changed says so; a batch's repeats are one event
+            yield "lockfile-changed", "warning", None, "package-lock.json has changed since last check"
+
+
+def _source(spark: SparkSession, source_dir: str, files_per_trigger: int, delay: str) -> DataFrame:
     # watermarks need a zoned timestamp; the observation time is local
     # (timestamp_ntz), so the event-time column is its session-zone cast
-    stream = (spark.readStream.schema(OBS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_dir)
-              .withColumn("event_time", F.col("ts").cast("timestamp"))
-              .withWatermark("event_time", watermark)
-              .dropDuplicatesWithinWatermark(["project_id", "name", "day"]))
-    q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    last_id = q.lastProgress["batchId"] + 1 if q.lastProgress else 0
-    pending = pending_before(last_id)
-    if pending is not None and not pending.isEmpty():
-        on_complete(pending, last_id)  # end of input: every pending day is complete
-
-
-def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame, work_dir: str,
-                       files_per_trigger: int = 16, watermark: str = "1 day",
-                       initial: DataFrame | None = None) -> str:
-    """The monitor over complete checks; returns the events folder.  The
-    last check of every project is kept as a table per batch id; an init
-    step's state (``initial``) seeds it."""
-    events_dir, last_dir = f"{work_dir}/events", f"{work_dir}/state/last"
+    return (spark.readStream.schema(OBS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+            .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"part": F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int"), "day": F.col("day").cast("string"),
+                             "day_end": F.unix_millis(F.date_add("day", 1).cast("timestamp"))})
+
+
+def _for_all_parts(rows: DataFrame) -> DataFrame:
+    """Rows without a package, one for each key of their project."""
+    return _keyed(rows.withColumns({"name": F.lit(None).cast("string"), "version": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})) \
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+
+
+def _drain(spark: SparkSession, stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Runs a stream over all input that is there; the state is in RocksDB."""
+    old = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, old) if old else spark.conf.unset(_PROVIDER)
+    return q
+
+
+def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame, work_dir: str, files_per_trigger: int = 16, delay: str = "1 day",
+                       initial: DataFrame | None = None, threshold: float = H.RISK_THRESHOLD) -> str:
+    """Streams the observations that landed in ``source_dir`` so far; returns the
+    events folder.  Called again with the same ``work_dir`` it goes on from its
+    state.  ``delay`` is how late rows may come; ``initial`` are the rows of an
+    init step, one check of each project, and seeds the state."""
+    events = f"{work_dir}/events"
     # the static side is read by every micro-batch: materialise it once
-    manifest.select("project_id", "name").distinct().write.mode("overwrite").parquet(f"{work_dir}/manifest")
-    manifest = spark.read.parquet(f"{work_dir}/manifest")
+    manifest.select("project_id", "name").distinct().withColumn("listed", F.lit(True)).write.mode("overwrite").parquet(f"{work_dir}/manifest")
+    listed = spark.read.schema("project_id string, name string, listed boolean").parquet(f"{work_dir}/manifest")
+    cols = ["project_id", "part", "day", "day_end", "name", "version", "score", "listed"]
+    seen = _source(spark, source_dir, files_per_trigger, delay)
+    # rows that say the input's end stay: a filter would run below the watermark and hide their time from it
+    rows = _keyed(seen).join(listed, ["project_id", "name"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    checked = _source(spark, source_dir, files_per_trigger, delay).dropDuplicatesWithinWatermark(["project_id", "day"])
+    checked = _for_all_parts(checked).withColumn("listed", F.lit(False))
+    keyed = rows.select(*cols, "event_time").unionByName(checked.select(*cols, "event_time")).groupBy("project_id", "part")
+    seed = None
     if initial is not None:
-        initial.select(*COLS).write.mode("overwrite").parquet(f"{last_dir}/init")
-
-    def last_before(batch_id: int) -> DataFrame | None:
-        for b in range(batch_id - 1, -1, -1):
-            if _exists(spark, f"{last_dir}/{b}/_SUCCESS"):
-                return spark.read.schema(OBS_SCHEMA).parquet(f"{last_dir}/{b}")
-        if _exists(spark, f"{last_dir}/init/_SUCCESS"):
-            return spark.read.schema(OBS_SCHEMA).parquet(f"{last_dir}/init")
-        return None
-
-    def emit(complete: DataFrame, batch_id: int) -> None:
-        prev = last_before(batch_id)
-        if prev is not None:  # state of projects whose checks are all older
-            prev = prev.join(complete.groupBy("project_id").agg(F.min("day").alias("_f")), "project_id", "left") \
-                .where(F.col("_f").isNull() | (F.col("day") < F.col("_f"))).drop("_f")
-        combined = complete if prev is None else prev.unionByName(complete)
-        new_checks = complete.select("project_id", F.col("day").alias("check_day")).distinct()
-        ev = H.monitor_check(combined, manifest).join(F.broadcast(new_checks), ["project_id", "check_day"])
-        ev.write.mode("overwrite").parquet(f"{events_dir}/batch={batch_id}")
-        last_checks(combined).write.mode("overwrite").parquet(f"{last_dir}/{batch_id}")
-
-    run_complete_checks(spark, source_dir, work_dir, emit, files_per_trigger, watermark)
-    return events_dir
-
-
-def run_posture_stream(spark: SparkSession, source_dir: str, work_dir: str, files_per_trigger: int = 16) -> str:
-    """M3 on a stream: daily posture windows, emitted once their day is
-    complete (append-only output, no state beyond the pending rows)."""
+        first = initial.select("project_id", "day").distinct()
+        seed = _keyed(initial).select("project_id", "part", "day", "name", "version", "score")
+        seed = seed.unionByName(_for_all_parts(first).select(*seed.columns)).groupBy("project_id", "part")
+    found = keyed.transformWithStateInPandas(Monitor(threshold), _EVENTS, "Append", "EventTime", initialState=seed)
+
+    def write(batch: DataFrame, number: int) -> None:
+        # the parts of a project complete a day in the same batch
+        batch.dropDuplicates().withColumn("check_day", F.col("check_day").cast("date")).write.mode("overwrite").parquet(f"{events}/batch={number}")
+
+    _drain(spark, found, write, f"{work_dir}/checkpoint")
+    return events
+
+
+def clear_events(spark: SparkSession, work_dir: str) -> None:
+    """Forgets the events told so far; the monitor's state stays."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_dir}/events")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def run_posture_stream(spark: SparkSession, source_dir: str, work_dir: str, files_per_trigger: int = 16, delay: str = "1 day") -> str:
+    """M3 on a stream: tumbling windows aggregated in the state store and
+    appended once the watermark has passed their end.  Repeated rows count once."""
     out = f"{work_dir}/windows"
+    seen = _source(spark, source_dir, files_per_trigger, delay).dropDuplicatesWithinWatermark(["project_id", "name", "day"])
+    windows = H.posture_windows(seen, "event_time").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
-    def emit(complete: DataFrame, batch_id: int) -> None:
-        H.posture_windows(complete).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.where("project_id != ''").write.mode("overwrite").parquet(f"{out}/batch={number}")  # the end of input is no project
 
-    run_complete_checks(spark, source_dir, work_dir, emit, files_per_trigger)
+    _drain(spark, windows, write, f"{work_dir}/checkpoint")
     return out
 
 
+def end_input(spark: SparkSession, source_dir: str, last: DataFrame, delay: str = "1 day") -> None:
+    """Lands the row by which a producer says that nothing more comes: no package,
+    and a time that takes the watermark past the last day of ``last`` (column ts)."""
+    end = last.agg(F.max("ts").alias("ts")).where("ts is not null")
+    ts = F.col("ts") + F.expr(f"INTERVAL '{delay}'") + F.expr("INTERVAL 2 DAYS")
+    end.select(F.lit("").alias("project_id"), F.lit(None).cast("string").alias("name"), ts.alias("ts"), ts.cast("date").alias("day"),
+               F.lit(None).cast("string").alias("version"), F.lit(None).cast("double").alias("score")).write.mode("append").parquet(source_dir)
+
+
 def replay_source(obs: DataFrame, target: str, periods: int = 6) -> None:
     """Land observations as an ordered sequence of appends (one per period
     of days), the way a producer exports them; each append is written by
@@ -141,26 +223,26 @@ def replay_source(obs: DataFrame, target: str, periods: int = 6) -> None:
     if first is None:
         return
     period = F.floor(F.datediff(F.col("day"), F.lit(first)) / F.lit(5)).cast("int")
-    tagged = obs.withColumn("_period", period)
-    for p in range(periods):
+    tagged = obs.withColumn("_period", F.least(period, F.lit(periods)))
+    for p in range(periods + 1):
         tagged.where(F.col("_period") == p).drop("_period").write.mode("append").parquet(target)
-    tagged.where(F.col("_period") >= periods).drop("_period").write.mode("append").parquet(target)
+
+
+def _landed(spark: SparkSession, obs: DataFrame, name: str) -> tuple[str, str]:
+    work = shared_dir(spark, name)
+    replay_source(obs.select(*COLS), f"{work}/source")
+    end_input(spark, f"{work}/source", obs)
+    return f"{work}/source", work
 
 
 def posture_stream(spark: SparkSession, obs: DataFrame) -> DataFrame:
     """M3 end to end: land the observations, stream them, read the windows."""
-    work = shared_dir(spark, "posture-stream")
-    src = f"{work}/source"
-    replay_source(obs.select(*COLS), src)
-    out = run_posture_stream(spark, src, work)
-    return spark.read.parquet(out).select("project_id", "window_start", "observations", "max_risk", "high_risk")
+    return spark.read.parquet(run_posture_stream(spark, *_landed(spark, obs, "posture-stream"))) \
+        .select("project_id", "window_start", "observations", "max_risk", "high_risk")
 
 
 def monitor_stream(spark: SparkSession, obs: DataFrame, manifest: DataFrame,
                    initial: DataFrame | None = None) -> DataFrame:
     """M2 end to end: land the observations, stream them, read the events."""
-    work = shared_dir(spark, "monitor-stream")
-    src = f"{work}/source"
-    replay_source(obs.select(*COLS), src)
-    events = run_monitor_stream(spark, src, manifest, work, initial=initial)
-    return spark.read.parquet(events).select(*H.EVENT_COLS)
+    source, work = _landed(spark, obs, "monitor-stream")
+    return spark.read.parquet(run_monitor_stream(spark, source, manifest, work, initial=initial)).select(*H.EVENT_COLS)

@@ -1,17 +1,19 @@
-"""The streaming monitor emits exactly the batch monitor's events."""
+"""The streaming monitor emits exactly the batch monitor's events, whatever the order of arrival."""
+
+import datetime
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from chainscope.operators import history as H
 from chainscope.sources.fixtures import Workspace
-from chainscope.streaming.monitor import monitor_stream
+from chainscope.streaming import monitor as M
 from tests.conftest import SF_SMALL
 
 
-def test_stream_equals_batch(spark):
-    ws = Workspace.of(spark, SF_SMALL)
-    obs, man = ws.table("observations"), ws.table("manifest")
-    batch = sorted(tuple(r) for r in H.monitor_check(obs, man).select(*H.EVENT_COLS).collect())
-    stream = sorted(tuple(r) for r in monitor_stream(spark, obs, man).collect())
-    assert stream == batch and len(batch) > 0
+def _rows(df):
+    return sorted(map(repr, df.collect()))
 
 
 def test_entry_runs(spark):
@@ -21,13 +23,115 @@ def test_entry_runs(spark):
     assert df.columns == ["project_id", "severity", "findings", "files", "total_files", "risk_score"]
 
 
+def test_stream_equals_batch(spark):
+    ws = Workspace.of(spark, SF_SMALL)
+    obs, man = ws.table("observations"), ws.table("manifest")
+    batch = _rows(H.monitor_check(obs, man).select(*H.EVENT_COLS))
+    assert _rows(M.monitor_stream(spark, obs, man)) == batch and len(batch) > 0
+
+
 def test_stream_with_init_equals_batch(spark):
-    from pyspark.sql import functions as F
     ws = Workspace.of(spark, SF_SMALL)
     obs, man = ws.table("observations"), ws.table("manifest")
     init = H.init_state(obs)
     rest = obs.join(init.select("project_id", F.col("day").alias("_d")).distinct(), "project_id") \
         .where(F.col("day") > F.col("_d")).drop("_d")
-    batch = sorted(tuple(r) for r in H.monitor_check(rest, man, initial=init).select(*H.EVENT_COLS).collect())
-    stream = sorted(tuple(r) for r in monitor_stream(spark, rest, man, initial=init).collect())
-    assert stream == batch and len(batch) > 0
+    batch = _rows(H.monitor_check(rest, man, initial=init).select(*H.EVENT_COLS))
+    assert _rows(M.monitor_stream(spark, rest, man, initial=init)) == batch and len(batch) > 0
+
+
+@pytest.fixture(scope="module")
+def observed(spark):
+    """Three projects of different rhythm, one package in most checks, versions and scores that move."""
+    rng, rows = random.Random(4), []
+    for project, step in (("busy", 1), ("slow", 3), ("once", 30)):
+        for d in range(0, 12, step):
+            day = datetime.datetime(2024, 3, 1) + datetime.timedelta(days=d)
+            for k in range(9):
+                if rng.random() < 0.7:
+                    rows.append((project, f"pkg-{k}", day + datetime.timedelta(minutes=rng.randrange(1440)), day.date(), f"1.{rng.randrange(2)}", float(rng.randrange(11))))
+    man = spark.createDataFrame([("busy", "pkg-1"), ("busy", "pkg-1"), ("slow", "pkg-2")], "project_id string, name string")
+    return rows, man
+
+
+def _land(spark, source, rows):
+    spark.createDataFrame(rows, M.OBS_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+
+
+def test_late_repeated_and_out_of_order_rows(spark, observed, tmp_path):
+    rows, man = observed
+    rng = random.Random(9)
+    # arrival: up to three days late, in any order, one row in three twice
+    arrivals = [(r[2] + datetime.timedelta(days=3 * rng.random()), r) for r in rows]
+    arrivals += [(t + datetime.timedelta(days=rng.random()), r) for t, r in arrivals if rng.random() < 0.33]
+    arrivals.sort(key=lambda x: x[0])
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    cut = [arrivals[k::1][:20] for k in range(0, len(arrivals), 20)]
+    for part in cut[:len(cut) // 2]:
+        _land(spark, source, [r for _, r in rng.sample(part, len(part))])
+    events = M.run_monitor_stream(spark, source, man, work, files_per_trigger=1, delay="4 days")
+    first = _rows(spark.read.parquet(events).select(*H.EVENT_COLS))
+    want = _rows(H.monitor_check(spark.createDataFrame(rows, M.OBS_SCHEMA), man).select(*H.EVENT_COLS))
+    assert set(first) < set(want)  # complete checks only, and none of them twice
+    assert len(first) == len(set(first))
+    for part in cut[len(cut) // 2:]:
+        _land(spark, source, [r for _, r in rng.sample(part, len(part))])
+    M.end_input(spark, source, spark.createDataFrame(rows, M.OBS_SCHEMA), delay="4 days")
+    # the job starts again from its state store
+    M.run_monitor_stream(spark, source, man, work, files_per_trigger=2, delay="4 days")
+    assert _rows(spark.read.parquet(events).select(*H.EVENT_COLS)) == want
+
+
+def test_rows_beyond_the_watermark_change_nothing(spark, observed, tmp_path):
+    rows, man = observed
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    _land(spark, source, rows)
+    all_rows = spark.createDataFrame(rows, M.OBS_SCHEMA)
+    M.end_input(spark, source, all_rows)
+    events = M.run_monitor_stream(spark, source, man, work)
+    told = _rows(spark.read.parquet(events))
+    _land(spark, source, [("busy", "pkg-new", rows[0][2], rows[0][3], "9", 10.0)])
+    M.run_monitor_stream(spark, source, man, work)
+    assert _rows(spark.read.parquet(events)) == told and told
+
+
+def test_clear_events_keeps_the_state(spark, observed, tmp_path):
+    rows, man = observed
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    early = [r for r in rows if r[3] < datetime.date(2024, 3, 7)]
+    _land(spark, source, early)
+    _land(spark, source, [r for r in rows if r[3] == datetime.date(2024, 3, 9)])
+    events = M.run_monitor_stream(spark, source, man, work, files_per_trigger=1)
+    assert spark.read.parquet(events).count() > 0
+    M.clear_events(spark, work)
+    _land(spark, source, [r for r in rows if r[3] > datetime.date(2024, 3, 9)])
+    M.end_input(spark, source, spark.createDataFrame(rows, M.OBS_SCHEMA))
+    M.run_monitor_stream(spark, source, man, work)
+    kept = [r for r in rows if r[3] < datetime.date(2024, 3, 7) or r[3] >= datetime.date(2024, 3, 9)]
+    want = H.monitor_check(spark.createDataFrame(kept, M.OBS_SCHEMA), man).select(*H.EVENT_COLS)
+    got = spark.read.parquet(events).select(*H.EVENT_COLS)
+    first = got.agg(F.min("check_day")).first()[0]
+    assert first > datetime.date(2024, 3, 6)
+    assert _rows(got) == _rows(want.where(F.col("check_day") >= F.lit(first)))
+
+
+def test_windows_on_a_stream_equal_the_batch(spark, observed, tmp_path):
+    rows, _ = observed
+    rng = random.Random(2)
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+    ordered = sorted(rows, key=lambda r: r[2])
+    for k in range(0, len(ordered), 25):
+        _land(spark, source, rng.sample(ordered[k:k + 25], len(ordered[k:k + 25])) + ordered[max(0, k - 5):k])  # some come twice
+    M.end_input(spark, source, spark.createDataFrame(rows, M.OBS_SCHEMA))
+    out = M.run_posture_stream(spark, source, work, files_per_trigger=1)
+    cols = ["project_id", "window_start", "observations", "max_risk", "high_risk"]
+    assert _rows(spark.read.parquet(out).select(*cols)) == _rows(H.posture_windows(spark.createDataFrame(rows, M.OBS_SCHEMA)).select(*cols))
+
+
+def test_streams_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], M.OBS_SCHEMA)
+    M.replay_source(none, str(tmp_path / "in"))
+    none.write.mode("append").parquet(str(tmp_path / "in"))
+    man = spark.createDataFrame([], "project_id string, name string")
+    events = M.run_monitor_stream(spark, str(tmp_path / "in"), man, str(tmp_path / "work"))
+    assert events.endswith("/events")
