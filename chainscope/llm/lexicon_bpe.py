@@ -12,8 +12,8 @@ A slice's pieces go through the transducer side by side: at each step numpy
 takes one byte of all pieces that are that long.  A state has a bit for each
 byte it accepts, and the rank of a bit is the edge's place, so a step is a
 lookup and a population count.  Pieces that the lexicon doesn't hold are merged
-exactly, pair of least rank first and leftmost among equals; a worker keeps
-the ids of those it has met.  Results are the same whatever the lexicon holds.
+exactly, pair of least rank first and leftmost among equals, a slice's different
+ones side by side.  Results are the same whatever the lexicon holds.
 
 Texts with characters beyond U+024F or controls, and those that hold a special
 token's text, are normalised and cut by the tokenizers library; lookup and
@@ -28,11 +28,12 @@ import mmap
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,22 +44,17 @@ from chainscope.llm.store import shared_folder
 
 #: Pieces in the lexicon (bounds the one task that compiles it, and the file).
 LEXICON = 1 << 16
-#: Pieces that a worker remembers beside the lexicon before it starts anew.
-REMEMBERED = 1 << 18
 #: Symbols of a piece beyond which merging uses a heap.
 _LONG = 32
 _MAGIC = b"BPELEX01"
 _CUT = SimpleNamespace(spaced=False)
-_NEVER = 1 << 60
+_NEVER = np.int32((1 << 31) - 1)
 
 
 class Vocabulary:
     """What a tokenizer file says: ids of bytes, ranked merges, special tokens, the ids' strings."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         model, suffix = config["model"], config["model"]["end_of_word_suffix"]
@@ -66,36 +62,90 @@ class Vocabulary:
         # byte-level alphabets print bytes as characters; those that are no printable Latin-1 follow U+0100
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in set(plain)]
-        self.printed = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
-        self.byte_of = {c: b for b, c in self.printed.items()}
-        self.inner = [ids[self.printed[b]] for b in range(256)]
-        self.last = [ids[self.printed[b] + suffix] for b in range(256)]
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        printed = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+        self.path, self.byte_of = path, {c: b for b, c in printed.items()}
+        self.inner = np.array([ids[printed[b]] for b in range(256)], np.int32)
+        self.last = np.array([ids[printed[b] + suffix] for b in range(256)], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        left, right, made = (np.array(x, np.int64) for x in zip(*((ids[a], ids[b], ids[a + b]) for a, b in pairs)))
+        keys = left << 32 | right
+        order = np.argsort(keys)
+        #: Pairs that merge, ascending; each one's rank, and the id it makes.
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made[order].astype(np.int32)
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.strings = {i: s for s, i in {**ids, **self.special}.items()}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece: pairs are merged by rank, leftmost first."""
-        ids = [*(self.inner[b] for b in piece[:-1]), self.last[piece[-1]]]
-        return self._merge_long(ids) if len(ids) > _LONG else self._merge_short(ids)
-
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            best, at, new = _NEVER, 0, 0
-            for k in range(len(ids) - 1):
-                found = merges.get((ids[k], ids[k + 1]))
-                if found is not None and found[0] < best:
-                    (best, new), at = found, k
-            if best == _NEVER:
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def by_pair(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, _NEVER for those that don't merge."""
+        wanted = left.astype(np.int64) << 32 | np.maximum(right, 0)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where((self.keys[at] == wanted) & (left >= 0) & (right >= 0), self.ranks[at], _NEVER)
+
+    def merge(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and where each piece's begin: pairs
+        are merged by rank, leftmost first."""
+        sizes = np.array([len(p) for p in found], np.int64)
+        made, counts = [], np.zeros(len(found), np.int64)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            if size > _LONG:
+                rows = [self._merge_long(found[k]) for k in own.tolist()]
+                counts[own] = [len(r) for r in rows]
+                made.append((own, np.concatenate(rows)))
+            elif size:
+                raw = np.frombuffer(b"".join(found[k] for k in own.tolist()), np.uint8).reshape(len(own), size)
+                ids = self._merge_alike(np.concatenate([self.inner[raw[:, :-1]], self.last[raw[:, -1:]]], 1))
+                counts[own] = (ids >= 0).sum(1)
+                made.append((own, ids[ids >= 0]))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(at[-1], np.int64)
+        for own, ids in made:
+            ends = np.cumsum(counts[own])
+            out[np.repeat(at[own] - ends + counts[own], counts[own]) + np.arange(len(ids))] = ids
+        return out, at
+
+    def _merge_alike(self, ids: np.ndarray) -> np.ndarray:
+        """Merges rows of equally many ids; what a row has less of in the end is -1."""
+        ids = ids.copy()
+        rank = self._ranked(ids[:, :-1], ids[:, 1:])
+        live, width = np.arange(len(ids)), ids.shape[1]
+        while len(live) and width > 1:
+            at = rank[live].argmin(1)  # the first of the least
+            on = rank[live, at] < _NEVER
+            live, at = live[on], at[on]
+            if not len(live):
                 break
-            ids[at:at + 2] = [new]
+            pair = ids[live, at].astype(np.int64) << 32 | ids[live, at + 1]
+            new = self.made[np.searchsorted(self.keys, pair)]
+            shift = np.arange(width - 1)
+            own = np.take_along_axis(ids[live], shift + (shift > at[:, None]), 1)
+            own[np.arange(len(live)), at] = new
+            ids[live, :-1], ids[live, -1] = own, -1
+            kept = np.take_along_axis(rank[live], shift[:-1] + (shift[:-1] > at[:, None]), 1) if width > 2 else rank[live][:, :0]
+            rank[live, :-1], rank[live, -1] = kept, _NEVER
+            row = np.arange(len(live))
+            before, after = np.maximum(at - 1, 0), np.minimum(at + 1, width - 2)
+            left = np.where(at > 0, self._ranked(own[row, before], new), rank[live, 0])
+            rank[live, at] = np.where(at + 1 < width - 1, self._ranked(new, own[row, after]), _NEVER)
+            rank[live[at > 0], before[at > 0]] = left[at > 0]
         return ids
 
-    def _merge_long(self, ids: list[int]) -> list[int]:
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same for one long piece, with a heap."""
+        ids = [*self.inner[np.frombuffer(piece[:-1], np.uint8)].tolist(), int(self.last[piece[-1]])]
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
-        heap = [(found[0], k, k + 1, found[1], ids[k], ids[k + 1]) for k in range(len(ids) - 1) if (found := self.merges.get((ids[k], ids[k + 1])))]
+        heap = [(*found, k, k + 1, ids[k], ids[k + 1]) for k in range(len(ids) - 1) if (found := self.by_pair.get(ids[k] << 32 | ids[k + 1]))]
+        heap = [(rank, a, b, new, left, right) for rank, new, a, b, left, right in heap]
         heapq.heapify(heap)
         while heap:
             _, a, b, new, left, right = heapq.heappop(heap)
@@ -105,7 +155,7 @@ class Vocabulary:
             if after[b] >= 0:
                 before[after[b]] = a
             for x, y in ((before[a], a), (a, after[a])):
-                if x >= 0 and y >= 0 and (found := self.merges.get((ids[x], ids[y]))):
+                if x >= 0 and y >= 0 and (found := self.by_pair.get(ids[x] << 32 | ids[y])):
                     heapq.heappush(heap, (found[0], x, y, found[1], ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
@@ -165,25 +215,23 @@ def pieces(column: pa.Array, known: Vocabulary) -> tuple[pa.Array, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     known, tally = vocabulary(path), terms.Tally(["piece"], ["n"])
     for batch in batches:
-        for part in words.slices(batch):
+        for part in words.slices(batch, limit=tokens.SLICE):
             counts = pieces(part.column("text"), known)[0].value_counts()
             yield from tally.add(pa.table({"piece": counts.field("values"), "n": counts.field("counts")}))
     yield from tally.rest()
 
 
-def compiled(entries: dict[bytes, list[int]]) -> bytes:
-    """A lexicon as bytes: magic, the arrays' sizes, the arrays (see ``Lexicon``)."""
-    order = sorted(entries)
+def compiled(order: list[bytes], flat: np.ndarray, at: np.ndarray) -> bytes:
+    """A lexicon as bytes: magic, the arrays' sizes, the arrays (see ``Lexicon``).
+    ``order`` ascends; its ids stand one after the other, from ``at`` on."""
     a = Automaton(order)
     n = len(a.final)
     bits = np.zeros((n, 256), np.uint8)
     bits[a.edge >> 8, a.symbol] = 1
     mask = np.packbits(bits, axis=1, bitorder="little").view("<u8")
     rank = np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(np.bitwise_count(mask)[:, :3], axis=1)], 1) + a.first[:-1, None]
-    flat = [i for w in order for i in entries[w]]
-    at = np.concatenate([[0], np.cumsum([len(entries[w]) for w in order])])
     arrays = [mask.astype("<u8").tobytes(), rank.astype("<i8").tobytes(), a.target.astype("<i8").tobytes(), a.before.astype("<i8").tobytes(),
-              at.astype("<i8").tobytes(), np.array(flat, "<i8").tobytes(), a.final.astype(np.uint8).tobytes()]
+              at.astype("<i8").tobytes(), flat.astype("<i8").tobytes(), a.final.astype(np.uint8).tobytes()]
     return _MAGIC + np.array([n, a.start, len(a.symbol), len(order), len(flat)], "<i8").tobytes() + b"".join(arrays)
 
 
@@ -253,10 +301,6 @@ class Encoder:
 
     def __init__(self, known: Vocabulary, lexicon: Lexicon) -> None:
         self.known, self.lexicon = known, lexicon
-        self._forget()
-
-    def _forget(self) -> None:
-        self.met: dict[bytes, list[int]] = {text.encode(): [i] for text, i in self.known.special.items()}
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cells, first = pieces(column, self.known)
@@ -268,16 +312,16 @@ class Encoder:
         pool, offsets = self.lexicon.ids, self.lexicon.at
         if len(missed):
             coded = cells.take(pa.array(missed)).dictionary_encode()
-            if len(self.met) > REMEMBERED:
-                self._forget()
-            own = []
-            for piece in coded.dictionary.to_pylist():
-                if (ids := self.met.get(piece)) is None:
-                    ids = self.met[piece] = self.known.merge(piece)
-                own.append(ids)
-            number[missed] = self.lexicon.size + coded.indices.to_numpy()
-            pool = np.concatenate([pool, np.array([i for ids in own for i in ids], np.int64)])
-            offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(ids) for ids in own])])
+            own, own_at = self.known.merge(coded.dictionary.to_pylist())
+            pool, offsets = np.concatenate([pool, own]), np.concatenate([offsets, offsets[-1] + own_at[1:]])
+            code = coded.indices.to_numpy()
+            for text, i in self.known.special.items():  # a piece that is a special token's text is that token
+                at = pc.index(coded.dictionary, text.encode()).as_py()
+                if at >= 0:
+                    code = np.where(code == at, len(coded.dictionary), code)
+                    pool, offsets = np.append(pool, i), np.append(offsets, offsets[-1] + 1)
+                    coded = pa.DictionaryArray.from_arrays(pa.array(code), pa.concat_arrays([coded.dictionary, pa.array([b""], pa.binary())]))
+            number[missed] = self.lexicon.size + code
         sizes = offsets[number + 1] - offsets[number]
         total = np.concatenate([[0], np.cumsum(sizes)])
         flat = pool[np.repeat(offsets[number] - total[:-1], sizes) + np.arange(total[-1])]
@@ -287,7 +331,7 @@ class Encoder:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterator[pa.RecordBatch]:
     coder = Encoder(vocabulary(path), _mapped(name))
     for batch in batches:
-        for part in words.slices(batch):
+        for part in words.slices(batch, limit=tokens.SLICE):
             flat, first = coder.ids(part.column("text"))
             ids = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat, pa.int32()))
             keep = [c for c in part.schema.names if c != "text"]
@@ -303,9 +347,8 @@ def lexicon_file(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(tokenizer)
-        found = [p for batch in batches for p in batch.column("piece").to_pylist() if p is not None]
-        special = {text.encode(): [i] for text, i in known.special.items()}
-        content = compiled({p: special.get(p) or known.merge(p) for p in found})
+        found = sorted(p for batch in batches for p in batch.column("piece").to_pylist() if p is not None and p.decode("utf-8", "replace") not in known.special)
+        content = compiled(found, *known.merge(found))
         yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
 
     folder = shared_folder(spark, "lexicon")
@@ -359,7 +402,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     absent = len(table[1]) - 2
     for batch in batches:
         sizes = batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes) // (1 << 18)
+        block = np.cumsum(sizes) // (1 << 17)
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:

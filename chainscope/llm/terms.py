@@ -37,8 +37,8 @@ def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: pa.Dat
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     if len(starts):
         cover = np.zeros(len(data) + 1, np.int8)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, ends, -1)
+        cover[starts] += 1  # a place is the start of one span at most, and the end of one
+        cover[ends] -= 1
         data = data[np.cumsum(cover[:-1], dtype=np.int8) > 0]
     else:
         data = data[:0]
