@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from chainscope.llm import terms, tokens, words
 from chainscope.llm.automaton import Automaton
-from chainscope.llm.store import shared_folder
+from chainscope.llm.store import checkpointed, shared_folder
 
 #: Pieces in the lexicon (bounds the one task that compiles it, and the file).
 LEXICON = 1 << 16
@@ -338,12 +338,26 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, name: str) -> Iterato
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, "ids"])
 
 
+def _most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The pieces of the most frequent bands of n (a sixty-fourth of a doubling
+    each) that are ``size`` together or fewer.  A few thousand bands are counted;
+    no task meets more pieces than are taken."""
+    band = F.floor(F.log2("n") * 64).cast("int")
+    left, cut = size, None
+    for row in counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
+        if row["count"] > left:
+            break
+        left, cut = left - row["count"], row.band
+    return counts.where(band >= cut if cut is not None else F.lit(False)).select("piece")
+
+
 def lexicon_file(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> str:
-    """Compiles the ``size`` most frequent pieces of all texts (column text) and
-    sends the file to the executors; gives its name there."""
+    """Compiles the most frequent pieces of all texts (column text), ``size`` at
+    most, and sends the file to the executors; gives its name there."""
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(partial(_count, path=tokenizer), "piece binary, n long")
-    top = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size).select("piece")
+    counts = checkpointed(counts.groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    top = _most_frequent(counts, size)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(tokenizer)
