@@ -49,10 +49,6 @@ SELECT DISTINCT project_id, package, kind, value FROM (
   UNION ALL SELECT project_id, package, 'native', unnest({o_native()}) FROM {src})""")
 
 
-def o_digest(x):
-    return f"CAST(('0x' || substr(md5({x}), 1, 15)) AS BIGINT)"
-
-
 @query("extract_imports", lambda: with_fixtures(["src_files"], [("pf", o_filter("src_files"))], f"""
 SELECT project_id, package, path, unnest({o_all(P.KINDS['import'])}) AS import FROM pf"""))
 def q_extract_imports(ws):
@@ -86,26 +82,40 @@ def q_native_bindings(ws):
     return prof_files(ws).select(*KEYS, F.explode(P.native_bindings(F.col("content"))).alias("binding")).distinct()
 
 
+VERSIONED = ["project_id", "package", "version"]
+
+
 def _o_profile():
-    return [("pf", o_filter("src_files")), o_items("pf", "it"),
-            ("base", f"""
-SELECT project_id, package, CAST(count(*) AS BIGINT) AS file_count,
-       CAST(sum(octet_length(encode(content))) AS BIGINT) AS total_size,
-       bit_xor({o_digest("path || chr(10) || sha256(content)")}) AS content_digest
-FROM pf GROUP BY project_id, package"""),
-            ("cnt", """
-SELECT project_id, package, CAST(count_if(kind = 'import') AS BIGINT) AS imports,
+    k = "project_id, package, version"
+    it = o_items("pf", "it")[1].replace("project_id, package", k)
+    return [("pf", o_filter("src_files")), ("it", it),
+            ("leaf", f"SELECT {k}, sha256(path) AS h, sha256(path) || ':' || sha256(content) AS line, octet_length(encode(content)) AS size FROM pf"),
+            ("low", f"SELECT {k}, substr(h, 1, 2) AS one, substr(h, 3, 2) AS two, sha256(string_agg(line, chr(10) ORDER BY line)) AS node FROM leaf GROUP BY ALL"),
+            ("mid", f"SELECT {k}, one, sha256(string_agg(two || ':' || node, chr(10) ORDER BY two)) AS node FROM low GROUP BY ALL"),
+            ("tree", f"SELECT {k}, sha256(string_agg(one || ':' || node, chr(10) ORDER BY one)) AS content_hash FROM mid GROUP BY ALL"),
+            ("base", f"SELECT {k}, CAST(count(*) AS BIGINT) AS file_count, CAST(sum(size) AS BIGINT) AS total_size FROM leaf GROUP BY ALL"),
+            ("cnt", f"""
+SELECT {k}, CAST(count_if(kind = 'import') AS BIGINT) AS imports,
        CAST(count_if(kind = 'endpoint') AS BIGINT) AS endpoints, CAST(count_if(kind = 'fs_path') AS BIGINT) AS fs_paths,
        CAST(count_if(kind = 'native') AS BIGINT) AS natives
-FROM it GROUP BY project_id, package""")]
+FROM it GROUP BY ALL""")]
 
 
 @query("fingerprint_profile", lambda: with_fixtures(["src_files"], _o_profile(), """
-SELECT b.*, coalesce(imports, 0) AS imports, coalesce(endpoints, 0) AS endpoints, coalesce(fs_paths, 0) AS fs_paths,
+SELECT b.*, content_hash, coalesce(imports, 0) AS imports, coalesce(endpoints, 0) AS endpoints, coalesce(fs_paths, 0) AS fs_paths,
        coalesce(natives, 0) AS natives
-FROM base b LEFT JOIN cnt USING (project_id, package)"""))
+FROM base b JOIN tree USING (project_id, package, version) LEFT JOIN cnt USING (project_id, package, version)"""))
 def q_fingerprint_profile(ws):
-    return P.profile(prof_files(ws), KEYS)
+    return P.profile(prof_files(ws), VERSIONED)
+
+
+@query("fingerprint_rows", lambda: with_fixtures(["src_files"], _o_profile()[:2], """
+SELECT project_id, package, version, 'file' AS kind, path AS value, sha256(content) AS sha256,
+       CAST(octet_length(encode(content)) AS BIGINT) AS size FROM pf
+UNION ALL SELECT project_id, package, version, kind, value, NULL, NULL FROM it"""))
+def q_fingerprint_rows(ws):
+    """Every profile's file hashes and item lists, as rows."""
+    return P.profile_rows(prof_files(ws), VERSIONED)
 
 
 def _o_diff():
@@ -139,7 +149,7 @@ def q_profile_diff(ws):
     ("ps", "SELECT pk.project_id, pk.package, " + ", ".join(
         f"coalesce({k}_{c}, 0) AS {k}_{c}" for k, c, _ in P.SUMMARY_PARTS)
         + " FROM pk LEFT JOIN pc USING (project_id, package)"),
-], "SELECT *, CASE WHEN " + " + ".join(f"{k}_{c}" for k, c, _ in P.SUMMARY_PARTS) + """ = 0
+], "SELECT *, file_added + file_removed + file_changed > 0 AS content_hash_changed, CASE WHEN " + " + ".join(f"{k}_{c}" for k, c, _ in P.SUMMARY_PARTS) + """ = 0
      THEN 'No behavioral changes detected' ELSE 'Changes: ' || concat_ws(', ', """ + ", ".join(
     f"CASE WHEN {k}_{c} > 0 THEN CAST({k}_{c} AS VARCHAR) || ' {t}' END" for k, c, t in P.SUMMARY_PARTS)
     + ") END AS summary FROM ps"))

@@ -8,21 +8,56 @@ only its partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainscope.operators import govern as G
 
 
-def save_profiles(profiles: DataFrame, path: str) -> None:
-    """Append profiles, partitioned by package name."""
-    profiles.write.mode("append").partitionBy("package").parquet(path)
+#: Folders of a profile store, whatever the number of packages.
+PROFILE_BUCKETS = 64
+PROFILE_KEYS = ["project_id", "package", "version"]
+
+
+def _bucket(package) -> Column:
+    return F.pmod(F.xxhash64(package), F.lit(PROFILE_BUCKETS)).cast("int")
+
+
+def save_profiles(rows: DataFrame, path: str, saved: int) -> None:
+    """Append profiles, given as rows (project_id, package, version, kind,
+    value, ...: every file hash and item, see ``fingerprint.profile_rows``).
+
+    Packages are hashed to a fixed number of folders; a save writes one file to
+    each.  ``saved`` numbers the saves, in ascending order: of the saves of a
+    profile the last one counts, as a whole.
+    """
+    placed = rows.withColumns({"bucket": _bucket(F.col("package")), "saved": F.lit(saved).cast("long")})
+    placed.repartition(PROFILE_BUCKETS, "bucket").sortWithinPartitions("bucket", *PROFILE_KEYS).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("bucket", *PROFILE_KEYS).agg(F.max("saved").alias("saved"))
+    return rows.join(last, ["bucket", *PROFILE_KEYS, "saved"], "left_semi")
 
 
 def load_profile(spark: SparkSession, path: str, package: str, version: str | None = None) -> DataFrame:
-    """Profiles of one package (partition pruning on the name)."""
-    df = spark.read.parquet(path).where(F.col("package") == package)
-    return df.where(F.col("version") == version) if version is not None else df
+    """The rows of one package's profiles, as last saved.  Only the package's
+    folder is read, and in its sorted files only the row groups that may hold it."""
+    df = spark.read.parquet(path).where((F.col("bucket") == _bucket(F.lit(package))) & (F.col("package") == package))
+    df = df.where(F.col("version") == version) if version is not None else df
+    return _newest(df).drop("bucket", "saved")
+
+
+def load_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """All profiles as last saved."""
+    return _newest(spark.read.parquet(path)).drop("bucket", "saved")
+
+
+def compact_profiles(spark: SparkSession, path: str, target: str) -> None:
+    """Writes the store anew to ``target``, without saves that were
+    replaced, a file for each folder.  Saves go on there."""
+    rows = _newest(spark.read.parquet(path))
+    rows.repartition(PROFILE_BUCKETS, "bucket").sortWithinPartitions("bucket", *PROFILE_KEYS).write.partitionBy("bucket").parquet(target)
 
 
 def save_snapshots(snaps: DataFrame, path: str) -> None:
