@@ -1,12 +1,14 @@
 """Look-alike package names.
 
-Candidate pairs are found by an equi-join on a blocking key instead of a
-cross join: each name is exploded to the five lengths it may be compared
-with (its base length +-2) and joined to the known names on that length.
-The known-name table is a broadcast catalogue (50 rows by default); with a
-large user table the same plan is a shuffle join on the length key.  The
-choice per name is one ``min(struct)`` aggregate (partial aggregation
-first, so a hot name does not end up whole in one task).
+Candidates come from a deletion-neighbourhood index: two names are within
+``EDITS`` edits only if deleting that many characters or fewer from each can
+give the same string.  Both sides are exploded to the hashes of what such
+deletions leave and joined on them, the few pairs that meet are verified by
+edit distance.  Names that differ in separators alone may be further apart and
+are joined on the name without separators.  Nothing grows with the product of
+the two tables; which side is broadcast is left to Spark.  The choice per name is one ``min(struct)``
+aggregate (partial aggregation first, so a hot name does not end up whole in
+one task).
 """
 
 from __future__ import annotations
@@ -53,14 +55,39 @@ def known_frame(spark: SparkSession, known: list[str] | None = None) -> DataFram
     return spark.createDataFrame([(i, k) for i, k in enumerate(known)], "known_idx int, known string")
 
 
+def _neighbourhood(name: Column) -> Column:
+    """Hashes of all strings that up to two deletions leave of a name."""
+    def places(first: Column, last: Column) -> Column:
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    def without(text: Column, at: Column) -> Column:
+        return F.concat(F.substring(text, 1, at - 1), F.substring(text, at + 1, 1 << 30))
+
+    size = F.length(name)
+    one = F.transform(places(F.lit(1), size), lambda i: without(name, i))
+    two = F.flatten(F.transform(places(F.lit(1), size - 1), lambda i: F.transform(places(i, size - 1), lambda j: without(without(name, i), j))))
+    return F.array_distinct(F.transform(F.concat(F.array(name), one, two), lambda v: F.xxhash64(v)))
+
+
+def near_bases(bases: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct (base, kbase) within two edits or, with lengths two apart at most,
+    equal but for separators."""
+    a = bases.select("base").distinct()
+    b = known.select("kbase").distinct()
+    met = (a.select("base", F.explode(_neighbourhood(F.col("base"))).alias("_h"))
+           .join(b.select("kbase", F.explode(_neighbourhood(F.col("kbase"))).alias("_h")), "_h")
+           .where(F.levenshtein("base", "kbase", 2) >= 0).select("base", "kbase"))
+    bare = (a.withColumn("_s", F.translate("base", "-_.", "")).join(b.withColumn("_s", F.translate("kbase", "-_.", "")), "_s")
+            .where(F.abs(F.length("base") - F.length("kbase")) <= 2).select("base", "kbase"))
+    return met.unionByName(bare).distinct()
+
+
 def candidate_pairs(names: DataFrame, known: DataFrame, name_col: str = "name") -> DataFrame:
-    """Every (name, known) pair whose base lengths differ by at most 2."""
+    """Every (name, known) pair that may look alike."""
     scope, base = split_name(F.col(name_col))
     n = names.select(F.col(name_col).alias("name"), scope.alias("scope"), base.alias("base"))
-    n = n.withColumn("_len", F.explode(F.sequence(F.length("base") - 2, F.length("base") + 2)))
     k = known.select("known_idx", "known", split_name(F.col("known"))[1].alias("kbase"))
-    k = k.withColumn("_len", F.length("kbase"))
-    return n.join(k, "_len").drop("_len")
+    return n.join(near_bases(n, k), "base").join(k, "kbase").select("name", "scope", "base", "known_idx", "known", "kbase")
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:

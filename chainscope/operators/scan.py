@@ -83,7 +83,7 @@ def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols
     """
     spark = files.sparkSession
     files = spread(files, [k for k in keep if k in files.columns])
-    files = files.select(*keep, F.translate(content_col, MARK, UNMARK).alias("_content")).withColumn("_lc", F.lower("_content"))
+    files = files.select(*keep, F.replace(content_col, F.lit(MARK), F.lit(UNMARK)).alias("_content")).withColumn("_lc", F.lower("_content"))
     c, lc = F.col("_content"), F.col("_lc")
     hit = [F.when(prefilter(lc, r.get("prefilter")) & c.rlike(r["java"]), F.lit(r["rule_idx"])) for r in rules]
     marked = F.lit(None).cast("string")
