@@ -1,9 +1,8 @@
 """Declarative governance as tables.
 
-Rule tables are small driver-side configuration; each rule is compiled to
-a Column once and evaluated per row through a literal array of structs
-(a generator), so packages x rules needs neither a join nor a shuffle.
-Lists, permissions and facts are DataFrames joined on keys.
+Policies are tables: packages' context fields are unpivoted to typed values and
+joined with the rules on the field.  Lists, permissions and facts are
+DataFrames joined on keys.
 """
 
 from __future__ import annotations
@@ -11,11 +10,11 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainscope.functions import js
-from chainscope.functions.regex import to_java
+from chainscope.functions.regex import ASCII_BOUNDARY
 
 # ---------------------------------------------------------------- policy
 
@@ -66,75 +65,108 @@ def policy_context(df: DataFrame) -> DataFrame:
     return out
 
 
-def _json(v) -> str:
-    """JSON.stringify of a rule value."""
-    if isinstance(v, bool) or v is None or isinstance(v, (list, str)):
-        return json.dumps(v, separators=(",", ":"))
-    return js_number_text(v)
-
-
-def js_number_text(v) -> str:
-    return str(int(v)) if float(v) == int(v) else repr(float(v))
-
-
-def _json_col(c: Column, typ: str) -> Column:
-    if typ == "number":
-        return js.js_num(c.cast("double"))
-    if typ == "string":
-        return F.concat(F.lit('"'), c, F.lit('"'))
-    if typ == "boolean":
-        return F.when(c, F.lit("true")).otherwise(F.lit("false"))
-    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ","),
-                    F.lit("]"))
-
-
-def _valid_regex(p: str) -> bool:
-    try:
-        re.compile(p)
-        return True
-    except re.error:
-        return False
-
-
-def compile_rule(rule) -> Column:
-    """one enabled rule -> struct(rule_id, rule_name, passed, action,
-    severity, message) for the current row.  Type-strict like ``===``."""
-    rid, name, desc, field, op, value, action, severity, _ = rule
-    col, typ, _ = CONTEXT_FIELDS.get(field, (None, None, None))
-    actual = F.col(col) if col else None
-    is_num = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if actual is None:  # unknown field -> null
-        passed = F.lit(op in ("neq", "not-in") and (op == "neq" or isinstance(value, list)))
-    elif op in ("gt", "gte", "lt", "lte"):
-        passed = F.lit(False) if typ != "number" else {
-            "gt": actual > value, "gte": actual >= value, "lt": actual < value, "lte": actual <= value}[op]
-    elif op in ("eq", "neq"):
-        same = ((typ == "number" and is_num) or (typ == "string" and isinstance(value, str))
-                or (typ == "boolean" and isinstance(value, bool)))
-        eq = (actual == F.lit(value)) if same else F.lit(False)
-        passed = eq if op == "eq" else ~eq
-    elif op in ("in", "not-in"):
-        inside = actual.isin(value) if (isinstance(value, list) and typ == "string") else F.lit(False)
-        passed = (inside if op == "in" else ~inside) if isinstance(value, list) else F.lit(False)
-    elif op == "contains":
-        passed = F.instr(actual, str(value)) > 0 if typ == "string" else F.lit(False)
-    elif op == "matches":
-        passed = actual.rlike(to_java(str(value))) if (typ == "string" and _valid_regex(str(value))) else F.lit(False)
-    else:
-        passed = F.lit(False)
-    passed = F.coalesce(passed, F.lit(False))
-    actual_json = _json_col(actual, typ) if actual is not None else F.lit("null")
-    msg = F.when(passed, F.lit(f"{name}: passed")).otherwise(F.concat(
-        F.lit(f"{name}: {desc} ({field} = "), actual_json, F.lit(f", expected {op} {_json(value)})")))
-    return F.struct(F.lit(rid).alias("rule_id"), F.lit(name).alias("rule_name"), passed.alias("passed"),
-                    F.lit(action).alias("action"), F.lit(severity).alias("severity"), msg.alias("message"))
-
-
-def policy_results(ctx: DataFrame, rules=None, keys=("project_id", "package_name")) -> DataFrame:
-    """J13 + F1: every enabled rule against every package (generator, no join)."""
-    rules = [r for r in (rules or DEFAULT_POLICY) if r[8]]
-    arr = F.array(*[compile_rule(r) for r in rules])
-    return ctx.select(*keys, F.explode(arr).alias("_r")).select(*keys, "_r.*")
+POLICY_SCHEMA = ("id string, name string, description string, field string, operator string, value string, "
+                 "action string, severity string, enabled boolean")
+
+
+def policy_frame(spark: SparkSession, rules: list[tuple] | None = None) -> DataFrame:
+    """Rules as a table, their values as JSON text; the default policy unless given."""
+    return spark.createDataFrame([(*r[:5], json.dumps(r[5]), *r[6:]) for r in (DEFAULT_POLICY if rules is None else rules)], POLICY_SCHEMA)
+
+
+_NUMBERS = ["TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE"]
+
+
+def _kind(v: Column) -> Column:
+    """What ``typeof`` tells apart: number, string, boolean, array, object, null."""
+    t = F.schema_of_variant(v)
+    return (F.when(t.isin(_NUMBERS) | t.startswith("DECIMAL"), "number").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
+            .when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").otherwise("null"))
+
+
+def _get(v: Column, typ: str) -> Column:
+    return F.try_variant_get(v, "$", typ)
+
+
+def _same(a: Column, kind: Column, b: Column) -> Column:
+    """``a === b``, ``kind`` being a's; arrays are never the same one."""
+    return (kind == _kind(b)) & F.coalesce(
+        F.when(kind == "number", _get(a, "double") == _get(b, "double")).when(kind == "string", _get(a, "string") == _get(b, "string"))
+        .when(kind == "boolean", _get(a, "boolean") == _get(b, "boolean")).otherwise(kind == "null"), F.lit(False))
+
+
+def _text(v: Column) -> Column:
+    """A value as a string, as JavaScript turns it into one."""
+    def one(x: Column) -> Column:
+        return F.when(_kind(x) == "number", js.js_num(_get(x, "double"))).otherwise(_get(x, "string"))
+
+    joined = F.array_join(F.transform(_get(v, "array<variant>"), lambda x: F.coalesce(one(x), F.lit(""))), ",")
+    return F.when(_kind(v) == "array", joined).when(_kind(v) == "null", "null").otherwise(one(v))
+
+
+def _number(v: Column, kind: Column, text: Column) -> Column:
+    """A value as a number, as JavaScript compares with it; null for NaN."""
+    text = F.trim(text)
+    return (F.when(kind == "number", _get(v, "double")).when(kind == "boolean", _get(v, "boolean").cast("double"))
+            .when((kind == "null") | (text == ""), 0.0).otherwise(text.try_cast("double")))
+
+
+def _stringified(v: Column, kind: Column) -> Column:
+    """JSON.stringify of a value."""
+    return F.when(kind == "number", js.js_num(_get(v, "double"))).when(kind == "null", "null").otherwise(F.to_json(v))
+
+
+def _java_pattern(text: Column) -> Column:
+    """A JavaScript pattern for Java's engine (see functions.regex); null where it is none."""
+    pattern = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\b", "$1" + ASCII_BOUNDARY.replace("$", r"\$"))
+    return F.when(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull(), pattern)
+
+
+def _rules_read(rules: DataFrame) -> DataFrame:
+    """The rule table with what its values mean, once a rule and not once a row."""
+    v, kind, text = F.col("_expected"), F.col("_ek"), F.col("_et")
+    read = rules.where("enabled").withColumn("_expected", F.try_parse_json("value"))
+    read = read.withColumns({"_ek": _kind(v), "_et": _text(v)})
+    return read.withColumns({"_en": _number(v, kind, text), "_es": _stringified(v, kind), "_list": _get(v, "array<variant>"),
+                             "_re": F.when(F.col("operator") == "matches", _java_pattern(text))})
+
+
+def _passed(op: Column) -> Column:
+    """the ten operators.  An operator or type that does not fit fails, as
+    does a pattern that is none; ``in`` and ``not-in`` need a list."""
+    actual, kind, n, s = F.col("_actual"), F.col("_ak"), F.col("_an"), F.col("_as")
+    expected, m, text = F.col("_expected"), F.col("_en"), F.col("_et")
+    number, string, listed = kind == "number", kind == "string", F.col("_ek") == "array"
+    same, inside = _same(actual, kind, expected), F.exists("_list", lambda x: _same(actual, kind, x))
+    return F.coalesce(
+        F.when(op == "gt", number & (n > m)).when(op == "gte", number & (n >= m)).when(op == "lt", number & (n < m)).when(op == "lte", number & (n <= m))
+        .when(op == "eq", same).when(op == "neq", ~same).when(op == "in", listed & inside).when(op == "not-in", listed & ~inside)
+        .when(op == "contains", string & F.contains(s, text))
+        .when(op == "matches", F.when(string & F.col("_re").isNotNull(), F.rlike(s, F.col("_re")))), F.lit(False))
+
+
+def policy_results(ctx: DataFrame, rules: DataFrame | None = None, keys=("project_id", "package_name")) -> DataFrame:
+    """J13 + F1/F2: every enabled rule of a rule table against every package.
+
+    The context is unpivoted to (field, VARIANT value) rows and joined with the
+    rules on the field, so a rule meets its one field; a rule whose field the
+    context lacks meets a null.  A context value that is null is null too.
+    """
+    spark = ctx.sparkSession
+    fields = {f: (c, t) for f, (c, t, _) in CONTEXT_FIELDS.items() if c in ctx.columns}
+    rules = _rules_read(policy_frame(spark) if rules is None else rules)
+    rules = rules.withColumn("_field", F.when(F.col("field").isin(list(fields)), F.col("field")).otherwise(F.lit("")))
+    typed = {"number": "double", "array": "array<string>"}
+    values = [F.struct(F.lit(f).alias("_field"), F.col(c).cast(typed.get(t, t)).cast("variant").alias("_actual")) for f, (c, t) in fields.items()]
+    values.append(F.struct(F.lit("").alias("_field"), F.lit(None).cast("variant").alias("_actual")))
+    actual = F.col("_actual")
+    rows = ctx.select(*keys, F.explode(F.array(*values)).alias("_v")).select(*keys, "_v.*")
+    rows = rows.withColumns({"_ak": _kind(actual), "_an": _get(actual, "double"), "_as": _get(actual, "string")}).join(rules, "_field")
+    rows = rows.withColumn("passed", _passed(F.col("operator")))
+    told = F.concat(F.col("name"), F.lit(": "), F.col("description"), F.lit(" ("), F.col("field"), F.lit(" = "), _stringified(actual, F.col("_ak")),
+                    F.lit(", expected "), F.col("operator"), F.lit(" "), F.col("_es"), F.lit(")"))
+    return rows.select(*keys, F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "passed", "action", "severity",
+                       F.when(F.col("passed"), F.concat("name", F.lit(": passed"))).otherwise(told).alias("message"))
 
 
 def policy_evaluation(results: DataFrame, keys=("project_id", "package_name")) -> DataFrame:

@@ -157,18 +157,46 @@ def monitor_status(ev: DataFrame, obs: DataFrame, recent: int = 10) -> DataFrame
 
 # ---------------------------------------------------------------- posture
 
-def posture_snapshots(obs: DataFrame, threshold: float = RISK_THRESHOLD) -> DataFrame:
+METRICS = ["total_findings", "critical_findings", "high_findings", "license_violations", "policy_violations", "provenance_coverage",
+           "manifest_coverage"]
+
+
+def with_metrics(snaps: DataFrame, readings: DataFrame) -> DataFrame:
+    """Point-in-time join: each snapshot with the newest reading (project_id, day,
+    metric, value) of every metric at or before its day, 0 where there is none.
+
+    Readings and snapshots are one ordered sequence per project, in which the
+    last value of each metric is carried forward: one window, no range join.  Of
+    several readings of a metric on a day the largest counts."""
+    none = F.lit(None).cast("double")
+    wide = readings.groupBy("project_id", "day").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in METRICS])
+    rows = snaps.select("project_id", "day", F.struct(*[c for c in snaps.columns if c not in ("project_id", "day")]).alias("_snap"), *[none.alias(m) for m in METRICS])
+    told = wide.select("project_id", "day", F.lit(None).cast(rows.schema["_snap"].dataType).alias("_snap"), *METRICS)
+    # a day's readings come before its snapshot
+    w = Window.partitionBy("project_id").orderBy("day", F.col("_snap").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = [F.coalesce(F.last(m, ignorenulls=True).over(w), F.lit(0.0)).alias(m) for m in METRICS]
+    return rows.unionByName(told).select("project_id", "day", "_snap", *carried).where(F.col("_snap").isNotNull()).select("project_id", "day", "_snap.*", *METRICS)
+
+
+def posture_snapshots(obs: DataFrame, threshold: float = RISK_THRESHOLD, readings: DataFrame | None = None) -> DataFrame:
     """One snapshot per (project, day).  Scores are summed as exact
-    decimals so the mean does not depend on summation order."""
+    decimals so the mean does not depend on summation order.  With ``readings``
+    it holds the other metrics as they were known that day."""
     s = F.col("score").cast("decimal(18,6)")
     agg = obs.groupBy("project_id", "day").agg(
         F.count("*").cast("bigint").alias("package_count"),
         F.sum(s).alias("_sum"), F.max("score").alias("max_risk"),
         F.count(F.when(F.col("score") >= threshold, 1)).cast("bigint").alias("high_risk"))
     avg = F.col("_sum").cast("double") / F.col("package_count")
-    return (agg.withColumn("average_risk", js.round1(avg))
-            .withColumn("overall_score", js.js_round((F.lit(10.0) - avg) * 10.0))
-            .drop("_sum"))
+    snaps = (agg.withColumn("average_risk", js.round1(avg))
+             .withColumn("overall_score", js.js_round((F.lit(10.0) - avg) * 10.0))
+             .drop("_sum"))
+    return snaps if readings is None else with_metrics(snaps, readings)
+
+
+def high_risk_packages(obs: DataFrame, threshold: float = RISK_THRESHOLD) -> DataFrame:
+    """The names behind a snapshot's high_risk, as rows."""
+    return obs.where(F.col("score") >= threshold).select("project_id", "day", F.col("name").alias("package"), "score")
 
 
 def latest_snapshots(snaps: DataFrame, limit: int | None = None) -> DataFrame:
@@ -180,10 +208,17 @@ def latest_snapshots(snaps: DataFrame, limit: int | None = None) -> DataFrame:
     return top.withColumn("position", (n - F.col("_r") + 1).cast("bigint")).drop("_r")
 
 
+# FIXED VALUES — sentences of the trend: metric, text when it fell, text when it rose (None: none), as a decimal number
+TREND_PARTS = [("average_risk", "Average risk reduced", "Average risk increased"), ("high_risk", "High-risk packages reduced", "High-risk packages increased"),
+               ("total_findings", "Total findings reduced", "Total findings increased"), ("license_violations", "License violations reduced", None)]
+
+
 def posture_trend(snaps: DataFrame, limit: int | None = None) -> DataFrame:
-    """First vs last of the loaded snapshots per project."""
+    """First vs last of the loaded snapshots per project, with what got
+    better and worse in words (joined by '; ')."""
     last = latest_snapshots(snaps, limit)
-    m = F.struct("day", "overall_score", "average_risk", "high_risk")
+    parts = [p for p in TREND_PARTS if p[0] in snaps.columns]
+    m = F.struct("day", "overall_score", *[p[0] for p in parts])
     g = last.groupBy("project_id").agg(F.count("*").cast("bigint").alias("snapshots"),
                                        F.min(m).alias("f"), F.max(m).alias("l"))
     diff = F.col("l.overall_score") - F.col("f.overall_score")
@@ -198,14 +233,16 @@ def posture_trend(snaps: DataFrame, limit: int | None = None) -> DataFrame:
                  F.col("l.overall_score").cast("string"), F.lit("/100 ("),
                  F.when(F.col("change_percent") >= 0, "+").otherwise(""), F.col("change_percent").cast("string"),
                  F.lit("%) over "), F.col("snapshots").cast("string"), F.lit(" snapshots")))
-    imp = (F.when(F.col("l.average_risk") < F.col("f.average_risk"), 1).otherwise(0)
-           + F.when(F.col("l.high_risk") < F.col("f.high_risk"), 1).otherwise(0))
-    reg = (F.when(F.col("l.average_risk") > F.col("f.average_risk"), 1).otherwise(0)
-           + F.when(F.col("l.high_risk") > F.col("f.high_risk"), 1).otherwise(0))
+
+    def told(metric: str, text: str | None, fell: bool) -> Column:
+        before, after = F.col(f"f.{metric}").cast("double"), F.col(f"l.{metric}").cast("double")
+        hit = (after < before) if fell else (after > before)
+        return F.when(hit & F.lit(text is not None), F.concat(F.lit(f"{text}: "), js.js_num(before), F.lit(" -> "), js.js_num(after)))
+
     return (g.withColumn("trend", trend).withColumn("change_percent", pct)
             .withColumn("summary", summary)
-            .withColumn("improvements", F.when(F.col("snapshots") < 2, 0).otherwise(imp).cast("int"))
-            .withColumn("regressions", F.when(F.col("snapshots") < 2, 0).otherwise(reg).cast("int"))
+            .withColumn("improvements", F.concat_ws("; ", *[told(c, t, True) for c, t, _ in parts]))
+            .withColumn("regressions", F.concat_ws("; ", *[told(c, t, False) for c, _, t in parts]))
             .select("project_id", "snapshots", F.col("f.day").alias("period_start"), F.col("l.day").alias("period_end"),
                     F.col("f.overall_score").alias("first_score"), F.col("l.overall_score").alias("last_score"),
                     "change_percent", "trend", "improvements", "regressions", "summary"))
@@ -220,14 +257,15 @@ COMPARED = [("Overall Score", "overall_score", True), ("Average Risk", "average_
 
 
 def posture_compare(snaps: DataFrame) -> DataFrame:
-    """Each snapshot against the previous one, metric by metric."""
+    """Each snapshot against the previous one, metric by metric (those
+    that the snapshots hold)."""
     w = Window.partitionBy("project_id").orderBy("day")
     rows = []
     for label, col, higher_better in COMPARED:
-        # metrics the snapshot does not carry are 0, as in a default snapshot
-        val = F.col(col).cast("double") if col in snaps.columns else F.lit(0.0)
-        rows.append(F.struct(F.lit(label).alias("metric"), F.lag(val).over(w).alias("before"),
-                             val.alias("after"), F.lit(higher_better).alias("hb")))
+        if col in snaps.columns:
+            val = F.col(col).cast("double")
+            rows.append(F.struct(F.lit(label).alias("metric"), F.lag(val).over(w).alias("before"),
+                                 val.alias("after"), F.lit(higher_better).alias("hb")))
     x = (snaps.select("project_id", "day", F.array(*rows).alias("_ms"))
          .select("project_id", "day", F.explode("_ms").alias("m")).where(F.col("m.before").isNotNull()))
     change = F.col("m.after") - F.col("m.before")
@@ -238,6 +276,16 @@ def posture_compare(snaps: DataFrame) -> DataFrame:
                     F.col("m.after").alias("after"), change.alias("change"), direction.alias("direction"))
 
 
+def posture_compare_summary(changes: DataFrame) -> DataFrame:
+    """Of each comparison, how many metrics went which way, and the whole."""
+    n = {d: F.count(F.when(F.col("direction") == d, 1)).cast("bigint").alias(d) for d in ("improved", "regressed", "unchanged")}
+    out = changes.groupBy("project_id", "day").agg(*n.values())
+    i, r = F.col("improved"), F.col("regressed")
+    return (out.withColumn("overall_change", F.when(i > r, "improving").when(r > i, "declining").otherwise("stable"))
+            .withColumn("summary", F.concat(i.cast("string"), F.lit(" metrics improved, "), r.cast("string"), F.lit(" regressed, "),
+                                            F.col("unchanged").cast("string"), F.lit(" unchanged"))))
+
+
 def posture_windows(obs: DataFrame, ts_col: str = "ts", width: str = "1 day") -> DataFrame:
     """M3: tumbling-window posture per project (batch; the streaming form
     runs the same aggregate with a watermark)."""

@@ -60,49 +60,77 @@ def facts(ws):
 
 # ------------------------------------------------------------------ oracle side
 
-def _o_json_actual(col, typ):
-    if typ == "number":
-        return Q.js_num(f"CAST({col} AS DOUBLE)")
-    if typ == "string":
-        return f"'\"' || {col} || '\"'"
-    if typ == "boolean":
-        return f"CASE WHEN {col} THEN 'true' ELSE 'false' END"
-    return "'null'"
-
-
-def _o_rule(rule):
-    rid, name, desc, field, op, value, action, severity, _ = rule
-    col, typ, _ = G.CONTEXT_FIELDS[field]
-    is_num = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if op in ("gt", "gte", "lt", "lte"):
-        sym = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<="}[op]
-        passed = f"{col} {sym} {value}" if typ == "number" else "FALSE"
-    elif op in ("eq", "neq"):
-        same = ((typ == "number" and is_num) or (typ == "string" and isinstance(value, str))
-                or (typ == "boolean" and isinstance(value, bool)))
-        lit = sql_str(value) if isinstance(value, str) else (str(value).upper() if isinstance(value, bool) else str(value))
-        eq = f"{col} = {lit}" if same else "FALSE"
-        passed = eq if op == "eq" else f"NOT ({eq})"
-    elif op in ("in", "not-in"):
-        inside = f"{col} IN ({', '.join(sql_str(v) for v in value)})" if typ == "string" else "FALSE"
-        passed = inside if op == "in" else f"NOT ({inside})"
-    elif op == "contains":
-        passed = f"instr({col}, {sql_str(str(value))}) > 0" if typ == "string" else "FALSE"
-    else:
-        passed = "FALSE"
-    passed = f"coalesce({passed}, FALSE)"
-    msg = (f"CASE WHEN {passed} THEN {sql_str(name + ': passed')} ELSE "
-           f"{sql_str(f'{name}: {desc} ({field} = ')} || {_o_json_actual(col, typ)} || "
-           f"{sql_str(f', expected {op} {G._json(value)})')} END")
-    return (f"SELECT project_id, package_name, {sql_str(rid)} AS rule_id, {sql_str(name)} AS rule_name, "
-            f"{passed} AS passed, {sql_str(action)} AS action, {sql_str(severity)} AS severity, {msg} AS message FROM ctx")
+# FIXED VALUES - the default policy's enabled rules: id, name, text, field, condition, shown value, expectation, action, severity
+_DEFAULT = [
+    ("max-risk-score", "Maximum Risk Score", "Block packages with risk score above threshold", "riskScore", "risk_score <= 7", "num:risk_score", "lte 7", "block", "critical"),
+    ("no-install-scripts", "No Install Scripts", "Warn on packages with preinstall/postinstall scripts", "hasInstallScripts", "NOT has_install_scripts", "bool:has_install_scripts", "eq false", "warn", "medium"),
+    ("no-critical-findings", "No Critical Findings", "Block packages with critical security findings", "criticalFindings", "critical_findings = 0", "num:critical_findings", "eq 0", "block", "critical"),
+    ("known-license", "Known License Required", "Warn on packages without a recognized license", "license", "license <> 'UNKNOWN'", "str:license", 'neq "UNKNOWN"', "warn", "medium"),
+    ("max-findings", "Maximum Findings", "Warn when package has more than 20 findings", "findingCount", "finding_count <= 20", "num:finding_count", "lte 20", "warn", "medium"),
+]
+
+# one rule or more for each operator, a field that there is none of, a pattern that is none, types that do not fit;
+# (id, field, operator, value) and what they mean in SQL (condition, shown value)
+OPERATOR_RULES = [
+    (("gt", "dependencyCount", "gt", 2), "dependency_count > 2", "num:dependency_count"),
+    (("gt-text", "dependencyCount", "gt", "2"), "dependency_count > 2", "num:dependency_count"),
+    (("gt-nan", "dependencyCount", "gt", "two"), "FALSE", "num:dependency_count"),
+    (("gte", "riskScore", "gte", 5.5), "risk_score >= 5.5", "num:risk_score"),
+    (("lt", "weeklyDownloads", "lt", 50000), "weekly_downloads < 50000", "num:weekly_downloads"),
+    (("lt-type", "license", "lt", 3), "FALSE", "str:license"),
+    (("lte", "maintainerCount", "lte", True), "maintainer_count <= 1", "num:maintainer_count"),
+    (("eq", "isNew", "eq", True), "is_new", "bool:is_new"),
+    (("eq-type", "highFindings", "eq", "0"), "FALSE", "num:high_findings"),
+    (("neq", "license", "neq", "MIT"), "license <> 'MIT'", "str:license"),
+    (("neq-type", "hasNativeModules", "neq", "true"), "TRUE", "bool:has_native_modules"),
+    (("in", "license", "in", ["MIT", "ISC", "Apache-2.0"]), "license IN ('MIT', 'ISC', 'Apache-2.0')", "str:license"),
+    (("in-numbers", "highFindings", "in", [0, "1", 2.0]), "high_findings IN (0, 2)", "num:high_findings"),
+    (("in-no-list", "license", "in", "MIT"), "FALSE", "str:license"),
+    (("not-in", "license", "not-in", ["MIT", 3]), "license <> 'MIT'", "str:license"),
+    (("not-in-no-list", "license", "not-in", "MIT"), "FALSE", "str:license"),
+    (("contains", "packageName", "contains", "1"), "contains(package_name, '1')", "str:package_name"),
+    (("contains-number", "version", "contains", 1.0), "contains(version, '1')", "str:version"),
+    (("contains-type", "riskScore", "contains", "1"), "FALSE", "num:risk_score"),
+    (("matches", "packageName", "matches", "^[a-z]+-\\d+$|\\bacme\\b"), "regexp_matches(package_name, '^[a-z]+-[0-9]+$|\\bacme\\b')", "str:package_name"),
+    (("matches-bad", "packageName", "matches", "([a-z"), "FALSE", "str:package_name"),
+    (("matches-type", "findingCount", "matches", "."), "FALSE", "num:finding_count"),
+    (("no-field", "nothing", "eq", "x"), "FALSE", "null"),
+    (("no-field-neq", "nothing", "neq", "x"), "TRUE", "null"),
+    (("no-field-null", "nothing", "eq", None), "TRUE", "null"),
+    (("no-operator", "license", "like", "MIT"), "FALSE", "str:license"),
+]
+
+
+def operator_policy(spark):
+    return G.policy_frame(spark, [(i, f"Rule {i}", f"Checks {i}", field, op, value, "warn" if len(op) % 2 else "block", "low", True)
+                                  for (i, field, op, value), _, _ in OPERATOR_RULES] + [("off", "Off", "Never", "license", "eq", "x", "block", "low", False)])
+
+
+def _o_shown(shown):
+    kind, _, col = shown.partition(":")
+    return {"num": Q.js_num(f"CAST({col} AS DOUBLE)"), "str": f"CAST(to_json({col}) AS VARCHAR)" if col else "", "bool": f"CASE WHEN {col} THEN 'true' ELSE 'false' END", "null": "'null'"}[kind]
+
+
+def _o_rule(rid, name, text, field, condition, shown, expectation, action, severity):
+    return f"""SELECT project_id, package_name, {sql_str(rid)} AS rule_id, {sql_str(name)} AS rule_name, {condition} AS passed,
+       {sql_str(action)} AS action, {sql_str(severity)} AS severity, CASE WHEN {condition} THEN {sql_str(name + ': passed')}
+       ELSE {sql_str(f'{name}: {text} ({field} = ')} || {_o_shown(shown)} || {sql_str(f', expected {expectation})')} END AS message FROM ctx"""
+
+
+def _o_operators():
+    import json
+    def text(v):
+        return str(int(v)) if isinstance(v, float) and v == int(v) else json.dumps(v, separators=(",", ":"))
+    def expected(v):
+        return "[" + ",".join(text(x) for x in v) + "]" if isinstance(v, list) else text(v)
+    return "\nUNION ALL\n".join(_o_rule(i, f"Rule {i}", f"Checks {i}", field, cond, shown, f"{op} {expected(value)}", "warn" if len(op) % 2 else "block", "low")
+                                 for (i, field, op, value), cond, shown in OPERATOR_RULES)
 
 
 def o_policy():
-    enabled = [r for r in G.DEFAULT_POLICY if r[8]]
     return [
         ("ctx", f"SELECT * EXCLUDE (license_raw), {o_normalize('license_raw')} AS license FROM pkg_context"),
-        ("pres", "\nUNION ALL\n".join(_o_rule(r) for r in enabled)),
+        ("pres", "\nUNION ALL\n".join(_o_rule(*r) for r in _DEFAULT)),
         ("peval", """
 SELECT project_id, package_name, coalesce(bool_or(NOT passed AND action = 'block'), FALSE) AS blocked,
        CAST(count_if(NOT passed AND action = 'warn') AS BIGINT) AS warnings,
@@ -145,6 +173,12 @@ def q_policy_results(ws):
     return results(ws)
 
 
+@query("policy_operators", lambda: with_fixtures(["pkg_context"], [*o_policy()[:1], ("ops", _o_operators())], "SELECT * FROM ops"))
+def q_policy_operators(ws):
+    """a rule table with all ten operators, against every package."""
+    return G.policy_results(context(ws), operator_policy(ws.spark))
+
+
 @query("policy_evaluation", lambda: with_fixtures(["pkg_context"], o_policy(), "SELECT * FROM peval"))
 def q_policy_evaluation(ws):
     return evaluation(ws)

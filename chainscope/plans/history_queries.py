@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chainscope.operators import history as H
@@ -16,7 +18,7 @@ def obs(ws):
 
 
 def snaps(ws):
-    return H.posture_snapshots(obs(ws))
+    return H.posture_snapshots(obs(ws), readings=ws.table("metric_readings"))
 
 
 # ------------------------------------------------------------------ oracle
@@ -72,16 +74,22 @@ FROM ev"""),
 
 
 def o_posture():
+    asof = [(f"as_{m}", f"""
+SELECT ps1.project_id, ps1.day, coalesce(r.value, 0) AS {m} FROM ps1
+ASOF LEFT JOIN (SELECT * FROM metric_readings WHERE metric = '{m}') r ON ps1.project_id = r.project_id AND ps1.day >= r.day""") for m in H.METRICS]
+    joins = " ".join(f"JOIN as_{m} USING (project_id, day)" for m in H.METRICS)
     return [
         ("ps0", """
 SELECT project_id, day, CAST(count(*) AS BIGINT) AS package_count,
        CAST(sum(CAST(score AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_score,
        max(score) AS max_risk, CAST(count_if(score >= 7.0) AS BIGINT) AS high_risk
 FROM observations GROUP BY project_id, day"""),
-        ("ps", f"""
+        ("ps1", f"""
 SELECT project_id, day, package_count, max_risk, high_risk, {Q.round1('avg_score')} AS average_risk,
        {Q.js_round('(10.0 - avg_score) * 10.0')} AS overall_score
 FROM ps0"""),
+        *asof,
+        ("ps", f"SELECT ps1.*, {', '.join(H.METRICS)} FROM ps1 {joins}"),
         ("latest", """
 SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY day DESC) AS r,
@@ -89,8 +97,14 @@ SELECT * FROM (
     ]
 
 
+POSTURE = ["observations", "metric_readings"]
 HIST = ["observations", "manifest"]
 
+def _numbers(sql):
+    """@x stands for the number x as JavaScript prints it."""
+    return re.sub(r"@(\w+)", lambda m: Q.js_num(m[1]), sql)
+
+
 # ------------------------------------------------------------------ queries
 
 
@@ -145,25 +159,33 @@ def q_monitor_status(ws):
     return H.monitor_status(H.monitor_check(o, ws.table("manifest")), o)
 
 
-@query("posture_snapshots", lambda: with_fixtures(["observations"], o_posture(), "SELECT * FROM ps"))
+@query("posture_snapshots", lambda: with_fixtures(POSTURE, o_posture(), "SELECT * FROM ps"))
 def q_posture_snapshots(ws):
     return snaps(ws).select("project_id", "day", "package_count", "max_risk", "high_risk", "average_risk",
-                            "overall_score")
+                            "overall_score", *H.METRICS)
 
 
-@query("latest_snapshots", lambda: with_fixtures(["observations"], o_posture(), """
+@query("posture_high_risk", lambda: with_fixtures(["observations"], [], f"""
+SELECT project_id, day, name AS package, score FROM observations WHERE score >= {H.RISK_THRESHOLD}"""))
+def q_posture_high_risk(ws):
+    return H.high_risk_packages(obs(ws))
+
+
+@query("latest_snapshots", lambda: with_fixtures(POSTURE, o_posture(), """
 SELECT project_id, day, CAST(n - r + 1 AS BIGINT) AS position, overall_score FROM latest"""))
 def q_latest_snapshots(ws):
     return H.latest_snapshots(snaps(ws)).select("project_id", "day", "position", "overall_score")
 
 
-@query("posture_trend", lambda: with_fixtures(["observations"], o_posture() + [
+@query("posture_trend", lambda: with_fixtures(POSTURE, o_posture() + [
     ("fl", """
 SELECT project_id, CAST(count(*) AS BIGINT) AS snapshots,
        min(day) AS period_start, max(day) AS period_end,
        arg_min(overall_score, day) AS first_score, arg_max(overall_score, day) AS last_score,
        arg_min(average_risk, day) AS fa, arg_max(average_risk, day) AS la,
-       arg_min(high_risk, day) AS fh, arg_max(high_risk, day) AS lh
+       arg_min(high_risk, day) AS fh, arg_max(high_risk, day) AS lh,
+       arg_min(total_findings, day) AS ff, arg_max(total_findings, day) AS lf,
+       arg_min(license_violations, day) AS fv, arg_max(license_violations, day) AS lv
 FROM latest GROUP BY project_id"""),
     ("t0", f"""
 SELECT *, last_score - first_score AS diff,
@@ -174,16 +196,21 @@ FROM fl"""),
     ("t1", """
 SELECT *, CASE WHEN snapshots < 2 THEN 'stable' WHEN diff > 2 THEN 'improving' WHEN diff < -2 THEN 'declining'
                ELSE 'stable' END AS trend FROM t0"""),
-], """
+], _numbers("""
 SELECT project_id, snapshots, period_start, period_end, first_score, last_score, change_percent, trend,
-       CAST(CASE WHEN snapshots < 2 THEN 0 ELSE (CASE WHEN la < fa THEN 1 ELSE 0 END) + (CASE WHEN lh < fh THEN 1 ELSE 0 END) END AS INTEGER) AS improvements,
-       CAST(CASE WHEN snapshots < 2 THEN 0 ELSE (CASE WHEN la > fa THEN 1 ELSE 0 END) + (CASE WHEN lh > fh THEN 1 ELSE 0 END) END AS INTEGER) AS regressions,
+       concat_ws('; ', CASE WHEN la < fa THEN 'Average risk reduced: ' || @fa || ' -> ' || @la END,
+                 CASE WHEN lh < fh THEN 'High-risk packages reduced: ' || @fh || ' -> ' || @lh END,
+                 CASE WHEN lf < ff THEN 'Total findings reduced: ' || @ff || ' -> ' || @lf END,
+                 CASE WHEN lv < fv THEN 'License violations reduced: ' || @fv || ' -> ' || @lv END) AS improvements,
+       concat_ws('; ', CASE WHEN la > fa THEN 'Average risk increased: ' || @fa || ' -> ' || @la END,
+                 CASE WHEN lh > fh THEN 'High-risk packages increased: ' || @fh || ' -> ' || @lh END,
+                 CASE WHEN lf > ff THEN 'Total findings increased: ' || @ff || ' -> ' || @lf END) AS regressions,
        CASE WHEN snapshots = 1 THEN 'Current posture score: ' || CAST(first_score AS VARCHAR) || '/100'
             ELSE 'Posture ' || CASE trend WHEN 'improving' THEN 'up' WHEN 'declining' THEN 'down' ELSE 'stable' END
                  || ': ' || CAST(first_score AS VARCHAR) || '/100 -> ' || CAST(last_score AS VARCHAR) || '/100 ('
                  || CASE WHEN change_percent >= 0 THEN '+' ELSE '' END || CAST(change_percent AS VARCHAR)
                  || '%) over ' || CAST(snapshots AS VARCHAR) || ' snapshots' END AS summary
-FROM t1"""))
+FROM t1""")))
 def q_posture_trend(ws):
     return H.posture_trend(snaps(ws))
 
@@ -191,24 +218,32 @@ def q_posture_trend(ws):
 def _o_compare():
     parts = []
     for label, col, hb in H.COMPARED:
-        val = col if col in ("overall_score", "average_risk", "max_risk") else "0"
-        after = f"CAST({val} AS DOUBLE)"
+        after = f"CAST({col} AS DOUBLE)"
         parts.append(f"""SELECT project_id, day, '{label}' AS metric,
        lag({after}) OVER (PARTITION BY project_id ORDER BY day) AS before, {after} AS after, {str(hb).upper()} AS hb
 FROM ps""")
-    return [("pc0", "\nUNION ALL\n".join(parts))]
-
-
-@query("posture_compare", lambda: with_fixtures(["observations"], o_posture() + _o_compare(), """
+    return [("pc0", "\nUNION ALL\n".join(parts)), ("pc", """
 SELECT project_id, day, metric, before, after, after - before AS change,
        CASE WHEN after - before = 0 THEN 'unchanged'
             WHEN hb THEN CASE WHEN after - before > 0 THEN 'improved' ELSE 'regressed' END
             ELSE CASE WHEN after - before < 0 THEN 'improved' ELSE 'regressed' END END AS direction
-FROM pc0 WHERE before IS NOT NULL"""))
+FROM pc0 WHERE before IS NOT NULL""")]
+
+
+@query("posture_compare", lambda: with_fixtures(POSTURE, o_posture() + _o_compare(), "SELECT * FROM pc"))
 def q_posture_compare(ws):
     return H.posture_compare(snaps(ws))
 
 
+@query("posture_compare_summary", lambda: with_fixtures(POSTURE, o_posture() + _o_compare() + [("pcs", """
+SELECT project_id, day, CAST(count_if(direction = 'improved') AS BIGINT) AS improved, CAST(count_if(direction = 'regressed') AS BIGINT) AS regressed,
+       CAST(count_if(direction = 'unchanged') AS BIGINT) AS unchanged FROM pc GROUP BY project_id, day""")], """
+SELECT *, CASE WHEN improved > regressed THEN 'improving' WHEN regressed > improved THEN 'declining' ELSE 'stable' END AS overall_change,
+       improved || ' metrics improved, ' || regressed || ' regressed, ' || unchanged || ' unchanged' AS summary FROM pcs"""))
+def q_posture_compare_summary(ws):
+    return H.posture_compare_summary(H.posture_compare(snaps(ws)))
+
+
 @query("posture_windows", lambda: with_fixtures(["observations"], [], f"""
 SELECT project_id, date_trunc('day', ts) AS window_start, CAST(count(*) AS BIGINT) AS observations,
        max(score) AS max_risk, CAST(count_if(score >= {H.RISK_THRESHOLD}) AS BIGINT) AS high_risk

@@ -48,7 +48,7 @@ TEMPORAL_OUT: dict[str, list[str]] = {
                                    "monitor_risk_events", "manifest_drift", "monitor_recent_events",
                                    "monitor_stream", "monitor_init_check"]},
     "monitor_status": ["last_check"],
-    **{q: ["day"] for q in ["posture_snapshots", "latest_snapshots", "posture_compare"]},
+    **{q: ["day"] for q in ["posture_snapshots", "latest_snapshots", "posture_compare", "posture_high_risk", "posture_compare_summary"]},
     "posture_trend": ["period_start", "period_end"],
     **{q: ["window_start"] for q in ["posture_windows", "posture_windows_stream"]},
 }

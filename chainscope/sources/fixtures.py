@@ -241,6 +241,19 @@ SELECT project_id, name, ts, day, version, score FROM (
 WHERE rn = 1
 """)
 
+# metric_readings: what scans, license and policy checks and coverage counts
+# reported of a project.  Each user's events feed one of seven metrics, reported
+# once a week, each metric on a weekday of its own.
+fixture("metric_readings", ["events"], """
+SELECT project_id, day, metric, CAST(CASE WHEN k < 5 THEN n ELSE least(100, n * 3) END AS DOUBLE) AS value FROM (
+  SELECT e.event_type AS project_id, CAST(date_trunc('week', e.ts) AS DATE) + CAST(e.user_id % 7 AS INT) AS day, e.user_id % 7 AS k,
+         CASE e.user_id % 7 WHEN 0 THEN 'total_findings' WHEN 1 THEN 'critical_findings' WHEN 2 THEN 'high_findings'
+              WHEN 3 THEN 'license_violations' WHEN 4 THEN 'policy_violations' WHEN 5 THEN 'provenance_coverage'
+              ELSE 'manifest_coverage' END AS metric, count(*) AS n
+  FROM {{events}} e
+  GROUP BY e.event_type, CAST(date_trunc('week', e.ts) AS DATE) + CAST(e.user_id % 7 AS INT), e.user_id % 7) x
+""")
+
 # manifest: packages with a permission entry (every third user per project)
 fixture("manifest", ["events"], """
 SELECT DISTINCT e.event_type AS project_id, 'pkg-' || CAST(e.user_id AS STRING) AS name

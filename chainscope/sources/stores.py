@@ -71,17 +71,27 @@ def load_snapshots(spark: SparkSession, path: str, limit: int | None = None) ->
     return latest_snapshots(spark.read.parquet(path), limit)
 
 
-POLICY_SCHEMA = ("id string, name string, description string, field string, operator string, value string, "
-                 "action string, severity string, enabled boolean")
+POLICY_SCHEMA = G.POLICY_SCHEMA
 LIST_SCHEMA = "list string, name string, version string, reason string, added_by string, seq bigint, expires_at string"
 MANIFEST_SCHEMA = ("project_id string, name string, net_blocked boolean, net string, fs_blocked boolean, fs string, "
                    "native boolean, exec boolean, env_mode string, env string")
 
 
+LICENSE_POLICY_SCHEMA = "allowed array<string>, denied array<string>, copyleft_allowed boolean, require_license boolean, exceptions array<string>"
+GATE_SCHEMA = ("max_risk_score double, max_critical bigint, max_high bigint, block_on_license boolean, block_on_policy boolean, "
+               "block_on_denied boolean")
+
+
 def default_policy(spark: SparkSession) -> DataFrame:
-    import json
-    rows = [(r[0], r[1], r[2], r[3], r[4], json.dumps(r[5]), r[6], r[7], r[8]) for r in G.DEFAULT_POLICY]
-    return spark.createDataFrame(rows, POLICY_SCHEMA)
+    return G.policy_frame(spark)
+
+
+def load_config(spark: SparkSession, path: str, schema: str) -> dict:
+    """A one-row config table (license policy, gate) as the overrides that
+    ``license.violations`` and ``govern.gate_checks`` take; fields it leaves out
+    keep their defaults, and so does all of it where there is no table."""
+    row = load_table(spark, path, schema).head()
+    return {} if row is None else {k: v for k, v in row.asDict().items() if v is not None}
 
 
 def load_table(spark: SparkSession, path: str, schema: str, default: DataFrame | None = None) -> DataFrame:
