@@ -36,6 +36,26 @@ def scan_summary(findings: DataFrame, files: DataFrame, project_col: str = "proj
     return out.withColumn("risk_score", source_risk(F.col("critical"), F.col("high"), F.col("medium"), F.col("low")))
 
 
+GROUPINGS = ["severity", "confidence", "owasp", "cwe"]
+
+
+def scan_counts(findings: DataFrame, project_col: str = "project_id") -> DataFrame:
+    """A1: the report's counts by severity, confidence, category and CWE, as rows
+    (project, grouping, value, findings), all from one pass and one shuffle
+    (GROUPING SETS; rows of a project are counted before they are sent)."""
+    by = GROUPINGS
+    cols = [F.col(project_col), *(F.col(c).cast("string").alias(c) for c in by)]
+    rows = findings.select(*cols)
+    counted = rows.groupingSets([[F.col(project_col), F.col(c)] for c in by], F.col(project_col), *(F.col(c) for c in by)).agg(
+        F.grouping_id().alias("_id"), F.count("*").cast("bigint").alias("findings"))
+    # the grouping id has a bit for each column that is not in the set, the project's first
+    bit = {c: (1 << len(by)) - 1 - (1 << (len(by) - 1 - k)) for k, c in enumerate(by)}
+    grouping, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in by:
+        grouping, value = F.when(F.col("_id") == bit[c], c).otherwise(grouping), F.when(F.col("_id") == bit[c], F.col(c)).otherwise(value)
+    return counted.select(project_col, grouping.alias("grouping"), value.alias("value"), "findings")
+
+
 def first_seen_key(findings: DataFrame):
     """Position of a finding in the report order (severity, file, line)."""
     return F.struct(severity_rank().alias("s"), F.col("file").alias("f"), F.col("line").alias("l"),

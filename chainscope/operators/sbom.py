@@ -2,9 +2,8 @@
 
 Lockfile documents are parsed with ``from_json`` into a map of entries and
 exploded; package metadata and attestation bundles go through VARIANT.
-SBOM output is row-shaped: one component row / one relationship row /
-one CycloneDX component object per row -- a document is never assembled
-in one task.
+SBOM documents are ordered rows (header, a row for each component, a row
+for its dependencies, footer) -- a document is never assembled in one task.
 """
 
 from __future__ import annotations
@@ -112,25 +111,39 @@ def components(lock_entries: DataFrame, meta: DataFrame, manifest: DataFrame, ke
                     F.coalesce(F.col("resolved"), F.lit("")).alias("resolved"))
 
 
+def numbered(comps: DataFrame, keys=("project_id",)) -> DataFrame:
+    """Components with n, their place by name within the project."""
+    keys = list(keys)
+    return group_rank(comps, keys, [F.col("name")], name="n", lead=[(F.substring("name", 1, 8), False)])
+
+
+def depends_on(comps: DataFrame, edges: DataFrame, keys=("project_id",)) -> DataFrame:
+    """(keys, name, related): the package URL of each dependency of each component,
+    version 0.0.0 where the lock has no entry for it."""
+    keys = list(keys)
+    versions = comps.select(*keys, F.col("name").alias("dep"), F.col("version").alias("dep_version"))
+    return edges.select(*keys, "name", "dep").distinct().join(versions, keys + ["dep"], "left").select(
+        *keys, "name", purl(F.col("dep"), F.coalesce(F.col("dep_version"), F.lit("0.0.0"))).alias("related"))
+
+
 def spdx_relationships(comps: DataFrame, edges: DataFrame, keys=("project_id",)) -> DataFrame:
     """SPDXRef-Package-<n> DEPENDS_ON <dependency purl>; packages
     numbered by name within the project (one numbering for both lists)."""
     keys = list(keys)
-    numbered = group_rank(comps.select(*keys, "name", "version"), keys, [F.col("name")], name="n",
-                          lead=[(F.substring("name", 1, 8), False)])
-    versions = comps.select(*keys, F.col("name").alias("dep"), F.col("version").alias("dep_version"))
-    rel = numbered.join(edges.select(*keys, "name", "dep"), keys + ["name"]).join(versions, keys + ["dep"], "left")
+    rel = numbered(comps.select(*keys, "name"), keys).join(depends_on(comps, edges, keys), keys + ["name"])
     return rel.select(*keys, F.concat(F.lit("SPDXRef-Package-"), F.col("n").cast("string")).alias("spdx_element_id"),
-                      F.lit("DEPENDS_ON").alias("relationship_type"),
-                      purl(F.col("dep"), F.coalesce(F.col("dep_version"), F.lit("0.0.0"))).alias("related_spdx_element"))
+                      F.lit("DEPENDS_ON").alias("relationship_type"), F.col("related").alias("related_spdx_element"))
 
 
-def cyclonedx_components(comps: DataFrame, keys=("project_id",)) -> DataFrame:
-    """CycloneDX 1.5 component objects, one JSON per row."""
-    keys = list(keys)
-    alg = F.when(F.col("integrity").startswith("sha512"), "SHA-512").otherwise("SHA-256")
-    digest = F.coalesce(F.try_element_at(F.split(F.col("integrity"), "-"), F.lit(2)), F.col("integrity"))
-    obj = F.struct(
+def _checksum(sha512: str, sha256: str) -> tuple[Column, Column]:
+    alg = F.when(F.col("integrity").startswith("sha512"), sha512).otherwise(sha256)
+    return alg, F.coalesce(F.try_element_at(F.split(F.col("integrity"), "-"), F.lit(2)), F.col("integrity"))
+
+
+def cyclonedx_component() -> Column:
+    """The CycloneDX 1.5 object of a component row, as JSON."""
+    alg, digest = _checksum("SHA-512", "SHA-256")
+    return F.to_json(F.struct(
         F.lit("library").alias("type"), F.col("name").alias("name"), F.col("version").alias("version"),
         F.col("purl").alias("purl"), F.col("purl").alias("bom-ref"), F.col("scope").alias("scope"),
         F.when(F.col("license").isNotNull() & (F.col("license") != ""),
@@ -140,8 +153,81 @@ def cyclonedx_components(comps: DataFrame, keys=("project_id",)) -> DataFrame:
         F.when(F.col("integrity") != "", F.array(F.struct(alg.alias("alg"), digest.alias("content")))).alias("hashes"),
         F.when(F.col("resolved") != "", F.array(F.struct(F.lit("distribution").alias("type"),
                                                          F.col("resolved").alias("url"))))
-        .otherwise(F.array().cast("array<struct<type:string,url:string>>")).alias("externalReferences"))
-    return comps.select(*keys, F.col("purl").alias("bom_ref"), F.to_json(obj).alias("component"))
+        .otherwise(F.array().cast("array<struct<type:string,url:string>>")).alias("externalReferences")))
+
+
+def spdx_package() -> Column:
+    """The SPDX 2.3 object of a numbered component row, as JSON."""
+    alg, digest = _checksum("SHA512", "SHA256")
+    lic = F.when(F.col("license").isNotNull() & (F.col("license") != ""), F.col("license_id")).otherwise(F.lit("NOASSERTION"))
+    return F.to_json(F.struct(
+        F.concat(F.lit("SPDXRef-Package-"), F.col("n").cast("string")).alias("SPDXID"), F.col("name").alias("name"), F.col("version").alias("versionInfo"),
+        F.when(F.col("resolved") != "", F.col("resolved")).otherwise("NOASSERTION").alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"),
+        lic.alias("licenseConcluded"), lic.alias("licenseDeclared"), F.lit("NOASSERTION").alias("copyrightText"),
+        F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator"))).alias("externalRefs"),
+        F.when(F.col("description") != "", F.col("description")).alias("description"),
+        F.when(F.col("integrity") != "", F.array(F.struct(alg.alias("algorithm"), digest.alias("checksumValue")))).alias("checksums")))
+
+
+TOOL = ("chainscope", "1.0.0")
+
+
+def _serial(project: Column, timestamp: str) -> Column:
+    """An identifier that the project and the time of the document give."""
+    h = F.sha2(F.concat_ws("@", project, F.lit(timestamp)), 256)
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in cuts]))
+
+
+def _rows_of_document(comps: DataFrame, edges: DataFrame, head: Column, item: Column, between: str, link: Column, tail: str, keys: list[str]) -> DataFrame:
+    """A document as rows (keys, section, n, text) that make JSON one after the
+    other: head, components, what is between, links, tail.  ``link`` is a
+    component's text from its sorted ``related``; an empty one needs no comma."""
+    related = depends_on(comps, edges, keys).groupBy(*keys, "name").agg(F.array_sort(F.collect_list("related")).alias("related"))
+    rows = numbered(comps, keys).join(related, [*keys, "name"], "left")
+    rows = rows.withColumn("related", F.coalesce("related", F.array().cast("array<string>"))).select(*keys, "n", item.alias("_item"), link.alias("_link"))
+    first = rows.groupBy(*keys).agg(F.min(F.when(F.col("_link") != "", F.col("n"))).alias("_first"))
+    comma = lambda lead, text: F.concat(F.when(F.col("n") == lead, F.lit("")).otherwise(F.lit(",")), text)
+    body = rows.join(first, keys).select(*keys, "n", F.explode(F.array(
+        F.struct(F.lit(1).alias("section"), comma(1, F.col("_item")).alias("text")),
+        F.struct(F.lit(3).alias("section"), F.when(F.col("_link") != "", comma(F.col("_first"), F.col("_link"))).alias("text")))).alias("_x"))
+    frame = comps.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("n"), F.explode(F.array(
+        F.struct(F.lit(0).alias("section"), head.alias("text")), F.struct(F.lit(2).alias("section"), F.lit(between).alias("text")),
+        F.struct(F.lit(4).alias("section"), F.lit(tail).alias("text")))).alias("_x"))
+    out = [*keys, F.col("_x.section").alias("section"), "n", F.col("_x.text").alias("text")]
+    return frame.select(*out).unionByName(body.where(F.col("_x.text").isNotNull()).select(*out))
+
+
+def _opened(text: Column, field: str) -> Column:
+    """A JSON object's text, left open after the first bracket of one more field."""
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(f',"{field}":['))
+
+
+def cyclonedx_document(comps: DataFrame, edges: DataFrame, timestamp: str, version: str = "0.0.0", keys=("project_id",)) -> DataFrame:
+    """Each project's CycloneDX 1.5 document as rows (project_id, section, n,
+    text); the texts in order of section and n are the document, so none ever
+    sits in one row or task.  ``stores.write_documents`` writes them so."""
+    project = F.col(keys[0])
+    head = F.to_json(F.struct(
+        F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), _serial(project, timestamp).alias("serialNumber"), F.lit(1).alias("version"),
+        F.struct(F.lit(timestamp).alias("timestamp"), F.array(F.struct(F.lit(TOOL[0]).alias("vendor"), F.lit(TOOL[0]).alias("name"), F.lit(TOOL[1]).alias("version"))).alias("tools"),
+                 F.struct(F.lit("application").alias("type"), project.alias("name"), F.lit(version).alias("version"),
+                          F.concat(F.lit("pkg:npm/"), project, F.lit("@" + version)).alias("bom-ref")).alias("component")).alias("metadata")))
+    link = F.to_json(F.struct(F.col("purl").alias("ref"), F.col("related").alias("dependsOn")))
+    return _rows_of_document(comps, edges, _opened(head, "components"), cyclonedx_component(), '],"dependencies":[', link, "]}", list(keys))
+
+
+def spdx_document(comps: DataFrame, edges: DataFrame, timestamp: str, version: str = "0.0.0", keys=("project_id",)) -> DataFrame:
+    """Each project's SPDX 2.3 document, in the same form."""
+    project = F.col(keys[0])
+    head = F.to_json(F.struct(
+        F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"),
+        F.concat(project, F.lit("-" + version)).alias("name"),
+        F.concat(F.lit("https://chainscope.example/spdx/"), project, F.lit("/"), _serial(project, timestamp)).alias("documentNamespace"),
+        F.struct(F.lit(timestamp).alias("created"), F.array(F.lit(f"Tool: {TOOL[0]}-{TOOL[1]}")).alias("creators"), F.lit("3.22").alias("licenseListVersion")).alias("creationInfo")))
+    link = F.array_join(F.transform("related", lambda r: F.to_json(F.struct(
+        F.concat(F.lit("SPDXRef-Package-"), F.col("n").cast("string")).alias("spdxElementId"), F.lit("DEPENDS_ON").alias("relationshipType"), r.alias("relatedSpdxElement")))), ",")
+    return _rows_of_document(comps, edges, _opened(head, "packages"), spdx_package(), '],"relationships":[', link, "]}", list(keys))
 
 
 def attestation(bundles: DataFrame, keys=("project_id", "name")) -> DataFrame:

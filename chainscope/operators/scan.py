@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainscope.catalog import prefilters
+from chainscope.catalog.advice import ADVICE
 from chainscope.catalog.behavior_rules import BEHAVIOR_RULES, SEVERITY_WEIGHT
 from chainscope.catalog.scan_rules import CONFIDENCE_ORDER, OWASP_NAMES, SCAN_RULES, SEVERITY_ORDER
 from chainscope.functions import js
@@ -151,6 +152,16 @@ def scan_column(df: DataFrame, column: str, keep: list[str], rules: list[dict] |
     return find_matches(df, rules, keep, BEHAVIOR_FINDING_COLS, content_col=column, dedup=False)
 
 
+def with_details(findings: DataFrame) -> DataFrame:
+    """Findings with description, fix, falsePositive (of their category, from
+    the catalogue) and tags (the category, the CWE, the words of the rule's id)."""
+    advice = F.create_map(*[x for k, v in ADVICE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    of = F.element_at(advice, F.col("owasp"))
+    words = F.split(F.lower(F.regexp_replace("rule_id", "^[A-Z0-9]+-", "")), "-")
+    tags = F.array_distinct(F.concat(F.array(F.lower("owasp"), F.concat(F.lit("cwe-"), F.col("cwe").cast("string"))), words))
+    return findings.withColumns({"description": of[0], "fix": of[1], "false_positive": of[2], "tags": F.array_join(tags, ",")})
+
+
 # ---------------------------------------------------------------- ordering
 
 def severity_rank(c: Column | str = "severity") -> Column:

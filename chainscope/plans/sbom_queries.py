@@ -132,10 +132,89 @@ def q_spdx_relationships(ws):
     return B.spdx_relationships(comps(ws), edges)
 
 
-@query("sbom_cyclonedx")
+AS_OF = "2024-06-01T00:00:00.000Z"
+SBOM_FIX = ["lockfile_json", "package_meta", "project_manifest", "lock_edges"]
+
+
+def new_edges(ws):
+    return ws.table("lock_edges").where(F.col("snapshot") == "new")
+
+
+def o_json(**fields):
+    """Text of a JSON object from SQL texts of its values; a NULL value's field is left out."""
+    parts = ", ".join(f"'\"{k.replace('__', '-')}\":' || ({v})" for k, v in fields.items())
+    return "'{' || concat_ws(',', " + parts + ") || '}'"
+
+
+def o_str(x):
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+def _o_document(head, item, between, link):
+    h = "sha256(project_id || '@" + AS_OF + "')"
+    cuts = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return o_comps() + [
+        ("num", "SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY name) AS BIGINT) AS n FROM comp"),
+        ("rel", f"""
+SELECT e.project_id, e.name, {o_purl('e.dep', "coalesce(d.version, '0.0.0')")} AS related
+FROM (SELECT DISTINCT project_id, name, dep FROM lock_edges WHERE snapshot = 'new') e
+LEFT JOIN comp d ON d.project_id = e.project_id AND d.name = e.dep"""),
+        ("rels", f"SELECT n.*, r.related FROM num n LEFT JOIN rel r USING (project_id, name)"),
+        ("links", f"SELECT project_id, n, {link} AS text FROM rels GROUP BY project_id, n, purl"),
+        ("subject", f"SELECT DISTINCT project_id, 'urn:uuid:' || {cuts} AS serial FROM comp"),
+        ("doc", f"""
+SELECT project_id, 0 AS section, 0 AS n, substr({head}, 1, length({head}) - 1) || {sql_str(between[0])} AS text FROM subject
+UNION ALL SELECT project_id, 1, n, CASE WHEN n = 1 THEN '' ELSE ',' END || {item} FROM num
+UNION ALL SELECT project_id, 2, 0, {sql_str(between[1])} FROM subject
+UNION ALL SELECT project_id, 3, n, CASE WHEN n = min(n) OVER (PARTITION BY project_id) THEN '' ELSE ',' END || text FROM links WHERE text <> ''
+UNION ALL SELECT project_id, 4, 0, ']}}' FROM subject""")]
+
+
+def _o_checksums(a, b, alg, content):
+    return (f"CASE WHEN integrity <> '' THEN '[' || " + o_json(**{alg: f"CASE WHEN starts_with(integrity, 'sha512') THEN '\"{a}\"' ELSE '\"{b}\"' END",
+            content: o_str("CASE WHEN contains(integrity, '-') THEN split_part(integrity, '-', 2) ELSE integrity END")}) + " || ']' END")
+
+
+def _o_cyclonedx():
+    tool = o_json(vendor="'\"chainscope\"'", name="'\"chainscope\"'", version="'\"1.0.0\"'")
+    subject = o_json(type="'\"application\"'", name=o_str("project_id"), version="'\"0.0.0\"'", bom__ref=o_str("'pkg:npm/' || project_id || '@0.0.0'"))
+    head = o_json(bomFormat="'\"CycloneDX\"'", specVersion="'\"1.5\"'", serialNumber=o_str("serial"), version="'1'",
+                  metadata=o_json(timestamp=f"'\"{AS_OF}\"'", tools=f"'[' || {tool} || ']'", component=subject))
+    licenses = "CASE WHEN license <> '' THEN '[' || " + o_json(license=o_json(id=o_str("license_id"))) + " || ']' END"
+    item = o_json(type="'\"library\"'", name=o_str("name"), version=o_str("version"), purl=o_str("purl"), bom__ref=o_str("purl"), scope=o_str("scope"),
+                  licenses=licenses, description="CASE WHEN description <> '' THEN " + o_str("description") + " END",
+                  author="CASE WHEN author <> '' THEN " + o_str("author") + " END", hashes=_o_checksums("SHA-512", "SHA-256", "alg", "content"),
+                  externalReferences="CASE WHEN resolved <> '' THEN '[' || " + o_json(type="'\"distribution\"'", url=o_str("resolved")) + " || ']' ELSE '[]' END")
+    listed = "'[' || coalesce(string_agg(" + o_str("related") + ", ',' ORDER BY related), '') || ']'"
+    link = "'{\"ref\":' || " + o_str("purl") + " || ',\"dependsOn\":' || " + listed + " || '}'"
+    return _o_document(head, item, (',"components":[', '],"dependencies":['), link)
+
+
+def _o_spdx():
+    head = o_json(spdxVersion="'\"SPDX-2.3\"'", dataLicense="'\"CC0-1.0\"'", SPDXID="'\"SPDXRef-DOCUMENT\"'", name=o_str("project_id || '-0.0.0'"),
+                  documentNamespace=o_str("'https://chainscope.example/spdx/' || project_id || '/' || serial"),
+                  creationInfo=o_json(created=f"'\"{AS_OF}\"'", creators="'[\"Tool: chainscope-1.0.0\"]'", licenseListVersion="'\"3.22\"'"))
+    lic = "CASE WHEN license <> '' THEN " + o_str("license_id") + " ELSE '\"NOASSERTION\"' END"
+    item = o_json(SPDXID="'\"SPDXRef-Package-' || n || '\"'", name=o_str("name"), versionInfo=o_str("version"),
+                  downloadLocation="CASE WHEN resolved <> '' THEN " + o_str("resolved") + " ELSE '\"NOASSERTION\"' END", filesAnalyzed="'false'",
+                  licenseConcluded=lic, licenseDeclared=lic, copyrightText="'\"NOASSERTION\"'",
+                  externalRefs="'[' || " + o_json(referenceCategory="'\"PACKAGE-MANAGER\"'", referenceType="'\"purl\"'", referenceLocator=o_str("purl")) + " || ']'",
+                  description="CASE WHEN description <> '' THEN " + o_str("description") + " END", checksums=_o_checksums("SHA512", "SHA256", "algorithm", "checksumValue"))
+    one = o_json(spdxElementId="'\"SPDXRef-Package-' || n || '\"'", relationshipType="'\"DEPENDS_ON\"'", relatedSpdxElement=o_str("related"))
+    link = f"coalesce(string_agg(CASE WHEN related IS NOT NULL THEN {one} END, ',' ORDER BY related), '')"
+    return _o_document(head, item, (',"packages":[', '],"relationships":['), link)
+
+
+@query("sbom_cyclonedx", lambda: with_fixtures(SBOM_FIX, _o_cyclonedx(), "SELECT project_id, section, CAST(n AS BIGINT) AS n, text FROM doc"))
 def q_sbom_cyclonedx(ws):
-    """CycloneDX component objects (JSON text; rows-only check)."""
-    return B.cyclonedx_components(comps(ws))
+    """Every project's CycloneDX document, as ordered rows of JSON text."""
+    return B.cyclonedx_document(comps(ws), new_edges(ws), AS_OF)
+
+
+@query("sbom_spdx", lambda: with_fixtures(SBOM_FIX, _o_spdx(), "SELECT project_id, section, CAST(n AS BIGINT) AS n, text FROM doc"))
+def q_sbom_spdx(ws):
+    """Every project's SPDX document, as ordered rows of JSON text."""
+    return B.spdx_document(comps(ws), new_edges(ws), AS_OF)
 
 
 @query("attestation_shred", lambda: with_fixtures(["attestations"], [], """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chainscope.catalog.advice import ADVICE
 from chainscope.functions.regex import sql_str
 from chainscope.functions.sizing import spread
 from chainscope.operators import report, scan
@@ -176,6 +177,28 @@ def q_scan_summary(ws):
     return report.scan_summary(findings(ws), collected(ws))
 
 
+@query("scan_counts", lambda: _with_select(o_findings_ctes(), "\nUNION ALL\n".join(
+    f"SELECT project_id, '{c}' AS grouping, CAST({c} AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS findings FROM findings GROUP BY project_id, {c}"
+    for c in ("severity", "confidence", "owasp", "cwe"))))
+def q_scan_counts(ws):
+    return report.scan_counts(findings(ws))
+
+
+def _o_details():
+    advice = [(k, *v) for k, v in ADVICE.items()]
+    words = "string_split(lower(regexp_replace(rule_id, '^[A-Z0-9]+-', '')), '-')"
+    return [*o_findings_ctes(), ("advice", Q.values_cte(["owasp", "description", "fix", "false_positive"], advice)),
+            ("tagged", f"SELECT *, list_concat([lower(owasp), 'cwe-' || cwe], {words}) AS t FROM findings")]
+
+
+@query("finding_details", lambda: with_fixtures(["src_files"], _o_details(), """
+SELECT project_id, file, line, f.rule_id, description, fix, false_positive,
+       array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ',') AS tags
+FROM tagged f JOIN advice USING (owasp)"""))
+def q_finding_details(ws):
+    return scan.with_details(findings(ws)).select("project_id", "file", "line", "rule_id", "description", "fix", "false_positive", "tags")
+
+
 @query("source_risk_score", lambda: _with_select(o_findings_ctes(), _o_summary_cte() + """
 SELECT project_id, critical, high, medium, low, risk_score FROM summ"""))
 def q_source_risk_score(ws):

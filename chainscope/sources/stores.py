@@ -115,3 +115,19 @@ def write_report(df: DataFrame, path: str, partition_cols: list[str] | None = No
     if partition_cols:
         w = w.partitionBy(*partition_cols)
     w.json(path)
+
+
+def write_documents(rows: DataFrame, path: str, key: str = "project_id", order: tuple[str, ...] = ("section", "n")) -> None:
+    """Documents given as ordered rows (key, *order, text), a folder for
+    each.  A document's files in order of their names are its text: rows are
+    range-partitioned and sorted, so a large document is several files, each
+    written by a task of its own and committed with the job."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    placed.select(key, F.col("text").alias("value")).write.partitionBy(key).option("compression", "none").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, key: str = "project_id") -> DataFrame:
+    """The rows (key, file, place, text) of written documents; their order is that of file and place."""
+    lines = spark.read.text(path, wholetext=True).select(key, F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("_l"))
+    return lines.select(key, "file", F.posexplode("_l").alias("place", "text")).where(F.col("text") != "")
