@@ -43,7 +43,7 @@ def audit_packages(spark: SparkSession, root: str, project_depth: int = 1) -> di
     rk = risk.package_risk(findings, files, keys)
     adjusted = risk.apply_known_safe(rk, risk.category_counts(findings, keys), risk.known_safe_frame(spark), keys)
     typos = names.typosquat(files.select(F.col("package").alias("name")), names.known_frame(spark))
-    return {"findings": findings, "risk": rk, "adjusted": adjusted, "audit": risk.audit_summary(adjusted),
+    return {"findings": findings, "risk": rk, "adjusted": adjusted, "audit": risk.audit_summary(adjusted, pkg.select(*keys).distinct()),
             "typosquat": typos}
 
 
@@ -60,7 +60,7 @@ def diff_lockfiles(docs: DataFrame, old: str = "old", new: str = "new") -> dict[
 def license_report(meta: DataFrame, texts: DataFrame | None = None, policy: dict | None = None,
                    keys=("project_id", "name")) -> dict[str, DataFrame]:
     """Licenses of packages from their package.json text (``meta``) and
-    optional license-file texts; violations under ``policy``."""
+    optional license files (``texts``: keys, file, text); violations under ``policy``."""
     lic = L.detect(meta, texts, list(keys))
     viol = L.violations(lic, policy)
     return {"licenses": lic, "violations": viol, "summary": L.summary(lic, viol)}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainscope.functions import js
+from chainscope.functions.ranking import top_k_per_group
 from chainscope.functions.regex import ASCII_BOUNDARY
 
 # ---------------------------------------------------------------- policy
@@ -351,8 +352,7 @@ def gate_checks(reports: DataFrame, violations: DataFrame, evaluation: DataFrame
     """One row per gate check and project.
 
     ``reports``: (project, package, score, critical, high); ``denied``:
-    (project, name) of denied packages -- a subset of the deny list, so the
-    collected name list is bounded by that curated list.
+    (project, name) of denied packages, of which the message names the first ten.
     """
     g = {**DEFAULT_GATE, **(gate or {})}
     top = F.min(F.struct((-F.col("score")).alias("s"), F.col("package").alias("p")))
@@ -363,8 +363,11 @@ def gate_checks(reports: DataFrame, violations: DataFrame, evaluation: DataFrame
         "max_pkg", F.when(F.col("max_score") > 0, F.col("_top.p")).otherwise(F.lit("")))
     lv = violations.groupBy(project_col).agg(F.count("*").cast("bigint").alias("lic"))
     pb = evaluation.groupBy(project_col).agg(F.max(F.col("blocked").cast("int")).alias("_pb"))
-    dn = denied.groupBy(project_col).agg(F.count("*").cast("bigint").alias("den"),
-                                          F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("den_names"))
+    # a count and the first ten names; denied_packages has them all, as rows
+    names = denied.select(project_col, "name").distinct()
+    first = top_k_per_group(names, [project_col], [F.col("name")], 10).groupBy(project_col).agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("den_names"))
+    dn = (denied.groupBy(project_col).agg(F.count("*").cast("bigint").alias("den")).join(names.groupBy(project_col).agg(F.count("*").alias("_all")), project_col)
+          .join(first, project_col).withColumn("den_names", F.concat("den_names", F.when(F.col("_all") > 10, F.lit(", ...")).otherwise(""))).drop("_all"))
     base = (r.join(lv, project_col, "left").join(pb, project_col, "left").join(dn, project_col, "left")
             .fillna(0, ["lic", "_pb", "den"]))
     ms = F.format_string("%.1f", F.col("max_score"))
@@ -431,7 +434,7 @@ def pr_metrics(reports: DataFrame, violations: DataFrame, evaluation: DataFrame,
 
 # FIXED VALUES — frameworks and controls: (framework, control id, control name, status rule)
 FRAMEWORK_NAMES = {"soc2": "SOC 2 Type II", "iso27001": "ISO/IEC 27001:2022", "pci-dss": "PCI DSS v4.0",
-                   "eo14028": "Executive Order 14028"}
+                   "eo14028": "Executive Order 14028", "nist-ssdf": "NIST SSDF v1.1"}
 CONTROLS = [
     ("soc2", "CC6.1", "Logical Access Controls", "manifest"),
     ("soc2", "CC6.6", "System Boundary Protection", "high_risk"),
@@ -450,6 +453,43 @@ CONTROLS = [
     ("eo14028", "EO-4e-tools", "Automated Security Tools", "met"),
     ("eo14028", "EO-4i", "Software Supply Chain Security", "manifest_and_policy"),
 ]
+# the fifth framework is reported by the controls of the order, which it is closest to
+CONTROLS += [("nist-ssdf", *c[1:]) for c in CONTROLS if c[0] == "eo14028"]
+
+# What a control's status rests on, in words of our own: rule -> (kind, condition on the facts, text with facts in braces)
+CONTROL_NOTES = {
+    "met": [("evidence", "TRUE", "{total_packages} packages scanned by the source and behaviour rules"),
+            ("recommendation", "high_risk_packages > 0", "Review the {high_risk_packages} packages of high risk")],
+    "manifest": [("evidence", "has_manifest", "A permission manifest limits what each package may do"),
+                 ("evidence", "TRUE", "{total_packages} packages scanned for access they should not have"),
+                 ("gap", "NOT has_manifest", "No permission manifest: packages have unrestricted access"),
+                 ("recommendation", "NOT has_manifest", "Generate a permission manifest")],
+    "lockfile": [("evidence", "has_lockfile", "The lockfile pins all dependency versions"), ("evidence", "TRUE", "Lockfile and behaviour changes are compared"),
+                 ("gap", "NOT has_lockfile", "No lockfile: dependency versions may drift"), ("recommendation", "NOT has_lockfile", "Commit the lockfile")],
+    "policy": [("evidence", "has_policy", "A security policy is evaluated for every package"), ("evidence", "TRUE", "{total_packages} packages have a risk score"),
+               ("gap", "NOT has_policy", "No security policy"), ("recommendation", "NOT has_policy", "Define a security policy")],
+    "sbom": [("evidence", "has_sbom", "A bill of materials lists all components"), ("evidence", "TRUE", "{total_packages} third-party components inventoried"),
+             ("gap", "NOT has_sbom", "No bill of materials"), ("recommendation", "NOT has_sbom", "Generate a bill of materials")],
+    "sbom_strict": [("evidence", "has_sbom", "A bill of materials lists {total_packages} components"), ("gap", "NOT has_sbom", "No bill of materials, which the order requires"),
+                    ("recommendation", "NOT has_sbom", "Generate a bill of materials")],
+    "high_risk": [("evidence", "TRUE", "{total_packages} packages analysed, {high_risk_packages} of high risk"),
+                  ("gap", "high_risk_packages > 0", "{high_risk_packages} packages of high risk need review"),
+                  ("recommendation", "high_risk_packages > 0", "Review or replace packages of high risk")],
+    "license": [("evidence", "TRUE", "Licenses of {total_packages} packages checked"), ("gap", "license_violations > 0", "{license_violations} license violations"),
+                ("recommendation", "license_violations > 0", "Resolve license violations or replace the packages")],
+    "manifest_and_policy": [("evidence", "has_manifest", "A permission manifest limits what each package may do"), ("evidence", "has_policy", "A security policy sets acceptable risk"),
+                            ("gap", "NOT has_manifest", "No permission manifest"), ("gap", "NOT has_policy", "No security policy"),
+                            ("recommendation", "NOT has_manifest", "Generate a permission manifest"), ("recommendation", "NOT has_policy", "Define a security policy")],
+}
+CONTROL_GOALS = {
+    "CC6.1": "Access to systems is limited to those who need it", "CC6.6": "The system's boundary is guarded", "CC7.1": "Vulnerabilities are found and tracked",
+    "CC7.2": "Changes that touch security are noticed", "CC8.1": "Software is developed and changed in a controlled way",
+    "A.12.6.1": "Technical vulnerabilities are known and judged", "A.14.1.2": "Services and the data they handle are protected",
+    "A.14.2.1": "Rules for secure development exist and are applied", "A.18.1.2": "Rights to the software used are respected",
+    "A.15.1.1": "Risks from suppliers are managed", "6.3.2": "All software components are listed", "6.2.4": "Common attacks are prevented by the way software is built",
+    "6.3.1": "Security vulnerabilities are identified and managed", "EO-4e": "A bill of materials comes with each product",
+    "EO-4e-tools": "Automated tools guard the source supply chain", "EO-4i": "The integrity of open-source parts is ensured and attested",
+}
 
 
 def control_status(rule: str) -> Column:
@@ -477,6 +517,18 @@ def compliance_controls(facts: DataFrame, project_col: str = "project_id") -> Da
     return facts.select(project_col, F.explode(arr).alias("_c")).select(project_col, "_c.*")
 
 
+def compliance_notes(facts: DataFrame, project_col: str = "project_id") -> DataFrame:
+    """Evidence, gaps and recommendations of every control, as rows
+    (project, framework, control_id, goal, kind, n, text); the facts are in the text."""
+    def told(text: str) -> Column:
+        return F.concat(*[F.col(t).cast("string") if k % 2 else F.lit(t) for k, t in enumerate(re.split(r"[{}]", text))])
+
+    rows = [F.when(F.expr(cond), F.struct(F.lit(fw).alias("framework"), F.lit(cid).alias("control_id"), F.lit(CONTROL_GOALS[cid]).alias("goal"),
+                                          F.lit(kind).alias("kind"), F.lit(n).alias("n"), told(text).alias("text")))
+            for fw, cid, _, rule in CONTROLS for n, (kind, cond, text) in enumerate(CONTROL_NOTES[rule], 1)]
+    return facts.select(project_col, F.explode(F.array_compact(F.array(*rows))).alias("_n")).select(project_col, "_n.*")
+
+
 def compliance_summary(controls: DataFrame, project_col: str = "project_id") -> DataFrame:
     """Status counts and score round((met + partial/2) / (total - n/a) * 100)."""
     def n_if(s):

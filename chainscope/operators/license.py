@@ -127,13 +127,26 @@ def declared(meta: Column) -> Column:
             .otherwise(F.lit("")))
 
 
+# FIXED VALUES — license files in the order they are tried
+LICENSE_FILES = ["LICENSE", "LICENSE.md", "LICENSE.txt", "LICENCE", "COPYING"]
+
+
+def from_files(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _file): the license of the first file, in the order of
+    LICENSE_FILES, whose text tells one.  Files of other names are not read."""
+    order = F.array_position(F.array(*map(F.lit, LICENSE_FILES)), F.col("file"))
+    known = (spread(texts, keys).where(F.col("file").isin(LICENSE_FILES)).select(*keys, order.alias("_o"), F.upper(F.col("text")).alias("_up"))
+             .select(*keys, "_o", from_upper(F.col("_up")).alias("_l")).where(F.col("_l").isNotNull()))
+    return known.groupBy(*keys).agg(F.min_by("_l", "_o").alias("_file"))
+
+
 def detect(meta: DataFrame, texts: DataFrame | None, keys: list[str]) -> DataFrame:
-    """License, SPDX id, class and source of each package."""
-    d = meta.withColumn("_decl", F.coalesce(declared(F.col("meta")), F.lit("")))
+    """License, SPDX id, class and source of each package; version 0.0.0
+    where the metadata tells none."""
+    d = meta.withColumns({"_decl": F.coalesce(declared(F.col("meta")), F.lit("")),
+                          "version": F.coalesce(F.try_variant_get(F.try_parse_json("meta"), "$.version", "string"), F.lit("0.0.0"))})
     if texts is not None:
-        t = (spread(texts, keys).select(*keys, F.upper(F.col("text")).alias("_up"))
-             .select(*keys, from_upper(F.col("_up")).alias("_file")))
-        d = d.join(t, keys, "left")
+        d = d.join(from_files(texts, keys), keys, "left")
     else:
         d = d.withColumn("_file", F.lit(None).cast("string"))
     lic = (F.when(F.col("_decl") != "", F.col("_decl")).when(F.col("_file").isNotNull(), F.col("_file"))
@@ -144,6 +157,12 @@ def detect(meta: DataFrame, texts: DataFrame | None, keys: list[str]) -> DataFra
             .withColumn("category", classify(F.col("license"))).drop("_decl", "_file"))
 
 
+def detect_direct(direct: DataFrame, meta: DataFrame, texts: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The same for a project's direct dependencies (one row a name, see
+    ``sbom.direct_dependencies``), also those without metadata."""
+    return detect(direct.select(*keys).join(meta.select(*keys, "meta"), keys, "left"), texts, keys)
+
+
 def violations(lic: DataFrame, policy: dict | None = None) -> DataFrame:
     """First matching rule per package: exception, denied, not allowed,
     copyleft, missing/unknown."""

@@ -76,9 +76,9 @@ def apply_known_safe(risk: DataFrame, cat_counts: DataFrame, known: DataFrame, k
 
     Unknown package -> unchanged; no finding outside the suppressed
     categories -> 0; score <= allowed maximum -> 0; otherwise unchanged.
-    The known-safe table is a fixed catalogue, broadcast.
+    Whether the known-safe table is broadcast is left to Spark.
     """
-    k = F.broadcast(known.withColumnRenamed("name", "package"))
+    k = known.withColumnRenamed("name", "package")
     per_cat = cat_counts.join(k.select("package", "suppress_categories"), "package", "inner")
     unsuppressed = (per_cat.where(~F.array_contains("suppress_categories", F.col("category")))
                     .groupBy(*keys).agg(F.sum("count").cast("bigint").alias("_unsuppressed")))
@@ -91,15 +91,18 @@ def apply_known_safe(risk: DataFrame, cat_counts: DataFrame, known: DataFrame, k
             .drop("_unsuppressed", "suppress_categories"))
 
 
-def audit_summary(adjusted: DataFrame, project_col: str = "project_id") -> DataFrame:
-    """Per project mean adjusted score, highest package (ties: name),
-    packages needing attention (>= 4) and high risk (>= 7)."""
+def audit_summary(adjusted: DataFrame, declared: DataFrame, project_col: str = "project_id") -> DataFrame:
+    """Per project, over its ``declared`` packages (rows of project, package,
+    version): how many, the mean adjusted score (those not scanned count 0), the
+    highest package (ties: name; none if all scores are 0), packages needing
+    attention (>= 4) and high risk (>= 7)."""
     top = F.min(F.struct((-F.col("adjusted_score")).alias("s"), F.col("package").alias("p")))
-    return (adjusted.groupBy(project_col).agg(
-        F.count("*").cast("bigint").alias("packages"),
-        js.round1(F.avg("adjusted_score")).alias("mean_score"),
-        F.max("adjusted_score").alias("max_score"),
-        top.alias("_top"),
+    n = declared.groupBy(project_col).agg(F.count("*").cast("bigint").alias("packages"))
+    scored = adjusted.groupBy(project_col).agg(
+        F.count("*").cast("bigint").alias("scanned"), F.sum(F.col("adjusted_score").cast("decimal(18,6)")).alias("_sum"),
+        F.max("adjusted_score").alias("max_score"), top.alias("_top"),
         F.count(F.when(F.col("adjusted_score") >= 4, 1)).cast("bigint").alias("attention"),
         F.count(F.when(F.col("adjusted_score") >= 7, 1)).cast("bigint").alias("high_risk"))
-        .withColumn("max_package", F.col("_top.p")).drop("_top"))
+    out = n.join(scored, project_col, "left").fillna(0, ["scanned", "max_score", "attention", "high_risk"])
+    return (out.withColumn("mean_score", js.round1(F.coalesce(F.col("_sum"), F.lit(0)).cast("double") / F.col("packages")))
+            .withColumn("max_package", F.when(F.col("max_score") > 0, F.col("_top.p")).otherwise("")).drop("_top", "_sum"))

@@ -69,8 +69,10 @@ FACTORS = [("single-maintainer", 2.0), ("no-maintainers", 3.0), ("no-repository"
 
 
 def maintainer_risk(meta_df: DataFrame, name_col: str = "name") -> DataFrame:
-    """Factors, score (capped at 10), level and recommendations."""
+    """Factors, score (capped at 10), level and recommendations.  Metadata
+    that cannot be read is a risk of its own: 5, high."""
     v = _v(F.col("meta"))
+    unreadable = v.isNull() | (F.schema_of_variant(v) == "VOID")
     d = meta_df.withColumn("_m", maintainers(F.col("meta")))
     n = F.size("_m")
     freemail = F.exists("_m", lambda m: F.exists(F.array(*[F.lit("@" + x) for x in FREEMAIL]),
@@ -103,9 +105,13 @@ def maintainer_risk(meta_df: DataFrame, name_col: str = "name") -> DataFrame:
                        F.when(F.col("_f_no-repository"), F.lit("Verify package source manually")),
                        F.when(F.col("_f_deprecated"), F.lit("Replace with maintained alternative")),
                        F.when(F.col("risk_score") >= 4, F.lit("Pin exact version and monitor for changes")))
-    return (d.withColumn("maintainer_count", n).withColumn("risk_score", score)
-            .withColumn("risk_level", level).withColumn("factors", factors).withColumn("recommendations", recs)
-            .drop(*["_f_" + f for f, _ in FACTORS]))
+    plain = {"version": F.lit("0.0.0"), "maintainer_count": F.lit(0), "risk_score": F.lit(5.0), "risk_level": F.lit("high"),
+             "factors": F.lit("unreadable"), "recommendations": F.lit("Verify package is properly installed")}
+    out = (d.withColumn("maintainer_count", n).withColumn("risk_score", score)
+           .withColumn("risk_level", level).withColumn("factors", factors).withColumn("recommendations", recs)
+           .withColumn("_unread", F.coalesce(unreadable, F.lit(True))))
+    out = out.withColumns({c: F.when(F.col("_unread"), x).otherwise(F.col(c)) for c, x in plain.items() if c in out.columns})
+    return out.drop("_unread", *["_f_" + f for f, _ in FACTORS])
 
 
 def maintainer_summary(risk: DataFrame, project_col: str = "project_id") -> DataFrame:
@@ -119,10 +125,21 @@ def maintainer_summary(risk: DataFrame, project_col: str = "project_id") -> Data
         F.count(F.when(F.col("maintainer_count") <= 1, 1)).cast("bigint").alias("single_maintainer"))
 
 
-def provenance(meta_df: DataFrame, name_col: str = "name") -> DataFrame:
-    """Source repository, integrity (from the lock row) and risk
-    factors; status unverified with an integrity hash, else missing."""
+def provenance(meta_df: DataFrame, lock: DataFrame, attestations: DataFrame, name_col: str = "name", keys=("project_id", "name")) -> DataFrame:
+    """Source repository, integrity, attestation and risk factors of each
+    package.
+
+    ``lock`` are parsed lock entries, whose integrity counts whatever the metadata
+    says; ``attestations`` come from ``sbom.attestation``.  Status: verified or
+    unverified with an attestation, unverified with an integrity hash alone,
+    else missing.
+    """
+    keys = list(keys)
     v = _v(F.col("meta"))
+    locked = lock.groupBy(*keys).agg(F.max("integrity").alias("integrity"))
+    proof = attestations.groupBy(*keys).agg(F.max("verified").alias("_verified"), F.max("build_type").alias("build_workflow"), F.max("invocation_id").alias("build_trigger"))
+    meta_df = meta_df.drop("integrity").join(locked, keys, "left").join(proof, keys, "left")
+    meta_df = meta_df.withColumn("version", F.coalesce(F.try_variant_get(v, "$.version", "string"), F.lit("0.0.0")))
     rt = jtype(v, "$.repository")
     url = F.try_variant_get(v, "$.repository.url", "string")
     repo = (F.when(rt == "STRING", F.try_variant_get(v, "$.repository", "string"))
@@ -136,21 +153,23 @@ def provenance(meta_df: DataFrame, name_col: str = "name") -> DataFrame:
     mismatch = (has_repo & F.col("source_repo").contains("github.com") & F.col("source_repo").rlike(GITHUB_REPO)
                 & ~F.lower(gh_repo).contains(F.lower(base)) & ~base.contains(F.lower(gh_repo)))
     factors = F.filter(F.array(
+        F.when(~F.col("_verified"), F.lit("Attestation present but not verified")),
         F.when(~has_repo, F.lit("No source repository declared")),
         F.when(~has_int, F.lit("No integrity hash in lockfile")),
         F.when(mismatch, F.concat(F.lit('Package name "'), F.col(name_col), F.lit('" doesn\'t match repo "'),
                                   gh_repo, F.lit('"')))), lambda x: x.isNotNull())
-    return (d.withColumn("status", F.when(has_int, "unverified").otherwise("missing"))
+    status = F.when(F.col("_verified"), "verified").when(F.col("_verified").isNotNull() | has_int, "unverified").otherwise("missing")
+    return (d.withColumn("status", status)
             .withColumn("integrity_algorithm", F.when(has_int, F.split(F.col("integrity"), "-").getItem(0)))
             .withColumn("risk_factors", F.array_join(factors, "; "))
-            .withColumn("risk_factor_count", F.size(factors)))
+            .withColumn("risk_factor_count", F.size(factors)).withColumn("attested", F.col("_verified").isNotNull()).drop("_verified"))
 
 
 def provenance_summary(prov: DataFrame, project_col: str = "project_id") -> DataFrame:
-    """Status counts and coverage (verified share, %)."""
+    """Status counts, attested packages and coverage (verified share, %)."""
     def n_if(c):
         return F.count(F.when(F.col("status") == c, 1)).cast("bigint")
     return (prov.groupBy(project_col).agg(F.count("*").cast("bigint").alias("total"), n_if("verified").alias("verified"),
                                           n_if("unverified").alias("unverified"), n_if("missing").alias("missing"),
-                                          n_if("invalid").alias("invalid"))
+                                          n_if("invalid").alias("invalid"), F.count(F.when(F.col("attested"), 1)).cast("bigint").alias("attested"))
             .withColumn("coverage", js.js_round(F.col("verified") / F.col("total") * 100.0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chainscope.functions.regex import sql_str
@@ -342,7 +344,8 @@ SELECT g0.*, CASE WHEN max_score > 0 THEN top_pkg ELSE '' END AS max_pkg,
        coalesce(v.n, 0) AS lic, coalesce(p.b, FALSE) AS pb, coalesce(d.n, 0) AS den, d.names AS den_names
 FROM g0 LEFT JOIN (SELECT project_id, count(*) AS n FROM viol GROUP BY project_id) v USING (project_id)
 LEFT JOIN (SELECT project_id, bool_or(blocked) AS b FROM peval GROUP BY project_id) p USING (project_id)
-LEFT JOIN (SELECT project_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(name))), ', ') AS names
+LEFT JOIN (SELECT project_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(name)))[1:10], ', ')
+             || CASE WHEN count(DISTINCT name) > 10 THEN ', ...' ELSE '' END AS names
            FROM den GROUP BY project_id) d USING (project_id)"""),
         ("gate", f"""
 SELECT project_id, 'Max Risk Score' AS check, max_score <= {g['max_risk_score']} AS passed,
@@ -364,7 +367,7 @@ UNION ALL SELECT project_id, 'Denied Packages', FALSE, CAST(den AS VARCHAR) || '
     ]
 
 
-GATE_FIX = ["pkg_context", "list_entries", "lock_packages", "package_meta", "license_docs"]
+GATE_FIX = ["pkg_context", "list_entries", "lock_packages", "package_meta", "license_docs", "project_manifest"]
 
 
 @query("gate_checks", lambda: with_fixtures(GATE_FIX, _o_gate(), "SELECT * FROM gate"))
@@ -418,6 +421,28 @@ def q_compliance_controls(ws):
     return G.compliance_controls(facts(ws))
 
 
+def _o_notes():
+    parts = []
+    for fw, cid, _, rule in G.CONTROLS:
+        for n, (kind, cond, text) in enumerate(G.CONTROL_NOTES[rule], 1):
+            told = " || ".join(t if k % 2 else sql_str(t) for k, t in enumerate(re.split(r"[{}]", text)))
+            parts.append(f"SELECT project_id, '{fw}' AS framework, '{cid}' AS control_id, {sql_str(G.CONTROL_GOALS[cid])} AS goal, '{kind}' AS kind, "
+                         f"CAST({n} AS INTEGER) AS n, {told} AS text FROM facts WHERE {cond}")
+    return _o_facts() + [("notes", "\nUNION ALL\n".join(parts))]
+
+
+@query("compliance_notes", lambda: with_fixtures(GATE_FIX, _o_notes(), "SELECT * FROM notes"))
+def q_compliance_notes(ws):
+    """What each control's status rests on."""
+    return G.compliance_notes(facts(ws))
+
+
+@query("denied_packages", lambda: with_fixtures(GATE_FIX, o_gate_inputs(), "SELECT DISTINCT project_id, name FROM den"))
+def q_denied_packages(ws):
+    """Every denied package of a project, as rows."""
+    return denied(ws).distinct()
+
+
 @query("compliance_summary", lambda: with_fixtures(GATE_FIX, _o_controls(), f"""
 SELECT project_id, framework, CAST(count(*) AS BIGINT) AS total, CAST(count_if(status = 'met') AS BIGINT) AS met,
        CAST(count_if(status = 'partial') AS BIGINT) AS partial, CAST(count_if(status = 'not-met') AS BIGINT) AS not_met,

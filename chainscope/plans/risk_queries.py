@@ -162,16 +162,20 @@ def q_apply_known_safe(ws):
     return adjusted(ws).select(*PKG, "score", "known_safe", "suppressed", "adjusted_score")
 
 
-@query("audit_summary", lambda: with_fixtures(["src_files"], o_adjusted(), f"""
-SELECT project_id, CAST(count(*) AS BIGINT) AS packages, {Q.round1('avg(adjusted_score)')} AS mean_score,
-       max(adjusted_score) AS max_score,
-       CAST(count_if(adjusted_score >= 4) AS BIGINT) AS attention,
-       CAST(count_if(adjusted_score >= 7) AS BIGINT) AS high_risk,
-       min((-adjusted_score, package)).package AS max_package
-FROM adj GROUP BY project_id""".replace("min((-adjusted_score, package)).package",
-                                        "(min({'s': -adjusted_score, 'p': package})).p")))
+@query("audit_summary", lambda: with_fixtures(["src_files"], o_adjusted() + [
+    ("decl", f"SELECT project_id, count(*) AS n FROM (SELECT DISTINCT {', '.join(PKG)} FROM src_files) GROUP BY project_id"),
+    ("sc", """
+SELECT project_id, count(*) AS scanned, sum(CAST(adjusted_score AS DECIMAL(18,6))) AS total, max(adjusted_score) AS max_score,
+       count_if(adjusted_score >= 4) AS attention, count_if(adjusted_score >= 7) AS high_risk,
+       (min({'s': -adjusted_score, 'p': package})).p AS top
+FROM adj GROUP BY project_id""")], f"""
+SELECT d.project_id, CAST(n AS BIGINT) AS packages, CAST(coalesce(scanned, 0) AS BIGINT) AS scanned,
+       {Q.round1('CAST(coalesce(total, 0) AS DOUBLE) / n')} AS mean_score, coalesce(max_score, 0.0) AS max_score,
+       CAST(coalesce(attention, 0) AS BIGINT) AS attention, CAST(coalesce(high_risk, 0) AS BIGINT) AS high_risk,
+       CASE WHEN max_score > 0 THEN top ELSE '' END AS max_package
+FROM decl d LEFT JOIN sc USING (project_id)"""))
 def q_audit_summary(ws):
-    return risk.audit_summary(adjusted(ws))
+    return risk.audit_summary(adjusted(ws), ws.table("src_files").select(*PKG).distinct())
 
 
 # ------------------------------------------------------------------ remediation

@@ -38,7 +38,7 @@ def o_entries():
           "hasInstallScript BOOLEAN, hasBin BOOLEAN, license VARCHAR)")
     spec = '{"packages": "MAP(VARCHAR, ' + st + ')", "dependencies": "MAP(VARCHAR, ' + st + ')"}'
     return [
-        ("lj", f"SELECT project_id, snapshot, json_transform(content, {sql_str(spec)}) AS j FROM lockfile_json"),
+        ("lj", f"SELECT project_id, snapshot, json_transform(content, {sql_str(spec)}) AS j FROM lockfile_json WHERE json_valid(content)"),
         ("le", """
 SELECT project_id, snapshot, j.packages IS NOT NULL AS pk,
        unnest(map_entries(CASE WHEN j.packages IS NOT NULL THEN j.packages ELSE j.dependencies END)) AS e FROM lj"""),
@@ -68,7 +68,7 @@ SELECT project_id, name, version, {kind('$.license')} AS license_type,
        coalesce(json_extract_string(meta, '$.description'), '') AS description,
        json_extract_string(meta, '$.deprecated') AS deprecated,
        CAST(coalesce(json_array_length(meta, '$.keywords'), -1) AS INTEGER) AS keyword_count
-FROM package_meta""")]
+FROM (SELECT * REPLACE (CASE WHEN json_valid(meta) THEN meta END AS meta) FROM package_meta)""")]
 
 
 def o_comps():
@@ -227,6 +227,6 @@ SELECT project_id, name,
                 json_extract_string(bundle, '$.predicate.materials[0].digest.sha256'), 'unknown') AS source_digest,
        coalesce(json_extract_string(bundle, '$.predicate.invocation.configSource.entryPoint'), 'unknown') AS invocation_id,
        FALSE AS verified
-FROM attestations WHERE json_type(bundle, '$.predicate') = 'OBJECT'"""))
+FROM (SELECT * REPLACE (CASE WHEN json_valid(bundle) THEN bundle END AS bundle) FROM attestations) WHERE json_type(bundle, '$.predicate') = 'OBJECT'"""))
 def q_attestation_shred(ws):
     return B.attestation(ws.table("attestations"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chainscope.functions.regex import sql_str
 from chainscope.operators import license as L
+from chainscope.operators import sbom as B
 from chainscope.operators import trust as T
 from chainscope.plans import sql as Q
 from chainscope.plans.registry import query, with_fixtures
@@ -48,6 +49,11 @@ def o_from_text(text: str) -> str:
     return "(CASE " + " ".join(whens) + " END)"
 
 
+def o_readable():
+    """Metadata that is JSON; DuckDB's functions fail on any other text."""
+    return ("readable", "SELECT * REPLACE (CASE WHEN json_valid(meta) THEN meta END AS meta) FROM package_meta")
+
+
 def o_detect():
     decl = """CASE WHEN json_type(meta, '$.license') = 'VARCHAR' THEN json_extract_string(meta, '$.license')
       WHEN coalesce(json_extract_string(meta, '$.license.type'), '') <> '' THEN json_extract_string(meta, '$.license.type')
@@ -55,10 +61,16 @@ def o_detect():
            json_extract_string(meta, '$.licenses[*].type'), lambda s: s IS NOT NULL AND s <> ''), ' OR ')
       ELSE '' END"""
     return [
-        ("lt", f"SELECT project_id, name, {o_from_text('text')} AS file_lic FROM license_docs"),
+        o_readable(),
+        ("lt", f"""
+SELECT project_id, name, arg_min(file_lic, o) AS file_lic FROM (
+  SELECT project_id, name, {o_from_text('text')} AS file_lic,
+         CASE file WHEN 'LICENSE' THEN 1 WHEN 'LICENSE.md' THEN 2 WHEN 'LICENSE.txt' THEN 3 WHEN 'LICENCE' THEN 4 ELSE 5 END AS o
+  FROM license_docs) WHERE file_lic IS NOT NULL GROUP BY project_id, name"""),
         ("ld0", f"""
-SELECT m.project_id, m.name, m.version, coalesce({decl}, '') AS decl, lt.file_lic
-FROM package_meta m LEFT JOIN lt ON lt.project_id = m.project_id AND lt.name = m.name"""),
+SELECT d.project_id, d.name, coalesce(json_extract_string(meta, '$.version'), '0.0.0') AS version, coalesce({decl}, '') AS decl, lt.file_lic
+FROM (SELECT DISTINCT project_id, name FROM project_manifest) d LEFT JOIN readable m USING (project_id, name)
+LEFT JOIN lt ON lt.project_id = d.project_id AND lt.name = d.name"""),
         ("ld1", """
 SELECT *, CASE WHEN decl <> '' THEN decl WHEN file_lic IS NOT NULL THEN file_lic ELSE 'UNKNOWN' END AS raw_lic,
        CASE WHEN decl <> '' THEN 'package.json' WHEN file_lic IS NOT NULL THEN 'LICENSE' ELSE 'inferred' END AS source
@@ -82,11 +94,11 @@ SELECT * FROM (
     ]
 
 
-LIC_FIX = ["package_meta", "license_docs"]
+LIC_FIX = ["package_meta", "license_docs", "project_manifest"]
 
 
 def licenses(ws):
-    return L.detect(ws.table("package_meta"), ws.table("license_docs"), KEYS)
+    return L.detect_direct(B.direct_dependencies(ws.table("project_manifest")), ws.table("package_meta"), ws.table("license_docs"), KEYS)
 
 
 @query("license_from_text", lambda: with_fixtures([], [], f"""
@@ -178,7 +190,8 @@ def o_maint():
     total = " + ".join(f"CASE WHEN \"f_{f}\" THEN {s} ELSE 0.0 END" for f, s in T.FACTORS)
     factors = ", ".join(f"CASE WHEN \"f_{f}\" THEN '{f}' END" for f, _ in T.FACTORS)
     return [
-        ("mm0", f"SELECT project_id, name, version, meta, {ms} AS ms0, {author} AS au FROM package_meta"),
+        o_readable(),
+        ("mm0", f"SELECT project_id, name, version, meta, {ms} AS ms0, {author} AS au FROM readable"),
         ("mm", """
 SELECT project_id, name, version, meta,
        CASE WHEN au IS NOT NULL AND NOT coalesce(list_bool_or(list_transform(ms0, lambda m: m.name = au.name)), FALSE)
@@ -187,7 +200,7 @@ FROM mm0"""),
         ("mf", f"SELECT *, {fcols} FROM (SELECT *, CAST(len(ms) AS INTEGER) AS n FROM mm)"),
         ("mr", f"""
 SELECT *, CAST(least(10.0, {total}) AS DOUBLE) AS risk_score, concat_ws(',', {factors}) AS factors FROM mf"""),
-        ("mrisk", """
+        ("mread", """
 SELECT project_id, name, version, n AS maintainer_count, risk_score,
        CASE WHEN risk_score >= 7 THEN 'critical' WHEN risk_score >= 4 THEN 'high' WHEN risk_score >= 2 THEN 'medium'
             ELSE 'low' END AS risk_level, factors,
@@ -195,7 +208,11 @@ SELECT project_id, name, version, n AS maintainer_count, risk_score,
                  CASE WHEN "f_no-repository" THEN 'Verify package source manually' END,
                  CASE WHEN "f_deprecated" THEN 'Replace with maintained alternative' END,
                  CASE WHEN risk_score >= 4 THEN 'Pin exact version and monitor for changes' END) AS recommendations
-FROM mr"""),
+FROM mr WHERE json_type(meta) <> 'NULL'"""),
+        ("mrisk", """
+SELECT * FROM mread UNION ALL
+SELECT project_id, name, '0.0.0', 0, 5.0, 'high', 'unreadable', 'Verify package is properly installed'
+FROM readable WHERE meta IS NULL OR json_type(meta) = 'NULL'"""),
     ]
 
 
@@ -236,7 +253,15 @@ def o_prov():
     gh = "regexp_extract(source_repo, 'github\\.com[/:]([^/]+)/([^/]+)', 2)"
     base = "regexp_replace(name, '^@[^/]+/', '')"
     return [
-        ("pv0", f"SELECT project_id, name, version, integrity, {repo} AS source_repo FROM package_meta"),
+        o_readable(),
+        ("locked", "SELECT project_id, name, max(integrity) AS integrity FROM lock_packages WHERE snapshot = 'new' GROUP BY project_id, name"),
+        ("proof", """
+SELECT project_id, name FROM (SELECT project_id, name, CASE WHEN json_valid(bundle) THEN bundle END AS b FROM attestations)
+WHERE json_type(b, '$.predicate') = 'OBJECT' GROUP BY project_id, name"""),
+        ("pv0", f"""
+SELECT project_id, name, coalesce(json_extract_string(meta, '$.version'), '0.0.0') AS version, l.integrity, {repo} AS source_repo,
+       p.name IS NOT NULL AS attested
+FROM readable m LEFT JOIN locked l USING (project_id, name) LEFT JOIN proof p USING (project_id, name)"""),
         ("pv1", f"""
 SELECT *, coalesce(source_repo, '') <> '' AS has_repo, coalesce(integrity, '') <> '' AS has_int,
        coalesce(source_repo, '') <> '' AND contains(source_repo, 'github.com')
@@ -246,32 +271,36 @@ SELECT *, coalesce(source_repo, '') <> '' AS has_repo, coalesce(integrity, '') <
 FROM pv0"""),
         ("prov", """
 SELECT project_id, name, version, source_repo,
-       CASE WHEN has_int THEN 'unverified' ELSE 'missing' END AS status,
+       attested, CASE WHEN attested OR has_int THEN 'unverified' ELSE 'missing' END AS status,
        CASE WHEN has_int THEN split_part(integrity, '-', 1) END AS integrity_algorithm,
-       concat_ws('; ', CASE WHEN NOT has_repo THEN 'No source repository declared' END,
+       concat_ws('; ', CASE WHEN attested THEN 'Attestation present but not verified' END, CASE WHEN NOT has_repo THEN 'No source repository declared' END,
                  CASE WHEN NOT has_int THEN 'No integrity hash in lockfile' END,
                  CASE WHEN mismatch THEN 'Package name "' || name || '" doesn''t match repo "' || gh_repo || '"' END)
          AS risk_factors,
-       CAST((CASE WHEN NOT has_repo THEN 1 ELSE 0 END) + (CASE WHEN NOT has_int THEN 1 ELSE 0 END)
+       CAST((CASE WHEN attested THEN 1 ELSE 0 END) + (CASE WHEN NOT has_repo THEN 1 ELSE 0 END) + (CASE WHEN NOT has_int THEN 1 ELSE 0 END)
             + (CASE WHEN mismatch THEN 1 ELSE 0 END) AS INTEGER) AS risk_factor_count
 FROM pv1"""),
     ]
 
 
 def prov(ws):
-    return T.provenance(ws.table("package_meta"))
+    lock = B.parse_lockfile(ws.table("lockfile_json")).where(F.col("snapshot") == "new")
+    return T.provenance(ws.table("package_meta"), lock, B.attestation(ws.table("attestations")))
+
+
+PROV_FIX = ["package_meta", "lock_packages", "attestations", "lockfile_json"]
 
 
-@query("provenance", lambda: with_fixtures(["package_meta"], o_prov(), "SELECT * FROM prov"))
+@query("provenance", lambda: with_fixtures(PROV_FIX, o_prov(), "SELECT * FROM prov"))
 def q_provenance(ws):
-    return prov(ws).select("project_id", "name", "version", "source_repo", "status", "integrity_algorithm",
+    return prov(ws).select("project_id", "name", "version", "source_repo", "attested", "status", "integrity_algorithm",
                            "risk_factors", "risk_factor_count")
 
 
-@query("provenance_summary", lambda: with_fixtures(["package_meta"], o_prov(), f"""
+@query("provenance_summary", lambda: with_fixtures(PROV_FIX, o_prov(), f"""
 SELECT project_id, CAST(count(*) AS BIGINT) AS total, CAST(count_if(status = 'verified') AS BIGINT) AS verified,
        CAST(count_if(status = 'unverified') AS BIGINT) AS unverified,
-       CAST(count_if(status = 'missing') AS BIGINT) AS missing, CAST(count_if(status = 'invalid') AS BIGINT) AS invalid,
+       CAST(count_if(status = 'missing') AS BIGINT) AS missing, CAST(count_if(status = 'invalid') AS BIGINT) AS invalid, CAST(count_if(attested) AS BIGINT) AS attested,
        {Q.js_round('count_if(status = ' + "'verified'" + ') / count(*) * 100.0')} AS coverage
 FROM prov GROUP BY project_id"""))
 def q_provenance_summary(ws):

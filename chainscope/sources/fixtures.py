@@ -264,7 +264,7 @@ FROM {{events}} e WHERE e.user_id % 3 = 0
 # package_meta: the package.json of every package of the new lock, as JSON
 # text whose polymorphic fields take every shape by lock_key.
 _DOM = "CASE p.lock_key % 4 WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'example.org' WHEN 2 THEN 'outlook.com' ELSE 'corp.example' END"
-fixture("package_meta", ["lock_packages"], f"""
+fixture("package_json", ["lock_packages"], f"""
 SELECT p.project_id, p.name, p.version, p.lock_key, p.integrity,
   '{{"name":"' || p.name || '","version":"' || p.version || '"'
   || CASE p.lock_key % 4 WHEN 0 THEN ',"license":"' || p.license || '"'
@@ -291,14 +291,21 @@ SELECT p.project_id, p.name, p.version, p.lock_key, p.integrity,
 FROM {{{{lock_packages}}}} p WHERE p.snapshot = 'new'
 """)
 
-# license_docs: the LICENSE text of a package is a document, spread over
-# the whole documents table by the package's lock key
-fixture("license_docs", ["package_meta", "documents"], """
-SELECT m.project_id, m.name, d.text
-FROM {{package_meta}} m
-JOIN {{documents}} d ON d.doc_id = m.lock_key % (SELECT count(*) FROM {{documents}})
+# package_meta: the same, cut off or absent in some packages
+fixture("package_meta", ["package_json"], """
+SELECT project_id, name, version, lock_key, integrity,
+       CASE lock_key % 41 WHEN 0 THEN substr(meta, 1, 20) WHEN 1 THEN NULL WHEN 2 THEN 'null' ELSE meta END AS meta
+FROM {{package_json}}
 """)
 
+# license_docs: two license files of each package, documents spread over the
+# whole table by the package's lock key under two of the five names
+_FILE = "CASE {} % 5 WHEN 0 THEN 'LICENSE' WHEN 1 THEN 'LICENSE.md' WHEN 2 THEN 'LICENSE.txt' WHEN 3 THEN 'LICENCE' ELSE 'COPYING' END"
+fixture("license_docs", ["package_json", "documents"], "\nUNION ALL\n".join(f"""
+SELECT m.project_id, m.name, {_FILE.format(f"(m.lock_key + {3 * turn})")} AS file, d.text
+FROM {{{{package_json}}}} m
+JOIN {{{{documents}}}} d ON d.doc_id = (m.lock_key + {17 * turn}) % (SELECT count(*) FROM {{{{documents}}}})""" for turn in (0, 1)))
+
 
 # profile_files: two snapshots of every package's files; in the new one
 # files with doc_id % 11 = 0 are gone and files with doc_id % 7 = 0 carry
@@ -430,12 +437,15 @@ FROM (SELECT l.*, CAST(floor(l.lock_key / 256) AS BIGINT) AS chunk, e.deps FROM
                  FROM {{lock_edges}} GROUP BY project_id, snapshot, name) e
         ON e.project_id = l.project_id AND e.snapshot = l.snapshot AND e.name = l.name) p
 GROUP BY project_id, snapshot, chunk
+UNION ALL
+SELECT DISTINCT project_id, snapshot, -1 AS chunk, '{"lockfileVersion":3,"packages":{"node_modules/cut' AS content FROM {{lock_packages}}
 """)
 
 # attestations: provenance bundles for every package of the new lock, with
 # missing parts on some
 fixture("attestations", ["lock_packages"], """
-SELECT project_id, name,
+SELECT project_id, name, CASE lock_key % 41 WHEN 3 THEN substr(bundle, 1, 30) WHEN 4 THEN '{"predicateType":"none"}' WHEN 5 THEN NULL ELSE bundle END AS bundle
+FROM (SELECT project_id, name, lock_key,
   '{' || CASE WHEN lock_key % 3 = 0 THEN '' ELSE '"predicateType":"https://slsa.dev/provenance/v0.2",' END
   || '"predicate":{"buildType":"https://github.com/actions/workflow@v' || CAST(lock_key % 3 AS STRING) || '"'
   || CASE WHEN lock_key % 5 = 0 THEN '' ELSE ',"builder":{"id":"https://github.com/actions/runner"}' END
@@ -446,7 +456,7 @@ SELECT project_id, name,
      END
   || CASE WHEN lock_key % 11 = 0 THEN '' ELSE ',"invocation":{"configSource":{"entryPoint":".github/workflows/release.yml"}}' END
   || '}}' AS bundle
-FROM {{lock_packages}} WHERE snapshot = 'new'
+FROM {{lock_packages}} WHERE snapshot = 'new') x
 """)
 
 # project_manifest: the project's direct dependencies (every lock package);
