@@ -82,11 +82,18 @@ def lock_hashes(obs: DataFrame) -> DataFrame:
             .withColumn("prev_hash", F.lag("lock_hash").over(w)))
 
 
-def file_events(obs: DataFrame) -> DataFrame:
-    """Lock content changed since the previous check (warning)."""
+def file_events(obs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Lock content changed since the previous check (warning); with
+    ``files`` (project_id, day, file, hash: watched files at each check) also
+    their changes (info).  A file that was absent or is now has no event."""
     h = lock_hashes(obs).where(F.col("prev_hash").isNotNull() & (F.col("prev_hash") != F.col("lock_hash")))
-    return _ev(h, F.col("day"), "lockfile-changed", "warning", None,
-               F.lit("package-lock.json has changed since last check"))
+    out = _ev(h, F.col("day"), "lockfile-changed", "warning", None,
+              F.lit("package-lock.json has changed since last check"))
+    if files is None:
+        return out
+    w = Window.partitionBy("project_id", "file").orderBy("day")
+    f = files.withColumn("_prev", F.lag("hash").over(w)).where((F.col("_prev") != F.col("hash")) & (F.col("_prev") != "") & (F.col("hash") != ""))
+    return out.unionByName(_ev(f, F.col("day"), "lockfile-changed", "info", None, F.concat("file", F.lit(" has changed since last check"))))
 
 
 def drift_events(obs: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -98,8 +105,9 @@ def drift_events(obs: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def monitor_check(obs: DataFrame, manifest: DataFrame | None = None, threshold: float = RISK_THRESHOLD,
-                  initial: DataFrame | None = None) -> DataFrame:
-    """M1: every event of every check, batch form of the monitor.
+                  initial: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """M1: every event of every check, batch form of the monitor.  ``files`` are
+    the watched files' hashes at each check.
 
     ``initial`` is the state an init step recorded (rows of one earlier
     check per project): its packages are known, so they are not reported
@@ -109,11 +117,11 @@ def monitor_check(obs: DataFrame, manifest: DataFrame | None = None, threshold:
         first = obs.groupBy("project_id").agg(F.min("day").alias("_first"))
         init = (initial.join(first, "project_id").where(F.col("day") < F.col("_first")).drop("_first")
                 .select(*obs.columns))
-        ev = monitor_check(init.unionByName(obs), manifest, threshold)
+        ev = monitor_check(init.unionByName(obs), manifest, threshold, files=files)
         checks_ = obs.select("project_id", F.col("day").alias("check_day")).distinct()
         return ev.join(checks_, ["project_id", "check_day"], "left_semi")
     h = with_history(obs)
-    ev = file_events(obs).unionByName(package_events(h)).unionByName(risk_events(h, threshold))
+    ev = file_events(obs, files).unionByName(package_events(h)).unionByName(risk_events(h, threshold))
     if manifest is not None:
         ev = ev.unionByName(drift_events(obs, manifest))
     return ev
@@ -128,7 +136,7 @@ def init_state(obs: DataFrame) -> DataFrame:
 
 def event_rank(ev: DataFrame) -> Column:
     order = js.rank_of(F.col("type"), EVENT_ORDER)
-    return [F.col("check_day").desc(), order, F.col("package")]
+    return [F.col("check_day").desc(), order, F.col("package"), F.col("message")]
 
 
 def recent_events(ev: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainscope.functions import js
+from chainscope.functions.ranking import group_rank
 from chainscope.functions.sizing import spread
 
 # FIXED VALUES — license classes
@@ -163,6 +164,11 @@ def detect_direct(direct: DataFrame, meta: DataFrame, texts: DataFrame | None, k
     return detect(direct.select(*keys).join(meta.select(*keys, "meta"), keys, "left"), texts, keys)
 
 
+def listed(lic: DataFrame, project_col: str = "project_id") -> DataFrame:
+    """A project's packages numbered by name, the order of the license report."""
+    return group_rank(lic, [project_col], [F.col("name")], lead=[(F.substring("name", 1, 8), False)])
+
+
 def violations(lic: DataFrame, policy: dict | None = None) -> DataFrame:
     """First matching rule per package: exception, denied, not allowed,
     copyleft, missing/unknown."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainscope.functions.ranking import group_rank
+
 # FIXED VALUES — package names treated as network-capable / native
 NETWORK_PACKAGES = ["node-fetch", "axios", "got", "request", "superagent", "undici",
                     "http-proxy", "http-proxy-agent", "https-proxy-agent", "socks-proxy-agent",
@@ -38,6 +40,11 @@ def lock_diff(lock: DataFrame, old: str = "old", new: str = "new", keys: list[st
     return j.withColumn("type", typ).where(F.col("type").isNotNull())
 
 
+def delta_lists(diff: DataFrame, keys: list[str] = ("project_id",)) -> DataFrame:
+    """Each project's added, removed and changed packages numbered by name."""
+    return group_rank(diff, [*keys, "type"], [F.col("name")], lead=[(F.substring("name", 1, 8), False)])
+
+
 def semver_changes(diff: DataFrame) -> DataFrame:
     """Major bump and downgrade of changed packages."""
     o, n = semver(F.col("old_version")), semver(F.col("new_version"))
@@ -88,10 +95,11 @@ def lock_flags(diff: DataFrame, edges: DataFrame, old: str = "old", new: str = "
                 .select(*keys, "name", F.col("_f.flag").alias("flag"), F.col("_f.message").alias("message")))
 
     changed = sv
-    dep_key = keys + ["name", "dep"]
-    new_deps = (edges.where(F.col("snapshot") == new).select(*dep_key)
-                .join(edges.where(F.col("snapshot") == old).select(*dep_key), dep_key, "left_anti"))
-    dep_flags = (changed.select(*keys, "name").join(new_deps, keys + ["name"])
+    # edges of changed packages only, and one aggregate over both snapshots
+    seen = (edges.where(F.col("snapshot").isin(old, new)).join(changed.select(*keys, "name"), keys + ["name"], "left_semi")
+            .groupBy(*keys, "name", "dep").agg(F.max(F.col("snapshot") == old).alias("_was")))
+    new_deps = seen.where(~F.col("_was")).select(*keys, "name", "dep")
+    dep_flags = (new_deps
                  .select(*keys, "name", F.lit("new-dependency").alias("flag"),
                          F.concat(q(name), F.lit(" added new dependency "), q(F.col("dep"))).alias("message")))
     return explode_flags(added, added_flags).unionByName(explode_flags(changed, changed_flags)).unionByName(dep_flags)

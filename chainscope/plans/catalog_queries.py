@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chainscope.catalog.scan_rules import CRITICAL_CWES, CWE_NAMES, OWASP_NAMES, SCAN_RULES
@@ -61,7 +62,7 @@ def q_coverage(ws):
 
 
 @query("cwe_matrix", lambda: _sql("""
-SELECT r.cwe, coalesce(n.cwe_name, 'CWE-' || CAST(r.cwe AS VARCHAR)) AS name, CAST(count(*) AS BIGINT) AS rule_count,
+SELECT CAST(row_number() OVER (ORDER BY r.cwe) AS BIGINT) AS rank, r.cwe, coalesce(n.cwe_name, 'CWE-' || CAST(r.cwe AS VARCHAR)) AS name, CAST(count(*) AS BIGINT) AS rule_count,
        array_to_string(list_sort(list_distinct(list(r.owasp))), ',') AS categories,
        CAST(coalesce(max(f.n), 0) AS BIGINT) AS findings
 FROM cat_rules r LEFT JOIN cwen n USING (cwe)
@@ -70,7 +71,8 @@ GROUP BY r.cwe, n.cwe_name"""))
 def q_cwe_matrix(ws):
     f = findings(ws).groupBy("cwe").agg(F.count("*").cast("bigint").alias("findings"))
     return (C.cwe_matrix(ws.spark).join(f, "cwe", "left").fillna(0, ["findings"])
-            .select("cwe", "name", "rule_count", "categories", "findings"))
+            .withColumn("rank", F.row_number().over(Window.orderBy("cwe")).cast("bigint"))  # a row for each CWE of the catalogue
+            .select("rank", "cwe", "name", "rule_count", "categories", "findings"))
 
 
 def _o_score():

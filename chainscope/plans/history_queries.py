@@ -64,12 +64,16 @@ SELECT o.project_id, o.day AS check_day, 'manifest-drift' AS type, 'warning' AS
        'Package "' || o.name || '" is installed but has no manifest entry' AS message
 FROM observations o
 WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.project_id = o.project_id AND m.name = o.name)"""),
+        ("ev_json", """
+SELECT project_id, day AS check_day, 'lockfile-changed' AS type, 'info' AS severity, CAST(NULL AS VARCHAR) AS package,
+       'package.json has changed since last check' AS message
+FROM (SELECT *, lag(hash) OVER (PARTITION BY project_id, file ORDER BY day) AS prev FROM watched_files) WHERE prev <> hash"""),
         ("ev", "SELECT * FROM ev_file UNION ALL SELECT * FROM ev_pkg UNION ALL SELECT * FROM ev_risk "
                "UNION ALL SELECT * FROM ev_drift"),
         ("ev_ranked", f"""
 SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY check_day DESC,
-  CASE type {' '.join(f"WHEN '{t}' THEN {i}" for t, i in H.EVENT_ORDER.items())} END, package) AS BIGINT) AS rank
-FROM ev"""),
+  CASE type {' '.join(f"WHEN '{t}' THEN {i}" for t, i in H.EVENT_ORDER.items())} END, package, message) AS BIGINT) AS rank
+FROM (SELECT * FROM ev UNION ALL SELECT * FROM ev_json)"""),
     ]
 
 
@@ -98,7 +102,7 @@ SELECT * FROM (
 
 
 POSTURE = ["observations", "metric_readings"]
-HIST = ["observations", "manifest"]
+HIST = ["observations", "manifest", "watched_files"]
 
 def _numbers(sql):
     """@x stands for the number x as JavaScript prints it."""
@@ -108,14 +112,18 @@ def _numbers(sql):
 # ------------------------------------------------------------------ queries
 
 
-@query("monitor_check", lambda: with_fixtures(HIST, o_history(), f"SELECT {EV} FROM ev"))
+def events(ws):
+    return H.monitor_check(obs(ws), ws.table("manifest"), files=ws.table("watched_files"))
+
+
+@query("monitor_check", lambda: with_fixtures(HIST, o_history(), f"SELECT {EV} FROM ev UNION ALL SELECT {EV} FROM ev_json"))
 def q_monitor_check(ws):
-    return H.monitor_check(obs(ws), ws.table("manifest")).select(*H.EVENT_COLS)
+    return events(ws).select(*H.EVENT_COLS)
 
 
-@query("monitor_file_events", lambda: with_fixtures(HIST, o_history(), f"SELECT {EV} FROM ev_file"))
+@query("monitor_file_events", lambda: with_fixtures(HIST, o_history(), f"SELECT {EV} FROM ev_file UNION ALL SELECT {EV} FROM ev_json"))
 def q_monitor_file_events(ws):
-    return H.file_events(obs(ws)).select(*H.EVENT_COLS)
+    return H.file_events(obs(ws), ws.table("watched_files")).select(*H.EVENT_COLS)
 
 
 @query("monitor_package_events", lambda: with_fixtures(HIST, o_history(), f"SELECT {EV} FROM ev_pkg"))
@@ -136,7 +144,7 @@ def q_manifest_drift(ws):
 @query("monitor_recent_events", lambda: with_fixtures(HIST, o_history(),
                                                       f"SELECT {EV}, rank FROM ev_ranked WHERE rank <= 100"))
 def q_monitor_recent_events(ws):
-    return H.recent_events(H.monitor_check(obs(ws), ws.table("manifest")), 100).select(*H.EVENT_COLS, "rank")
+    return H.recent_events(events(ws), 100).select(*H.EVENT_COLS, "rank")
 
 
 @query("monitor_status", lambda: with_fixtures(HIST, o_history() + [
@@ -155,8 +163,7 @@ SELECT cs.project_id, last_check, checks_performed, tracked_packages,
             ELSE 'All clear — no issues detected' END AS summary
 FROM cs LEFT JOIN tr USING (project_id) LEFT JOIN r10 USING (project_id)"""))
 def q_monitor_status(ws):
-    o = obs(ws)
-    return H.monitor_status(H.monitor_check(o, ws.table("manifest")), o)
+    return H.monitor_status(events(ws), obs(ws))
 
 
 @query("posture_snapshots", lambda: with_fixtures(POSTURE, o_posture(), "SELECT * FROM ps"))

@@ -182,6 +182,12 @@ def q_lock_diff(ws):
     return diff(ws).select("project_id", "name", "type", "old_version", "new_version")
 
 
+@query("lock_delta_lists", lambda: with_fixtures(["lock_packages"], o_diff(), """
+SELECT project_id, type, CAST(row_number() OVER (PARTITION BY project_id, type ORDER BY name) AS BIGINT) AS rank, name FROM d"""))
+def q_lock_delta_lists(ws):
+    return lockdiff.delta_lists(diff(ws)).select("project_id", "type", "rank", "name")
+
+
 @query("semver_changes", lambda: with_fixtures(["lock_packages"], o_diff(), """
 SELECT project_id, name, old_version, new_version, coalesce(major_bump, FALSE) AS major_bump,
        coalesce(downgrade, FALSE) AS downgrade FROM svc"""))

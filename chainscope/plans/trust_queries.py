@@ -129,6 +129,12 @@ def q_detect_license(ws):
     return licenses(ws).select("project_id", "name", "version", "license", "source", "category")
 
 
+@query("license_list", lambda: with_fixtures(LIC_FIX, o_detect(), """
+SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY name) AS BIGINT) AS rank, name, license FROM lic"""))
+def q_license_list(ws):
+    return L.listed(licenses(ws)).select("project_id", "rank", "name", "license")
+
+
 @query("license_violations", lambda: with_fixtures(LIC_FIX, o_detect(), """
 SELECT project_id, name, version, license, violation_type, severity, message FROM viol"""))
 def q_license_violations(ws):

@@ -254,6 +254,14 @@ SELECT project_id, day, metric, CAST(CASE WHEN k < 5 THEN n ELSE least(100, n *
   GROUP BY e.event_type, CAST(date_trunc('week', e.ts) AS DATE) + CAST(e.user_id % 7 AS INT), e.user_id % 7) x
 """)
 
+# watched_files: the hash of each project's package.json at every check; its
+# content follows the project's highest event id of the day, in steps.
+fixture("watched_files", ["events"], """
+SELECT e.event_type AS project_id, CAST(e.ts AS DATE) AS day, 'package.json' AS file,
+       md5(CAST(CAST(floor(max(e.event_id) / 400) AS BIGINT) AS STRING)) AS hash
+FROM {{events}} e GROUP BY e.event_type, CAST(e.ts AS DATE)
+""")
+
 # manifest: packages with a permission entry (every third user per project)
 fixture("manifest", ["events"], """
 SELECT DISTINCT e.event_type AS project_id, 'pkg-' || CAST(e.user_id AS STRING) AS name

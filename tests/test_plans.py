@@ -29,3 +29,17 @@ def test_scan_reads_only_needed_columns(spark):
 def test_typosquat_joins_on_its_index(spark):
     p = plan(E.queries()["typosquat"](spark, SF_SMALL))
     assert "xxhash64" in p and "_len" not in p
+
+
+@pytest.mark.parametrize("name", ["project_scan", "package_risk", "typosquat", "lock_diff", "monitor_check", "scan_summary",
+                                  "lock_flags", "posture_trend", "license_violations", "fingerprint_profile"])
+def test_building_a_plan_runs_no_job(spark, name):
+    E.queries()[name](spark, SF_SMALL)
+    sc = spark.sparkContext
+    sc.setJobGroup(f"build-{name}", "plan")
+    E.queries()[name](spark, SF_SMALL)
+    told = sc.statusTracker()
+    jobs = [told.getJobInfo(j) for j in told.getJobIdsForGroup(f"build-{name}")]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # what is left reads the schemas of the fourteen tables' files, one stage each
+    assert len(jobs) <= 14 and all(len(j.stageIds) == 1 for j in jobs)
