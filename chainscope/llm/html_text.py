@@ -5,12 +5,15 @@ HTML lets authors leave out; visibility rules drop what a browser would not
 show; a renderer lays out the rest as text.  Blocks begin on lines of their
 own, paragraphs and headings are set off by blank lines, list items get a
 marker and the indent of their depth, table cells are padded to their
-column's width, and preformatted text keeps its blanks.
+column's width, and preformatted text keeps its blanks.  Padding is bounded for
+a cell and for a line, so the text grows in proportion to the page; longer lines
+run over their column.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -57,7 +60,10 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = " \t\r\n\f"
 _BLANKS = re.compile(r"[ \t\r\n\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNSHOWN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Characters that a cell is padded to, and the padding of a line, at most; columns that rowspan holds free.
+_WIDE, _LINE_PAD, _COLUMNS = 40, 240, 100
 #: Lists, quotes and tables within one another that are laid out; deeper ones are plain blocks.
 _DEEP = 200
 
@@ -256,6 +262,7 @@ def build(html: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether an element is laid out at all."""
     if node.tag in HIDDEN:
         return False
     a = node.attributes
@@ -265,7 +272,22 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
-    return not ("style" in a and _UNSEEN.search(a["style"]))
+    return not ("style" in a and _UNSHOWN_STYLE.search(a["style"]))
+
+
+def seen(node: Node, around: bool) -> bool:
+    """Whether an element's own text is seen: visibility is handed down, and an
+    element inside a hidden one may be visible again."""
+    if "style" in node.attributes and (found := _VISIBILITY.findall(node.attributes["style"])):
+        return found[-1].lower() == "visible"
+    return around
+
+
+def _children_of(node: Node) -> list:
+    """An element's children; a closed details has its first summary only."""
+    if node.tag == "details" and "open" not in node.attributes:
+        return [c for c in node.children if not isinstance(c, str) and c.tag == "summary"][:1]
+    return node.children
 
 
 class _Page:
@@ -308,67 +330,101 @@ class _Page:
             self.want = max(self.want, 1)
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """Rows of a table, cells padded to their column."""
-    rows, captions = [], []
+def _table(node: Node, depth: int, shown: bool) -> list[str]:
+    """Rows of a table: cells on a grid that rowspan and colspan take part in, padded to their column."""
+    groups, captions = [[]], []  # rowspan ends with its group of rows
 
-    def gather(parent: Node) -> None:
+    def gather(parent: Node, shown: bool) -> None:
         for child in parent.children:
             if isinstance(child, str) or not visible(child):
                 continue
+            own = seen(child, shown)
             if child.tag == "tr":
-                rows.append([(c, _span(c)) for c in child.children if not isinstance(c, str) and c.tag in _CELLS and visible(c)])
+                groups[-1].append([(c, seen(c, own)) for c in child.children if not isinstance(c, str) and c.tag in _CELLS and visible(c)])
             elif child.tag in _ROWS:
-                gather(child)
+                groups.append([])
+                gather(child, own)
+                groups.append([])
             else:
-                captions.append(child)
-
-    gather(node)
-    cells = [[(_lines(c, depth + 1), span) for c, span in row] for row in rows]
-    widths: list[int] = []
-    for row in cells:
-        k = 0
-        for lines, span in row:
-            widths += [0] * (k + 1 - len(widths))
-            if span == 1:
-                widths[k] = max([widths[k], *map(len, lines)])
-            k += span
-    out = [line for c in captions for line in _lines(c, depth + 1)]
-    for row in cells:
-        for i in range(max([0, *(len(lines) for lines, _ in row)])):
-            line, k = "", 0
-            for lines, span in row:
-                room = sum(widths[k:k + span]) + 3 * (span - 1)
-                line += (lines[i] if i < len(lines) else "").ljust(room) + " | "
+                captions.append((child, own))
+
+    gather(node, shown)
+    rows, widths = [], {}  # of each row: (column, span, lines); of each column that a cell begins in
+    for group in groups:
+        held: dict[int, int] = {}  # columns that a cell above still takes, and for how many rows
+        for cells in group:
+            row, k, taken = [], 0, dict(held)
+            for cell, own in cells:
+                while taken.get(k):
+                    k += 1
+                span, down = _count(cell, "colspan", 1000), _count(cell, "rowspan", 65534)
+                lines = _lines(cell, depth + 1, own)
+                row.append((k, span, lines))
+                widths[k] = max(widths.get(k, 0), min(_WIDE, max(map(len, lines), default=0)) if span == 1 else 0)
+                if down > 1:
+                    held |= dict.fromkeys(range(k, min(k + span, _COLUMNS)), down)
                 k += span
+            held = {c: n - 1 for c, n in held.items() if n > 1}
+            rows.append(row)
+    starts = sorted(widths)
+    place = {c: i for i, c in enumerate(starts)}
+    for row in rows:  # cells over several columns widen the last of them
+        for k, span, lines in row:
+            own = starts[place[k]:bisect_left(starts, k + span)]
+            if 1 < span and len(own) <= _COLUMNS:
+                lack = min(_WIDE, max(map(len, lines), default=0)) - sum(widths[c] for c in own) - 3 * (len(own) - 1)
+                widths[own[-1]] += max(lack, 0)
+    before = [0]
+    for c in starts:
+        before.append(before[-1] + widths[c] + 3)
+    out = [line for c, own in captions for line in _lines(c, depth + 1, own)]
+    for row in rows:
+        for i in range(max([0, *(len(lines) for _, _, lines in row)])):
+            line, pad, at = "", _LINE_PAD, 0
+            for k, span, lines in row:
+                gap = min(pad, before[place[k]] - before[at])  # columns that a cell above takes
+                line += " " * max(gap - 3, 0) + (" | " if gap >= 3 else "")
+                pad -= gap
+                at = bisect_left(starts, k + span)
+                text = lines[i] if i < len(lines) else ""
+                fill = min(pad, max(before[at] - before[place[k]] - 3 - len(text), 0))
+                line += text + " " * fill + " | "
+                pad -= fill
             out.append(line[:-3].rstrip())
     return out
 
 
-def _span(cell: Node) -> int:
-    text = cell.attributes.get("colspan", "1").strip()
-    return min(max(int(text), 1), 1000) if text.isdecimal() else 1
+def _count(cell: Node, name: str, most: int) -> int:
+    text = cell.attributes.get(name, "1").strip()
+    return min(max(int(text[:9]), 1), most) if text.isdecimal() else 1
 
 
-def _lines(node: Node, depth: int) -> list[str]:
+def _lines(node: Node, depth: int, shown: bool) -> list[str]:
     page = _Page()
-    _children(node, page, depth, node.tag == "pre")
+    _children(node, page, depth, node.tag == "pre", shown)
     page.cut()
     return page.lines
 
 
-def _number(node: Node) -> int:
-    text = node.attributes.get("start", "1").strip()
-    return int(text) if text.removeprefix("-").isdecimal() else 1
+def _integer(text: str | None, default: int) -> int:
+    text = (text or "").strip()
+    return int(text[:10]) if text.removeprefix("-").isdecimal() and text.isascii() else default
+
+
+def _numbers(node: Node) -> list[int]:
+    """A list's first number and the step to the next."""
+    if node.tag == "ol" and "reversed" in node.attributes:
+        return [_integer(node.attributes.get("start"), sum(not isinstance(c, str) and c.tag == "li" for c in node.children)), -1]
+    return [_integer(node.attributes.get("start"), 1), 1]
 
 
-def _children(node: Node, page: _Page, depth: int, exact: bool) -> None:
+def _children(node: Node, page: _Page, depth: int, exact: bool, shown: bool) -> None:
     """Lays out an element's children; a list of open elements, not recursion, follows
     those that need no lines of their own, however deep they are."""
-    opened = [(node, iter(node.children), exact, -1)]  # blank lines to ask for at the end, -1: no line ends
-    numbers = [_number(node)]
+    opened = [(node, iter(_children_of(node)), exact, -1, shown)]  # blank lines to ask for at the end, -1: no line ends
+    numbers = [_numbers(node)]
     while opened:
-        node, rest, exact, blank = opened[-1]
+        node, rest, exact, blank, shown = opened[-1]
         child = next(rest, None)
         if child is None:
             opened.pop()
@@ -377,7 +433,9 @@ def _children(node: Node, page: _Page, depth: int, exact: bool) -> None:
                 page.cut(blank)
             continue
         if isinstance(child, str):
-            if exact:
+            if not shown:
+                pass
+            elif exact:
                 first, *more = child.replace("\r\n", "\n").split("\n")
                 page.exact(first) if first else None
                 for line in more:
@@ -388,39 +446,41 @@ def _children(node: Node, page: _Page, depth: int, exact: bool) -> None:
             continue
         if not visible(child):
             continue
-        tag = child.tag
+        tag, own = child.tag, seen(child, shown)
         if tag == "br":
             page.broken()
         elif tag == "hr":
             page.cut()
-            page.exact("---")
+            page.exact("---") if own else None
             page.cut()
         elif tag == "img":
-            page.text(child.attributes.get("alt", ""))
+            page.text(child.attributes.get("alt", "")) if own else None
         elif tag == "input":
-            page.text(" " + child.attributes.get("value", "") + " ") if child.attributes.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number") else None
+            page.text(" " + child.attributes.get("value", "") + " ") if own and child.attributes.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number") else None
         elif tag == "table" and depth < _DEEP:
             page.cut(1)
-            _block(page, _table(child, depth), "", "")
+            _block(page, _table(child, depth, own), "", "")
             page.cut(1)
         elif tag == "li" and depth < _DEEP:
             page.cut()
-            mark = f"{numbers[-1]}. " if node.tag == "ol" else "- "
-            numbers[-1] += 1
-            _block(page, _lines(child, depth + 1), mark, " " * len(mark))
+            if node.tag == "ol":
+                numbers[-1][0] = _integer(child.attributes.get("value"), numbers[-1][0])
+            mark = f"{numbers[-1][0]}. " if node.tag == "ol" else "- "
+            numbers[-1][0] += numbers[-1][1]
+            _block(page, _lines(child, depth + 1, own), mark, " " * len(mark))
         elif tag in ("dd", "blockquote") and depth < _DEEP:
             page.cut(tag == "blockquote")
             indent = "  " if tag == "dd" else "> "
-            _block(page, _lines(child, depth + 1), indent, indent)
+            _block(page, _lines(child, depth + 1, own), indent, indent)
             page.cut(tag == "blockquote")
         elif tag in BLOCKS:
             blank = int(tag in SPACED and not (tag in _LISTS and node.tag == "li"))
             page.cut(blank)
-            opened.append((child, iter(child.children), exact or tag == "pre", blank))
-            numbers.append(_number(child))
+            opened.append((child, iter(_children_of(child)), exact or tag == "pre", blank, own))
+            numbers.append(_numbers(child))
         else:
-            opened.append((child, iter(child.children), exact, -1))
-            numbers.append(_number(child))
+            opened.append((child, iter(_children_of(child)), exact, -1, own))
+            numbers.append(_numbers(child))
 
 
 def _block(page: _Page, lines: list[str], first: str, rest: str) -> None:
@@ -434,7 +494,10 @@ def _block(page: _Page, lines: list[str], first: str, rest: str) -> None:
 
 def render(html: str | None) -> str | None:
     """The visible text of a page (null: null; nothing visible: empty)."""
-    return None if html is None else "\n".join(_lines(build(html), 0))
+    if html is None:
+        return None
+    page = build(html)
+    return "\n".join(_lines(page, 0, seen(page, True)))
 
 
 def _rendered(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
