@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainscope.llm import words
+from chainscope.llm.store import apart
 from chainscope.llm.features import NAMES, features
 
 
@@ -75,10 +76,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"quality": part.column("quality"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: Model, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], model: Model, names: list[str], text: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in words.slices(batch, "_text"):
-            score = pa.array(model.scores(features(part.column("_text"))))
+        for part in words.slices(batch, text):
+            score = pa.array(model.scores(features(part.column(text))))
             yield pa.RecordBatch.from_arrays([*(part.column(c).cast(schema.field(k).type) for k, c in enumerate(names)), score], schema=schema)
 
 
@@ -98,12 +99,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """All rows and columns of ``docs`` with a score from 0 to 1 more.
 
     Null and empty texts have features of 0 and are scored by them.  Repeated
-    rows score alike.  A column that already has the score's name gives way.
+    rows score alike.  A column that already has the score's name gives way, all
+    others stay whatever their names.  An empty table gives no rows.
     """
     names = [c for c in docs.columns if c != score_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_text"))
+    (text,) = apart(docs.columns, "_text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(text))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructType
 
     kind = StructType([*docs.select(*[f"`{c}`" for c in names]).schema.fields]).add(score_col, DoubleType())
-    return rows.mapInArrow(partial(_scores, model=model, names=names, schema=to_arrow_schema(kind)), kind)
+    return rows.mapInArrow(partial(_scores, model=model, names=names, text=text, schema=to_arrow_schema(kind)), kind)

@@ -55,7 +55,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    hit = F.transform("hits", lambda h: F.concat_ws(":", h.item_id, h.start, h.length, h.agreeing))
+    hit = F.transform("hits", lambda h: F.concat_ws(":", F.coalesce(h.item_id.cast("string"), F.lit("")), h.start, h.length, h.agreeing))
     return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.array_join(hit, ",").alias("hits"))
 
 

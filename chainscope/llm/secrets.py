@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainscope.llm import words
+from chainscope.llm.store import apart
 
 _A = "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 _ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss](?:[Ww][Oo][Rr][Dd]|[Ww][Dd])|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|""" + _A + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -164,18 +165,18 @@ def _text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], marker: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], marker: str, text_col: str, names: dict[str, str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in words.slices(batch, "_text"):
-            data, rows = words.utf8(part.column("_text"))
+        for part in words.slices(batch, text_col):
+            data, rows = words.utf8(part.column(text_col))
             long, hexed = _runs(_TOKEN[data], rows, WINDOW), _runs(_HEXBYTE[data], rows, 16)
-            own = {"_spans": [], "_redacted": [], "_base": []}
-            for text, l, h in zip(part.column("_text").to_pylist(), long.tolist(), hexed.tolist()):
+            own = {"spans": [], "redacted": [], "base": []}
+            for text, l, h in zip(part.column(text_col).to_pylist(), long.tolist(), hexed.tolist()):
                 fixed, spans = scan_text(text, l, h) if text else ([], [])
-                own["_base"].append(_text(fixed))
-                own["_spans"].append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                own["_redacted"].append(redacted(text, spans, marker) if spans else text)
-            yield pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else part.column(f.name).cast(f.type) for f in schema], schema=schema)
+                own["base"].append(_text(fixed))
+                own["spans"].append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+                own["redacted"].append(redacted(text, spans, marker) if spans else text)
+            yield pa.RecordBatch.from_arrays([pa.array(own[names[f.name]], f.type) if f.name in names else part.column(f.name).cast(f.type) for f in schema], schema=schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], marker: str) -> str:
@@ -199,13 +200,15 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", marker: str = "[secret
 
     Null and empty texts have no spans; redacted is then the text itself.  Whole
     texts are scanned.  Repeated rows have equal results.  Columns that already
-    have one of the new names give way.
+    have one of the new names give way, all others stay whatever their names.  An
+    empty table gives no rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     new = {"spans": "array<struct<kind:string,start:long,end:long>>", "base": "string", **({"redacted": "string"} if with_redacted else {})}
-    names = [c for c in docs.columns if c not in new and c not in ("_text", "_spans", "_base", "_redacted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_text"))
-    kind = rows.select(*[f"`{c}`" for c in names], *[F.lit(None).cast(t).alias(f"_{c}") for c, t in new.items()]).schema
-    out = rows.mapInArrow(partial(_scan, marker=marker, schema=to_arrow_schema(kind)), kind)
-    return out.select(*[f"`{c}`" for c in names], *[F.col(f"_{c}").alias(c) for c in new])
+    names = [c for c in docs.columns if c not in new]
+    text, *own = apart(docs.columns, "_text", *(f"_{c}" for c in new))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(text))
+    kind = rows.select(*[f"`{c}`" for c in names], *[F.lit(None).cast(t).alias(c) for c, t in zip(own, new.values())]).schema
+    out = rows.mapInArrow(partial(_scan, marker=marker, text_col=text, names=dict(zip(own, new)), schema=to_arrow_schema(kind)), kind)
+    return out.select(*[f"`{c}`" for c in names], *[F.col(f"`{a}`").alias(c) for a, c in zip(own, new)])

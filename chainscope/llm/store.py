@@ -29,3 +29,14 @@ def checkpointed(df: DataFrame, name: str, compression: str = "zstd") -> DataFra
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def apart(columns: list[str], *names: str) -> list[str]:
+    """Names like those given that no column has; Spark tells no case apart."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
