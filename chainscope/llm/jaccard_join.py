@@ -223,7 +223,9 @@ class _Sent:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.sets:
             sets = np.array(self.sets, _SET)
-            self.rows.put(_SETS, np.mod(sets["h1"], self.n), self.n, sets)
+            # by document, not by set: many may hold the same one
+            place = words.mix(sets["doc"].astype(U64) + np.arange(len(sets), dtype=U64) * words.STEP)
+            self.rows.put(_SETS, (place % U64(self.n)).astype(np.int64), self.n, sets)
         if self.signatures:
             signed, nodes, edges = _stars(np.concatenate(self.signatures), np.concatenate(self.nodes))
             order, at = blobs.split((signed % U64(self.n)).astype(np.int64), self.n)

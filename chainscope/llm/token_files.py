@@ -31,6 +31,8 @@ from chainscope.llm.store import checkpointed
 from chainscope.llm.tokens import SLICE, encoder
 
 BLOCK = 1 << 16
+#: Text of a file; its ids take about half as many bytes, far below what a row may hold.
+FILE_BYTES = 1 << 28
 MAGIC = b"BITIDS01"
 #: Stands for a null document id in a footer.
 NO_ID = -(1 << 63)
@@ -124,10 +126,13 @@ def _sections(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes each document's ids and ``end`` to ``folder``, a file for each range
-    of document ids, in ascending order (null ids first; equal ids by text)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of document ids, in ascending order (null ids first; equal ids by the hash of
+    the whole text).  A file holds about ``FILE_BYTES`` of text, or less where the
+    session's shuffle partitions are more than that makes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.substring("text", 1, 64))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    placed = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     sections = placed.mapInArrow(partial(_sections, path=tokenizer, end=end), "section binary")
     sections.select(F.col("section").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(folder)
 
@@ -162,7 +167,8 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     read = files.select("path", "content").mapInArrow(partial(_read, with_ids=with_ids), "path string, doc_id long, place long, n_tokens long, ids_crc32 long, ids array<int>")
     read = checkpointed(read, "read")  # so that files are read once
     sizes = read.groupBy("path").agg(F.max(F.col("place") + F.col("n_tokens")).alias("ids"))
-    before = sizes.select("path", (F.sum("ids").over(Window.orderBy("path")) - F.col("ids")).alias("before"))
+    number = F.regexp_extract("path", "part-([0-9]+)", 1).cast("long")  # names of over five digits do not sort as text
+    before = sizes.select("path", (F.sum("ids").over(Window.orderBy(number)) - F.col("ids")).alias("before"))  # a row for each file
     out = read.join(before, "path").withColumn("start", F.col("before") + F.col("place"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
 

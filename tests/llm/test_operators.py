@@ -369,3 +369,21 @@ def test_pipeline(spark):
     first = {(i, c) for i, _, c in brute_components(rows, 5, 80)}
     assert sorted(kept["near_duplicates"]) == sorted(int(i) for i, c in first if i == c)
     assert set(kept["packing"]) == set(kept["secrets"]) == set(kept["decontaminate"])
+
+
+def test_token_files_of_bounded_size_and_tied_ids(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 400)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    same = "x" * 80 + " tail "
+    rows = [(5, same + str(k)) for k in range(6)] + [(k, f"words of number {k} " * 5) for k in range(40)]
+    out = {}
+    for order in (rows, rows[::-1]):
+        folder = shared_folder(spark, "tokens")
+        got = token_files.token_files(spark.createDataFrame(order, "doc_id long, text string").repartition(3), folder, path, end=2).orderBy("start").collect()
+        out[order[0]] = [tuple(r) for r in got]
+        assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+        assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
+    a, b = out.values()
+    assert a == b  # texts of one id that begin alike come in one order
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    assert files.where("length > 0").count() > 8 and files.agg(F.max("length")).first()[0] < 4000
