@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainscope.llm import source_divergence
+from chainscope.llm import source_divergence, warc
 from chainscope.llm.decontaminate import contamination
 from chainscope.llm.html_text import extract_text
 from chainscope.llm.jaccard_join import jaccard_components
@@ -104,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_jaccard_join, op2_warc, op3_decontamination, op4_substring_dedup, op5_quality_rules, op6_quality_classifier, op7_packing,
     op8_html_text, op9_token_files, op10_secrets, op11_source_divergence, op12_bpe_lexicon, op13_spelling_variants)}
 
-ORACLES: dict[str, str] = {"op11_source_divergence": source_divergence.SQL}
+ORACLES: dict[str, str] = {"op2_warc": warc.SQL, "op11_source_divergence": source_divergence.SQL}

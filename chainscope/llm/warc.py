@@ -205,3 +205,15 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     write_warc(pages, folder, id_col, url_col, payload_col, least)
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:record:(-?[0-9]+)>$", 1), F.lit("")).cast("long")
     return read_warc(pages.sparkSession, folder).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "url", "digest_ok")
+
+
+#: What op2 returns, in DuckDB's SQL (table pages): base-32 digits are five bits each, four to five hex digits.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)::BIGINT, 1)), '') AS payload_digest FROM h),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM r
+"""
