@@ -158,7 +158,7 @@ class _Told:
 
 def _each(batches: Iterator[pa.RecordBatch], told: _Told) -> Iterator[tuple[np.ndarray, pa.RecordBatch, words.Words]]:
     """Slices of text rows, after the answers of their bucket have been read."""
-    held: list[tuple] = []
+    held, stale = [], False  # answers come before the texts of their bucket, and are put in order once
     for batch in batches:
         kinds = batch.column("kind").to_numpy(zero_copy_only=False)
         buckets = batch.column("bucket").to_numpy(zero_copy_only=False)
@@ -167,14 +167,16 @@ def _each(batches: Iterator[pa.RecordBatch], told: _Told) -> Iterator[tuple[np.n
             if b == a:
                 continue
             if buckets[a] != told.now:
-                told.now, held = buckets[a], []
-                told.read(told.now, held)
+                told.now, held, stale = buckets[a], [], True
             run = batch.slice(a, b - a)
             if kinds[a] == 0:
                 held += zip(run.column("a").to_pylist(), run.column("b").to_pylist())
+                stale = True
+                continue
+            if stale:
                 told.read(told.now, held)
-            else:
-                yield from _texts(run)
+                stale = False
+            yield from _texts(run)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], window: int, lengths: list[int], level: int, n: int, answered: bool) -> Iterator[pa.RecordBatch]:
