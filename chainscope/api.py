@@ -29,6 +29,12 @@ def scan_folder(spark: SparkSession, root: str, severity_threshold: str = "low",
             "top_rules": report.top_rules(findings)}
 
 
+def scan_file(spark: SparkSession, path: str, severity_threshold: str = "low", confidence_threshold: str = "low") -> DataFrame:
+    """Findings of one file, in report order."""
+    text = spark.read.text(path, wholetext=True).select(F.lit("").alias("project_id"), F.lit(path).alias("path"), F.col("value").alias("content"))
+    return report.ranked_findings(scan.scan_source(text, scan.source_rules(severity_threshold, confidence_threshold)))
+
+
 def audit_packages(spark: SparkSession, root: str, project_depth: int = 1) -> dict[str, DataFrame]:
     """Behaviour scan of package folders ``root/<project>/<package>/...``:
     findings, package risk, known-safe adjustment, per-project audit."""

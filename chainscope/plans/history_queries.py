@@ -259,12 +259,12 @@ def q_posture_windows(ws):
     return H.posture_windows(obs(ws))
 
 
-@query("monitor_stream", lambda: with_fixtures(HIST, o_history(), f"SELECT {EV} FROM ev"))
+@query("monitor_stream", lambda: with_fixtures(HIST, o_history(), f"SELECT {EV} FROM ev UNION ALL SELECT {EV} FROM ev_json"))
 def q_monitor_stream(ws):
     """M2: the monitor as a Structured Streaming job over landed
     observation files; its events must equal the batch monitor's."""
     from chainscope.streaming.monitor import monitor_stream
-    return monitor_stream(ws.spark, obs(ws), ws.table("manifest"))
+    return monitor_stream(ws.spark, obs(ws), ws.table("manifest"), files=ws.table("watched_files"))
 
 
 @query("posture_windows_stream", lambda: with_fixtures(["observations"], [], f"""

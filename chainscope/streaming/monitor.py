@@ -34,8 +34,12 @@ from chainscope.session import shared_dir
 
 OBS_SCHEMA = "project_id string, name string, ts timestamp_ntz, day date, version string, score double"
 COLS = [c.split()[0] for c in OBS_SCHEMA.split(", ")]
+FILES_SCHEMA = "project_id string, file string, ts timestamp_ntz, day date, hash string"
+FILE_COLS = [c.split()[0] for c in FILES_SCHEMA.split(", ")]
 #: Keys that a project's packages are dealt to.
 PARTS = 16
+#: Before the names of watched files, which have a key of their own in each project.
+_FILE = "\0"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EVENTS = "project_id string, check_day string, type string, severity string, package string, message string"
@@ -95,7 +99,8 @@ class Monitor(StatefulProcessor):
         for day in due:
             rows = {n: (v, s, known) for d, n, v, s, known in waiting if d == day}  # a repeated row is the same row
             out += [(key[0], day, *event) for event in self._check(before, rows, bool(done))]
-            before, done = {n: (v, s) for n, (v, s, _) in rows.items()}, day
+            files = {n: x for n, x in before.items() if n.startswith(_FILE)}  # stay until they are seen again
+            before, done = files | {n: (v, s) for n, (v, s, _) in rows.items()}, day
         if due:
             _put(self.packages, [(n, v, s) for n, (v, s) in before.items()])
             _put(self.waiting, [w for w in waiting if w[0] > done])
@@ -107,6 +112,10 @@ class Monitor(StatefulProcessor):
         changed = False
         for name, (version, score, listed) in rows.items():
             old_version, old_score = before.get(name, (None, 0.0))
+            if name.startswith(_FILE):
+                if old_version and version and old_version != version:
+                    yield "lockfile-changed", "info", None, f"{name[1:]} has changed since last check"
+                continue
             if name not in before:
                 changed = True
                 yield "package-added", "warning", name, f"New dependency added: {name}@{version}"
@@ -118,16 +127,18 @@ class Monitor(StatefulProcessor):
             if not listed:
                 yield "manifest-drift", "warning", name, f'Package "{name}" is installed but has no manifest entry'
         for name in before.keys() - rows.keys():
+            if name.startswith(_FILE):
+                continue
             changed = True
             yield "package-removed", "info", name, f"Dependency removed: {name}"
         if changed and checked:  # each part that changed says so; a batch's repeats are one event
             yield "lockfile-changed", "warning", None, "package-lock.json has changed since last check"
 
 
-def _source(spark: SparkSession, source_dir: str, files_per_trigger: int, delay: str) -> DataFrame:
+def _source(spark: SparkSession, source_dir: str, files_per_trigger: int, delay: str, schema: str = OBS_SCHEMA) -> DataFrame:
     # watermarks need a zoned timestamp; the observation time is local
     # (timestamp_ntz), so the event-time column is its session-zone cast
-    return (spark.readStream.schema(OBS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
             .withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay))
 
 
@@ -155,9 +166,9 @@ def _drain(spark: SparkSession, stream: DataFrame, write: Callable[[DataFrame, i
 
 
 def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame, work_dir: str, files_per_trigger: int = 16, delay: str = "1 day",
-                       initial: DataFrame | None = None, threshold: float = H.RISK_THRESHOLD) -> str:
-    """Streams the observations that landed in ``source_dir`` so far; returns the
-    events folder.  Called again with the same ``work_dir`` it goes on from its
+                       initial: DataFrame | None = None, threshold: float = H.RISK_THRESHOLD, files_dir: str | None = None) -> str:
+    """Streams the observations that landed in ``source_dir`` so far, and the
+    hashes of watched files in ``files_dir``; returns the events folder.  Called again with the same ``work_dir`` it goes on from its
     state.  ``delay`` is how late rows may come; ``initial`` are the rows of an
     init step, one check of each project, and seeds the state."""
     events = f"{work_dir}/events"
@@ -170,7 +181,12 @@ def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame
     rows = _keyed(seen).join(listed, ["project_id", "name"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     checked = _source(spark, source_dir, files_per_trigger, delay).dropDuplicatesWithinWatermark(["project_id", "day"])
     checked = _for_all_parts(checked).withColumn("listed", F.lit(False))
-    keyed = rows.select(*cols, "event_time").unionByName(checked.select(*cols, "event_time")).groupBy("project_id", "part")
+    keyed = rows.select(*cols, "event_time").unionByName(checked.select(*cols, "event_time"))
+    if files_dir is not None:
+        watched = _source(spark, files_dir, files_per_trigger, delay, FILES_SCHEMA).withColumns(
+            {"name": F.concat(F.lit(_FILE), F.col("file")), "version": F.col("hash"), "score": F.lit(0.0), "listed": F.lit(True)})
+        keyed = keyed.unionByName(_keyed(watched).withColumn("part", F.lit(PARTS)).select(*cols, "event_time"))
+    keyed = keyed.groupBy("project_id", "part")
     seed = None
     if initial is not None:
         first = initial.select("project_id", "day").distinct()
@@ -206,13 +222,15 @@ def run_posture_stream(spark: SparkSession, source_dir: str, work_dir: str, file
     return out
 
 
-def end_input(spark: SparkSession, source_dir: str, last: DataFrame, delay: str = "1 day") -> None:
-    """Lands the row by which a producer says that nothing more comes: no package,
-    and a time that takes the watermark past the last day of ``last`` (column ts)."""
+def end_input(spark: SparkSession, source_dir: str, last: DataFrame, delay: str = "1 day", schema: str = OBS_SCHEMA) -> None:
+    """Lands the row by which a producer says that nothing more comes: no package
+    or file, and a time that takes the watermark past the last day of ``last``
+    (column ts).  Each source of a stream needs one."""
     end = last.agg(F.max("ts").alias("ts")).where("ts is not null")
     ts = F.col("ts") + F.expr(f"INTERVAL '{delay}'") + F.expr("INTERVAL 2 DAYS")
-    end.select(F.lit("").alias("project_id"), F.lit(None).cast("string").alias("name"), ts.alias("ts"), ts.cast("date").alias("day"),
-               F.lit(None).cast("string").alias("version"), F.lit(None).cast("double").alias("score")).write.mode("append").parquet(source_dir)
+    known = {"project_id": F.lit(""), "ts": ts, "day": ts.cast("date")}
+    fields = [f.split() for f in schema.split(", ")]
+    end.select(*[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in fields]).write.mode("append").parquet(source_dir)
 
 
 def replay_source(obs: DataFrame, target: str, periods: int = 6) -> None:
@@ -242,7 +260,13 @@ def posture_stream(spark: SparkSession, obs: DataFrame) -> DataFrame:
 
 
 def monitor_stream(spark: SparkSession, obs: DataFrame, manifest: DataFrame,
-                   initial: DataFrame | None = None) -> DataFrame:
-    """M2 end to end: land the observations, stream them, read the events."""
+                   initial: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """M2 end to end: land the observations and the watched files' hashes
+    (project_id, day, file, hash), stream them, read the events."""
     source, work = _landed(spark, obs, "monitor-stream")
-    return spark.read.parquet(run_monitor_stream(spark, source, manifest, work, initial=initial)).select(*H.EVENT_COLS)
+    folder = None
+    if files is not None:
+        folder = f"{work}/files"
+        files.withColumn("ts", F.col("day").cast("timestamp_ntz")).select(*FILE_COLS).write.parquet(folder)
+        end_input(spark, folder, obs, schema=FILES_SCHEMA)
+    return spark.read.parquet(run_monitor_stream(spark, source, manifest, work, initial=initial, files_dir=folder)).select(*H.EVENT_COLS)

@@ -49,6 +49,14 @@ def test_api_scan_folder(spark):
     assert summ["p2"] == (1, 1) and summ["p1"][0] == 1
 
 
+def test_api_scan_file(spark, tmp_path):
+    from chainscope import api
+    path = tmp_path / "one.js"
+    path.write_text("const a = 1;\n\neval(input);\n")
+    got = api.scan_file(spark, str(path)).select("rank", "line", "col", "snippet").collect()
+    assert got and {(r.line, r.snippet) for r in got} == {(3, "eval(input);")}
+
+
 def test_api_audit_packages(spark):
     from chainscope import api
     root = tempfile.mkdtemp(prefix="chainscope-pkgs-")

@@ -26,8 +26,9 @@ def test_entry_runs(spark):
 def test_stream_equals_batch(spark):
     ws = Workspace.of(spark, SF_SMALL)
     obs, man = ws.table("observations"), ws.table("manifest")
-    batch = _rows(H.monitor_check(obs, man).select(*H.EVENT_COLS))
-    assert _rows(M.monitor_stream(spark, obs, man)) == batch and len(batch) > 0
+    files = ws.table("watched_files")
+    batch = _rows(H.monitor_check(obs, man, files=files).select(*H.EVENT_COLS))
+    assert _rows(M.monitor_stream(spark, obs, man, files=files)) == batch and any("package.json" in r for r in batch)
 
 
 def test_stream_with_init_equals_batch(spark):
