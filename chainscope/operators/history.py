@@ -49,29 +49,57 @@ def _ev(df: DataFrame, day: Column, typ: str, sev: str, package: Column | None,
                      message.alias("message"))
 
 
-def package_events(h: DataFrame) -> DataFrame:
-    """Added (warning), removed (info), updated (info)."""
+def _seen_before() -> Column:
+    """The package was in the project's previous check."""
+    return F.coalesce(F.col("prev_day") == F.col("prev_check"), F.lit(False))
+
+
+def _event(cond: Column, day: Column, typ: str, sev: str, message: Column) -> Column:
+    return F.when(cond, F.struct(day.alias("check_day"), F.lit(typ).alias("type"), F.lit(sev).alias("severity"), F.col("name").alias("package"), message.alias("message")))
+
+
+def _package_events() -> list[Column]:
+    """Added (warning), removed (info), updated (info) -- events of one observation with its history."""
     name, ver = F.col("name"), F.col("version")
-    seen_before = F.col("prev_day").isNotNull() & (F.col("prev_day") == F.col("prev_check"))
-    added = _ev(h.where(~F.coalesce(seen_before, F.lit(False))), F.col("day"), "package-added", "warning", name,
-                F.concat(F.lit("New dependency added: "), name, F.lit("@"), ver))
     gone = F.col("next_check").isNotNull() & (F.col("next_day").isNull() | (F.col("next_day") != F.col("next_check")))
-    removed = _ev(h.where(gone), F.col("next_check"), "package-removed", "info", name,
-                  F.concat(F.lit("Dependency removed: "), name))
-    updated = _ev(h.where(seen_before & (F.col("prev_version") != ver)), F.col("day"), "package-updated", "info", name,
-                  F.concat(F.lit("Dependency updated: "), name, F.lit(" "), F.col("prev_version"), F.lit(" -> "), ver))
-    return added.unionByName(removed).unionByName(updated)
+    return [_event(~_seen_before(), F.col("day"), "package-added", "warning", F.concat(F.lit("New dependency added: "), name, F.lit("@"), ver)),
+            _event(gone, F.col("next_check"), "package-removed", "info", F.concat(F.lit("Dependency removed: "), name)),
+            _event(_seen_before() & (F.col("prev_version") != ver), F.col("day"), "package-updated", "info",
+                   F.concat(F.lit("Dependency updated: "), name, F.lit(" "), F.col("prev_version"), F.lit(" -> "), ver))]
 
 
-def risk_events(h: DataFrame, threshold: float = RISK_THRESHOLD) -> DataFrame:
+def _risk_event(threshold: float) -> Column:
     """Score rose above the previous check's score (0 when the package
     was not scored there) and reaches the threshold (critical)."""
-    seen_before = F.col("prev_day").isNotNull() & (F.col("prev_day") == F.col("prev_check"))
-    old = F.when(seen_before, F.col("prev_score")).otherwise(F.lit(0.0))
-    hit = h.withColumn("_old", old).where((F.col("score") > F.col("_old")) & (F.col("score") >= threshold))
-    return _ev(hit, F.col("day"), "risk-increased", "critical", F.col("name"),
-               F.concat(F.lit("Risk score increased for "), F.col("name"), F.lit(": "),
-                        F.format_string("%.1f", F.col("_old")), F.lit(" -> "), F.format_string("%.1f", F.col("score"))))
+    old = F.when(_seen_before(), F.col("prev_score")).otherwise(F.lit(0.0))
+    return _event((F.col("score") > old) & (F.col("score") >= threshold), F.col("day"), "risk-increased", "critical",
+                  F.concat(F.lit("Risk score increased for "), F.col("name"), F.lit(": "), F.format_string("%.1f", old), F.lit(" -> "), F.format_string("%.1f", "score")))
+
+
+def _drift_event() -> Column:
+    """An installed package without a manifest entry (column ``listed``), at every check."""
+    return _event(~F.col("listed"), F.col("day"), "manifest-drift", "warning",
+                  F.concat(F.lit('Package "'), F.col("name"), F.lit('" is installed but has no manifest entry')))
+
+
+def _told(rows: DataFrame, events: list[Column]) -> DataFrame:
+    """The events of each row, which is computed once however many there are."""
+    return rows.select("project_id", F.explode_outer(F.array_compact(F.array(*events))).alias("_e")).where(F.col("_e").isNotNull()).select("project_id", "_e.*")
+
+
+def _listed(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    entries = manifest.select("project_id", "name").distinct().withColumn("listed", F.lit(True))
+    return rows.join(entries, ["project_id", "name"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+def package_events(h: DataFrame) -> DataFrame:
+    """Events of packages that came, went or changed."""
+    return _told(h, _package_events())
+
+
+def risk_events(h: DataFrame, threshold: float = RISK_THRESHOLD) -> DataFrame:
+    """Events of scores that rose to the threshold."""
+    return _told(h, [_risk_event(threshold)])
 
 
 def lock_hashes(obs: DataFrame) -> DataFrame:
@@ -98,10 +126,7 @@ def file_events(obs: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 def drift_events(obs: DataFrame, manifest: DataFrame) -> DataFrame:
     """Installed packages without a manifest entry, at every check."""
-    m = manifest.select("project_id", "name").distinct()
-    d = obs.join(m, ["project_id", "name"], "left_anti")
-    return _ev(d, F.col("day"), "manifest-drift", "warning", F.col("name"),
-               F.concat(F.lit('Package "'), F.col("name"), F.lit('" is installed but has no manifest entry')))
+    return _told(_listed(obs, manifest), [_drift_event()])
 
 
 def monitor_check(obs: DataFrame, manifest: DataFrame | None = None, threshold: float = RISK_THRESHOLD,
@@ -121,10 +146,10 @@ def monitor_check(obs: DataFrame, manifest: DataFrame | None = None, threshold:
         checks_ = obs.select("project_id", F.col("day").alias("check_day")).distinct()
         return ev.join(checks_, ["project_id", "check_day"], "left_semi")
     h = with_history(obs)
-    ev = file_events(obs, files).unionByName(package_events(h)).unionByName(risk_events(h, threshold))
+    events = [*_package_events(), _risk_event(threshold)]
     if manifest is not None:
-        ev = ev.unionByName(drift_events(obs, manifest))
-    return ev
+        h, events = _listed(h, manifest), [*events, _drift_event()]
+    return file_events(obs, files).unionByName(_told(h, events))
 
 
 def init_state(obs: DataFrame) -> DataFrame:
