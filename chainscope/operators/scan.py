@@ -106,8 +106,9 @@ def find_matches(files: DataFrame, rules: list[dict], keep: list[str], rule_cols
     if dedup:
         return found.select(*keep, *rule_cols, line, F.instr("_line", MARK).alias("col"), text)
     before = F.split("_line", MARK, -1)  # the parts before each match, and the rest of the line
-    cols = running_sum(F.transform(F.slice(before, F.lit(1), F.size(before) - 1), F.length))
-    return (found.select(*keep, *rule_cols, line, F.explode_outer(cols).alias("_before"), text)
+    # lengths and snippet are taken once a line: what a lambda or an explode repeats is short
+    placed = found.select(*keep, *rule_cols, line, text, F.transform(F.slice(before, F.lit(1), F.size(before) - 1), F.length).alias("_sizes"))
+    return (placed.select(*keep, *rule_cols, "line", F.explode_outer(running_sum(F.col("_sizes"))).alias("_before"), "snippet")
             .select(*keep, *rule_cols, "line", (F.col("_before") + 1).alias("col"), "snippet"))
 
 

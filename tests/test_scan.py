@@ -107,3 +107,41 @@ def test_file_cap_keeps_first_paths_per_project(spark):
     for r in capped:
         got.setdefault(r.project_id, []).append(r.path)
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_running_sum(spark):
+    import itertools
+
+    from chainscope.functions.arrays import running_sum
+
+    rows = [(0, []), (1, [5]), (2, [1, 2]), (3, list(range(17))), (4, [3] * 1000), (5, None)]
+    df = spark.createDataFrame(rows, "k int, v array<int>")
+    got = {r.k: r.s for r in df.select("k", running_sum(F.col("v")).alias("s")).collect()}
+    assert got == {k: list(itertools.accumulate(v or [])) for k, v in rows}
+
+
+@pytest.mark.parametrize("dedup", [False, True])
+def test_many_matches_in_a_line_and_a_file(spark, dedup):
+    """Positions of matches that share lines, next to the brute force."""
+    rules = [r for r in scan.source_rules() if r["rule_id"] == "TS-any-abuse"]
+    texts = [("one-line.js", " ".join("a: any;" for _ in range(700))), ("lines.js", "\n".join("a: any; b: any" + " " * (k % 7) for k in range(700))),
+             ("long.js", "é" * 500 + "x: any;" + "☃" * 300 + "\ny: any"), ("marks.js", "\ufdd0x: any\ufdd1 y: any")]
+    df = spark.createDataFrame([("p", f, t) for f, t in texts], "project_id string, path string, content string")
+    got = scan.scan_source(df, rules, dedup=dedup).select("file", "rule_id", "line", "col", "snippet").collect()
+    want = brute([(f, t.replace("\ufdd0", "\ufdd1")) for f, t in texts], rules, "pattern", "rule_id", dedup)
+    assert rules and sorted(tuple(r) for r in got) == want
+
+
+@pytest.mark.parametrize("glue,dedup", [("\n", True), ("\n", False), (" ", False)])
+def test_work_grows_with_the_matches(spark, glue, dedup):
+    import time
+
+    rules, took = scan.source_rules(), {}
+    for n in (10_000, 10_000, 20_000, 40_000):  # the first run warms up
+        df = spark.createDataFrame([("p", "a.js", glue.join("a: any;" for _ in range(n)))], "project_id string, path string, content string")
+        start = time.time()
+        found = scan.scan_source(df, rules, dedup=dedup).groupBy("rule_id").count().collect()
+        took[n] = time.time() - start
+        assert max(r["count"] for r in found) == n
+    # with work that grows by the square 40,000 matches took some fifty seconds
+    assert took[40_000] < 4 * took[10_000] + 4, took
