@@ -11,7 +11,7 @@ from chainscope.plans import sql as Q
 from chainscope.plans.registry import query, with_fixtures
 
 LOCK_OUT = ["project_id", "snapshot", "name", "version", "resolved", "integrity", "dev", "optional",
-            "has_install_script", "has_bin", "license"]
+            "has_install_script", "has_bin", "license", "dependencies"]
 
 
 def entries(ws):
@@ -35,7 +35,7 @@ def o_norm_sbom(x):
 
 def o_entries():
     st = ("STRUCT(version VARCHAR, resolved VARCHAR, integrity VARCHAR, dev BOOLEAN, optional BOOLEAN, "
-          "hasInstallScript BOOLEAN, hasBin BOOLEAN, license VARCHAR)")
+          "hasInstallScript BOOLEAN, hasBin BOOLEAN, license VARCHAR, dependencies MAP(VARCHAR, VARCHAR))")
     spec = '{"packages": "MAP(VARCHAR, ' + st + ')", "dependencies": "MAP(VARCHAR, ' + st + ')"}'
     return [
         ("lj", f"SELECT project_id, snapshot, json_transform(content, {sql_str(spec)}) AS j FROM lockfile_json WHERE json_valid(content)"),
@@ -46,7 +46,8 @@ SELECT project_id, snapshot, j.packages IS NOT NULL AS pk,
 SELECT project_id, snapshot, name, e.value.version AS version, e.value.resolved AS resolved,
        e.value.integrity AS integrity, coalesce(e.value.dev, FALSE) AS dev, coalesce(e.value.optional, FALSE) AS optional,
        coalesce(e.value.hasInstallScript, FALSE) AS has_install_script,
-       coalesce(e.value.hasBin, FALSE) AS has_bin, e.value.license AS license
+       coalesce(e.value.hasBin, FALSE) AS has_bin, e.value.license AS license,
+       array_to_string(list_sort(map_keys(e.value.dependencies)), ',') AS dependencies
 FROM (SELECT *, CASE WHEN pk THEN regexp_replace(e.key, '^node_modules/', '') ELSE e.key END AS name FROM le)
 WHERE NOT pk OR (e.key <> '' AND NOT contains(name, 'node_modules/'))"""),
     ]
@@ -86,7 +87,7 @@ LEFT JOIN mf m ON m.project_id = e.project_id AND m.name = e.name""")]
 
 @query("parse_lockfile", lambda: with_fixtures(["lockfile_json"], o_entries(), f"SELECT {', '.join(LOCK_OUT)} FROM ents"))
 def q_parse_lockfile(ws):
-    return entries(ws).select(*LOCK_OUT)
+    return entries(ws).withColumn("dependencies", F.array_join(F.array_sort("dependencies"), ",")).select(*LOCK_OUT)
 
 
 @query("package_meta", lambda: with_fixtures(["package_meta"], o_meta(), "SELECT * FROM mf"))
