@@ -6,7 +6,7 @@ give the same string.  Both sides are exploded to the hashes of what such
 deletions leave and joined on them, the few pairs that meet are verified by
 edit distance.  Names that differ in separators alone may be further apart and
 are joined on the name without separators.  Nothing grows with the product of
-the two tables; which side is broadcast is left to Spark.  The choice per name is one ``min(struct)``
+the two tables, and the index is never broadcast.  The choice per name is one ``min(struct)``
 aggregate (partial aggregation first, so a hot name does not end up whole in
 one task).
 """
@@ -72,9 +72,12 @@ def _neighbourhood(name: Column) -> Column:
 def near_bases(bases: DataFrame, known: DataFrame) -> DataFrame:
     """Distinct (base, kbase) within two edits or, with lengths two apart at most,
     equal but for separators."""
-    a = bases.select("base").distinct()
     b = known.select("kbase").distinct()
-    met = (a.select("base", F.explode(_neighbourhood(F.col("base"))).alias("_h"))
+    # names whose length no known name is near have no neighbours to list
+    lengths = b.select(F.explode(F.sequence(F.length("kbase") - 2, F.length("kbase") + 2)).alias("_size")).distinct()
+    a = bases.select("base").distinct().join(lengths, F.length("base") == F.col("_size"), "left_semi")
+    # merged, since Spark's estimate does not see how many rows an explode makes
+    met = (a.select("base", F.explode(_neighbourhood(F.col("base"))).alias("_h")).hint("merge")
            .join(b.select("kbase", F.explode(_neighbourhood(F.col("kbase"))).alias("_h")), "_h")
            .where(F.levenshtein("base", "kbase", 2) >= 0).select("base", "kbase"))
     bare = (a.withColumn("_s", F.translate("base", "-_.", "")).join(b.withColumn("_s", F.translate("kbase", "-_.", "")), "_s")
