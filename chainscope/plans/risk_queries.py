@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from chainscope.catalog.reference import KNOWN_SAFE
 from chainscope.functions.regex import sql_str
