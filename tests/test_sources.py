@@ -120,3 +120,38 @@ def test_fixtures_use_every_row(spark):
     new = ws.table("lock_packages").where("snapshot = 'new'").select("project_id", "name").distinct()
     for table in ("attestations", "project_manifest"):
         assert ws.table(table).select("project_id", "name").distinct().count() == new.count()
+
+
+def _license_tables(spark, root, documents):
+    """Tables that license_docs reads: 300 packages of one project, texts of 2 KB and more."""
+    from datetime import datetime
+    spark.createDataFrame([(i,) for i in range(2000)], "c_custkey long").write.parquet(f"{root}/customer.parquet")
+    spark.createDataFrame([(i, i, datetime(1998, 2, 1 + i % 20), "1-URGENT") for i in range(300)],
+                          "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{root}/orders.parquet")
+    spark.range(documents).selectExpr("id AS doc_id", "array_join(transform(sequence(0L, 15 + id % 4), i -> sha2(concat(id, '-', i), 512)), '') AS text",
+                                      "'en' AS lang", "'src0' AS source", "0L AS n_chars").write.parquet(f"{root}/documents.parquet")
+
+
+def test_license_docs_when_packages_are_broadcast(spark, tmp_path):
+    import duckdb
+
+    from chainscope.sources import fixtures as X
+    _license_tables(spark, tmp_path / "some", 500)
+    _license_tables(spark, tmp_path / "none", 0)
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "100k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100k"}
+    old = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        for folder in ("some", "none"):
+            df = X.Workspace(spark, str(tmp_path / folder)).table("license_docs")
+            got = sorted(map(tuple, df.collect()))
+            con = duckdb.connect()
+            for t in ("customer", "orders", "documents"):
+                con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path / folder / t}.parquet/*.parquet'")
+            ctes = ", ".join(f"{n} AS ({s})" for n, s in X.oracle_ctes(["license_docs"]))
+            assert got == sorted(con.execute(f"WITH {ctes} SELECT project_id, name, file, text FROM license_docs").fetchall())
+            assert bool(got) == (folder == "some")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
