@@ -19,7 +19,7 @@ def entries(ws):
 
 
 def comps(ws):
-    new = entries(ws).where(F.col("snapshot") == "new").drop("snapshot")
+    new = B.parse_lockfile(ws.lockfiles("new")).drop("snapshot")
     return B.components(new, ws.table("package_meta"), ws.table("project_manifest"))
 
 

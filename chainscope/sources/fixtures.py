@@ -144,6 +144,17 @@ class Workspace:
             self._frames[name] = df
         return self._frames[name]
 
+    def lockfiles(self, snapshot: str) -> DataFrame:
+        """The rows of lockfile_json of one snapshot, from packages and edges of that
+        snapshot alone: Spark does not carry a filter on the documents over to the edges."""
+        def build():
+            views = {}
+            for t in FIXTURES["lockfile_json"][0]:
+                views[t] = f"{self.view(t)}_{snapshot}"
+                self.table(t).where(f"snapshot = '{snapshot}'").createOrReplaceTempView(views[t])
+            return self.spark.sql(render(FIXTURES["lockfile_json"][1], views))
+        return self.memo(f"lockfile_json_{snapshot}", build)
+
     def memo(self, key: str, build) -> DataFrame:
         """A derived frame built once per workspace, so plans that use it
         twice share one subtree (and Spark can reuse its exchange)."""
@@ -226,6 +237,20 @@ LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "b")} ON b.k = e.d
 WHERE e.pkg_k <> e.dep_k
 """)
 
+# Repeated edges go while they are two numbers; each number has a name of its own.
+SPARK_SQL["lock_edges"] = f"""
+SELECT e.project_id, e.snapshot, coalesce(a.name, 'pkg-' || CAST(e.pkg_k AS STRING)) AS name,
+       coalesce(b.name, 'pkg-' || CAST(e.dep_k AS STRING)) AS dep
+FROM (SELECT DISTINCT project_id, snapshot, pkg_k, dep_k
+      FROM (SELECT o.o_orderpriority AS project_id,
+                   CASE WHEN CAST(l.l_shipdate AS DATE) < DATE '1998-01-01' THEN 'old' ELSE 'new' END AS snapshot,
+                   o.o_custkey % {PKG_SPACE} AS pkg_k, l.l_partkey % {PKG_SPACE} AS dep_k
+            FROM {{{{lineitem}}}} l JOIN {{{{orders}}}} o ON o.o_orderkey = l.l_orderkey) x
+      WHERE pkg_k <> dep_k) e
+LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "a")} ON a.k = e.pkg_k
+LEFT JOIN {values(["k", "name"], list(enumerate(LOCK_NAMES)), "b")} ON b.k = e.dep_k
+"""
+
 
 # ---------------------------------------------------------------- history
 

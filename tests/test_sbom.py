@@ -78,3 +78,25 @@ def test_report_sink(spark):
     assert sorted((r.project_id, r.n, r.note) for r in back.collect()) == [("p", 1, None), ("q", 2, "x")]
     stores.write_report(df.limit(1), path)
     assert spark.read.json(path).count() == 1
+
+
+def test_bill_of_materials_reads_edges_of_its_snapshot(spark, tmp_path):
+    from datetime import datetime
+
+    from chainscope.plans.sbom_queries import comps
+    from chainscope.sources.fixtures import Workspace
+    day = {"old": datetime(1997, 5, 1), "new": datetime(1998, 5, 1)}
+    spark.createDataFrame([(i,) for i in range(400)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i, i % 90, day["old" if i % 3 == 0 else "new"], "1-URGENT" if i % 2 else None) for i in range(300)],
+                          "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(i % 300, i % 70 if i % 11 else None, day["old" if i % 5 == 0 else "new"]) for i in range(2000)]
+    spark.createDataFrame(lines + lines[:500], "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz").write.parquet(str(tmp_path / "lineitem.parquet"))
+    ws = Workspace(spark, str(tmp_path))
+
+    def rows(docs):
+        found = B.parse_lockfile(docs).withColumn("dependencies", F.array_sort("dependencies"))
+        return sorted(map(str, found.collect()))
+    both = {s: rows(ws.lockfiles(s)) for s in ("old", "new")}
+    assert all(both.values()) and sorted(both["old"] + both["new"]) == rows(ws.table("lockfile_json"))
+    plan = comps(ws)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Filter" in x and "l_shipdate" in x for x in plan)
