@@ -5,7 +5,8 @@ The monitor is a keyed state machine in Spark's state store
 packages (a hash of the name), so a project that sends a third of all rows is
 spread over ``PARTS`` keys.  A key's state holds the packages of the last check,
 the rows of checks that are not complete and their days; nothing else is kept,
-and a package that is gone leaves the state.
+and a package that is gone leaves the state.  Packages and rows are kept in
+blocks: a call to the store costs about as much for a block as for a row.
 
 A check is a project's day.  It is complete when the watermark has passed the
 end of the day, which an event-time timer of the key tells; until then rows may
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -38,18 +40,44 @@ FILES_SCHEMA = "project_id string, file string, ts timestamp_ntz, day date, hash
 FILE_COLS = [c.split()[0] for c in FILES_SCHEMA.split(", ")]
 #: Keys that a project's packages are dealt to.
 PARTS = 16
+#: Days of an append of ``replay_source``.  Its files may be read in any order, so
+#: a row can come as much later than the others.
+APPEND_DAYS = 5
+#: Most rows in a block of the state.
+BLOCK = 10_000
 #: Before the names of watched files, which have a key of their own in each project.
 _FILE = "\0"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EVENTS = "project_id string, check_day string, type string, severity string, package string, message string"
 
 
+_PACKAGE = pa.schema([("name", pa.string()), ("version", pa.string()), ("score", pa.float64())])
+_ROW = _PACKAGE.append(pa.field("listed", pa.bool_()))
+
+
 def _put(state, rows: list[tuple]) -> None:
     """Replaces a list state; an empty list is no state."""
     state.put(rows) if rows else state.clear()
 
 
+def _pack(rows: list[tuple], schema: pa.Schema) -> list[bytes]:
+    """Rows as blocks, each an Arrow stream."""
+    blocks = []
+    for k in range(0, len(rows), BLOCK):
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows[k:k + BLOCK]), schema)]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema) as out:
+            out.write_batch(pa.record_batch(columns, schema=schema))
+        blocks.append(sink.getvalue().to_pybytes())
+    return blocks
+
+
+def _unpack(block: bytes) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in pa.ipc.open_stream(pa.py_buffer(bytes(block))).read_all().columns))
+
+
 class Monitor(StatefulProcessor):
     """Events of one key (project, part of its packages) as its checks complete.
 
@@ -62,8 +90,8 @@ class Monitor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.packages = handle.getListState("packages", "name string, version string, score double")
-        self.waiting = handle.getListState("waiting", "day string, name string, version string, score double, listed boolean")
+        self.packages = handle.getListState("packages", "block binary")
+        self.waiting = handle.getListState("waiting", "day string, block binary")
         self.days = handle.getListState("days", "day string, day_end long")
         self.last = handle.getValueState("last", "day string")
 
@@ -73,7 +101,7 @@ class Monitor(StatefulProcessor):
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """The rows of an init step: known packages, for which there are no events."""
         rows = [(r.name, r.version, r.score) for r in initialState.itertuples(index=False, name="R") if isinstance(r.name, str)]
-        _put(self.packages, rows)
+        _put(self.packages, [(b,) for b in _pack(rows, _PACKAGE)])
         self.last.update((max(initialState["day"]),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -84,29 +112,31 @@ class Monitor(StatefulProcessor):
                 known[day] = end
                 self.days.appendValue((day, end))
                 self.handle.registerTimer(end)
-            own = part[part["name"].notna()]
-            if len(own):
-                self.waiting.appendList(list(zip(own["day"], own["name"], own["version"], own["score"].astype(float), own["listed"].astype(bool))))
+            for day, own in part[part["name"].notna()].groupby("day"):
+                rows = list(zip(own["name"], own["version"], own["score"].astype(float).tolist(), own["listed"].astype(bool).tolist()))
+                self.waiting.appendList([(day, b) for b in _pack(rows, _ROW)])
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # a batch's first timer tells of all days that are complete, so their rows are read once
+        now = timerValues.getCurrentWatermarkInMs()
         days = sorted(self.days.get())
         due = [d for d, end in days if end <= now]
+        if not due:
+            return
         waiting = list(self.waiting.get())
-        before = {n: (v, s) for n, v, s in self.packages.get()}
-        done, out = self._last(), []
+        before = {n: (v, s) for (block,) in self.packages.get() for n, v, s in _unpack(block)}
+        done = self._last()
         for day in due:
-            rows = {n: (v, s, known) for d, n, v, s, known in waiting if d == day}  # a repeated row is the same row
-            out += [(key[0], day, *event) for event in self._check(before, rows, bool(done))]
+            rows = {n: (v, s, known) for d, b in waiting if d == day for n, v, s, known in _unpack(b)}  # a repeated row is the same row
+            out = [(key[0], day, *event) for event in self._check(before, rows, bool(done))]
             files = {n: x for n, x in before.items() if n.startswith(_FILE)}  # stay until they are seen again
             before, done = files | {n: (v, s) for n, (v, s, _) in rows.items()}, day
-        if due:
-            _put(self.packages, [(n, v, s) for n, (v, s) in before.items()])
-            _put(self.waiting, [w for w in waiting if w[0] > done])
-            _put(self.days, [d for d in days if d[0] > done])
-            self.last.update((done,))
-        yield pd.DataFrame(out, columns=["project_id", "check_day", "type", "severity", "package", "message"], dtype=object)
+            yield pd.DataFrame(out, columns=["project_id", "check_day", "type", "severity", "package", "message"], dtype=object)
+        _put(self.packages, [(b,) for b in _pack([(n, v, s) for n, (v, s) in before.items()], _PACKAGE)])
+        _put(self.waiting, [w for w in waiting if w[0] > done])
+        _put(self.days, [d for d in days if d[0] > done])
+        self.last.update((done,))
 
     def _check(self, before: dict, rows: dict, checked: bool) -> Iterator[tuple]:
         changed = False
@@ -154,14 +184,18 @@ def _for_all_parts(rows: DataFrame) -> DataFrame:
 
 
 def _drain(spark: SparkSession, stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs a stream over all input that is there; the state is in RocksDB."""
-    old = spark.conf.get(_PROVIDER, None)
+    """Runs a stream over all input that is there; the state is in RocksDB.  Each
+    batch opens and commits the store of every state partition, also of those without
+    a key, so there are no more than keep the cores busy."""
+    old = {k: spark.conf.get(k, None) for k in (_PROVIDER, _PARTITIONS)}
     spark.conf.set(_PROVIDER, _ROCKS)
+    spark.conf.set(_PARTITIONS, min(int(spark.conf.get(_PARTITIONS)), 4 * spark.sparkContext.defaultParallelism))
     try:
         q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, old) if old else spark.conf.unset(_PROVIDER)
+        for k, v in old.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     return q
 
 
@@ -179,7 +213,7 @@ def run_monitor_stream(spark: SparkSession, source_dir: str, manifest: DataFrame
     seen = _source(spark, source_dir, files_per_trigger, delay)
     # rows that say the input's end stay: a filter would run below the watermark and hide their time from it
     rows = _keyed(seen).join(listed, ["project_id", "name"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    checked = _source(spark, source_dir, files_per_trigger, delay).dropDuplicatesWithinWatermark(["project_id", "day"])
+    checked = _source(spark, source_dir, files_per_trigger, delay).select("project_id", "day", "event_time").dropDuplicatesWithinWatermark(["project_id", "day"])
     checked = _for_all_parts(checked).withColumn("listed", F.lit(False))
     keyed = rows.select(*cols, "event_time").unionByName(checked.select(*cols, "event_time"))
     if files_dir is not None:
@@ -233,29 +267,34 @@ def end_input(spark: SparkSession, source_dir: str, last: DataFrame, delay: str
     end.select(*[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in fields]).write.mode("append").parquet(source_dir)
 
 
-def replay_source(obs: DataFrame, target: str, periods: int = 6) -> None:
-    """Land observations as an ordered sequence of appends (one per period
-    of days), the way a producer exports them; each append is written by
-    as many tasks as the data has partitions."""
-    first = obs.agg(F.min("day")).first()[0]
+def replay_source(obs: DataFrame, target: str) -> None:
+    """Land observations as an ordered sequence of appends (one per period of
+    ``APPEND_DAYS`` days), the way a producer exports them; each append is written
+    by as many tasks as the data has partitions."""
+    first, last = obs.agg(F.min("day"), F.max("day")).first()
     if first is None:
         return
-    period = F.floor(F.datediff(F.col("day"), F.lit(first)) / F.lit(5)).cast("int")
-    tagged = obs.withColumn("_period", F.least(period, F.lit(periods)))
-    for p in range(periods + 1):
+    period = F.floor(F.datediff(F.col("day"), F.lit(first)) / F.lit(APPEND_DAYS)).cast("int")
+    end = (last - first).days // APPEND_DAYS
+    tagged = obs.withColumn("_period", F.coalesce(period, F.lit(end)))
+    for p in range(end + 1):
         tagged.where(F.col("_period") == p).drop("_period").write.mode("append").parquet(target)
 
 
-def _landed(spark: SparkSession, obs: DataFrame, name: str) -> tuple[str, str]:
+def _landed(spark: SparkSession, obs: DataFrame, name: str) -> tuple[str, str, DataFrame]:
+    """Source folder, work folder and the observations as written once, for all appends."""
     work = shared_dir(spark, name)
-    replay_source(obs.select(*COLS), f"{work}/source")
-    end_input(spark, f"{work}/source", obs)
-    return f"{work}/source", work
+    obs.select(*COLS).write.parquet(f"{work}/observed")
+    obs = spark.read.schema(OBS_SCHEMA).parquet(f"{work}/observed")
+    replay_source(obs, f"{work}/source")
+    end_input(spark, f"{work}/source", obs, delay=f"{APPEND_DAYS} days")
+    return f"{work}/source", work, obs
 
 
 def posture_stream(spark: SparkSession, obs: DataFrame) -> DataFrame:
     """M3 end to end: land the observations, stream them, read the windows."""
-    return spark.read.parquet(run_posture_stream(spark, *_landed(spark, obs, "posture-stream"))) \
+    source, work, _ = _landed(spark, obs, "posture-stream")
+    return spark.read.parquet(run_posture_stream(spark, source, work, delay=f"{APPEND_DAYS} days")) \
         .select("project_id", "window_start", "observations", "max_risk", "high_risk")
 
 
@@ -263,10 +302,11 @@ def monitor_stream(spark: SparkSession, obs: DataFrame, manifest: DataFrame,
                    initial: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """M2 end to end: land the observations and the watched files' hashes
     (project_id, day, file, hash), stream them, read the events."""
-    source, work = _landed(spark, obs, "monitor-stream")
+    source, work, obs = _landed(spark, obs, "monitor-stream")
     folder = None
     if files is not None:
         folder = f"{work}/files"
         files.withColumn("ts", F.col("day").cast("timestamp_ntz")).select(*FILE_COLS).write.parquet(folder)
-        end_input(spark, folder, obs, schema=FILES_SCHEMA)
-    return spark.read.parquet(run_monitor_stream(spark, source, manifest, work, initial=initial, files_dir=folder)).select(*H.EVENT_COLS)
+        end_input(spark, folder, obs, delay=f"{APPEND_DAYS} days", schema=FILES_SCHEMA)
+    events = run_monitor_stream(spark, source, manifest, work, delay=f"{APPEND_DAYS} days", initial=initial, files_dir=folder)
+    return spark.read.parquet(events).select(*H.EVENT_COLS)

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,77 @@ def test_late_repeated_and_out_of_order_rows(spark, observed, tmp_path):
     assert _rows(spark.read.parquet(events).select(*H.EVENT_COLS)) == want
 
 
+def test_appends_of_more_files_than_a_batch_reads(spark, observed):
+    """A row counts whichever file of its append it is in: none is late."""
+    rows, man = observed
+    obs = spark.createDataFrame(rows, M.OBS_SCHEMA).repartition(20)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # each file is a task, which writes a file of each append
+    try:
+        got = _rows(M.monitor_stream(spark, obs, man))
+        windows = _rows(M.posture_stream(spark, obs))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == _rows(H.monitor_check(obs, man).select(*H.EVENT_COLS)) and got
+    assert windows == _rows(H.posture_windows(obs).select("project_id", "window_start", "observations", "max_risk", "high_risk"))
+
+
+def test_complete_days_are_read_from_the_state_once():
+    """Rows read from the state by a batch that completes 30 days: each once, and as blocks."""
+    class State(list):
+        read = 0
+
+        def get(self):
+            State.read += len(self)
+            return iter(list(self))
+
+        def put(self, rows):
+            self[:] = rows
+        appendList, appendValue, clear = list.extend, list.append, list.clear
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        timers: list = []
+
+        def getListState(self, name, schema):
+            return State()
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Time:
+        def getExpiryTimeInMs(self):
+            return self.at
+
+        def getCurrentWatermarkInMs(self):
+            return 30
+
+    monitor, time, events = M.Monitor(7.0), Time(), []
+    monitor.init(Handle())
+    rows = [(f"2024-03-{d:02d}", d, f"pkg-{k}", f"1.{d % 2}", 1.0, True) for d in range(1, 31) for k in range(200)]
+    monitor.handleInputRows(("p", 0), iter([pd.DataFrame(rows, columns=["day", "day_end", "name", "version", "score", "listed"])]), time)
+    State.read = 0
+    for time.at in sorted(Handle.timers):
+        events += [tuple(e) for part in monitor.handleExpiredTimer(("p", 0), time, time) for e in part.itertuples(index=False)]
+    assert State.read < 200
+    assert [sum(e[2] == t for e in events) for t in ("package-added", "package-updated", "lockfile-changed")] == [200, 29 * 200, 29]
+    assert not monitor.waiting and not monitor.days and monitor.last.held == ("2024-03-30",)
+
+
 def test_rows_beyond_the_watermark_change_nothing(spark, observed, tmp_path):
     rows, man = observed
     source, work = str(tmp_path / "in"), str(tmp_path / "work")
