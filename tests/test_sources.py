@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from chainscope.operators import scan
 from chainscope.sources import files as S
 
@@ -155,3 +157,33 @@ def test_license_docs_when_packages_are_broadcast(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("name", ["compliance_notes", "compliance_summary", "detect_license", "license_list", "license_summary"])
+def test_license_queries_when_packages_are_broadcast(spark, tmp_path, name):
+    from datetime import datetime
+
+    import __spark_entry__ as E
+    import duckdb
+
+    from tests.harness import compare
+    _license_tables(spark, tmp_path, 500)
+    spark.range(500).selectExpr("id AS doc_id", "concat(element_at(array('MIT License ', 'ISC License ', 'GNU Lesser General Public License ', 'plain '), int(id % 4 + 1)),"
+                                " array_join(transform(sequence(0L, 15 + id % 4), i -> sha2(concat(id, '-', i), 512)), '')) AS text",
+                                "'en' AS lang", "'src0' AS source", "0L AS n_chars").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i * 7, datetime(1998, 3, 1)) for i in range(300)],
+                          "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"part {i}") for i in range(40)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders", "lineitem", "part", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path / t}.parquet/*.parquet'")
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "100k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "100k"}
+    old = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        problems, rows, _ = compare(E.queries()[name](spark, str(tmp_path)), con, E.oracle_sql()[name])
+        assert not problems and rows
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
